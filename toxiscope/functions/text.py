@@ -122,16 +122,26 @@ def word_ngrams(tokens: Column | str) -> Column:
     return F.concat(tok, bigrams)
 
 
+def is_blank(text: Column | str) -> Column:
+    """Missing, empty or only (Unicode) whitespace."""
+    return _text(text).rlike(f"^{WHITESPACE}*$")
+
+
 def verdict(text: Column | str, prob: Column | str, threshold: Column | float) -> Column:
     """Label of the interactive checker: blank text short-circuits."""
-    t = F.trim(_text(text))
     p = F.col(prob) if isinstance(prob, str) else prob
     thr = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return (F.when(t == "", F.lit(BLANK_VERDICT))
+    return (F.when(is_blank(text), F.lit(BLANK_VERDICT))
             .when(p >= thr, F.lit(TOXIC_VERDICT))
             .otherwise(F.lit(CLEAN_VERDICT)))
 
 
+def verdict_prob(text: Column | str, prob: Column | str) -> Column:
+    """The probability shown next to the verdict: 0.0 for blank text."""
+    p = F.col(prob) if isinstance(prob, str) else prob
+    return F.when(is_blank(text), F.lit(0.0)).otherwise(p)
+
+
 def slug(label: Column | str) -> Column:
     """Model / split label -> file tag."""
     col = F.col(label) if isinstance(label, str) else label

@@ -39,6 +39,10 @@ LR_NAME = "TF-IDF + Logistic Regression"
 SVM_NAME = "TF-IDF + SVM"
 
 
+def nb_name(alpha: float = nb.ALPHA) -> str:
+    return NB_NAME if alpha == nb.ALPHA else f"{NB_NAME} (alpha={alpha})"
+
+
 def split_corpus(comments: DataFrame, label: str = "toxic") -> DataFrame:
     """comments + ``split``: English rows split 80/20 by label, others validation."""
     en = comments.filter(F.col("lang") == TRAIN_LANG)
@@ -138,7 +142,7 @@ class Chain:
                 "doc_id", "split", "lang", F.col("toxic").alias("y_true"))
             w = self.weights.filter(F.col("split").isin(*splits)).select("doc_id", "term", "weight")
             scored = nb.nb_scores(w, self.nb_model(alpha), docs)
-            return scored.select(F.lit(NB_NAME).alias("model"), "split", "lang", "doc_id",
+            return scored.select(F.lit(nb_name(alpha)).alias("model"), "split", "lang", "doc_id",
                                  "y_true", "score", "y_prob")
         return self._get(("nb_pred", alpha, tuple(splits)), build, keep=True)
 

@@ -12,3 +12,255 @@ FLAGSHIP_SQL = o.with_(o.CORPUS, o.FEATURES, o.NB, o.EVAL) + o.metrics_select("c
 @query("evaluate_splits", FLAGSHIP_SQL)
 def q_evaluate_splits(spark, sf):
     return chain(spark, sf).nb_metrics()
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from toxiscope.functions import text as tx
+from toxiscope.functions.numeric import ratio_round
+from toxiscope.operators import compare as cmp
+from toxiscope.operators import evaluation as ev
+from toxiscope.plans.baselines import NB_NAME, TEST, VAL, nb_name
+
+BASE = (o.CORPUS, o.FEATURES, o.NB)
+ALT_ALPHA = 1.0
+ALT_NAME = nb_name(ALT_ALPHA)
+ALT = o.nb_ctes(ALT_ALPHA, "_alt", ALT_NAME)
+G = ["model", "split"]
+
+
+def _preds(spark, sf, alpha=0.1):
+    return chain(spark, sf).nb_predictions(alpha)
+
+
+def _eval(spark, sf, alpha=0.1):
+    rows = ev.eval_rows(_preds(spark, sf, alpha))
+    return rows.drop("split").withColumnRenamed("eval_split", "split")
+
+
+def _metrics(spark, sf, alpha=0.1):
+    return chain(spark, sf).nb_metrics(alpha)
+
+
+def _bigint(x):
+    return f"CAST({x} AS BIGINT)"
+
+
+# ------------------------------------------------------------ AUC / curves --
+
+@query("auc_roc", o.with_(*BASE, o.EVAL) + f"""
+SELECT model, split, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, auc_roc
+FROM ({o.auc_select('c_eval', 'model, split')})""")
+def q_auc_roc(spark, sf):
+    return ev.auc_table(_eval(spark, sf), G)
+
+
+CUM_SQL = """
+sc AS (SELECT model, split, score, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos,
+              sum(CASE WHEN y_true = 1 THEN 0 ELSE 1 END) AS neg
+       FROM c_preds GROUP BY model, split, score),
+cum AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS tps, CAST(sum(neg) OVER w AS BIGINT) AS fps,
+               sum(pos) OVER (PARTITION BY model, split) AS n_pos,
+               sum(neg) OVER (PARTITION BY model, split) AS n_neg
+        FROM sc WINDOW w AS (PARTITION BY model, split ORDER BY score DESC
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+@query("roc_curve", o.with_(*BASE, CUM_SQL, """
+pts AS (SELECT model, split, score AS threshold, tps, fps, n_pos, n_neg FROM cum
+        WHERE n_pos > 0 AND n_neg > 0
+        UNION ALL
+        SELECT DISTINCT model, split, CAST('inf' AS DOUBLE), CAST(0 AS BIGINT), CAST(0 AS BIGINT), n_pos, n_neg
+        FROM cum WHERE n_pos > 0 AND n_neg > 0)""") + f"""
+SELECT model, split, threshold, tps, fps, {o.ratio('tps', 'n_pos')} AS tpr, {o.ratio('fps', 'n_neg')} AS fpr
+FROM pts""")
+def q_roc_curve(spark, sf):
+    return ev.roc_curve(_preds(spark, sf), G)
+
+
+@query("pr_curve", o.with_(*BASE, CUM_SQL) + f"""
+SELECT model, split, score AS threshold, tps, fps, {o.ratio('tps', 'tps + fps')} AS precision,
+       {o.ratio('tps', 'n_pos')} AS recall
+FROM cum WHERE n_pos > 0
+UNION ALL
+SELECT DISTINCT model, split, CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 1.0, 0.0
+FROM cum WHERE n_pos > 0""")
+def q_pr_curve(spark, sf):
+    return ev.pr_curve(_preds(spark, sf), G)
+
+
+AP_SQL = """SELECT model, split, round(sum(pos * CAST(tps AS DOUBLE) / (tps + fps)) / max(n_pos), 4) AS average_precision
+FROM cum WHERE n_pos > 0 GROUP BY model, split"""
+
+
+@query("average_precision", o.with_(*BASE, CUM_SQL) + AP_SQL)
+def q_average_precision(spark, sf):
+    return ev.average_precision(_preds(spark, sf), G)
+
+
+@query("curves_both_splits", o.with_(*BASE, CUM_SQL, f"""
+ap AS ({AP_SQL}),
+auc AS ({o.auc_select('c_preds', 'model, split')})""") + """
+SELECT a.model, a.split, a.auc_roc, p.average_precision,
+       CAST(count(*) + 1 AS BIGINT) AS roc_points, CAST(count(*) + 1 AS BIGINT) AS pr_points
+FROM auc a JOIN ap p ON a.model = p.model AND a.split = p.split
+JOIN cum c ON a.model = c.model AND a.split = c.split
+WHERE a.n_pos > 0 AND a.n_neg > 0
+GROUP BY a.model, a.split, a.auc_roc, p.average_precision""")
+def q_curves_both_splits(spark, sf):
+    """ROC and PR summaries for the English test and whole validation split,
+    skipping groups with a single class."""
+    p = _preds(spark, sf)
+    auc = ev.auc_table(p, G).filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
+    ap = ev.average_precision(p, G)
+    roc = ev.roc_curve(p, G).groupBy(*G).agg(F.count(F.lit(1)).alias("roc_points"))
+    prc = ev.pr_curve(p, G).groupBy(*G).agg(F.count(F.lit(1)).alias("pr_points"))
+    return (auc.join(ap, G).join(roc, G).join(prc, G)
+               .select(*G, "auc_roc", "average_precision", "roc_points", "pr_points"))
+
+
+# ------------------------------------------------------- threshold metrics --
+
+TC_SQL = f"""
+grid AS (SELECT i, CAST(i AS DOUBLE) / 20 AS threshold FROM range(1, 20) r(i)),
+tc0 AS (SELECT e.model, e.split, g.threshold,
+               CAST(sum(CASE WHEN e.y_prob >= g.threshold AND e.y_true = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+               CAST(sum(CASE WHEN e.y_prob >= g.threshold AND e.y_true <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+               CAST(sum(CASE WHEN e.y_prob < g.threshold AND e.y_true = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+               CAST(sum(CASE WHEN e.y_prob < g.threshold AND e.y_true <> 1 THEN 1 ELSE 0 END) AS BIGINT) AS tn
+        FROM c_eval e CROSS JOIN grid g GROUP BY e.model, e.split, g.threshold),
+tc AS (SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0
+                      ELSE CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) END AS f1_raw,
+              {o.ratio('2 * tp', '2 * tp + fp + fn')} AS f1, {o.ratio('tp', 'tp + fp')} AS precision,
+              {o.ratio('tp', 'tp + fn')} AS recall
+       FROM tc0)"""
+
+
+@query("threshold_curve", o.with_(*BASE, o.EVAL, TC_SQL) + """
+SELECT model, split, threshold, tp, fp, fn, tn, f1, precision, recall FROM tc""")
+def q_threshold_curve(spark, sf):
+    return ev.threshold_curve(_eval(spark, sf), G).drop("f1_raw")
+
+
+BEST_SQL = """best AS (SELECT model, split, threshold, f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY f1_raw DESC, threshold) AS r FROM tc)
+  WHERE r = 1)"""
+
+
+@query("best_threshold", o.with_(*BASE, o.EVAL, TC_SQL, BEST_SQL) + "SELECT * FROM best")
+def q_best_threshold(spark, sf):
+    return ev.best_threshold(_eval(spark, sf), G)
+
+
+@query("confusion_counts", o.with_(*BASE, o.EVAL) + f"""
+SELECT model, split, {_bigint('tp')} AS tp, {_bigint('fp')} AS fp, {_bigint('fn')} AS fn, {_bigint('tn')} AS tn
+FROM ({o.conf_select('c_eval', 'model, split')})""")
+def q_confusion_counts(spark, sf):
+    return ev.confusion_counts(_eval(spark, sf), G)
+
+
+@query("confusion_by_language", o.with_(*BASE, """
+cells AS (SELECT a.actual, p.predicted FROM (VALUES (0), (1)) a(actual), (VALUES (0), (1)) p(predicted)),
+keys AS (SELECT DISTINCT model, lang FROM c_preds WHERE split = 'Multilingual Val'),
+obs AS (SELECT model, lang, y_true AS actual, CASE WHEN y_prob >= 0.5 THEN 1 ELSE 0 END AS predicted,
+               count(*) AS n
+        FROM c_preds WHERE split = 'Multilingual Val' GROUP BY ALL)""") + """
+SELECT k.model, k.lang, c.actual, c.predicted, CAST(coalesce(o.n, 0) AS BIGINT) AS n
+FROM keys k CROSS JOIN cells c
+LEFT JOIN obs o ON o.model = k.model AND o.lang = k.lang AND o.actual = c.actual AND o.predicted = c.predicted""")
+def q_confusion_by_language(spark, sf):
+    return cmp.confusion_long(_preds(spark, sf).filter(F.col("split") == VAL), ["model", "lang"])
+
+
+@query("classification_metrics", o.with_(*BASE) + """
+SELECT model, auc_roc, f1, accuracy, precision, recall FROM (""" +
+       o.metrics_select("(SELECT * FROM c_preds WHERE split = 'English Test (20%)')", ["model"]) + ")")
+def q_classification_metrics(spark, sf):
+    p = _preds(spark, sf).filter(F.col("split") == TEST)
+    return ev.classification_metrics(p, ["model"], 0.5).select(
+        "model", "auc_roc", "f1", "accuracy", "precision", "recall")
+
+
+METRICS_SQL = "m AS (" + o.metrics_select("c_eval", ["model", "split"]) + ")"
+
+
+@query("metric_pivot", o.with_(*BASE, o.EVAL, METRICS_SQL, """
+ml AS (SELECT model, CASE WHEN split = 'English Test (20%)' THEN 'en'
+                          WHEN split LIKE 'Val-%' THEN substr(split, 5) END AS lang, auc_roc FROM m)""") +
+       "SELECT model, " + ", ".join(f"avg(CASE WHEN lang = '{lg}' THEN auc_roc END) AS {lg}"
+                                    for lg in cmp.LANG_ORDER) +
+       " FROM ml WHERE lang IS NOT NULL GROUP BY model")
+def q_metric_pivot(spark, sf):
+    return cmp.metric_pivot(_metrics(spark, sf))
+
+
+@query("split_rows", o.with_(*BASE, o.EVAL, METRICS_SQL) + """
+SELECT model, auc_roc, f1, accuracy, precision, recall FROM m WHERE split = 'Multilingual Val'""")
+def q_split_rows(spark, sf):
+    return cmp.split_rows(_metrics(spark, sf), VAL)
+
+
+@query("sorted_models", o.with_(*BASE, o.EVAL, METRICS_SQL) + """
+SELECT CAST(row_number() OVER (ORDER BY auc_roc DESC NULLS LAST, model, split) AS INTEGER) AS rank,
+       model, split, auc_roc FROM m""")
+def q_sorted_models(spark, sf):
+    return cmp.sorted_rows(_metrics(spark, sf), "auc_roc")
+
+
+@query("split_to_lang", o.with_(*BASE, o.EVAL, METRICS_SQL) + """
+SELECT model, split, CASE WHEN split = 'English Test (20%)' THEN 'en'
+                          WHEN split LIKE 'Val-%' THEN substr(split, 5) END AS lang FROM m""")
+def q_split_to_lang(spark, sf):
+    return _metrics(spark, sf).select("model", "split", tx.split_to_lang("split").alias("lang"))
+
+
+@query("slug", o.with_(*BASE, o.EVAL, METRICS_SQL) + """
+SELECT model, split, translate(replace(model, 'TF-IDF + ', ''), ' ()%', '_') AS model_tag,
+       translate(replace(split, 'TF-IDF + ', ''), ' ()%', '_') AS split_tag FROM m""")
+def q_slug(spark, sf):
+    return _metrics(spark, sf).select("model", "split", tx.slug("model").alias("model_tag"),
+                                      tx.slug("split").alias("split_tag"))
+
+
+# ------------------------------------------------------ tuned thresholds --
+
+def _tuned(spark, sf, alpha=0.1):
+    """Threshold tuned on the whole validation split (F1 over the grid)."""
+    val = _preds(spark, sf, alpha).filter(F.col("split") == VAL)
+    return ev.best_threshold(val, ["model"]).select(
+        "model", "threshold", F.col("f1").alias("tuned_f1"))
+
+
+TUNED_SQL = """
+tuned AS (SELECT model, threshold, f1 AS tuned_f1 FROM best WHERE split = 'Multilingual Val')"""
+
+TUNED_METRICS_SQL = "tm AS (" + o.metrics_select(
+    "(SELECT e.*, t.threshold AS thr FROM c_eval e JOIN tuned t ON e.model = t.model)",
+    ["model", "split"], thr="thr").replace("thr AS threshold", "max(thr) AS threshold") + ")"
+
+
+def _tuned_metrics(spark, sf):
+    rows = _eval(spark, sf).join(F.broadcast(_tuned(spark, sf)).select("model", "threshold"), "model")
+    return ev.classification_metrics(rows, G, threshold=None)
+
+
+@query("union_metrics", o.with_(*BASE, o.EVAL, METRICS_SQL, TC_SQL, BEST_SQL, TUNED_SQL) + f"""
+SELECT model, split, n, threshold, auc_roc, f1, accuracy, precision, recall, CAST(NULL AS DOUBLE) AS tuned_f1
+FROM m
+UNION ALL
+SELECT x.model || ' (tuned)', x.split, x.n, x.threshold, x.auc_roc, {o.rates_sql().replace('tp', 'x.tp').replace('fp', 'x.fp').replace('fn', 'x.fn').replace('tn', 'x.tn')}, t.tuned_f1
+FROM (SELECT e.model, e.split, count(*) AS n, max(t.threshold) AS threshold,
+             sum(CASE WHEN e.y_prob >= t.threshold AND e.y_true = 1 THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN e.y_prob >= t.threshold AND e.y_true <> 1 THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN e.y_prob < t.threshold AND e.y_true = 1 THEN 1 ELSE 0 END) AS fn,
+             sum(CASE WHEN e.y_prob < t.threshold AND e.y_true <> 1 THEN 1 ELSE 0 END) AS tn,
+             max(a.auc_roc) AS auc_roc
+      FROM c_eval e JOIN tuned t ON e.model = t.model
+      JOIN ({o.auc_select('c_eval', 'model, split')}) a ON a.model = e.model AND a.split = e.split
+      GROUP BY e.model, e.split) x JOIN tuned t ON x.model = t.model""")
+def q_union_metrics(spark, sf):
+    """Ragged metric tables (the tuned one carries ``tuned_f1``) concatenated by name."""
+    base = _metrics(spark, sf)
+    tuned = (_tuned_metrics(spark, sf).join(F.broadcast(_tuned(spark, sf)).drop("threshold"), "model")
+             .withColumn("model", F.concat("model", F.lit(" (tuned)"))))
+    return cmp.union_metrics([base, tuned])

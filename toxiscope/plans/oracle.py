@@ -98,7 +98,7 @@ c_w AS (SELECT doc_id, split, term, idx, raw / sqrt(sum(raw * raw) OVER (PARTITI
         FROM c_raw)"""
 
 
-def nb_ctes(alpha: float = 0.1, suffix: str = "") -> str:
+def nb_ctes(alpha: float = 0.1, suffix: str = "", model: str = "TF-IDF + Naive Bayes") -> str:
     a = f"CAST({alpha!r} AS DOUBLE)"
     s = suffix
     return f"""
@@ -119,7 +119,7 @@ c_prior{s} AS (SELECT ln(CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS DOUB
 c_nb{s} AS (SELECT n.*, n.logp1 - n.logp0 AS log_ratio, p.prior FROM c_nb1{s} n CROSS JOIN c_prior{s} p),
 c_dot{s} AS (SELECT w.doc_id, sum(w.weight * n.log_ratio) AS dot
          FROM c_w w JOIN c_nb{s} n ON w.term = n.term WHERE w.split <> 'train' GROUP BY w.doc_id),
-c_pred{s} AS (SELECT 'TF-IDF + Naive Bayes' AS model, c.split, c.lang, c.doc_id, c.toxic AS y_true,
+c_pred{s} AS (SELECT '{model}' AS model, c.split, c.lang, c.doc_id, c.toxic AS y_true,
                  round(p.prior + coalesce(d.dot, 0.0), 8) AS score
           FROM c_clean c LEFT JOIN c_dot{s} d ON c.doc_id = d.doc_id CROSS JOIN c_prior{s} p
           WHERE c.split <> 'train'),
@@ -128,11 +128,16 @@ c_preds{s} AS (SELECT *, 1.0 / (1.0 + exp(-score)) AS y_prob FROM c_pred{s})"""
 
 NB = nb_ctes()
 
-EVAL = """
-c_eval AS (SELECT model, split, lang, doc_id, y_true, score, y_prob FROM c_preds
+def eval_cte(suffix: str = "") -> str:
+    s = suffix
+    return f"""
+c_eval{s} AS (SELECT model, split, lang, doc_id, y_true, score, y_prob FROM c_preds{s}
            UNION ALL
            SELECT model, 'Val-' || lang AS split, lang, doc_id, y_true, score, y_prob
-           FROM c_preds WHERE split = 'Multilingual Val')"""
+           FROM c_preds{s} WHERE split = 'Multilingual Val')"""
+
+
+EVAL = eval_cte()
 
 
 def with_(*parts: str) -> str:
