@@ -114,3 +114,35 @@ def explain_documents(weights: DataFrame, term_weights: DataFrame, k: int = 10,
     c = c.withColumn("total", F.round(total, digits))
     top = top_k(c, [id_col], [F.desc("contribution"), F.asc("term")], k)
     return top.select(id_col, "rank", "term", F.round("contribution", digits).alias("contribution"), "total")
+
+
+def threshold_lookup(models: DataFrame, summaries: DataFrame, default: float = 0.5) -> DataFrame:
+    """(model, threshold, source): the summary's threshold, else ``default``.
+    Summaries hold one row per model -- broadcast."""
+    j = models.join(F.broadcast(summaries.select("model", F.col("threshold").alias("_t"))), "model", "left")
+    return j.select("model", F.coalesce("_t", F.lit(float(default))).alias("threshold"),
+                    F.when(F.col("_t").isNull(), F.lit("default")).otherwise(F.lit("tuned")).alias("source"))
+
+
+def best_candidate(cands: DataFrame, metric: str, order_col: str) -> DataFrame:
+    """Flag the candidate with the best metric; the earliest wins ties."""
+    w = Window.orderBy(F.desc_nulls_last(metric), F.asc(order_col))
+    return cands.withColumn("is_best", F.row_number().over(w) == 1)
+
+
+def gain_by_language(to: DataFrame, frm: DataFrame, value: str = "auc_roc") -> DataFrame:
+    """Per language: metric of ``to`` minus that of ``frm`` (self equi-join on
+    the split label; both sides are metric rows)."""
+    a = to.withColumn("lang", split_to_lang("split")).filter(F.col("lang").isNotNull())
+    b = frm.select("split", F.col("model").alias("from_model"), F.col(value).alias("from_auc"))
+    return (a.join(b, "split")
+             .select("lang", "from_model", F.col("model").alias("to_model"), "from_auc",
+                     F.col(value).alias("to_auc"),
+                     F.round(F.col(value) - F.col("from_auc"), 4).alias("gain")))
+
+
+def relative_metric(to: DataFrame, ref: DataFrame, value: str = "auc_roc") -> DataFrame:
+    b = ref.select("split", F.col("model").alias("reference_model"), F.col(value).alias("_ref"))
+    return (to.join(b, "split")
+              .select("split", "model", "reference_model",
+                      F.round(F.try_divide(F.col(value), F.col("_ref")), 4).alias("ratio")))

@@ -147,7 +147,10 @@ class Chain:
         return self._get(("nb_pred", alpha, tuple(splits)), build, keep=True)
 
     def nb_metrics(self, alpha: float = nb.ALPHA, threshold: float = 0.5) -> DataFrame:
-        return ev.evaluate_splits(self.nb_predictions(alpha), threshold)
+        """Metric rows (models x splits: a handful) -- kept for the many
+        queries that read them."""
+        return self._get(("nb_metrics", alpha, threshold),
+                         lambda: ev.evaluate_splits(self.nb_predictions(alpha), threshold), keep=True)
 
 
 _CHAINS: dict = {}

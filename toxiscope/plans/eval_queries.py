@@ -264,3 +264,161 @@ def q_union_metrics(spark, sf):
     tuned = (_tuned_metrics(spark, sf).join(F.broadcast(_tuned(spark, sf)).drop("threshold"), "model")
              .withColumn("model", F.concat("model", F.lit(" (tuned)"))))
     return cmp.union_metrics([base, tuned])
+
+
+TM_SQL = f"""
+tm AS (SELECT x.model, x.split, x.n, x.threshold, a.auc_roc, {o.rates_sql()}
+       FROM (SELECT e.model, e.split, count(*) AS n, max(t.threshold) AS threshold,
+                    sum(CASE WHEN e.y_prob >= t.threshold AND e.y_true = 1 THEN 1 ELSE 0 END) AS tp,
+                    sum(CASE WHEN e.y_prob >= t.threshold AND e.y_true <> 1 THEN 1 ELSE 0 END) AS fp,
+                    sum(CASE WHEN e.y_prob < t.threshold AND e.y_true = 1 THEN 1 ELSE 0 END) AS fn,
+                    sum(CASE WHEN e.y_prob < t.threshold AND e.y_true <> 1 THEN 1 ELSE 0 END) AS tn
+             FROM c_eval e JOIN tuned t ON e.model = t.model GROUP BY e.model, e.split) x
+       JOIN ({o.auc_select('c_eval', 'model, split')}) a ON a.model = x.model AND a.split = x.split)"""
+
+
+@query("dedupe_metrics", o.with_(*BASE, o.EVAL, METRICS_SQL, TC_SQL, BEST_SQL, TUNED_SQL, TM_SQL) + """
+SELECT model, split, n, threshold, auc_roc, f1, accuracy, precision, recall FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, split ORDER BY file_order DESC) AS r FROM (
+    SELECT *, 1 AS file_order FROM m UNION ALL SELECT *, 2 AS file_order FROM tm))
+WHERE r = 1""")
+def q_dedupe_metrics(spark, sf):
+    """Two metric files for the same models (default, then tuned threshold):
+    one row per (model, split), the later file wins."""
+    first = _metrics(spark, sf).withColumn("file_order", F.lit(1))
+    second = _tuned_metrics(spark, sf).withColumn("file_order", F.lit(2))
+    both = cmp.union_metrics([first, second])
+    return cmp.dedupe_last(both, ["model", "split"], "file_order").drop("file_order")
+
+
+@query("distinct_keys", o.with_(*BASE, o.EVAL) + """
+SELECT DISTINCT 'lang' AS key, lang AS value FROM c_preds WHERE split = 'Multilingual Val'
+UNION ALL SELECT DISTINCT 'split' AS key, split AS value FROM c_eval""")
+def q_distinct_keys(spark, sf):
+    p = _preds(spark, sf)
+    langs = p.filter(F.col("split") == VAL).select(F.lit("lang").alias("key"), F.col("lang").alias("value")).distinct()
+    splits = _eval(spark, sf).select(F.lit("split").alias("key"), F.col("split").alias("value")).distinct()
+    return langs.unionByName(splits).orderBy("key", "value")
+
+
+CELL_SQL = """CASE WHEN y_prob >= 0.5 AND y_true = 1 THEN 'TP' WHEN y_prob >= 0.5 THEN 'FP'
+                   WHEN y_true = 1 THEN 'FN' ELSE 'TN' END"""
+
+
+@query("error_examples", o.with_(*BASE) + f"""
+SELECT model, cell, lang, CAST(rank AS INTEGER) AS rank, doc_id, round(y_prob, 6) AS y_prob FROM (
+  SELECT *, row_number() OVER (PARTITION BY model, cell, lang
+                               ORDER BY CASE WHEN cell IN ('TP', 'FP') THEN -score ELSE score END, doc_id) AS rank
+  FROM (SELECT *, {CELL_SQL} AS cell FROM c_preds))
+WHERE rank <= 3""")
+def q_error_examples(spark, sf):
+    return cmp.error_examples(_preds(spark, sf), k=3)
+
+
+@query("missed_toxic", o.with_(*BASE) + """
+SELECT model, CAST(rank AS INTEGER) AS rank, doc_id, lang, round(y_prob, 6) AS y_prob FROM (
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY score, doc_id) AS rank
+  FROM c_preds WHERE y_true = 1 AND y_prob < 0.5)
+WHERE rank <= 10""")
+def q_missed_toxic(spark, sf):
+    return cmp.missed_toxic(_preds(spark, sf), k=10)
+
+
+@query("prediction_align", o.with_(*BASE) + """
+SELECT p.doc_id, d.lang, l.toxic AS y_true, p.score
+FROM c_preds p JOIN labels l ON p.doc_id = l.doc_id JOIN documents d ON p.doc_id = d.doc_id""")
+def q_prediction_align(spark, sf):
+    """Scores aligned with labels and languages by key (not by position)."""
+    c = chain(spark, sf)
+    scores = _preds(spark, sf).select("doc_id", "score")
+    return (scores.join(c.table("labels").select("doc_id", F.col("toxic").alias("y_true")), "doc_id")
+                  .join(c.table("documents").select("doc_id", "lang"), "doc_id")
+                  .select("doc_id", "lang", "y_true", "score"))
+
+
+@query("language_slice", o.with_(*BASE) + """
+SELECT doc_id, y_true, score FROM c_preds WHERE lang = 'de'""")
+def q_language_slice(spark, sf):
+    return _preds(spark, sf).filter(F.col("lang") == "de").select("doc_id", "y_true", "score")
+
+
+@query("threshold_lookup", o.with_(*BASE, ALT, o.EVAL, TC_SQL, BEST_SQL, TUNED_SQL) + """
+SELECT k.model, coalesce(t.threshold, 0.5) AS threshold,
+       CASE WHEN t.threshold IS NULL THEN 'default' ELSE 'tuned' END AS source
+FROM (SELECT DISTINCT model FROM c_preds UNION SELECT DISTINCT model FROM c_preds_alt) k
+LEFT JOIN tuned t ON k.model = t.model""")
+def q_threshold_lookup(spark, sf):
+    """Per model its tuned threshold (only the default-alpha model has a
+    tuning summary here), else 0.5."""
+    models = (_preds(spark, sf).select("model").distinct()
+              .unionByName(_preds(spark, sf, ALT_ALPHA).select("model").distinct()))
+    return cmp.threshold_lookup(models, _tuned(spark, sf))
+
+
+CANDIDATES = ((1, 1.0), (2, 0.1), (3, 0.01))
+
+
+def _cand_sql():
+    parts = [o.CORPUS, o.FEATURES]
+    sel = []
+    for i, a in CANDIDATES:
+        parts.append(o.nb_ctes(a, f"_c{i}", nb_name(a)))
+        sel.append(f"SELECT {i} AS candidate, CAST({a!r} AS DOUBLE) AS alpha, auc_roc AS val_auc FROM ("
+                   + o.auc_select(f"(SELECT * FROM c_preds_c{i} WHERE split = 'Multilingual Val')", "model")
+                   + ")")
+    parts.append("cand AS (" + "\nUNION ALL ".join(sel) + ")")
+    return o.with_(*parts) + """
+SELECT candidate, alpha, val_auc,
+       row_number() OVER (ORDER BY val_auc DESC NULLS LAST, candidate) = 1 AS is_best FROM cand"""
+
+
+@query("best_checkpoint", _cand_sql())
+def q_best_checkpoint(spark, sf):
+    """Hyper-parameter candidates (NB smoothing) scored by validation AUC; the
+    best wins, the earliest candidate on ties."""
+    rows = []
+    for i, a in CANDIDATES:
+        val = _preds(spark, sf, a).filter(F.col("split") == VAL)
+        auc = ev.auc_table(val, ["model"]).select(F.lit(i).alias("candidate"), F.lit(a).alias("alpha"),
+                                                  F.col("auc_roc").alias("val_auc"))
+        rows.append(auc)
+    return cmp.best_candidate(cmp.union_metrics(rows), "val_auc", "candidate")
+
+
+GAIN_SQL = o.with_(*BASE, ALT, o.EVAL, o.eval_cte("_alt"), f"""
+a1 AS ({o.auc_select('c_eval', 'model, split')}),
+a0 AS ({o.auc_select('c_eval_alt', 'model, split')})""")
+
+
+@query("auc_gain_by_language", GAIN_SQL + f"""
+SELECT CASE WHEN a1.split = 'English Test (20%)' THEN 'en' ELSE substr(a1.split, 5) END AS lang,
+       a0.model AS from_model, a1.model AS to_model, a0.auc_roc AS from_auc, a1.auc_roc AS to_auc,
+       round(a1.auc_roc - a0.auc_roc, 4) AS gain
+FROM a1 JOIN a0 ON a1.split = a0.split
+WHERE a1.split = 'English Test (20%)' OR a1.split LIKE 'Val-%'""")
+def q_auc_gain_by_language(spark, sf):
+    to = ev.auc_table(_eval(spark, sf), G)
+    frm = ev.auc_table(_eval(spark, sf, ALT_ALPHA), G)
+    return cmp.gain_by_language(to, frm)
+
+
+@query("relative_metric", GAIN_SQL + """
+SELECT a1.split, a1.model, a0.model AS reference_model,
+       CASE WHEN a0.auc_roc = 0 THEN NULL ELSE round(a1.auc_roc / a0.auc_roc, 4) END AS ratio
+FROM a1 JOIN a0 ON a1.split = a0.split""")
+def q_relative_metric(spark, sf):
+    to = ev.auc_table(_eval(spark, sf), G)
+    ref = ev.auc_table(_eval(spark, sf, ALT_ALPHA), G)
+    return cmp.relative_metric(to, ref, "auc_roc")
+
+
+@query("verdict", o.with_(*BASE) + f"""
+SELECT p.doc_id,
+       CASE WHEN regexp_full_match(coalesce(d.text, ''), '[{tx.SPACE_CHARS}]*') THEN 0.0 ELSE round(p.y_prob, 6) END AS y_prob,
+       CASE WHEN regexp_full_match(coalesce(d.text, ''), '[{tx.SPACE_CHARS}]*') THEN '{tx.BLANK_VERDICT}'
+            WHEN p.y_prob >= 0.5 THEN 'TOXIC' ELSE 'NOT TOXIC' END AS verdict
+FROM c_preds p JOIN documents d ON p.doc_id = d.doc_id""")
+def q_verdict(spark, sf):
+    p = _preds(spark, sf).join(chain(spark, sf).table("documents").select("doc_id", "text"), "doc_id")
+    return p.select("doc_id", F.round(tx.verdict_prob("text", "y_prob"), 6).alias("y_prob"),
+                    tx.verdict("text", "y_prob", 0.5).alias("verdict"))
