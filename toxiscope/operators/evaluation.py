@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from toxiscope.functions.numeric import ratio_round
 
-BUCKETS = 512
+ROWS_PER_BUCKET = 50_000
+MIN_BUCKETS = 8
+MAX_BUCKETS = 4096
 DIGITS = 4
 # The decision-threshold grid 0.05, 0.10, ..., 0.95 (i / 20).
 GRID = tuple(i / 20 for i in range(1, 20))
@@ -43,14 +45,26 @@ def _with_bucket(df: DataFrame, bounds: str, x: str, out: str, buckets: int) ->
     return df
 
 
+def bucket_count(rows: int) -> int:
+    """Power of two giving about ROWS_PER_BUCKET rows per ordered window."""
+    b = MIN_BUCKETS
+    while b < MAX_BUCKETS and b * ROWS_PER_BUCKET < rows:
+        b *= 2
+    return b
+
+
 def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str,
-                value_cols: list[str], buckets: int = BUCKETS) -> DataFrame:
+                value_cols: list[str], buckets: int | None = None) -> DataFrame:
     """df + ``cum_<v>``: running sum of v in ascending ``order_col`` per group.
 
     ``order_col`` must be distinct within a group (aggregate first); the sum
-    includes the row itself.
+    includes the row itself.  ``buckets`` defaults to a size-driven count
+    (one small count job), so each ordered window holds ~50k rows whatever
+    the input size.
     """
     g = list(group_cols)
+    if buckets is None:
+        buckets = bucket_count(df.count())
     fracs = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*g).agg(
         F.percentile_approx(order_col, fracs, 10000).alias("_bounds"))

@@ -1 +1,218 @@
-"""Queries over features and models: TF-IDF, Naive Bayes, MLlib baselines."""
+"""Queries over features and models: TF-IDF, Naive Bayes, vocabularies,
+encodings and the sampling operators that feed them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from toxiscope.functions import text as tx
+from toxiscope.operators import features as fe
+from toxiscope.operators import sampling as sm
+from toxiscope.plans import oracle as o
+from toxiscope.plans.baselines import TRAIN, chain
+from toxiscope.plans.catalog import query
+
+BASE = (o.CORPUS, o.FEATURES)
+TOKEN_RE = tx.WORD_CHAR + "+"
+
+
+def _r8(c):
+    return F.round(c, 8)
+
+
+@query("tfidf_fit", o.with_(*BASE) + """
+SELECT term, tot, df, idx, round(idf, 8) AS idf FROM c_idf""")
+def q_tfidf_fit(spark, sf):
+    return chain(spark, sf).idf.select("term", "tot", "df", "idx", _r8(F.col("idf")).alias("idf"))
+
+
+@query("feature_vocabulary", o.with_(*BASE) + "SELECT term, tot, df, idx FROM c_idf")
+def q_feature_vocabulary(spark, sf):
+    return chain(spark, sf).idf.select("term", "tot", "df", "idx")
+
+
+@query("document_frequency", o.with_(*BASE) + """
+SELECT term, count(*) AS df FROM c_post WHERE split = 'train' GROUP BY term""")
+def q_document_frequency(spark, sf):
+    return fe.document_frequency(chain(spark, sf).postings.filter(F.col("split") == TRAIN))
+
+
+@query("tfidf_transform", o.with_(*BASE) + """
+SELECT doc_id, term, idx, round(weight, 8) AS weight FROM c_w""")
+def q_tfidf_transform(spark, sf):
+    return chain(spark, sf).weights.select("doc_id", "term", "idx", _r8(F.col("weight")).alias("weight"))
+
+
+@query("vocab_lookup", o.with_(*BASE) + """
+SELECT p.doc_id, p.term, p.tf FROM c_post p JOIN c_idf i ON p.term = i.term WHERE p.split <> 'train'""")
+def q_vocab_lookup(spark, sf):
+    """Held-out postings restricted to the fitted vocabulary (others dropped)."""
+    c = chain(spark, sf)
+    held = c.postings.filter(F.col("split") != TRAIN)
+    return held.join(F.broadcast(c.idf.select("term")), "term").select("doc_id", "term", "tf")
+
+
+@query("class_term_weights", o.with_(*BASE) + """
+SELECT c.toxic, w.term, round(sum(w.weight), 8) AS weight
+FROM c_w w JOIN c_clean c ON w.doc_id = c.doc_id WHERE w.split = 'train' GROUP BY c.toxic, w.term""")
+def q_class_term_weights(spark, sf):
+    c = chain(spark, sf)
+    w = c.weights.filter(F.col("split") == TRAIN)
+    y = c.cleaned.filter(F.col("split") == TRAIN).select("doc_id", "toxic")
+    return w.join(y, "doc_id").groupBy("toxic", "term").agg(_r8(F.sum("weight")).alias("weight"))
+
+
+@query("nb_fit", o.with_(*BASE, o.NB) + """
+SELECT term, idx, round(logp0, 8) AS logp0, round(logp1, 8) AS logp1, round(log_ratio, 8) AS log_ratio
+FROM c_nb""")
+def q_nb_fit(spark, sf):
+    m = chain(spark, sf).nb_model()
+    return m.select("term", "idx", *[_r8(F.col(c)).alias(c) for c in ("logp0", "logp1", "log_ratio")])
+
+
+@query("nb_predict", o.with_(*BASE, o.NB) + """
+SELECT doc_id, split, score, round(y_prob, 8) AS y_prob FROM c_preds""")
+def q_nb_predict(spark, sf):
+    p = chain(spark, sf).nb_predictions()
+    return p.select("doc_id", "split", "score", _r8(F.col("y_prob")).alias("y_prob"))
+
+
+@query("top_features", o.with_(*BASE, o.NB) + """
+SELECT direction, CAST(rank AS INTEGER) AS rank, term, round(weight, 4) AS weight FROM (
+  SELECT 'toxic' AS direction, term, log_ratio AS weight,
+         row_number() OVER (ORDER BY round(log_ratio, 8) DESC, term) AS rank FROM c_nb
+  UNION ALL
+  SELECT 'non_toxic' AS direction, term, log_ratio AS weight,
+         row_number() OVER (ORDER BY round(log_ratio, 8), term) AS rank FROM c_nb)
+WHERE rank <= 30""")
+def q_top_features(spark, sf):
+    from toxiscope.operators.models import top_features
+    m = chain(spark, sf).nb_model().select("term", F.col("log_ratio").alias("coef"))
+    return top_features(m, 30)
+
+
+@query("explain_document", o.with_(*BASE, o.NB, """
+ct AS (SELECT w.doc_id, w.term, round(w.weight * n.log_ratio, 8) AS contribution
+       FROM c_w w JOIN c_nb n ON w.term = n.term WHERE w.split <> 'train'),
+tot AS (SELECT doc_id, round(sum(contribution), 6) AS total FROM ct GROUP BY doc_id)""") + """
+SELECT r.doc_id, CAST(r.rank AS INTEGER) AS rank, r.term, round(r.contribution, 6) AS contribution, t.total
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY contribution DESC, term) AS rank FROM ct) r
+JOIN tot t ON r.doc_id = t.doc_id WHERE r.rank <= 10""")
+def q_explain_document(spark, sf):
+    from toxiscope.operators.compare import explain_documents
+    c = chain(spark, sf)
+    w = c.weights.filter(F.col("split") != TRAIN)
+    coef = c.nb_model().select("term", F.col("log_ratio").alias("coef"))
+    return explain_documents(w, coef, k=10)
+
+
+# ------------------------------------------------ word vocabulary / encoding --
+
+def light_tok(col: str) -> str:
+    return f"regexp_extract_all(lower({o.light_sql(col)}), '{TOKEN_RE}')"
+
+WV_SQL = f"""
+wv0 AS (SELECT term, count(*) AS freq
+        FROM (SELECT unnest({light_tok('text')}) AS term FROM c_splits WHERE split = 'train')
+        GROUP BY term HAVING count(*) >= 2 ORDER BY freq DESC, term LIMIT 50000),
+wv AS (SELECT term, freq, CAST(row_number() OVER (ORDER BY freq DESC, term) + 1 AS INTEGER) AS id FROM wv0),
+toks AS (SELECT doc_id, {light_tok('text')} AS tok FROM c_splits),
+tpos AS (SELECT doc_id, unnest(tok) AS term, generate_subscripts(tok, 1) AS pos FROM toks)"""
+
+
+def _light_docs(spark, sf):
+    return chain(spark, sf).splits.select("doc_id", "split", tx.light_clean("text").alias("clean"))
+
+
+def _word_vocab(spark, sf):
+    train = _light_docs(spark, sf).filter(F.col("split") == TRAIN)
+    return fe.word_vocabulary(train)
+
+
+@query("word_vocabulary", o.with_(o.CORPUS, WV_SQL) + "SELECT term, freq, id FROM wv")
+def q_word_vocabulary(spark, sf):
+    return _word_vocab(spark, sf).select("term", "freq", "id")
+
+
+@query("encode_sequence", o.with_(o.CORPUS, WV_SQL, """
+ids AS (SELECT p.doc_id, list(coalesce(v.id, 1) ORDER BY p.pos) AS ids
+        FROM tpos p LEFT JOIN wv v ON p.term = v.term WHERE p.pos <= 128 GROUP BY p.doc_id)""") + """
+SELECT t.doc_id, array_to_string(list_concat(coalesce(i.ids, []),
+         list_transform(range(128 - len(coalesce(i.ids, []))), lambda x: 0)), ' ') AS ids
+FROM toks t LEFT JOIN ids i ON t.doc_id = i.doc_id""")
+def q_encode_sequence(spark, sf):
+    enc = fe.encode_sequences(_light_docs(spark, sf), _word_vocab(spark, sf), max_len=128)
+    return enc.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
+@query("token_id_lookup", o.with_(o.CORPUS, WV_SQL) + """
+SELECT t.doc_id, CAST(count(p.term) AS BIGINT) AS n_tokens,
+       CAST(count(p.term) - count(v.id) AS BIGINT) AS n_unknown
+FROM toks t LEFT JOIN tpos p ON t.doc_id = p.doc_id LEFT JOIN wv v ON p.term = v.term
+GROUP BY t.doc_id""")
+def q_token_id_lookup(spark, sf):
+    """Tokens looked up in the word vocabulary; misses map to the unknown id."""
+    docs = _light_docs(spark, sf)
+    toks = docs.select("doc_id", F.explode(tx.word_tokens("clean")).alias("term"))
+    vocab = _word_vocab(spark, sf).select("term", "id")
+    looked = toks.join(F.broadcast(vocab), "term", "left").withColumn(
+        "tid", F.coalesce("id", F.lit(fe.UNK_ID)))
+    per = looked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"),
+                                       F.sum(F.when(F.col("tid") == fe.UNK_ID, 1).otherwise(0))
+                                       .cast("bigint").alias("n_unknown"))
+    return (docs.select("doc_id").join(per, "doc_id", "left")
+                .select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+                        F.coalesce("n_unknown", F.lit(0)).cast("bigint").alias("n_unknown")))
+
+
+# ---------------------------------------------------------------- sampling --
+
+TRAIN_SQL = "tr AS (SELECT * FROM c_splits WHERE split = 'train')"
+
+
+@query("stratified_subsample", o.with_(o.CORPUS, TRAIN_SQL,
+                                       o.quota_ctes("tr", "s", "least(n, 100)")) + f"""
+SELECT r.doc_id, r.toxic FROM (
+  SELECT t.*, row_number() OVER (PARTITION BY t.toxic ORDER BY {o.hash_sql('t.doc_id', '42:sub')}, t.doc_id) AS rn
+  FROM tr t) r JOIN s_take s ON r.toxic = s.toxic WHERE r.rn <= s.take""")
+def q_stratified_subsample(spark, sf):
+    tr = chain(spark, sf).splits.filter(F.col("split") == TRAIN)
+    return sm.stratified_subsample(tr, 100).select("doc_id", "toxic")
+
+
+@query("stratified_folds", o.with_(o.CORPUS, TRAIN_SQL, """
+fc AS (SELECT toxic, count(*) AS cnt FROM tr GROUP BY toxic),
+fs AS (SELECT toxic, cnt, coalesce(sum(cnt) OVER (ORDER BY toxic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+       FROM fc),
+fa AS (SELECT toxic, floor((s + cnt - 0 + 2) / 3) - floor((s - 0 + 2) / 3) AS a0,
+              floor((s + cnt - 1 + 2) / 3) - floor((s - 1 + 2) / 3) AS a1 FROM fs)""") + f"""
+SELECT r.doc_id, r.toxic,
+       CAST((CASE WHEN r.rn - 1 >= a.a0 THEN 1 ELSE 0 END) + (CASE WHEN r.rn - 1 >= a.a0 + a.a1 THEN 1 ELSE 0 END) AS INTEGER) AS fold
+FROM (SELECT t.*, row_number() OVER (PARTITION BY t.toxic ORDER BY {o.hash_sql('t.doc_id')}, t.doc_id) AS rn
+      FROM tr t) r JOIN fa a ON r.toxic = a.toxic""")
+def q_stratified_folds(spark, sf):
+    tr = chain(spark, sf).splits.filter(F.col("split") == TRAIN)
+    return sm.stratified_folds(tr, 3).select("doc_id", "toxic", "fold")
+
+
+@query("sample_without_replacement", f"""
+SELECT doc_id, lang FROM (
+  SELECT doc_id, lang, row_number() OVER (ORDER BY {o.hash_sql('doc_id')}, doc_id) AS rn FROM documents)
+WHERE rn <= 600""")
+def q_sample_without_replacement(spark, sf):
+    docs = chain(spark, sf).table("documents").select("doc_id", "lang")
+    return sm.sample_rows(docs, 600, "doc_id")
+
+
+@query("first_n", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 512")
+def q_first_n(spark, sf):
+    return sm.first_n(chain(spark, sf).table("documents").select("doc_id", "lang"), 512, "doc_id")
+
+
+@query("label_slice", """
+SELECT d.doc_id, length(d.text) AS text_length
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang = 'en' AND l.toxic = 1""")
+def q_label_slice(spark, sf):
+    c = chain(spark, sf).comments
+    return c.filter((F.col("lang") == "en") & (F.col("toxic") == 1)).select(
+        "doc_id", tx.text_length("text").alias("text_length"))
