@@ -21,17 +21,22 @@ PAD_ID = 0
 UNK_ID = 1
 
 
-def term_postings(docs: DataFrame, clean_col: str = "clean", id_col: str = "doc_id",
+def _ids(id_col) -> list[str]:
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
+def term_postings(docs: DataFrame, clean_col: str = "clean", id_col: str | list[str] = "doc_id",
                   keep: list[str] | None = None) -> DataFrame:
-    """(id, term, tf) of uni+bigrams of aggressively cleaned text.
+    """(id..., term, tf) of uni+bigrams of aggressively cleaned text.
 
     Each document is one input row, so the partial aggregation before the
     shuffle already yields the final (doc, term) counts.
     """
     keep = list(keep or [])
-    terms = docs.select(id_col, *keep,
+    ids = _ids(id_col)
+    terms = docs.select(*ids, *keep,
                         F.explode(word_ngrams(clean_tokens(clean_col))).alias("term"))
-    return terms.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return terms.groupBy(*ids, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def top_terms(term_stats: DataFrame, k: int, count_col: str, min_count: int = 1) -> DataFrame:
@@ -85,7 +90,7 @@ def tfidf_fit(train_postings: DataFrame, n_train_docs: DataFrame,
     return idf_table(vocab.crossJoin(F.broadcast(n_train_docs)), F.col("n_docs")).drop("n_docs")
 
 
-def tfidf_transform(postings: DataFrame, idf: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def tfidf_transform(postings: DataFrame, idf: DataFrame, id_col: str | list[str] = "doc_id") -> DataFrame:
     """(id, term, idx, weight): sublinear tf x idf, L2-normalised per document.
 
     The vocabulary side is bounded by ``max_features`` rows, so it is
@@ -94,7 +99,7 @@ def tfidf_transform(postings: DataFrame, idf: DataFrame, id_col: str = "doc_id")
     """
     raw = (postings.join(F.broadcast(idf.select("term", "idx", "idf")), "term")
                    .withColumn("_raw", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")))
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(id_col)))
+    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*_ids(id_col))))
     return raw.withColumn("weight", F.col("_raw") / norm).drop("_raw", "idf")
 
 

@@ -49,18 +49,19 @@ def nb_fit(train_weights: DataFrame, train_labels: DataFrame, vocab: DataFrame,
 
 
 def nb_scores(weights: DataFrame, model: DataFrame, docs: DataFrame,
-              id_col: str = "doc_id") -> DataFrame:
+              id_col: str | list[str] = "doc_id") -> DataFrame:
     """docs + (score, y_prob): log-odds rounded to 8 digits and its sigmoid.
 
     ``docs`` decides which documents get a score; those without postings get
     the prior.  The score is rounded so that equal documents tie exactly
     whatever order the sums ran in.
     """
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     contrib = (weights.join(F.broadcast(model.select("term", "log_ratio")), "term")
-                      .groupBy(id_col)
+                      .groupBy(*ids)
                       .agg(F.sum(F.col("weight") * F.col("log_ratio")).alias("_dot")))
     prior = model.select("prior").limit(1)
-    scored = (docs.join(contrib, id_col, "left")
+    scored = (docs.join(contrib, ids, "left")
                   .crossJoin(F.broadcast(prior))
                   .withColumn("score", F.round(F.col("prior") + F.coalesce("_dot", F.lit(0.0)),
                                                SCORE_DIGITS))

@@ -216,3 +216,42 @@ def q_label_slice(spark, sf):
     c = chain(spark, sf).comments
     return c.filter((F.col("lang") == "en") & (F.col("toxic") == 1)).select(
         "doc_id", tx.text_length("text").alias("text_length"))
+
+
+# -------------------------------------------------------------- embeddings --
+
+EMB_LONG_SQL = """
+el AS (SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
+              unnest(embedding) AS x FROM embeddings),
+ef AS (SELECT vec_id, dim, CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 0.0 ELSE CAST(x AS DOUBLE) END AS value
+       FROM el)"""
+
+
+@query("finite_or_zero", o.with_(EMB_LONG_SQL) + "SELECT vec_id, dim, value FROM ef")
+def q_finite_or_zero(spark, sf):
+    from toxiscope.operators.embeddings import long_vectors
+    return long_vectors(chain(spark, sf).table("embeddings"), "vec_id", "embedding")
+
+
+@query("embedding_standardize", o.with_(EMB_LONG_SQL, """
+st AS (SELECT dim, avg(value) AS mean,
+              CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS scale FROM ef GROUP BY dim)""") + """
+SELECT e.vec_id, e.dim, round((e.value - s.mean) / s.scale, 6) AS z FROM ef e JOIN st s ON e.dim = s.dim""")
+def q_embedding_standardize(spark, sf):
+    from toxiscope.operators.embeddings import standardize_long
+    z = standardize_long(chain(spark, sf).table("embeddings"), "vec_id", "embedding")
+    return z.select("vec_id", "dim", F.round("z", 6).alias("z"))
+
+
+@query("embedding_pca")
+def q_embedding_pca(spark, sf):
+    """PCA scores (up to 50 components) of standardised embeddings; sign of
+    a component is arbitrary, so this is a rows-only check."""
+    from toxiscope.operators.embeddings import pca_project
+    return pca_project(chain(spark, sf).table("embeddings"), "vec_id", "embedding")
+
+
+@query("embedding_map_2d")
+def q_embedding_map_2d(spark, sf):
+    from toxiscope.operators.embeddings import embedding_map_2d
+    return embedding_map_2d(chain(spark, sf).table("embeddings"), "vec_id", "embedding", ["label"])
