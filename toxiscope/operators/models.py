@@ -20,3 +20,124 @@ def top_features(coefs: DataFrame, k: int = 30, digits: int = 4) -> DataFrame:
     return (up.filter(F.col("rank") <= k).select(F.lit("toxic").alias("direction"), *sel)
               .unionByName(down.filter(F.col("rank") <= k)
                            .select(F.lit("non_toxic").alias("direction"), *sel)))
+
+
+# ---------------------------------------------------------------------------
+# MLlib baselines
+# ---------------------------------------------------------------------------
+import time  # noqa: E402
+
+from pyspark.ml.classification import LinearSVC, LogisticRegression  # noqa: E402
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+from pyspark.ml.linalg import SparseVector, VectorUDT  # noqa: E402
+
+C = 1.0
+LR_MAX_ITER = 100
+SVM_MAX_ITER = 100
+
+
+@F.udf(returnType=VectorUDT())
+def _sparse(size, idx, val):
+    return SparseVector(size, idx or [], val or [])
+
+
+def sparse_vectors(weights: DataFrame, docs: DataFrame, size: int, id_col: str = "doc_id",
+                   out: str = "features") -> DataFrame:
+    """docs + ``out`` (SparseVector of width ``size``) from long postings.
+
+    Postings are grouped per document (clustered by ``id_col`` already), kept
+    in index order, and turned into a vector by one small UDF -- the only
+    place a Python row function runs; documents without postings get an
+    empty vector.
+    """
+    per = weights.groupBy(id_col).agg(
+        F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_p"))
+    j = docs.join(per, id_col, "left")
+    return j.withColumn(out, _sparse(F.lit(size), F.transform("_p", lambda s: s["idx"]),
+                                     F.transform("_p", lambda s: s["weight"]))).drop("_p")
+
+
+def reg_param(c: float, n: int) -> float:
+    """0.5 |w|^2 + C sum(loss)  ==  n C [ (1/n) sum(loss) + (1/(2 C n)) |w|^2 ]."""
+    return 1.0 / (c * max(n, 1))
+
+
+def lr_fit(train: DataFrame, n: int, c: float = C, label: str = "label"):
+    est = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg_param(c, n),
+                             elasticNetParam=0.0, standardization=False, fitIntercept=True,
+                             maxIter=LR_MAX_ITER, tol=1e-6)
+    t0 = time.perf_counter()
+    model = est.fit(train)
+    return model, time.perf_counter() - t0
+
+
+def positive_prob(model, df: DataFrame, out: str = "y_prob") -> DataFrame:
+    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop(
+        "rawPrediction", "probability", "prediction")
+
+
+def svm_fit(train: DataFrame, n: int, c: float = C, label: str = "label"):
+    est = LinearSVC(featuresCol="features", labelCol=label, regParam=reg_param(c, n),
+                    standardization=False, fitIntercept=True, maxIter=SVM_MAX_ITER, tol=1e-6)
+    return est.fit(train)
+
+
+def svm_margin(model, df: DataFrame, out: str = "margin") -> DataFrame:
+    return model.transform(df).withColumn(out, vector_to_array("rawPrediction")[1]).drop(
+        "rawPrediction", "prediction")
+
+
+def platt_fit(margins: DataFrame, label: str = "label", margin: str = "margin") -> tuple[float, float]:
+    """Sigmoid calibration p = 1 / (1 + exp(-(a m + b))) with Platt's
+    smoothed targets t+ = (N+ + 1)/(N+ + 2), t- = 1/(N- + 2).
+
+    A soft target is the same log-loss as two weighted rows (label 1 with
+    weight t, label 0 with weight 1 - t), so an unregularised weighted
+    MLlib logistic regression on the 1-D margin fits it exactly.
+    """
+    counts = margins.agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"),
+                         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q")).first()
+    n_pos, n_neg = float(counts["p"] or 0), float(counts["q"] or 0)
+    hi, lo = (n_pos + 1.0) / (n_pos + 2.0), 1.0 / (n_neg + 2.0)
+    t = F.when(F.col(label) == 1, F.lit(hi)).otherwise(F.lit(lo))
+    rows = margins.select(array_to_vector(F.array(F.col(margin))).alias("m"), t.alias("t"))
+    two = (rows.select("m", F.lit(1.0).alias("y"), F.col("t").alias("w"))
+               .unionByName(rows.select("m", F.lit(0.0).alias("y"), (F.lit(1.0) - F.col("t")).alias("w"))))
+    fit = LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0,
+                             standardization=False, fitIntercept=True, maxIter=100, tol=1e-10).fit(two)
+    return float(fit.coefficients[0]), float(fit.intercept)
+
+
+def calibrated_svm(train: DataFrame, score: DataFrame, n_folds: int = 3, c: float = C,
+                   label: str = "label", fold: str = "fold"):
+    """Average over folds of Platt-calibrated SVMs fitted on the other folds.
+
+    ``train`` carries a ``fold`` column (stratified folds); returns
+    (score + y_prob, fit seconds, list of (a, b) per fold).
+    """
+    t0 = time.perf_counter()
+    probs = []
+    platt = []
+    for i in range(n_folds):
+        fit_rows = train.filter(F.col(fold) != i)
+        held = train.filter(F.col(fold) == i)
+        model = svm_fit(fit_rows, fit_rows.count(), c, label)
+        a, b = platt_fit(svm_margin(model, held), label)
+        platt.append((a, b))
+        m = svm_margin(model, score, out=f"_m{i}")
+        probs.append((m, i, a, b))
+    elapsed = time.perf_counter() - t0
+    out = score
+    for m, i, a, b in probs:
+        out = out.join(m.select("doc_id", f"_m{i}"), "doc_id")
+    p = sum((F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col(f"_m{i}") + F.lit(b))))
+             for _, i, a, b in probs), F.lit(0.0)) / F.lit(float(n_folds))
+    return out.withColumn("y_prob", p).drop(*[f"_m{i}" for i in range(n_folds)]), elapsed, platt
+
+
+def coefficient_table(spark, vocab: DataFrame, coefs) -> DataFrame:
+    """(term, idx, coef) from a model's dense coefficient vector (its width
+    is the vocabulary size, bounded by max_features)."""
+    values = [(int(i), float(v)) for i, v in enumerate(coefs.toArray())]
+    cdf = spark.createDataFrame(values, "idx int, coef double")
+    return vocab.select("term", "idx").join(cdf, "idx")

@@ -1,0 +1,112 @@
+"""MLlib baselines on the shared TF-IDF features: logistic regression and
+calibrated linear SVM, plus the three-model comparison."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from toxiscope.operators import evaluation as ev
+from toxiscope.operators import models as md
+from toxiscope.operators.sampling import stratified_folds
+from toxiscope.plans.baselines import LR_NAME, SVM_NAME, TEST, TRAIN, VAL, Chain
+
+
+def vectors(c: Chain) -> DataFrame:
+    """(doc_id, split, lang, label, features) for all labelled documents; kept."""
+    def build():
+        docs = c.cleaned.select("doc_id", "split", "lang", F.col("toxic").cast("double").alias("label"))
+        size = c.idf.count()
+        return md.sparse_vectors(c.weights.select("doc_id", "idx", "weight"), docs, size)
+    return c._get("vectors", build, keep=True)
+
+
+ROWS_PER_PARTITION = 20_000
+
+
+def _train(c: Chain) -> DataFrame:
+    """Training vectors, in about one partition per 20k rows.
+
+    Every solver iteration is a ``treeAggregate`` job over these partitions:
+    many tiny partitions make the iterations scheduling-bound, too few large
+    ones make them spill; the count is taken from the (known) row count.
+    """
+    def build():
+        train = vectors(c).filter(F.col("split") == TRAIN)
+        n = train.count()
+        parts = max(1, -(-n // ROWS_PER_PARTITION))
+        return train.coalesce(parts).persist()
+    return c._get("train_vectors", build)
+
+
+def _held(c: Chain) -> DataFrame:
+    return vectors(c).filter(F.col("split").isin(TEST, VAL))
+
+
+def n_train(c: Chain) -> int:
+    return c._get("n_train_value", lambda: _train(c).count())
+
+
+def _fold_train(c: Chain) -> DataFrame:
+    def build():
+        t = _train(c).withColumn("toxic", F.col("label").cast("int"))
+        return stratified_folds(t, 3, label="toxic").drop("toxic").coalesce(
+            _train(c).rdd.getNumPartitions()).persist()
+    return c._get("fold_vectors", build)
+
+
+def lr_model(c: Chain):
+    return c._get("lr_model", lambda: md.lr_fit(_train(c), n_train(c)))
+
+
+def lr_predictions(c: Chain) -> DataFrame:
+    def build():
+        model, _ = lr_model(c)
+        p = md.positive_prob(model, _held(c))
+        return p.select(F.lit(LR_NAME).alias("model"), "split", "lang", "doc_id",
+                        F.col("label").cast("int").alias("y_true"),
+                        F.col("y_prob").alias("score"), "y_prob")
+    return c._get("lr_pred", build, keep=True)
+
+
+def lr_coefficients(c: Chain) -> DataFrame:
+    model, _ = lr_model(c)
+    return md.coefficient_table(c.spark, c.idf, model.coefficients)
+
+
+def svm_model(c: Chain):
+    """The SVM on all training rows (for its coefficients)."""
+    return c._get("svm_model", lambda: md.svm_fit(_train(c), n_train(c)))
+
+
+def svm_coefficients(c: Chain) -> DataFrame:
+    return md.coefficient_table(c.spark, c.idf, svm_model(c).coefficients)
+
+
+def svm_calibrated(c: Chain):
+    def build():
+        return md.calibrated_svm(_fold_train(c), _held(c))
+    return c._get("svm_cal", build)
+
+
+def svm_predictions(c: Chain) -> DataFrame:
+    def build():
+        scored, _, _ = svm_calibrated(c)
+        return scored.select(F.lit(SVM_NAME).alias("model"), "split", "lang", "doc_id",
+                             F.col("label").cast("int").alias("y_true"),
+                             F.col("y_prob").alias("score"), "y_prob")
+    return c._get("svm_pred", build, keep=True)
+
+
+def comparison(c: Chain) -> DataFrame:
+    """Metric rows for the three TF-IDF models on every split."""
+    preds = c.nb_predictions().unionByName(lr_predictions(c)).unionByName(svm_predictions(c))
+    return ev.evaluate_splits(preds)
+
+
+def fit_times(c: Chain) -> DataFrame:
+    """(model, train_time_s) -- wall seconds of each fit, 1 digit."""
+    _, lr_s = lr_model(c)
+    _, svm_s, _ = svm_calibrated(c)
+    rows = [(LR_NAME, round(lr_s, 1)), (SVM_NAME, round(svm_s, 1))]
+    return c.spark.createDataFrame(rows, "model string, train_time_s double")

@@ -255,3 +255,37 @@ def q_embedding_pca(spark, sf):
 def q_embedding_map_2d(spark, sf):
     from toxiscope.operators.embeddings import embedding_map_2d
     return embedding_map_2d(chain(spark, sf).table("embeddings"), "vec_id", "embedding", ["label"])
+
+
+# ------------------------------------------------------------ MLlib models --
+# Rows-only checks: the optimum of an iterative solver has no SQL form; the
+# pytest suite checks the optimality conditions instead.
+
+@query("lr_fit")
+def q_lr_fit(spark, sf):
+    from toxiscope.plans import mllib_baselines as mb
+    return mb.lr_coefficients(chain(spark, sf))
+
+
+@query("lr_predict")
+def q_lr_predict(spark, sf):
+    from toxiscope.plans import mllib_baselines as mb
+    return mb.lr_predictions(chain(spark, sf)).select("doc_id", "split", F.round("y_prob", 6).alias("y_prob"))
+
+
+@query("svm_fit")
+def q_svm_fit(spark, sf):
+    from toxiscope.plans import mllib_baselines as mb
+    return mb.svm_coefficients(chain(spark, sf))
+
+
+@query("svm_calibrate")
+def q_svm_calibrate(spark, sf):
+    from toxiscope.plans import mllib_baselines as mb
+    return mb.svm_predictions(chain(spark, sf)).select("doc_id", "split", F.round("y_prob", 6).alias("y_prob"))
+
+
+@query("model_comparison")
+def q_model_comparison(spark, sf):
+    from toxiscope.plans import mllib_baselines as mb
+    return mb.comparison(chain(spark, sf))
