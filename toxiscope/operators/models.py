@@ -32,8 +32,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
 from pyspark.ml.linalg import SparseVector, VectorUDT  # noqa: E402
 
 C = 1.0
-LR_MAX_ITER = 100
-SVM_MAX_ITER = 100
+LR_MAX_ITER = 1000
+SVM_MAX_ITER = 1000
 
 
 @F.udf(returnType=VectorUDT())
