@@ -30,9 +30,16 @@ from toxiscope.operators import naive_bayes as nb
 
 
 def score_texts(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFrame,
-                model: DataFrame) -> DataFrame:
-    """df keys + (score, y_prob) for any text table."""
-    docs = df.select(*key_cols, text_col)
+                model: DataFrame, partitions: int | None = None) -> DataFrame:
+    """df keys + (score, y_prob) for any text table.
+
+    The texts are hash-partitioned by key once; the postings aggregation,
+    the per-document norm window, the per-document score sum and the final
+    left join all require clustering by (a superset of) the key, so none of
+    them shuffles the postings, which are several times larger than the text.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = df.select(*key_cols, text_col).repartition(n, *key_cols)
     clean = docs.select(*key_cols, aggressive_clean(text_col).alias("clean"))
     post = fe.term_postings(clean, id_col=key_cols)
     w = fe.tfidf_transform(post, idf, id_col=key_cols)
