@@ -39,6 +39,21 @@ def term_postings(docs: DataFrame, clean_col: str = "clean", id_col: str | list[
     return terms.groupBy(*ids, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_stats(docs: DataFrame, clean_col: str = "clean") -> DataFrame:
+    """(term, tot, df) straight from per-document n-gram arrays.
+
+    ``tot`` counts every occurrence, ``df`` every document once
+    (``array_distinct`` inside the row).  Both are term-keyed partial
+    aggregates, so no (doc, term) posting is ever shuffled.
+    """
+    grams = docs.select(word_ngrams(clean_tokens(clean_col)).alias("_g"))
+    occ = grams.select(F.explode("_g").alias("term"), F.lit(1).alias("_o"), F.lit(0).alias("_d"))
+    dist = grams.select(F.explode(F.array_distinct("_g")).alias("term"), F.lit(0).alias("_o"),
+                        F.lit(1).alias("_d"))
+    return occ.unionByName(dist).groupBy("term").agg(
+        F.sum("_o").cast("bigint").alias("tot"), F.sum("_d").cast("bigint").alias("df"))
+
+
 def top_terms(term_stats: DataFrame, k: int, count_col: str, min_count: int = 1) -> DataFrame:
     """The ``k`` terms with the largest ``count_col`` (ties: term ascending).
 
@@ -59,10 +74,11 @@ def top_terms(term_stats: DataFrame, k: int, count_col: str, min_count: int = 1)
     return kept.orderBy(F.desc(count_col), F.asc("term")).limit(int(k))
 
 
-def feature_vocabulary(train_postings: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """(term, tot, df, idx): top terms by total corpus count; idx in term order."""
-    stats = train_postings.groupBy("term").agg(F.sum("tf").alias("tot"),
-                                                F.count(F.lit(1)).alias("df"))
+def feature_vocabulary(stats: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """(term, tot, df, idx): top terms by total corpus count; idx in term order.
+
+    ``stats`` is (term, tot, df) over the training documents (``term_stats``).
+    """
     vocab = top_terms(stats, max_features, "tot")
     # Bounded by max_features rows: a single-partition ordering is fine.
     return vocab.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
@@ -79,14 +95,14 @@ def idf_table(vocab: DataFrame, n_docs: Column) -> DataFrame:
         "idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
 
 
-def tfidf_fit(train_postings: DataFrame, n_train_docs: DataFrame,
+def tfidf_fit(train_stats: DataFrame, n_train_docs: DataFrame,
               max_features: int = MAX_FEATURES) -> DataFrame:
-    """(term, tot, df, idx, idf) fitted on the training postings only.
+    """(term, tot, df, idx, idf) fitted on the training documents only.
 
-    ``n_train_docs`` is a one-row DataFrame ``(n_docs)``: documents without
-    any term still count.
+    ``train_stats`` is (term, tot, df); ``n_train_docs`` is a one-row
+    DataFrame ``(n_docs)``: documents without any term still count.
     """
-    vocab = feature_vocabulary(train_postings, max_features)
+    vocab = feature_vocabulary(train_stats, max_features)
     return idf_table(vocab.crossJoin(F.broadcast(n_train_docs)), F.col("n_docs")).drop("n_docs")
 
 

@@ -59,22 +59,27 @@ class Chain:
     _memo: dict = field(default_factory=dict)
     _cached: list = field(default_factory=list)
 
-    def _get(self, key, build, keep: bool = False):
-        """Memoised DataFrame; ``keep`` materialises it once.
-
-        Kept tables are persisted (so the write below does not recompute
-        them) and written with a reliable ``checkpoint()`` into the shared
-        checkpoint folder: lineage is cut, plans of later queries stay small,
-        and an executor loss re-reads files instead of re-running the chain.
-        The hash partitioning by ``doc_id`` survives the checkpoint.
+    def _get(self, key, build, keep: str | None = None):
+        """Memoised DataFrame, optionally materialised once.
+
+        ``keep="persist"`` -- doc-keyed tables (cleaned texts, weights): the
+        cached relation keeps its ``doc_id`` hash partitioning, so postings,
+        norms and score sums downstream run without a shuffle; lost blocks
+        are recomputed from a short lineage (scan -> split -> clean).
+        ``keep="checkpoint"`` -- term-keyed and result tables (vocabulary,
+        model, predictions, metrics): persisted, then written with a
+        reliable ``checkpoint()`` to the shared checkpoint folder, which cuts
+        their lineage and keeps the plans of later queries small.
         """
         if key not in self._memo:
             df = build()
             if keep:
-                checkpoint_dir(self.spark)
                 cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-                df = cached.checkpoint(eager=True)
                 self._cached.append(cached)
+                df = cached
+                if keep == "checkpoint":
+                    checkpoint_dir(self.spark)
+                    df = cached.checkpoint(eager=True)
             self._memo[key] = df
         return self._memo[key]
 
@@ -98,18 +103,24 @@ class Chain:
 
     @property
     def cleaned(self) -> DataFrame:
-        """(doc_id, split, lang, toxic, clean), clustered by doc_id."""
+        """(doc_id, split, lang, toxic, clean): cleaned once, kept."""
         def build():
-            df = self.splits.select("doc_id", "split", "lang", "toxic",
-                                    aggressive_clean("text").alias("clean"))
-            n = self.partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            return df.repartition(n, "doc_id")
-        return self._get("cleaned", build, keep=True)
+            return self.splits.select("doc_id", "split", "lang", "toxic",
+                                      aggressive_clean("text").alias("clean"))
+        return self._get("cleaned", build, keep="persist")
 
     # -- features ------------------------------------------------------------
     @property
     def postings(self) -> DataFrame:
-        return self._get("postings", lambda: fe.term_postings(self.cleaned, keep=["split"]), keep=True)
+        """(doc_id, split, term, tf).  The texts are hash-partitioned by
+        ``doc_id`` first (one shuffle of text, several times smaller than the
+        postings); the posting aggregation and the per-document norm window
+        of ``weights`` then need no exchange."""
+        def build():
+            n = self.partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            docs = self.cleaned.select("doc_id", "split", "clean").repartition(n, "doc_id")
+            return fe.term_postings(docs, keep=["split"])
+        return self._get("postings", build)
 
     @property
     def n_train(self) -> DataFrame:
@@ -119,13 +130,14 @@ class Chain:
     @property
     def idf(self) -> DataFrame:
         def build():
-            train = self.postings.filter(F.col("split") == TRAIN)
-            return fe.tfidf_fit(train, self.n_train)
-        return self._get("idf", build, keep=True)
+            train = self.cleaned.filter(F.col("split") == TRAIN)
+            return fe.tfidf_fit(fe.term_stats(train), self.n_train)
+        return self._get("idf", build, keep="checkpoint")
 
     @property
     def weights(self) -> DataFrame:
-        return self._get("weights", lambda: fe.tfidf_transform(self.postings, self.idf), keep=True)
+        return self._get("weights", lambda: fe.tfidf_transform(self.postings, self.idf),
+                         keep="checkpoint")
 
     # -- Naive Bayes -----------------------------------------------------------
     def nb_model(self, alpha: float = nb.ALPHA) -> DataFrame:
@@ -133,7 +145,7 @@ class Chain:
             train_w = self.weights.filter(F.col("split") == TRAIN)
             train_y = self.cleaned.filter(F.col("split") == TRAIN).select("doc_id", "toxic")
             return nb.nb_fit(train_w, train_y, self.idf, alpha)
-        return self._get(("nb", alpha), build, keep=True)
+        return self._get(("nb", alpha), build, keep="checkpoint")
 
     def nb_predictions(self, alpha: float = nb.ALPHA, splits=(TEST, VAL)) -> DataFrame:
         """(model, split, lang, doc_id, y_true, score, y_prob)."""
@@ -144,13 +156,14 @@ class Chain:
             scored = nb.nb_scores(w, self.nb_model(alpha), docs)
             return scored.select(F.lit(nb_name(alpha)).alias("model"), "split", "lang", "doc_id",
                                  "y_true", "score", "y_prob")
-        return self._get(("nb_pred", alpha, tuple(splits)), build, keep=True)
+        return self._get(("nb_pred", alpha, tuple(splits)), build, keep="checkpoint")
 
     def nb_metrics(self, alpha: float = nb.ALPHA, threshold: float = 0.5) -> DataFrame:
         """Metric rows (models x splits: a handful) -- kept for the many
         queries that read them."""
         return self._get(("nb_metrics", alpha, threshold),
-                         lambda: ev.evaluate_splits(self.nb_predictions(alpha), threshold), keep=True)
+                         lambda: ev.evaluate_splits(self.nb_predictions(alpha), threshold),
+                         keep="checkpoint")
 
 
 _CHAINS: dict = {}

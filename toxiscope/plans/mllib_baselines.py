@@ -18,7 +18,7 @@ def vectors(c: Chain) -> DataFrame:
         docs = c.cleaned.select("doc_id", "split", "lang", F.col("toxic").cast("double").alias("label"))
         size = c.idf.count()
         return md.sparse_vectors(c.weights.select("doc_id", "idx", "weight"), docs, size)
-    return c._get("vectors", build, keep=True)
+    return c._get("vectors", build, keep="checkpoint")
 
 
 ROWS_PER_PARTITION = 20_000
@@ -66,7 +66,7 @@ def lr_predictions(c: Chain) -> DataFrame:
         return p.select(F.lit(LR_NAME).alias("model"), "split", "lang", "doc_id",
                         F.col("label").cast("int").alias("y_true"),
                         F.col("y_prob").alias("score"), "y_prob")
-    return c._get("lr_pred", build, keep=True)
+    return c._get("lr_pred", build, keep="checkpoint")
 
 
 def lr_coefficients(c: Chain) -> DataFrame:
@@ -95,7 +95,7 @@ def svm_predictions(c: Chain) -> DataFrame:
         return scored.select(F.lit(SVM_NAME).alias("model"), "split", "lang", "doc_id",
                              F.col("label").cast("int").alias("y_true"),
                              F.col("y_prob").alias("score"), "y_prob")
-    return c._get("svm_pred", build, keep=True)
+    return c._get("svm_pred", build, keep="checkpoint")
 
 
 def comparison(c: Chain) -> DataFrame:

@@ -34,7 +34,8 @@ def q_feature_vocabulary(spark, sf):
 @query("document_frequency", o.with_(*BASE) + """
 SELECT term, count(*) AS df FROM c_post WHERE split = 'train' GROUP BY term""")
 def q_document_frequency(spark, sf):
-    return fe.document_frequency(chain(spark, sf).postings.filter(F.col("split") == TRAIN))
+    train = chain(spark, sf).cleaned.filter(F.col("split") == TRAIN)
+    return fe.term_stats(train).select("term", "df")
 
 
 @query("tfidf_transform", o.with_(*BASE) + """
