@@ -34,6 +34,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT  # noqa: E402
 C = 1.0
 LR_MAX_ITER = 1000
 SVM_MAX_ITER = 1000
+SVM_TOL = 1e-4   # the reference's default tolerance for its linear SVM
 
 
 @F.udf(returnType=VectorUDT())
@@ -78,7 +79,7 @@ def positive_prob(model, df: DataFrame, out: str = "y_prob") -> DataFrame:
 
 def svm_fit(train: DataFrame, n: int, c: float = C, label: str = "label"):
     est = LinearSVC(featuresCol="features", labelCol=label, regParam=reg_param(c, n),
-                    standardization=False, fitIntercept=True, maxIter=SVM_MAX_ITER, tol=1e-6)
+                    standardization=False, fitIntercept=True, maxIter=SVM_MAX_ITER, tol=SVM_TOL)
     return est.fit(train)
 
 

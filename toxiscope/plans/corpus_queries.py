@@ -9,7 +9,7 @@ from toxiscope.operators import profile as pr
 from toxiscope.plans import oracle as o
 from toxiscope.plans.baselines import TEST, TRAIN, VAL, chain
 from toxiscope.plans.catalog import query
-from toxiscope.sources.tables import label_join, read_comments, read_table
+from toxiscope.sources.tables import label_join, read_comments, read_table, spread
 
 
 # ---------------------------------------------------------------- sources --
@@ -40,9 +40,9 @@ def q_stratified_split(spark, sf):
 
 def _texts(spark, sf):
     """Every text of the corpus: documents and raw web pages (URLs, markup)."""
-    d = read_table(spark, sf, "documents").select(
+    d = spread(read_table(spark, sf, "documents"), "doc_id").select(
         F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
-    p = read_table(spark, sf, "pages").select(
+    p = spread(read_table(spark, sf, "pages"), "page_id").select(
         F.lit("pages").alias("tbl"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     return d.unionByName(p)
 
@@ -112,7 +112,7 @@ SELECT doc_id, len(tok) AS n_tokens, array_to_string(tok, ' ') AS tokens
 FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN_RE}') AS tok FROM documents)""")
 def q_word_tokens(spark, sf):
     tok = tx.word_tokens("text")
-    return read_table(spark, sf, "documents").select(
+    return spread(read_table(spark, sf, "documents"), "doc_id").select(
         "doc_id", F.size(tok).alias("n_tokens"), F.array_join(tok, " ").alias("tokens"))
 
 
@@ -122,7 +122,7 @@ FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '
                                  lambda x: length(x) >= 2) AS tok FROM documents)""")
 def q_vector_tokens(spark, sf):
     tok = tx.vector_tokens("text")
-    return read_table(spark, sf, "documents").select(
+    return spread(read_table(spark, sf, "documents"), "doc_id").select(
         "doc_id", F.size(tok).alias("n_tokens"), F.array_join(tok, " ").alias("tokens"))
 
 

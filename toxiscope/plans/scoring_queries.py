@@ -8,6 +8,7 @@ from toxiscope.functions import text as tx
 from toxiscope.plans import oracle as o
 from toxiscope.plans.baselines import chain
 from toxiscope.plans.catalog import query
+from toxiscope.sources.tables import spread
 from toxiscope.streaming.scoring import nb_batch_scorer, score_comments, score_with_udf
 
 KEYS = ["tbl", "id", "turn"]
@@ -74,5 +75,5 @@ def q_score_batch(spark, sf):
     a ``texts -> probabilities`` callable built once per worker)."""
     c = chain(spark, sf)
     fn = nb_batch_scorer(c.idf, c.nb_model())
-    docs = c.table("documents").select("doc_id", "text")
+    docs = spread(c.table("documents"), "doc_id").select("doc_id", "text")
     return score_with_udf(docs, "text", fn).select("doc_id", F.round("y_prob", 6).alias("y_prob"))

@@ -23,6 +23,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan by ``key`` when it comes from fewer files than
+    there are cores.
+
+    A small file with one row group is read by one task, which would then run
+    every regex and explode alone.  Inputs of many files (the large-scale
+    case) are already spread by the scan and are left untouched.
+    """
+    sc = df.sparkSession.sparkContext
+    try:
+        files = len(df.inputFiles())
+    except Exception:  # noqa: BLE001 - not a file relation
+        return df
+    if files >= sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism, key)
+
+
 def label_join(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts and labels aligned by key (the reference aligns by position).
 
@@ -34,7 +52,7 @@ def label_join(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def labelled_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, lang, source, n_chars, quality, toxic) for labelled rows."""
-    return label_join(read_table(spark, sf_dir, "documents"),
+    return label_join(spread(read_table(spark, sf_dir, "documents"), "doc_id"),
                       read_table(spark, sf_dir, "labels"))
 
 
