@@ -90,3 +90,24 @@ def test_confusion_sum_and_rates(spark):
     p = c.tp / (c.tp + c.fp) if c.tp + c.fp else 0.0
     r = c.tp / (c.tp + c.fn) if c.tp + c.fn else 0.0
     assert abs(m.precision - p) < 1e-4 and abs(m.recall - r) < 1e-4
+
+
+def _sk_roc_drop(rows):
+    """Distinct-threshold ROC with the collinear-point rule (plain Python)."""
+    scores = sorted({s for s, _ in rows}, reverse=True)
+    fps = [sum(1 for x, y in rows if x >= s and y == 0) for s in scores]
+    tps = [sum(1 for x, y in rows if x >= s and y == 1) for s in scores]
+    keep = [0] + [i for i in range(1, len(scores) - 1)
+                  if fps[i - 1] - 2 * fps[i] + fps[i + 1] != 0 or tps[i - 1] - 2 * tps[i] + tps[i + 1] != 0] \
+        + [len(scores) - 1]
+    return sorted((scores[i], tps[i], fps[i]) for i in keep)
+
+
+def test_roc_drop_intermediate_matches_rule(spark):
+    rnd = random.Random(5)
+    rows = [(round(rnd.random(), 2), int(rnd.random() < 0.35)) for _ in range(400)]
+    got = ev.roc_curve(_df(spark, rows), ["grp"], drop_intermediate=True).collect()
+    pts = sorted((r.threshold, r.tps, r.fps) for r in got if r.threshold != float("inf"))
+    assert pts == _sk_roc_drop(rows)
+    full = ev.roc_curve(_df(spark, rows), ["grp"]).collect()
+    assert len(full) == len({s for s, _ in rows}) + 1 > len(got)

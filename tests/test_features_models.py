@@ -85,3 +85,12 @@ def test_calibrated_svm_probabilities(small_chain):
     cmp = mb.comparison(small_chain).collect()
     assert {r.model for r in cmp} == {"TF-IDF + Naive Bayes", "TF-IDF + Logistic Regression",
                                       "TF-IDF + SVM"}
+
+
+def test_fit_times_and_throughput(small_chain):
+    from toxiscope.streaming.scoring import scoring_throughput
+    ft = {r.model: r.train_time_s for r in mb.fit_times(small_chain).collect()}
+    assert set(ft) == {"TF-IDF + Logistic Regression", "TF-IDF + SVM"} and all(v >= 0 for v in ft.values())
+    val = small_chain.splits.filter(F.col("split") == "Multilingual Val")
+    ms = scoring_throughput(val, "doc_id", "text", small_chain.idf, small_chain.nb_model())
+    assert ms > 0

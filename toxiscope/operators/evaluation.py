@@ -171,17 +171,37 @@ def _desc_cumulative(preds: DataFrame, group_cols: list[str], score: str) -> Dat
 
 
 def roc_curve(preds: DataFrame, group_cols: list[str], score: str = "score",
-              digits: int = DIGITS) -> DataFrame:
+              digits: int = DIGITS, drop_intermediate: bool = False) -> DataFrame:
     """(group..., threshold, tps, fps, tpr, fpr) per distinct score plus the
-    (0, 0) start with threshold +inf; groups with one class are skipped."""
+    (0, 0) start with threshold +inf; groups with one class are skipped.
+
+    ``drop_intermediate`` drops points collinear with both neighbours (second
+    difference of fps and tps zero), keeping the first and last distinct
+    score.  Neighbours are found by position (a running count), through two
+    equi-joins on (group, position) -- no single-task window.
+    """
     g = list(group_cols)
-    cum = _desc_cumulative(preds, g, score).filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
+    counts = score_counts(preds, g, score).withColumn("_one", F.lit(1)).withColumn("_desc", -F.col(score))
+    cum = prefix_sums(counts, g, "_desc", ["pos", "neg", "_one"]).drop("_desc")
+    totals = counts.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+                                    F.sum("_one").alias("_npts"))
+    cum = (cum.join(totals, g) if g else cum.crossJoin(totals)).filter(
+        (F.col("n_pos") > 0) & (F.col("n_neg") > 0))
     pts = cum.select(*g, F.col(score).alias("threshold"), F.col("cum_pos").alias("tps"),
-                     F.col("cum_neg").alias("fps"), "n_pos", "n_neg")
-    start = (cum.select(*g, "n_pos", "n_neg").distinct()
+                     F.col("cum_neg").alias("fps"), F.col("cum__one").alias("_i"), "_npts",
+                     "n_pos", "n_neg")
+    if drop_intermediate:
+        nxt = pts.select(*g, (F.col("_i") - 1).alias("_i"), F.col("tps").alias("_tn"), F.col("fps").alias("_fn"))
+        prv = pts.select(*g, (F.col("_i") + 1).alias("_i"), F.col("tps").alias("_tp"), F.col("fps").alias("_fp"))
+        j = pts.join(nxt, g + ["_i"], "left").join(prv, g + ["_i"], "left")
+        bend = ((F.col("_fp") - F.lit(2) * F.col("fps") + F.col("_fn")) != 0) | \
+               ((F.col("_tp") - F.lit(2) * F.col("tps") + F.col("_tn")) != 0)
+        keep = (F.col("_i") == 1) | (F.col("_i") == F.col("_npts")) | bend
+        pts = j.filter(keep).select(*pts.columns)
+    start = (pts.select(*g, "n_pos", "n_neg").distinct()
                 .select(*g, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("tps"),
                         F.lit(0).cast("bigint").alias("fps"), "n_pos", "n_neg"))
-    allp = pts.unionByName(start)
+    allp = pts.drop("_i", "_npts").unionByName(start)
     return allp.select(*g, "threshold", "tps", "fps",
                        ratio_round("tps", "n_pos", digits).alias("tpr"),
                        ratio_round("fps", "n_neg", digits).alias("fpr"))
