@@ -117,8 +117,11 @@ class Chain:
         postings); the posting aggregation and the per-document norm window
         of ``weights`` then need no exchange."""
         def build():
-            n = self.partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            docs = self.cleaned.select("doc_id", "split", "clean").repartition(n, "doc_id")
+            docs = self.cleaned.select("doc_id", "split", "clean")
+            # Without an explicit count AQE sizes (coalesces) the partitions
+            # from the data; the hash clustering on doc_id is kept.
+            docs = (docs.repartition(self.partitions, "doc_id") if self.partitions
+                    else docs.repartition("doc_id"))
             return fe.term_postings(docs, keep=["split"])
         return self._get("postings", build)
 

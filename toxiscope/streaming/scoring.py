@@ -38,8 +38,8 @@ def score_texts(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFram
     left join all require clustering by (a superset of) the key, so none of
     them shuffles the postings, which are several times larger than the text.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(*key_cols, text_col).repartition(n, *key_cols)
+    docs = df.select(*key_cols, text_col)
+    docs = docs.repartition(partitions, *key_cols) if partitions else docs.repartition(*key_cols)
     clean = docs.select(*key_cols, aggressive_clean(text_col).alias("clean"))
     post = fe.term_postings(clean, id_col=key_cols)
     w = fe.tfidf_transform(post, idf, id_col=key_cols)
