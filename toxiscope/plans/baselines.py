@@ -99,7 +99,7 @@ class Chain:
 
     @property
     def splits(self) -> DataFrame:
-        return self._get("splits", lambda: split_corpus(self.comments))
+        return self._get("splits", lambda: split_corpus(self.comments), keep="checkpoint")
 
     @property
     def cleaned(self) -> DataFrame:
@@ -109,6 +109,14 @@ class Chain:
                                       aggressive_clean("text").alias("clean"))
         return self._get("cleaned", build, keep="persist")
 
+    @property
+    def light(self) -> DataFrame:
+        """(doc_id, split, clean): light-cleaned texts for the sequence-model
+        inputs (word vocabulary, encodings)."""
+        from toxiscope.functions.text import light_clean
+        return self._get("light", lambda: self.splits.select(
+            "doc_id", "split", light_clean("text").alias("clean")), keep="persist")
+
     # -- features ------------------------------------------------------------
     @property
     def postings(self) -> DataFrame:

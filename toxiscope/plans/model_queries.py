@@ -122,7 +122,7 @@ tpos AS (SELECT doc_id, unnest(tok) AS term, generate_subscripts(tok, 1) AS pos
 
 
 def _light_docs(spark, sf):
-    return chain(spark, sf).splits.select("doc_id", "split", tx.light_clean("text").alias("clean"))
+    return chain(spark, sf).light
 
 
 def _word_vocab(spark, sf):
