@@ -76,9 +76,9 @@ _TOKEN_RE = tx.WORD_CHAR + "+"
 v AS (SELECT 'aggressive' AS cleaner, lang, {o.aggressive_sql('text')} AS clean FROM c_comments
       UNION ALL SELECT 'light' AS cleaner, lang, {o.light_sql('text')} AS clean FROM c_comments
       UNION ALL SELECT 'none' AS cleaner, lang, coalesce(text, '') AS clean FROM c_comments)""") + f"""
-SELECT cleaner, lang, count(*) AS n_docs, sum(length(clean)) AS n_chars,
-       sum(CASE WHEN clean = '' THEN 1 ELSE 0 END) AS n_empty,
-       sum(len(regexp_extract_all(lower(clean), '{_TOKEN_RE}'))) AS n_tokens
+SELECT cleaner, lang, count(*) AS n_docs, CAST(sum(length(clean)) AS BIGINT) AS n_chars,
+       CAST(sum(CASE WHEN clean = '' THEN 1 ELSE 0 END) AS BIGINT) AS n_empty,
+       CAST(sum(len(regexp_extract_all(lower(clean), '{_TOKEN_RE}'))) AS BIGINT) AS n_tokens
 FROM v GROUP BY cleaner, lang""")
 def q_cleaning_ablation(spark, sf):
     """The same labelled corpus under each cleaner, side by side per language."""
@@ -94,21 +94,21 @@ def q_cleaning_ablation(spark, sf):
 
 
 @query("text_length", """
-SELECT doc_id, length(text) AS text_length, n_chars FROM documents""")
+SELECT doc_id, CAST(length(text) AS INTEGER) AS text_length, n_chars FROM documents""")
 def q_text_length(spark, sf):
     return read_table(spark, sf, "documents").select(
         "doc_id", tx.text_length("text").alias("text_length"), "n_chars")
 
 
 @query("clip_length", """
-SELECT doc_id, least(length(text), 2000) AS clipped_length FROM documents""")
+SELECT doc_id, CAST(least(length(text), 2000) AS INTEGER) AS clipped_length FROM documents""")
 def q_clip_length(spark, sf):
     return read_table(spark, sf, "documents").select(
         "doc_id", tx.clip_length(tx.text_length("text")).alias("clipped_length"))
 
 
 @query("word_tokens", f"""
-SELECT doc_id, len(tok) AS n_tokens, array_to_string(tok, ' ') AS tokens
+SELECT doc_id, CAST(len(tok) AS INTEGER) AS n_tokens, array_to_string(tok, ' ') AS tokens
 FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN_RE}') AS tok FROM documents)""")
 def q_word_tokens(spark, sf):
     tok = tx.word_tokens("text")
@@ -117,7 +117,7 @@ def q_word_tokens(spark, sf):
 
 
 @query("vector_tokens", f"""
-SELECT doc_id, len(tok) AS n_tokens, array_to_string(tok, ' ') AS tokens
+SELECT doc_id, CAST(len(tok) AS INTEGER) AS n_tokens, array_to_string(tok, ' ') AS tokens
 FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{_TOKEN_RE}'),
                                  lambda x: length(x) >= 2) AS tok FROM documents)""")
 def q_vector_tokens(spark, sf):
@@ -129,7 +129,7 @@ def q_vector_tokens(spark, sf):
 @query("word_ngrams", o.with_(o.CORPUS, """
 g AS (SELECT doc_id, tok, list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]) AS bi
       FROM (SELECT doc_id, list_filter(string_split(clean, ' '), lambda x: length(x) >= 2) AS tok FROM c_clean))""") + """
-SELECT doc_id, len(tok) AS n_unigrams, len(bi) AS n_bigrams, array_to_string(list_concat(tok, bi), '|') AS ngrams
+SELECT doc_id, CAST(len(tok) AS INTEGER) AS n_unigrams, CAST(len(bi) AS INTEGER) AS n_bigrams, array_to_string(list_concat(tok, bi), '|') AS ngrams
 FROM g""")
 def q_word_ngrams(spark, sf):
     c = chain(spark, sf).cleaned
@@ -226,7 +226,7 @@ b2 AS (SELECT *, CASE WHEN v < {edge('i1').replace('r.', '')} THEN i1 - 1 ELSE i
 b3 AS (SELECT *, CASE WHEN v >= {edge('(i2 + 1)').replace('r.', '')} AND i2 <> {bins - 1} THEN i2 + 1 ELSE i2 END AS bin FROM b2),
 cnt AS (SELECT {g}bin, count(*) AS n FROM b3 GROUP BY {g}bin),
 frame AS (SELECT r.*, unnest(range(0, {bins})) AS bin FROM r2 r)
-SELECT {('f.' + group + ', ') if group else ''}f.bin, round({edge('f.bin').replace('r.', 'f.')}, 4) AS lo,
+SELECT {('f.' + group + ', ') if group else ''}CAST(f.bin AS INTEGER) AS bin, round({edge('f.bin').replace('r.', 'f.')}, 4) AS lo,
        round({edge('(f.bin + 1)').replace('r.', 'f.')}, 4) AS hi, coalesce(c.n, 0) AS n
 FROM frame f LEFT JOIN cnt c ON f.bin = c.bin {('AND f.' + group + ' = c.' + group) if group else ''}"""
 

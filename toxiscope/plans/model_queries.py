@@ -211,7 +211,7 @@ def q_first_n(spark, sf):
 
 
 @query("label_slice", """
-SELECT d.doc_id, length(d.text) AS text_length
+SELECT d.doc_id, CAST(length(d.text) AS INTEGER) AS text_length
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.lang = 'en' AND l.toxic = 1""")
 def q_label_slice(spark, sf):
     c = chain(spark, sf).comments

@@ -87,7 +87,7 @@ c_terms AS (SELECT doc_id, split,
             FROM c_tok),
 c_post AS (SELECT doc_id, split, term, count(*) AS tf FROM c_terms GROUP BY doc_id, split, term),
 c_ntrain AS (SELECT count(*) AS n_docs FROM c_clean WHERE split = 'train'),
-c_vocab AS (SELECT term, sum(tf) AS tot, count(*) AS df FROM c_post WHERE split = 'train'
+c_vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS tot, count(*) AS df FROM c_post WHERE split = 'train'
             GROUP BY term ORDER BY tot DESC, term LIMIT 50000),
 c_idf AS (SELECT v.term, v.tot, v.df, CAST(row_number() OVER (ORDER BY v.term) - 1 AS INTEGER) AS idx,
                  ln((CAST(n.n_docs AS DOUBLE) + 1.0) / (CAST(v.df AS DOUBLE) + 1.0)) + 1.0 AS idf
