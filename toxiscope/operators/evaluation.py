@@ -162,12 +162,14 @@ def classification_metrics(preds: DataFrame, group_cols: list[str],
 # Curves
 # ---------------------------------------------------------------------------
 
-def _desc_cumulative(preds: DataFrame, group_cols: list[str], score: str) -> DataFrame:
+def _desc_cumulative(preds: DataFrame, group_cols: list[str], score: str,
+                     with_totals: bool = False):
     g = list(group_cols)
     counts = score_counts(preds, g, score).withColumn("_desc", -F.col(score))
     cum = prefix_sums(counts, g, "_desc", ["pos", "neg"]).drop("_desc")
     totals = counts.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return cum.join(totals, g) if g else cum.crossJoin(totals)
+    out = cum.join(totals, g) if g else cum.crossJoin(totals)
+    return (out, totals) if with_totals else out
 
 
 def roc_curve(preds: DataFrame, group_cols: list[str], score: str = "score",
@@ -198,9 +200,10 @@ def roc_curve(preds: DataFrame, group_cols: list[str], score: str = "score",
                ((F.col("_tp") - F.lit(2) * F.col("tps") + F.col("_tn")) != 0)
         keep = (F.col("_i") == 1) | (F.col("_i") == F.col("_npts")) | bend
         pts = j.filter(keep).select(*pts.columns)
-    start = (pts.select(*g, "n_pos", "n_neg").distinct()
-                .select(*g, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("tps"),
-                        F.lit(0).cast("bigint").alias("fps"), "n_pos", "n_neg"))
+    # One start point per group, from the per-group totals (not from the curve).
+    start = (totals.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
+                   .select(*g, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("tps"),
+                           F.lit(0).cast("bigint").alias("fps"), "n_pos", "n_neg"))
     allp = pts.drop("_i", "_npts").unionByName(start)
     return allp.select(*g, "threshold", "tps", "fps",
                        ratio_round("tps", "n_pos", digits).alias("tpr"),
@@ -212,13 +215,15 @@ def pr_curve(preds: DataFrame, group_cols: list[str], score: str = "score",
     """(group..., threshold, tps, fps, precision, recall) per distinct score,
     plus the end point precision 1, recall 0 (threshold NULL)."""
     g = list(group_cols)
-    cum = _desc_cumulative(preds, g, score).filter(F.col("n_pos") > 0)
+    cum, totals = _desc_cumulative(preds, g, score, with_totals=True)
+    cum = cum.filter(F.col("n_pos") > 0)
     pts = cum.select(*g, F.col(score).alias("threshold"), F.col("cum_pos").alias("tps"),
                      F.col("cum_neg").alias("fps"),
                      ratio_round(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"), digits)
                      .alias("precision"),
                      ratio_round(F.col("cum_pos"), F.col("n_pos"), digits).alias("recall"))
-    end = (cum.select(*g).distinct()
+    # One end point per group, from the per-group totals (not from the curve).
+    end = (totals.filter(F.col("n_pos") > 0)
               .select(*g, F.lit(None).cast("double").alias("threshold"),
                       F.lit(None).cast("bigint").alias("tps"), F.lit(None).cast("bigint").alias("fps"),
                       F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
