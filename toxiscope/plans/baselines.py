@@ -16,6 +16,8 @@ and bounded by the vocabulary size before anything is broadcast.
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -58,31 +60,38 @@ class Chain:
     partitions: int | None = None
     _memo: dict = field(default_factory=dict)
     _cached: list = field(default_factory=list)
+    _run_dir: str | None = None
 
     def _get(self, key, build, keep: str | None = None):
         """Memoised DataFrame, optionally materialised once.
 
-        ``keep="persist"`` -- doc-keyed tables (cleaned texts, weights): the
-        cached relation keeps its ``doc_id`` hash partitioning, so postings,
-        norms and score sums downstream run without a shuffle; lost blocks
-        are recomputed from a short lineage (scan -> split -> clean).
-        ``keep="checkpoint"`` -- term-keyed and result tables (vocabulary,
-        model, predictions, metrics): persisted, then written with a
-        reliable ``checkpoint()`` to the shared checkpoint folder, which cuts
-        their lineage and keeps the plans of later queries small.
+        ``keep="persist"`` -- cached (memory, spilling to disk); lost blocks
+        are recomputed from a short lineage.
+        ``keep="checkpoint"`` -- written as a parquet table under the shared
+        folder named by ``spark.checkpoint.dir`` and read back: lineage is
+        cut, plans of later queries stay small, an executor loss re-reads
+        files instead of re-running the chain, and later scans prune columns.
+        One write job per table.
         """
         if key not in self._memo:
             df = build()
-            if keep:
-                cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-                self._cached.append(cached)
-                df = cached
-                if keep == "checkpoint":
-                    checkpoint_dir(self.spark)
-                    df = cached.checkpoint(eager=True)
+            if keep == "persist":
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+                self._cached.append(df)
+            elif keep == "checkpoint":
+                path = self._table_path(key)
+                df.write.mode("overwrite").parquet(path)
+                df = self.spark.read.parquet(path)
             self._memo[key] = df
         return self._memo[key]
 
+    def _table_path(self, key) -> str:
+        if self._run_dir is None:
+            base = checkpoint_dir(self.spark).rstrip("/")
+            self._run_dir = f"{base}/toxiscope-{uuid.uuid4().hex}"
+        name = "_".join(str(k) for k in (key if isinstance(key, tuple) else (key,)))
+        return f"{self._run_dir}/{re.sub('[^A-Za-z0-9_.-]+', '_', name)}"
+
     def release(self) -> None:
         for df in self._cached:
             df.unpersist()
