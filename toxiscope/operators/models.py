@@ -117,16 +117,21 @@ def calibrated_svm(train: DataFrame, score: DataFrame, n_folds: int = 3, c: floa
     (score + y_prob, fit seconds, list of (a, b) per fold).
     """
     t0 = time.perf_counter()
-    probs = []
-    platt = []
-    for i in range(n_folds):
+
+    def fit_fold(i: int):
         fit_rows = train.filter(F.col(fold) != i)
         held = train.filter(F.col(fold) == i)
         model = svm_fit(fit_rows, fit_rows.count(), c, label)
         a, b = platt_fit(svm_margin(model, held), label)
-        platt.append((a, b))
-        m = svm_margin(model, score, out=f"_m{i}")
-        probs.append((m, i, a, b))
+        return i, model, a, b
+
+    # Fold models are independent: fit them concurrently (Spark schedules
+    # jobs from several driver threads, as cross-validation does).
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=n_folds) as pool:
+        fitted = sorted(pool.map(fit_fold, range(n_folds)), key=lambda t: t[0])
+    platt = [(a, b) for _, _, a, b in fitted]
+    probs = [(svm_margin(model, score, out=f"_m{i}"), i, a, b) for i, model, a, b in fitted]
     elapsed = time.perf_counter() - t0
     out = score
     for m, i, a, b in probs:
