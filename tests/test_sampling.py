@@ -83,3 +83,21 @@ def test_folds_sizes(spark):
     for i in range(3):
         b = np.bincount(y[i::3], minlength=2)
         assert sizes.get((0, i), 0) == b[0] and sizes.get((1, i), 0) == b[1]
+
+
+def test_heavy_label_is_not_ranked_in_one_task(spark):
+    """One label holds ~99.9% of the rows: sizes stay exact, and the only
+    rank window over data rows is partitioned by (label, hash bucket)."""
+    df = _labels(spark, 6000, 5, parts=8)
+    out = sm.stratified_split(df)
+    got = {(r.toxic, r.split): r["count"] for r in out.groupBy("toxic", "split").count().collect()}
+    train = _expected_train([6000, 5], 6005 - math.ceil(0.2 * 6005))
+    assert got[(0, "train")] == train[0] and got[(1, "train")] == train[1]
+    assert sum(got.values()) == 6005
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Rank windows over data rows order by the hash key ``_h``; the other
+    # row_number (quota allocation) runs over one row per class.
+    spec = [line.split("windowspecdefinition(")[1] for line in plan.splitlines()
+            if "row_number()" in line and "Window [" in line]
+    data_rank = [sp for sp in spec if "_h#" in sp]
+    assert data_rank and all(sp.split(",")[1].strip().startswith("_b#") for sp in data_rank)
