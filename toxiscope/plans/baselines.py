@@ -191,7 +191,11 @@ _CHAINS: dict = {}
 
 def chain(spark: SparkSession, sf_dir: str) -> Chain:
     """One ``Chain`` per (Spark application, data directory)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
+        app = id(spark)
+    key = (app, sf_dir.rstrip("/"))
     if key not in _CHAINS:
         _CHAINS[key] = Chain(spark, sf_dir.rstrip("/"))
     return _CHAINS[key]

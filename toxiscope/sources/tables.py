@@ -31,14 +31,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     every regex and explode alone.  Inputs of many files (the large-scale
     case) are already spread by the scan and are left untouched.
     """
-    sc = df.sparkSession.sparkContext
     try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
         files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - not a file relation
+    except Exception:  # noqa: BLE001 - not a file relation / no context handle
         return df
-    if files >= sc.defaultParallelism:
+    if files >= cores:
         return df
-    return df.repartition(sc.defaultParallelism, key)
+    return df.repartition(cores, key)
 
 
 def label_join(documents: DataFrame, labels: DataFrame) -> DataFrame:
