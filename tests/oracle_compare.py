@@ -76,6 +76,13 @@ def main(argv):
             print(f"{k:32s} COLUMNS spark={scols} duck={dcols}")
             bad += 1
             continue
+        stype = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+        dtype = dict(zip(dcols, [str(t) for t in con.sql(sqls[k]).types]))
+        twin = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "float": "FLOAT"}
+        drift = [(c, stype[c], dtype[c]) for c in scols if twin.get(stype[c]) != dtype[c]]
+        if drift:
+            print(f"{k:32s} TYPES {drift}")
         order = [dcols.index(c) for c in scols]
         drows = [tuple(r[i] for i in order) for r in drows]
         same = sorted(srows, key=sort_key) == sorted(drows, key=sort_key)
