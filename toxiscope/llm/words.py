@@ -65,12 +65,19 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for every span, the same wherever the bytes stand."""
-    up, down = _power(len(data))
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which the hash of any span of ``data`` follows."""
+    up, _ = _power(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of data[start:end] for every span, the same wherever the bytes stand."""
+    if sums is None:
+        sums = byte_sums(data)
+    return mix((sums[ends] - sums[starts]) * _power(len(data))[1][starts])
 
 
 def shingles(hashes: np.ndarray, owner: np.ndarray, n_texts: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
