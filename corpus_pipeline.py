@@ -1,8 +1,63 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: language ID, line dedup, near duplicates, decontamination, encoding.
 
+Every stage works on all that its predecessor kept; ``run`` writes each
+stage's rows as Parquet in the shared folder and reads them back.  All but
+the last return the columns they were given.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from toxiscope.llm import decontamination, jaccard_join, language_id, line_dedup, sentencepiece_codec
+from toxiscope.llm.common import Scratch
+from toxiscope.llm.queries import tokenizer_file
+from toxiscope.sources.tables import read_table
+
+#: Models and hash decisions aren't expressible in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter whose language the network recognises stay."""
+    return language_id.keep_identified(docs)
+
+
+def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated three-line windows go; a document of which nothing is left goes."""
+    return line_dedup.keep_cleaned(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, exact) of every document left."""
+    return sentencepiece_codec.round_trip(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedupe_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", decontaminate),
+    ("sentencepiece", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(STAGES[i - 1][0])
+    return docs

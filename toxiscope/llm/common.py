@@ -80,3 +80,24 @@ def text_steps(batch: pa.RecordBatch, column: str = "text",
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, min(end, n), data[offsets[at]:offsets[min(end, n)]], offsets[at:min(end, n) + 1] - offsets[at]
         at = min(end, n)
+
+
+def bit_table(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bytes of a table of ``bits`` bits with the bit of every key set (key modulo ``bits``).
+
+    Its size is fixed, so it may be broadcast whatever the number of keys: a
+    full table only lets more through.  At most ``bits`` / 64 rows reach the driver.
+    """
+    slot = F.pmod(F.col(column).cast("long"), F.lit(bits).cast("long"))
+    rows = (keys.select(F.floor(slot / 64).cast("int").alias("at"), F.expr(f"shiftleft(1L, CAST(pmod({column}, 64) AS INT))").alias("b"))
+            .groupBy("at").agg(F.bit_or("b").alias("bits")).collect())
+    table = np.zeros(bits // 64, "<i8")
+    for r in rows:
+        table[r["at"]] = r["bits"]
+    return table.view(np.uint8)
+
+
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """If each 64-bit key's bit is set in a table of :func:`bit_table`."""
+    slot = (keys.astype(np.uint64) % np.uint64(8 * len(table))).astype(np.int64)
+    return (table[slot >> 3] >> (slot & 7)) & 1 == 1

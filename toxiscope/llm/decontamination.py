@@ -189,5 +189,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id has no match; all columns."""
-    found = contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(found, docs[doc_id].eqNullSafe(found["__leaked"]), "left_anti")
+    leaked = "__leaked"
+    while leaked in docs.columns:
+        leaked += "_"
+    found = contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(found, docs[doc_id].eqNullSafe(found[leaked]), "left_anti")

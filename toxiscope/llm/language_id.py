@@ -264,3 +264,30 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     out = named.select("doc_id", letter.alias("letter"), "text").mapInArrow(
         predict, f"doc_id {kind}, lang_pred string, score double")
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", folds: int = 3,
+                    test_fold: int = 1, least: float = 0.4) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a letter and a language of score ``least`` or more."""
+    held_out = F.coalesce(crc_bucket(doc_id, folds) == test_fold, F.lit(False))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"),
+                        held_out.alias("held_out"))
+    model = fit(named, F.col("doc_id").isNotNull() & ~F.col("held_out"))
+    flag, n = "__letter", len(docs.columns)
+    while flag in docs.columns:
+        flag += "_"
+    names, place = docs.columns, docs.columns.index(text)
+
+    def work(batches):
+        for batch in batches:
+            letter = np.array(batch.column(n).to_pylist(), bool)
+            alone = pa.RecordBatch.from_arrays([batch.column(place)], ["text"])
+            keep = np.zeros(batch.num_rows, bool)
+            for at, end, data, offsets in text_steps(alone):
+                if model is not None:
+                    logs, probs = pooled(model, data, offsets)
+                    keep[at:end] = probs[np.arange(end - at), logs.argmax(1)] >= least
+            part = batch.filter(pa.array(keep & letter))
+            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n)], names=names)
+
+    return docs.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(work, docs.schema)

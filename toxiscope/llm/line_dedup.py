@@ -47,11 +47,18 @@ def windows(solid: Column) -> Column:
 
 
 def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns of ``docs`` with the cleaned text, and ``lines_total`` and ``lines_removed``."""
+    """Columns of ``docs`` with the cleaned text, then ``lines_total`` and ``lines_removed``.
+
+    A name that ``docs`` already has gets underscores.
+    """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    own = "__row"
-    while own in docs.columns:
-        own += "_"
+
+    def fresh(name: str) -> str:
+        while name in docs.columns:
+            name += "_"
+        return name
+
+    own, gone_row, gone_at = fresh("__row"), fresh("__gone_row"), fresh("__gone")
     rows = scratch.keep(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
     seen = scratch.keep(
         rows.select(F.col(own).alias("row"), F.col(doc_id).alias("doc_id"), _solid(F.col(text)).alias("solid"))
@@ -63,16 +70,26 @@ def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 .filter("n > 1").select("h1", "h2", F.col("first.row").alias("row0"), F.col("first.at").alias("at0")))
     gone = (seen.join(repeated, ["h1", "h2"])
             .filter((F.col("row") != F.col("row0")) | (F.col("places")[0] != F.col("at0")))
-            .select(F.col("row").alias("__gone_row"), F.explode("places").alias("i"))
-            .groupBy("__gone_row").agg(F.collect_set("i").alias("__gone")))
-    out = rows.join(gone, rows[own] == gone["__gone_row"], "left")
+            .select(F.col("row").alias(gone_row), F.explode("places").alias("i"))
+            .groupBy(gone_row).agg(F.collect_set("i").alias(gone_at)))
+    out = rows.join(gone, rows[own] == gone[gone_row], "left")
     lines = F.split(F.col(text), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone_at, i)), "\n")
     return out.select(
-        *[(F.when(F.col("__gone").isNull(), F.col(c)).otherwise(left) if c == text else F.col(c)).alias(c)
+        *[(F.when(F.col(gone_at).isNull(), F.col(c)).otherwise(left) if c == text else F.col(c)).alias(c)
           for c in docs.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).alias("lines_total"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("lines_removed"))
+        F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).alias(fresh("lines_total")),
+        F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at)).alias(fresh("lines_removed")))
+
+
+def keep_cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with cleaned texts and their lengths, without the documents of which nothing is left."""
+    out = dedupe_lines(docs, doc_id, text)
+    total, removed = out.columns[-2:]
+    changed = F.col(removed) > 0
+    out = out.filter(~changed | (F.trim(F.regexp_replace(F.col(text), BLANKS, " ")) != ""))
+    return out.select(*[(F.when(changed, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)) if c == n_chars
+                         else F.col(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

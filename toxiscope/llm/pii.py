@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toxiscope.llm.common import Scratch, text_steps
+from toxiscope.llm.common import Scratch, bit_table, in_table, text_steps
 from toxiscope.llm.words import ALNUM, LOWER, span_hashes, spans
 
 CONTEXT, SUPPORT, DISCLOSE, REMOVE, BITS = 4, 2, 0.5, 0.9, 4.0
@@ -141,33 +141,17 @@ def detect(docs: DataFrame) -> DataFrame:
         find, f"row long, doc_id {kind}, base array<{SPAN}>, near array<struct<entity:string,term:long>>")
 
 
-def bit_table(terms: DataFrame) -> np.ndarray:
-    """Bytes of a table with the bit of every ``term`` set; at most TABLE_BITS / 64 rows come to the driver."""
-    bit = F.pmod("term", F.lit(TABLE_BITS))
-    rows = (terms.select(F.floor(bit / 64).cast("int").alias("at"), F.expr("shiftleft(1L, CAST(pmod(term, 64) AS INT))").alias("b"))
-            .groupBy("at").agg(F.bit_or("b").alias("bits")).collect())
-    table = np.zeros(TABLE_BITS // 64, "<i8")
-    for r in rows:
-        table[r["at"]] = r["bits"]
-    return table.view(np.uint8)
-
-
-def _maybe(table: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    slot = (terms.view(np.uint64) % np.uint64(TABLE_BITS)).astype(np.int64)
-    return (table[slot >> 3] >> (slot & 7)) & 1 == 1
-
-
 def _step_terms(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     """(start, end, text, term) of the words of a step whose bit is set; starts and ends in bytes."""
     starts, ends, owner = spans(data, offsets, ALNUM)
     terms = span_hashes(LOWER[data], starts, ends).view(np.int64)
-    keep = _maybe(table, terms)
+    keep = in_table(table, terms)
     return starts[keep], ends[keep], owner[keep], terms[keep]
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, df): documents that hold each of ``terms``, over all ``docs``."""
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(terms))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(terms, "term", TABLE_BITS))
 
     def count(batches):
         names, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -187,7 +171,7 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(row, doc_id, term, start, end) in code points of the places of ``terms`` in ``docs`` (row, doc_id, text)."""
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(terms))
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(terms, "term", TABLE_BITS))
 
     def find(batches):
         for batch in batches:

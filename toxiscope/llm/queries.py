@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from toxiscope.llm import decontamination, exact_dedup, language_id, license_scan, line_dedup, pii, sentencepiece_codec, token_count, toxicity
+from toxiscope.llm import decontamination, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, pii, sentencepiece_codec, token_count, toxicity
 from toxiscope.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sentencepiece")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op1_jaccard_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"))
