@@ -201,7 +201,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     replicas = rows.select("node", "n", F.posexplode("shingles").alias("place", "region"))
     shared = (replicas.groupBy("region").agg(F.min("node").alias("a"), F.max("node").alias("b"))
               .filter("a <> b").select("region"))
-    members = scratch.keep(replicas.join(shared, "region").distinct(), "members")
+    members = scratch.keep(replicas.join(shared.hint("merge"), "region").distinct(), "members")
     _release(scratch)
     links, labels, open_ = None, members.select("node", F.col("node").alias("component")).distinct(), members
     for turn in range(ROUNDS):
