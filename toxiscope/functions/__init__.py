@@ -6,5 +6,5 @@ from toxiscope.functions.text import (  # noqa: F401
     split_to_lang, CLEANERS,
 )
 from toxiscope.functions.numeric import (  # noqa: F401
-    ratio_round, sigmoid, finite_or_zero, round_half_up,
+    ratio_round, sigmoid, finite_or_zero,
 )

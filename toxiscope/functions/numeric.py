@@ -32,10 +32,6 @@ def ratio_round(num, den, digits: int = 4, zero=0.0) -> Column:
     return F.when(d == 0, zero_col).otherwise(value)
 
 
-def round_half_up(x, digits: int) -> Column:
-    return F.round(_c(x), digits)
-
-
 def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_c(x)))
 

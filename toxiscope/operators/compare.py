@@ -38,10 +38,15 @@ def confusion_long(preds: DataFrame, group_cols: list[str], threshold: Column |
                  .select(*g, "actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def metric_pivot(metrics: DataFrame, value: str = "auc_roc", langs=LANG_ORDER) -> DataFrame:
-    """model x language matrix; split labels map to languages; cells averaged."""
+def metric_pivot(metrics: DataFrame, value: str = "auc_roc", first=LANG_ORDER) -> DataFrame:
+    """model x language matrix; split labels map to languages; cells averaged.
+
+    The columns are ``first``, then every other language of the metric rows
+    (one row per model and split, so few) in alphabetical order.
+    """
     m = metrics.withColumn("lang", split_to_lang("split")).filter(F.col("lang").isNotNull())
-    return m.groupBy("model").pivot("lang", list(langs)).agg(F.avg(value))
+    found = sorted(r.lang for r in m.select("lang").distinct().collect())
+    return m.groupBy("model").pivot("lang", [*first, *(x for x in found if x not in first)]).agg(F.avg(value))
 
 
 def split_rows(metrics: DataFrame, split: str) -> DataFrame:

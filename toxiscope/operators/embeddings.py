@@ -14,10 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toxiscope.functions.numeric import finite_or_zero
-from toxiscope.operators.sampling import sample_rows
 
 PCA_MAX = 50
-MAP_SAMPLE = 600
 
 
 def long_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -32,42 +30,43 @@ def dimension_stats(long: DataFrame) -> DataFrame:
                     .otherwise(F.col("_std")).alias("scale"))
 
 
-def standardize_long(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, dim, z): zero mean, unit variance per dimension."""
-    long = long_vectors(df, id_col, vec_col)
-    stats = dimension_stats(long)
-    return (long.join(F.broadcast(stats), "dim")
-                .select(id_col, "dim", ((F.col("value") - F.col("mean")) / F.col("scale")).alias("z")))
+def standardize(df: DataFrame, id_col: str, vec_col: str, out: str = "z") -> DataFrame:
+    """df + ``out`` ARRAY<DOUBLE>: the standardised vector.
 
+    The statistics become one row of two arrays as wide as a vector, which
+    is broadcast; the vectors themselves aren't shuffled.
+    """
+    stats = dimension_stats(long_vectors(df, id_col, vec_col)).agg(
+        F.sort_array(F.collect_list(F.struct("dim", "mean", "scale"))).alias("_s"))
+    z = F.zip_with(finite_or_zero(vec_col), "_s", lambda x, s: (x - s["mean"]) / s["scale"])
+    return df.crossJoin(F.broadcast(stats)).withColumn(out, z).drop("_s")
 
-def standardize(df: DataFrame, id_col: str, vec_col: str, out: str = "z") -> DataFrame:
-    """df + ``out`` ARRAY<DOUBLE>: standardised vector, re-assembled in dim order."""
-    z = standardize_long(df, id_col, vec_col)
-    arr = z.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("dim", "z"))).alias("_p"))
-    return df.join(arr.select(id_col, F.transform("_p", lambda s: s["z"]).alias(out)), id_col)
 
+def standardize_long(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(id, dim, z): zero mean, unit variance per dimension."""
+    return standardize(df, id_col, vec_col, "_z").select(id_col, F.posexplode("_z").alias("dim", "z"))
 
-def pca_project(df: DataFrame, id_col: str, vec_col: str, k: int | None = None,
-                dims: int | None = None, rows: int | None = None) -> DataFrame:
-    """(id, comp, value): PCA scores of standardised vectors,
-    k = min(50, width, rows - 1) unless given."""
+
+def pca_vectors(df: DataFrame, id_col: str, vec_col: str, k: int | None = None,
+                keep: list[str] | None = None) -> DataFrame:
+    """(id, keep..., _a): PCA scores of standardised vectors as an array,
+    k = min(50, width, rows - 1) unless given, at most the width."""
     z = standardize(df, id_col, vec_col, out="_z")
-    if k is None:
-        width = dims if dims is not None else z.select(F.max(F.size("_z"))).first()[0] or 1
-        n = rows if rows is not None else z.count()
-        k = max(1, min(PCA_MAX, width, n - 1))
-    vec = z.select(id_col, array_to_vector("_z").alias("_v"))
+    width, n = df.agg(F.max(F.size(vec_col)), F.count(F.lit(1))).first()
+    width = width or 1
+    k = max(1, min(PCA_MAX, width, n - 1)) if k is None else min(k, width)
+    vec = z.select(id_col, *(keep or []), array_to_vector("_z").alias("_v"))
     model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(vec)
-    scores = model.transform(vec).select(id_col, vector_to_array("_pc").alias("_a"))
-    return scores.select(id_col, F.posexplode("_a").alias("comp", "value"))
-
-
-def embedding_map_2d(df: DataFrame, id_col: str, vec_col: str, tags: list[str],
-                     n: int = MAP_SAMPLE) -> DataFrame:
-    """(id, x, y, tags...): a uniform sample projected to its first two
-    principal components (the plotting view)."""
-    sample = sample_rows(df, n, id_col)
-    scores = pca_project(sample, id_col, vec_col, k=2)
-    wide = scores.groupBy(id_col).pivot("comp", [0, 1]).agg(F.first("value"))
-    return (wide.withColumnRenamed("0", "x").withColumnRenamed("1", "y")
-                .join(sample.select(id_col, *tags), id_col))
+    return model.transform(vec).select(id_col, *(keep or []), vector_to_array("_pc").alias("_a"))
+
+
+def pca_project(df: DataFrame, id_col: str, vec_col: str, k: int | None = None) -> DataFrame:
+    """(id, comp, value): PCA scores of standardised vectors."""
+    return pca_vectors(df, id_col, vec_col, k).select(id_col, F.posexplode("_a").alias("comp", "value"))
+
+
+def embedding_map_2d(df: DataFrame, id_col: str, vec_col: str, tags: list[str]) -> DataFrame:
+    """(id, x, y, tags...): every vector on the first two principal components
+    (the plotting view; ``sample_rows`` gives a smaller one)."""
+    scores = pca_vectors(df, id_col, vec_col, k=2, keep=tags)
+    return scores.select(id_col, F.get("_a", F.lit(0)).alias("x"), F.get("_a", F.lit(1)).alias("y"), *tags)

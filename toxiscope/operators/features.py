@@ -17,6 +17,8 @@ from toxiscope.functions.text import clean_tokens, word_ngrams, word_tokens
 MAX_FEATURES = 50_000
 WORD_VOCAB_SIZE = 50_000
 WORD_MIN_FREQ = 2
+#: A vocabulary may be broadcast up to this bound.
+BROADCAST_ROWS = 200_000
 PAD_ID = 0
 UNK_ID = 1
 
@@ -34,28 +36,24 @@ def term_postings(docs: DataFrame, clean_col: str = "clean", id_col: str | list[
     """
     keep = list(keep or [])
     ids = _ids(id_col)
-    terms = docs.select(*ids, *keep,
-                        F.explode(word_ngrams(clean_tokens(clean_col))).alias("term"))
+    tokens = docs.select(*ids, *keep, clean_tokens(clean_col).alias("_t"))
+    terms = tokens.select(*ids, *keep, F.explode(word_ngrams("_t")).alias("term"))
     return terms.groupBy(*ids, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_stats(docs: DataFrame, clean_col: str = "clean") -> DataFrame:
-    """(term, tot, df) straight from per-document n-gram arrays.
+def term_stats(postings: DataFrame) -> DataFrame:
+    """(term, tot, df) of (doc, term, tf) postings: term-keyed partial aggregates."""
+    return postings.groupBy("term").agg(F.sum("tf").cast("bigint").alias("tot"),
+                                        F.count(F.lit(1)).cast("bigint").alias("df"))
 
-    ``tot`` counts every occurrence, ``df`` every document once
-    (``array_distinct`` inside the row).  Both are term-keyed partial
-    aggregates, so no (doc, term) posting is ever shuffled.
-    """
-    grams = docs.select(word_ngrams(clean_tokens(clean_col)).alias("_g"))
-    occ = grams.select(F.explode("_g").alias("term"), F.lit(1).alias("_o"), F.lit(0).alias("_d"))
-    dist = grams.select(F.explode(F.array_distinct("_g")).alias("term"), F.lit(0).alias("_o"),
-                        F.lit(1).alias("_d"))
-    return occ.unionByName(dist).groupBy("term").agg(
-        F.sum("_o").cast("bigint").alias("tot"), F.sum("_d").cast("bigint").alias("df"))
+
+def small(table: DataFrame, rows: int | None) -> DataFrame:
+    """A broadcast hint where ``rows`` bounds the table; otherwise Catalyst decides."""
+    return F.broadcast(table) if rows is not None and rows <= BROADCAST_ROWS else table
 
 
-def top_terms(term_stats: DataFrame, k: int, count_col: str, min_count: int = 1) -> DataFrame:
-    """The ``k`` terms with the largest ``count_col`` (ties: term ascending).
+def top_terms(term_stats: DataFrame, k: int | None, count_col: str, min_count: int = 1) -> DataFrame:
+    """The ``k`` terms with the largest ``count_col`` (ties: term ascending); None: all.
 
     A histogram of the counts (at most sqrt(2 * total) distinct values) gives
     the count of the k-th term; terms below it are dropped before the
@@ -63,6 +61,8 @@ def top_terms(term_stats: DataFrame, k: int, count_col: str, min_count: int = 1)
     (Zipf-tailed) term table.
     """
     stats = term_stats.filter(F.col(count_col) >= min_count)
+    if k is None:
+        return stats
     hist = stats.groupBy(count_col).agg(F.count(F.lit(1)).alias("_terms"))
     w = Window.orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cutoff = (hist.withColumn("_cum", F.sum("_terms").over(w))
@@ -74,7 +74,7 @@ def top_terms(term_stats: DataFrame, k: int, count_col: str, min_count: int = 1)
     return kept.orderBy(F.desc(count_col), F.asc("term")).limit(int(k))
 
 
-def feature_vocabulary(stats: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+def feature_vocabulary(stats: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
     """(term, tot, df, idx): top terms by total corpus count; idx in term order.
 
     ``stats`` is (term, tot, df) over the training documents (``term_stats``).
@@ -84,11 +84,6 @@ def feature_vocabulary(stats: DataFrame, max_features: int = MAX_FEATURES) -> Da
     return vocab.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
 
 
-def document_frequency(train_postings: DataFrame) -> DataFrame:
-    """(term, df): documents containing each term (postings are distinct per doc)."""
-    return train_postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
 def idf_table(vocab: DataFrame, n_docs: Column) -> DataFrame:
     """Smoothed idf = ln((1 + n) / (1 + df)) + 1 for every vocabulary term."""
     return vocab.withColumn(
@@ -96,7 +91,7 @@ def idf_table(vocab: DataFrame, n_docs: Column) -> DataFrame:
 
 
 def tfidf_fit(train_stats: DataFrame, n_train_docs: DataFrame,
-              max_features: int = MAX_FEATURES) -> DataFrame:
+              max_features: int | None = MAX_FEATURES) -> DataFrame:
     """(term, tot, df, idx, idf) fitted on the training documents only.
 
     ``train_stats`` is (term, tot, df); ``n_train_docs`` is a one-row
@@ -106,14 +101,14 @@ def tfidf_fit(train_stats: DataFrame, n_train_docs: DataFrame,
     return idf_table(vocab.crossJoin(F.broadcast(n_train_docs)), F.col("n_docs")).drop("n_docs")
 
 
-def tfidf_transform(postings: DataFrame, idf: DataFrame, id_col: str | list[str] = "doc_id") -> DataFrame:
+def tfidf_transform(postings: DataFrame, idf: DataFrame, id_col: str | list[str] = "doc_id",
+                    max_features: int | None = MAX_FEATURES) -> DataFrame:
     """(id, term, idx, weight): sublinear tf x idf, L2-normalised per document.
 
-    The vocabulary side is bounded by ``max_features`` rows, so it is
-    broadcast; the per-document norm is a window on ``id_col`` (the postings
-    are already clustered by it when built by ``term_postings``).
+    The vocabulary is broadcast where ``max_features`` bounds it; the
+    per-document norm is a window on ``id_col``.
     """
-    raw = (postings.join(F.broadcast(idf.select("term", "idx", "idf")), "term")
+    raw = (postings.join(small(idf.select("term", "idx", "idf"), max_features), "term")
                    .withColumn("_raw", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*_ids(id_col))))
     return raw.withColumn("weight", F.col("_raw") / norm).drop("_raw", "idf")
@@ -124,7 +119,7 @@ def tfidf_transform(postings: DataFrame, idf: DataFrame, id_col: str | list[str]
 # ---------------------------------------------------------------------------
 
 def word_vocabulary(train_docs: DataFrame, text_col: str = "clean",
-                    size: int = WORD_VOCAB_SIZE, min_freq: int = WORD_MIN_FREQ) -> DataFrame:
+                    size: int | None = WORD_VOCAB_SIZE, min_freq: int = WORD_MIN_FREQ) -> DataFrame:
     """(term, freq, id): most frequent word tokens with freq >= min_freq.
 
     Ids start at 2 (0 = pad, 1 = unknown) in frequency order, ties by term.
@@ -137,20 +132,20 @@ def word_vocabulary(train_docs: DataFrame, text_col: str = "clean",
 
 
 def encode_sequences(docs: DataFrame, vocab: DataFrame, text_col: str = "clean",
-                     id_col: str = "doc_id", max_len: int = 128) -> DataFrame:
-    """(id, ids ARRAY<INT>): token ids, unknown = 1, truncated, right-padded with 0.
+                     id_col: str = "doc_id", max_len: int = 128,
+                     size: int | None = WORD_VOCAB_SIZE) -> DataFrame:
+    """(id, part, ids ARRAY<INT>): token ids of the whole text in consecutive
+    parts of ``max_len`` tokens, unknown = 1, the last part padded with 0.
 
-    Tokens are position-exploded (only the first ``max_len`` survive), looked
-    up in the broadcast vocabulary (bounded by its size), then re-assembled
-    per document in position order.
+    Part 0 is the fixed-length input of a sequence model that reads only the
+    beginning; a text without tokens has one part of padding.
     """
     toks = docs.select(id_col, F.posexplode(word_tokens(text_col)).alias("pos", "term"))
-    toks = toks.filter(F.col("pos") < max_len)
-    looked = toks.join(F.broadcast(vocab.select("term", "id")), "term", "left")
-    per_doc = looked.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
-        .alias("_p"))
-    ids = docs.select(id_col).join(per_doc, id_col, "left")
+    looked = toks.join(small(vocab.select("term", "id"), size), "term", "left")
+    parts = (looked.groupBy(id_col, F.floor(F.col("pos") / max_len).cast("int").alias("part"))
+             .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
+                  .alias("_p")))
+    rows = docs.select(id_col).join(parts, id_col, "left")
     seq = F.coalesce(F.transform("_p", lambda s: s["id"]), F.array().cast("array<int>"))
     padded = F.concat(seq, F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size(seq)))
-    return ids.select(id_col, padded.alias("ids"))
+    return rows.select(id_col, F.coalesce("part", F.lit(0)).alias("part"), padded.alias("ids"))

@@ -29,33 +29,35 @@ import time  # noqa: E402
 
 from pyspark.ml.classification import LinearSVC, LogisticRegression  # noqa: E402
 from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
-from pyspark.ml.linalg import SparseVector, VectorUDT  # noqa: E402
+from pyspark.ml.linalg import VectorUDT  # noqa: E402
 
 C = 1.0
 LR_MAX_ITER = 1000
-SVM_MAX_ITER = 1000
+SVM_MAX_ITER = 5000
 SVM_TOL = 1e-4   # the reference's default tolerance for its linear SVM
 
 
-@F.udf(returnType=VectorUDT())
-def _sparse(size, idx, val):
-    return SparseVector(size, idx or [], val or [])
+def vector_schema(df: DataFrame, out: str = "features"):
+    """Schema that reads the written structs of ``sparse_structs`` back as vectors."""
+    from pyspark.sql.types import StructField, StructType
+    return StructType([StructField(f.name, VectorUDT() if f.name == out else f.dataType, True) for f in df.schema])
 
 
-def sparse_vectors(weights: DataFrame, docs: DataFrame, size: int, id_col: str = "doc_id",
+def sparse_structs(weights: DataFrame, docs: DataFrame, size: int, id_col: str = "doc_id",
                    out: str = "features") -> DataFrame:
-    """docs + ``out`` (SparseVector of width ``size``) from long postings.
+    """docs + ``out``, the stored form of a sparse vector of width ``size``.
 
-    Postings are grouped per document (clustered by ``id_col`` already), kept
-    in index order, and turned into a vector by one small UDF -- the only
-    place a Python row function runs; documents without postings get an
-    empty vector.
+    Postings are grouped per document in index order by built-in functions;
+    written and read back under ``vector_schema`` the column is a vector, so
+    no Python runs per row.  Documents without postings get an empty vector.
     """
     per = weights.groupBy(id_col).agg(
         F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_p"))
-    j = docs.join(per, id_col, "left")
-    return j.withColumn(out, _sparse(F.lit(size), F.transform("_p", lambda s: s["idx"]),
-                                     F.transform("_p", lambda s: s["weight"]))).drop("_p")
+    none = F.array().cast("array<struct<idx:int,weight:double>>")
+    j = docs.join(per, id_col, "left").withColumn("_p", F.coalesce("_p", none))
+    return j.withColumn(out, F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.col("_p.idx").alias("indices"), F.col("_p.weight").alias("values"))).drop("_p")
 
 
 def reg_param(c: float, n: int) -> float:
@@ -131,13 +133,12 @@ def calibrated_svm(train: DataFrame, score: DataFrame, n_folds: int = 3, c: floa
     with ThreadPoolExecutor(max_workers=n_folds) as pool:
         fitted = sorted(pool.map(fit_fold, range(n_folds)), key=lambda t: t[0])
     platt = [(a, b) for _, _, a, b in fitted]
-    probs = [(svm_margin(model, score, out=f"_m{i}"), i, a, b) for i, model, a, b in fitted]
-    elapsed = time.perf_counter() - t0
     out = score
-    for m, i, a, b in probs:
-        out = out.join(m.select("doc_id", f"_m{i}"), "doc_id")
+    for i, model, _, _ in fitted:  # the margins are added to the one table in turn
+        out = svm_margin(model, out, out=f"_m{i}")
+    elapsed = time.perf_counter() - t0
     p = sum((F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col(f"_m{i}") + F.lit(b))))
-             for _, i, a, b in probs), F.lit(0.0)) / F.lit(float(n_folds))
+             for i, _, a, b in fitted), F.lit(0.0)) / F.lit(float(n_folds))
     return out.withColumn("y_prob", p).drop(*[f"_m{i}" for i in range(n_folds)]), elapsed, platt
 
 

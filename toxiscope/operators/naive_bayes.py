@@ -18,20 +18,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from toxiscope.functions.numeric import sigmoid
+from toxiscope.operators.features import MAX_FEATURES, small
 
 ALPHA = 0.1
 SCORE_DIGITS = 8
 
 
 def nb_fit(train_weights: DataFrame, train_labels: DataFrame, vocab: DataFrame,
-           alpha: float = ALPHA, label: str = "toxic", id_col: str = "doc_id") -> DataFrame:
+           alpha: float = ALPHA, label: str = "toxic") -> DataFrame:
     """(term, idx, logp0, logp1, log_ratio, prior) -- one row per vocabulary term.
 
-    ``train_weights`` (id, term, weight), ``train_labels`` (id, label) for all
+    ``train_weights`` (term, weight, label), ``train_labels`` (label) of all
     training documents (including those without features), ``vocab`` (term, idx).
+    The label travels with the postings, so they are only summed by term.
     """
-    labelled = train_weights.join(train_labels.select(id_col, label), id_col)
-    per_class = labelled.groupBy("term").agg(
+    per_class = train_weights.groupBy("term").agg(
         F.sum(F.when(F.col(label) == 0, F.col("weight")).otherwise(0.0)).alias("w0"),
         F.sum(F.when(F.col(label) == 1, F.col("weight")).otherwise(0.0)).alias("w1"))
     terms = vocab.select("term", "idx").join(per_class, "term", "left").fillna(0.0, ["w0", "w1"])
@@ -49,7 +50,7 @@ def nb_fit(train_weights: DataFrame, train_labels: DataFrame, vocab: DataFrame,
 
 
 def nb_scores(weights: DataFrame, model: DataFrame, docs: DataFrame,
-              id_col: str | list[str] = "doc_id") -> DataFrame:
+              id_col: str | list[str] = "doc_id", max_features: int | None = MAX_FEATURES) -> DataFrame:
     """docs + (score, y_prob): log-odds rounded to 8 digits and its sigmoid.
 
     ``docs`` decides which documents get a score; those without postings get
@@ -57,7 +58,7 @@ def nb_scores(weights: DataFrame, model: DataFrame, docs: DataFrame,
     whatever order the sums ran in.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    contrib = (weights.join(F.broadcast(model.select("term", "log_ratio")), "term")
+    contrib = (weights.join(small(model.select("term", "log_ratio"), max_features), "term")
                       .groupBy(*ids)
                       .agg(F.sum(F.col("weight") * F.col("log_ratio")).alias("_dot")))
     prior = model.select("prior").limit(1)

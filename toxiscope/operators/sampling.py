@@ -30,6 +30,14 @@ def _bucket(h: Column, digits: int) -> Column:
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")
 
 
+def _same(cols: list[str], left: str, right: str) -> Column:
+    """Null-safe equality of prefixed group columns: NULL is a group of its own."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(left + c).eqNullSafe(F.col(right + c))
+    return cond
+
+
 def assign_segments(df: DataFrame, group_cols: list[str], id_col: str,
                     cuts: DataFrame, seed: int | str = SEED,
                     out: str = "segment", digits: int = HEX_DIGITS) -> DataFrame:
@@ -55,12 +63,13 @@ def assign_segments(df: DataFrame, group_cols: list[str], id_col: str,
     # cut_rows has (#groups x #cuts) rows: a fixed, tiny broadcast side.
     bnd = (counts.join(F.broadcast(cut_rows), cond, "inner")
                  .select(*[counts[c] for c in g], "_b", "_before"))
-    info = (bnd.groupBy(*g)
-               .agg(F.collect_list(F.struct(F.col("_b").alias("b"),
-                                            F.col("_before").alias("before"))).alias("_bnd"))
-               .join(cuts.select(*g, F.col("cuts").alias("_cuts")), g, "full_outer"))
+    found = (bnd.groupBy(*[F.col(c).alias(f"_f_{c}") for c in g])
+                .agg(F.collect_list(F.struct(F.col("_b").alias("b"),
+                                             F.col("_before").alias("before"))).alias("_bnd")))
+    own = cuts.select(*[F.col(c).alias(f"_c_{c}") for c in g], F.col("cuts").alias("_cuts"))
+    info = own.join(found, _same(g, "_c_", "_f_"), "left").drop(*[f"_f_{c}" for c in g])
 
-    rows = keyed.join(F.broadcast(info), g, "left")
+    rows = keyed.join(F.broadcast(info), _same(g, "", "_c_"), "left").drop(*[f"_c_{c}" for c in g])
     bnd_arr = F.coalesce(F.col("_bnd"), F.array().cast(
         "array<struct<b:int,before:bigint>>"))
     cut_arr = F.coalesce(F.col("_cuts"), F.array().cast("array<bigint>"))
@@ -85,14 +94,15 @@ def _largest_remainder(counts: DataFrame, label: str, draws: Column) -> DataFram
     """Per-class share of ``draws`` by the largest-remainder rule.
 
     ``counts`` is (label, cnt) -- one row per class, a tiny table.  Ties in
-    the remainder go to the lower label first.
+    the remainder go to the lower label first.  Integers throughout.
     """
     whole = Window.partitionBy()
     n = F.sum("cnt").over(whole)
     c = counts.withColumn("_n", n).withColumn("_draws", draws)
-    c = c.withColumn("_cont", F.col("cnt") / F.col("_n") * F.col("_draws"))
-    c = c.withColumn("_fl", F.floor("_cont"))
-    c = c.withColumn("_rem", F.col("_cont") - F.col("_fl"))
+    wide = F.col("cnt").cast("decimal(19,0)") * F.col("_draws").cast("decimal(18,0)")
+    c = c.withColumn("_cont", wide)
+    c = c.withColumn("_rem", F.col("_cont") % F.col("_n").cast("decimal(19,0)"))
+    c = c.withColumn("_fl", F.expr("CAST((_cont - _rem) div CAST(_n AS DECIMAL(19,0)) AS BIGINT)"))
     c = c.withColumn("_need", F.col("_draws") - F.sum("_fl").over(whole))
     c = c.withColumn("_rr", F.row_number().over(
         Window.partitionBy().orderBy(F.desc("_rem"), F.asc(label))))

@@ -7,11 +7,11 @@ Roles on the driver's tables: labelled English documents are the training
 corpus (split 80/20 into ``train`` and the English test split); labelled
 documents in every other language form the multilingual validation split.
 
-Partitioning: cleaned documents are hash-partitioned by ``doc_id`` once;
-postings, per-document norms and per-document score sums all key on
-``doc_id`` and reuse that partitioning, so the postings themselves are never
-shuffled.  Term-keyed work (vocabulary, idf, class sums) is map-side combined
-and bounded by the vocabulary size before anything is broadcast.
+Partitioning: cleaned documents are hash-partitioned by ``doc_id`` once, and
+their postings (with split and label) are written; the per-document norm of
+the weights is the one later exchange by ``doc_id``, of postings already cut
+to the vocabulary.  Term-keyed work (vocabulary, idf, class sums) is map-side
+combined and bounded by the vocabulary size before anything is broadcast.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ TRAIN = "train"
 TEST = ev.TEST_SPLIT
 VAL = ev.VAL_SPLIT
 TRAIN_LANG = "en"
+NO_LANG = "und"
 NB_NAME = "TF-IDF + Naive Bayes"
 LR_NAME = "TF-IDF + Logistic Regression"
 SVM_NAME = "TF-IDF + SVM"
@@ -46,11 +47,17 @@ def nb_name(alpha: float = nb.ALPHA) -> str:
 
 
 def split_corpus(comments: DataFrame, label: str = "toxic") -> DataFrame:
-    """comments + ``split``: English rows split 80/20 by label, others validation."""
-    en = comments.filter(F.col("lang") == TRAIN_LANG)
-    other = comments.filter(F.col("lang") != TRAIN_LANG).withColumn("split", F.lit(VAL))
-    en = stratified_split(en, label=label, test_name=TEST, train_name=TRAIN)
-    return en.unionByName(other)
+    """comments + ``split``: English rows split 80/20 by label, all others validation.
+
+    Rows without a label aren't labelled comments and don't take part; a
+    missing language is the language ``und``.  The split is decided on keys
+    and labels alone and joined to the texts once.
+    """
+    known = comments.filter(F.col(label).isNotNull()).withColumn("lang", F.coalesce("lang", F.lit(NO_LANG)))
+    en = known.filter(F.col("lang") == TRAIN_LANG).select("doc_id", label)
+    split = stratified_split(en, label=label, test_name=TEST, train_name=TRAIN).select("doc_id", "split")
+    return (known.join(split, "doc_id", "left")
+                 .withColumn("split", F.coalesce("split", F.lit(VAL))))
 
 
 @dataclass
@@ -62,7 +69,7 @@ class Chain:
     _cached: list = field(default_factory=list)
     _run_dir: str | None = None
 
-    def _get(self, key, build, keep: str | None = None):
+    def _get(self, key, build, keep: str | None = None, schema=None):
         """Memoised DataFrame, optionally materialised once.
 
         ``keep="persist"`` -- cached (memory, spilling to disk); lost blocks
@@ -81,7 +88,7 @@ class Chain:
             elif keep == "checkpoint":
                 path = self._table_path(key)
                 df.write.mode("overwrite").parquet(path)
-                df = self.spark.read.parquet(path)
+                df = self.spark.read.schema(schema or df.schema).parquet(path)
             self._memo[key] = df
         return self._memo[key]
 
@@ -92,11 +99,22 @@ class Chain:
         name = "_".join(str(k) for k in (key if isinstance(key, tuple) else (key,)))
         return f"{self._run_dir}/{re.sub('[^A-Za-z0-9_.-]+', '_', name)}"
 
+    def cached(self, df: DataFrame) -> DataFrame:
+        """``df`` persisted until ``release``."""
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._cached.append(df)
+        return df
+
     def release(self) -> None:
+        """Gives up the chain's cached and written tables."""
         for df in self._cached:
             df.unpersist()
         self._cached.clear()
         self._memo.clear()
+        if self._run_dir is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._run_dir)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._run_dir = None
 
     # -- inputs --------------------------------------------------------------
     def table(self, name: str) -> DataFrame:
@@ -129,18 +147,18 @@ class Chain:
     # -- features ------------------------------------------------------------
     @property
     def postings(self) -> DataFrame:
-        """(doc_id, split, term, tf).  The texts are hash-partitioned by
-        ``doc_id`` first (one shuffle of text, several times smaller than the
-        postings); the posting aggregation and the per-document norm window
-        of ``weights`` then need no exchange."""
+        """(doc_id, split, toxic, term, tf), tokenised once and written.  The
+        texts are hash-partitioned by ``doc_id`` first (one shuffle of text,
+        several times smaller than the postings), so the aggregation needs no
+        exchange; vocabulary, idf, weights and Naive Bayes read the table."""
         def build():
-            docs = self.cleaned.select("doc_id", "split", "clean")
+            docs = self.cleaned.select("doc_id", "split", "toxic", "clean")
             # Without an explicit count AQE sizes (coalesces) the partitions
             # from the data; the hash clustering on doc_id is kept.
             docs = (docs.repartition(self.partitions, "doc_id") if self.partitions
                     else docs.repartition("doc_id"))
-            return fe.term_postings(docs, keep=["split"])
-        return self._get("postings", build)
+            return fe.term_postings(docs, keep=["split", "toxic"])
+        return self._get("postings", build, keep="checkpoint")
 
     @property
     def n_train(self) -> DataFrame:
@@ -150,7 +168,7 @@ class Chain:
     @property
     def idf(self) -> DataFrame:
         def build():
-            train = self.cleaned.filter(F.col("split") == TRAIN)
+            train = self.postings.filter(F.col("split") == TRAIN)
             return fe.tfidf_fit(fe.term_stats(train), self.n_train)
         return self._get("idf", build, keep="checkpoint")
 
@@ -163,7 +181,7 @@ class Chain:
     def nb_model(self, alpha: float = nb.ALPHA) -> DataFrame:
         def build():
             train_w = self.weights.filter(F.col("split") == TRAIN)
-            train_y = self.cleaned.filter(F.col("split") == TRAIN).select("doc_id", "toxic")
+            train_y = self.cleaned.filter(F.col("split") == TRAIN).select("toxic")
             return nb.nb_fit(train_w, train_y, self.idf, alpha)
         return self._get(("nb", alpha), build, keep="checkpoint")
 
@@ -189,13 +207,21 @@ class Chain:
 _CHAINS: dict = {}
 
 
+def _version(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes when the chain's input files do (names, times, sizes)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(
+        [f"{sf_dir}/{name}.parquet" for name in ("documents", "labels")])
+    return files.agg(F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()[0]
+
+
 def chain(spark: SparkSession, sf_dir: str) -> Chain:
-    """One ``Chain`` per (Spark application, data directory)."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
-        app = id(spark)
-    key = (app, sf_dir.rstrip("/"))
-    if key not in _CHAINS:
-        _CHAINS[key] = Chain(spark, sf_dir.rstrip("/"))
-    return _CHAINS[key]
+    """One ``Chain`` per (session, data directory), made anew when the files change."""
+    key, version = (id(spark), sf_dir.rstrip("/")), _version(spark, sf_dir.rstrip("/"))
+    kept = _CHAINS.get(key)
+    if kept is not None and (kept[0] != version or kept[1].spark is not spark):
+        if kept[1].spark is spark:
+            kept[1].release()
+        kept = None
+    if kept is None:
+        kept = _CHAINS[key] = (version, Chain(spark, sf_dir.rstrip("/")))
+    return kept[1]

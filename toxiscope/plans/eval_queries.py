@@ -234,11 +234,6 @@ def _tuned(spark, sf, alpha=0.1):
 TUNED_SQL = """
 tuned AS (SELECT model, threshold, f1 AS tuned_f1 FROM best WHERE split = 'Multilingual Val')"""
 
-TUNED_METRICS_SQL = "tm AS (" + o.metrics_select(
-    "(SELECT e.*, t.threshold AS thr FROM c_eval e JOIN tuned t ON e.model = t.model)",
-    ["model", "split"], thr="thr").replace("thr AS threshold", "max(thr) AS threshold") + ")"
-
-
 def _tuned_metrics(spark, sf):
     rows = _eval(spark, sf).join(F.broadcast(_tuned(spark, sf)).select("model", "threshold"), "model")
     return ev.classification_metrics(rows, G, threshold=None)

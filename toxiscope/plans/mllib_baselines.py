@@ -14,29 +14,29 @@ from toxiscope.plans.baselines import LR_NAME, SVM_NAME, TEST, TRAIN, VAL, Chain
 
 def vectors(c: Chain) -> DataFrame:
     """(doc_id, split, lang, label, features) for all labelled documents; kept."""
-    def build():
+    if "vectors" not in c._memo:
         docs = c.cleaned.select("doc_id", "split", "lang", F.col("toxic").cast("double").alias("label"))
         size = c.idf.count()
-        return md.sparse_vectors(c.weights.select("doc_id", "idx", "weight"), docs, size)
-    return c._get("vectors", build, keep="checkpoint")
-
+        df = md.sparse_structs(c.weights.select("doc_id", "idx", "weight"), docs, size)
+        c._get("vectors", lambda: df, keep="checkpoint", schema=md.vector_schema(df))
+    return c._memo["vectors"]
 
-ROWS_PER_PARTITION = 20_000
 
+#: Bytes of vector entries in a training partition.
+PARTITION_BYTES = 4 << 20
 
-def _train(c: Chain) -> DataFrame:
-    """Training vectors, in about one partition per 20k rows.
 
-    Every solver iteration is a ``treeAggregate`` job over these partitions:
-    many tiny partitions make the iterations scheduling-bound, too few large
-    ones make them spill; the count is taken from the (known) row count.
-    """
+def _parts(c: Chain) -> int:
     def build():
-        train = vectors(c).filter(F.col("split") == TRAIN)
-        n = train.count()
-        parts = max(1, -(-n // ROWS_PER_PARTITION))
-        return train.coalesce(parts).persist()
-    return c._get("train_vectors", build)
+        entries = c.weights.filter(F.col("split") == TRAIN).count()
+        return max(1, -(-entries * 12 // PARTITION_BYTES))  # an index and a weight
+    return c._get("train_parts", build)
+
+
+def _train(c: Chain) -> DataFrame:
+    """Training vectors, cached in partitions of about ``PARTITION_BYTES``:
+    every solver iteration is a job over them."""
+    return c._get("train_vectors", lambda: c.cached(vectors(c).filter(F.col("split") == TRAIN).repartition(_parts(c))))
 
 
 def _held(c: Chain) -> DataFrame:
@@ -50,8 +50,7 @@ def n_train(c: Chain) -> int:
 def _fold_train(c: Chain) -> DataFrame:
     def build():
         t = _train(c).withColumn("toxic", F.col("label").cast("int"))
-        return stratified_folds(t, 3, label="toxic").drop("toxic").coalesce(
-            _train(c).rdd.getNumPartitions()).persist()
+        return c.cached(stratified_folds(t, 3, label="toxic").drop("toxic").repartition(_parts(c)))
     return c._get("fold_vectors", build)
 
 

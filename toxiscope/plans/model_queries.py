@@ -34,7 +34,7 @@ def q_feature_vocabulary(spark, sf):
 @query("document_frequency", o.with_(*BASE) + """
 SELECT term, count(*) AS df FROM c_post WHERE split = 'train' GROUP BY term""")
 def q_document_frequency(spark, sf):
-    train = chain(spark, sf).cleaned.filter(F.col("split") == TRAIN)
+    train = chain(spark, sf).postings.filter(F.col("split") == TRAIN)
     return fe.term_stats(train).select("term", "df")
 
 
@@ -50,17 +50,15 @@ def q_vocab_lookup(spark, sf):
     """Held-out postings restricted to the fitted vocabulary (others dropped)."""
     c = chain(spark, sf)
     held = c.postings.filter(F.col("split") != TRAIN)
-    return held.join(F.broadcast(c.idf.select("term")), "term").select("doc_id", "term", "tf")
+    return held.join(fe.small(c.idf.select("term"), fe.MAX_FEATURES), "term").select("doc_id", "term", "tf")
 
 
 @query("class_term_weights", o.with_(*BASE) + """
 SELECT c.toxic, w.term, round(sum(w.weight), 8) AS weight
 FROM c_w w JOIN c_clean c ON w.doc_id = c.doc_id WHERE w.split = 'train' GROUP BY c.toxic, w.term""")
 def q_class_term_weights(spark, sf):
-    c = chain(spark, sf)
-    w = c.weights.filter(F.col("split") == TRAIN)
-    y = c.cleaned.filter(F.col("split") == TRAIN).select("doc_id", "toxic")
-    return w.join(y, "doc_id").groupBy("toxic", "term").agg(_r8(F.sum("weight")).alias("weight"))
+    w = chain(spark, sf).weights.filter(F.col("split") == TRAIN)
+    return w.groupBy("toxic", "term").agg(_r8(F.sum("weight")).alias("weight"))
 
 
 @query("nb_fit", o.with_(*BASE, o.NB) + """
@@ -136,14 +134,14 @@ def q_word_vocabulary(spark, sf):
 
 
 @query("encode_sequence", o.with_(o.CORPUS, WV_SQL, """
-ids AS (SELECT p.doc_id, list(coalesce(v.id, 1) ORDER BY p.pos) AS ids
-        FROM tpos p LEFT JOIN wv v ON p.term = v.term WHERE p.pos <= 128 GROUP BY p.doc_id)""") + """
-SELECT t.doc_id, array_to_string(list_concat(coalesce(i.ids, []),
+ids AS (SELECT p.doc_id, (p.pos - 1) // 128 AS part, list(coalesce(v.id, 1) ORDER BY p.pos) AS ids
+        FROM tpos p LEFT JOIN wv v ON p.term = v.term GROUP BY p.doc_id, part)""") + """
+SELECT t.doc_id, CAST(coalesce(i.part, 0) AS INTEGER) AS part, array_to_string(list_concat(coalesce(i.ids, []),
          list_transform(range(128 - len(coalesce(i.ids, []))), lambda x: 0)), ' ') AS ids
 FROM toks t LEFT JOIN ids i ON t.doc_id = i.doc_id""")
 def q_encode_sequence(spark, sf):
     enc = fe.encode_sequences(_light_docs(spark, sf), _word_vocab(spark, sf), max_len=128)
-    return enc.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return enc.select("doc_id", "part", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query("token_id_lookup", o.with_(o.CORPUS, WV_SQL) + """
@@ -156,7 +154,7 @@ def q_token_id_lookup(spark, sf):
     docs = _light_docs(spark, sf)
     toks = docs.select("doc_id", F.explode(tx.word_tokens("clean")).alias("term"))
     vocab = _word_vocab(spark, sf).select("term", "id")
-    looked = toks.join(F.broadcast(vocab), "term", "left").withColumn(
+    looked = toks.join(fe.small(vocab, fe.WORD_VOCAB_SIZE), "term", "left").withColumn(
         "tid", F.coalesce("id", F.lit(fe.UNK_ID)))
     per = looked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"),
                                        F.sum(F.when(F.col("tid") == fe.UNK_ID, 1).otherwise(0))
@@ -168,6 +166,9 @@ def q_token_id_lookup(spark, sf):
 
 # ---------------------------------------------------------------- sampling --
 
+#: Rows of the registered subsample: the operator's own size parameter.
+SUBSAMPLE = 100
+
 TRAIN_SQL = "tr AS (SELECT * FROM c_splits WHERE split = 'train')"
 
 
@@ -178,7 +179,7 @@ SELECT r.doc_id, r.toxic FROM (
   FROM tr t) r JOIN s_take s ON r.toxic = s.toxic WHERE r.rn <= s.take""")
 def q_stratified_subsample(spark, sf):
     tr = chain(spark, sf).splits.filter(F.col("split") == TRAIN)
-    return sm.stratified_subsample(tr, 100).select("doc_id", "toxic")
+    return sm.stratified_subsample(tr, SUBSAMPLE).select("doc_id", "toxic")
 
 
 @query("stratified_folds", o.with_(o.CORPUS, TRAIN_SQL, """

@@ -10,7 +10,6 @@ predictions; rounding of ratios is exact integer half-up as on the Spark side.
 from __future__ import annotations
 
 from toxiscope.functions.text import SPACE_CHARS, TAG_PATTERN, URL_PATTERN
-from toxiscope.operators.evaluation import GRID
 
 URL = URL_PATTERN
 WS = f"[{SPACE_CHARS}]+"
@@ -49,10 +48,9 @@ def quota_ctes(src: str, prefix: str, draws_sql: str, label: str = "toxic") -> s
 {prefix}_cls AS (SELECT {label}, count(*) AS cnt FROM {src} GROUP BY {label}),
 {prefix}_a AS (SELECT {label}, cnt, n, {draws_sql} AS draws
                FROM (SELECT {label}, cnt, sum(cnt) OVER () AS n FROM {prefix}_cls)),
-{prefix}_b AS (SELECT *, CAST(cnt AS DOUBLE) / n * draws AS cont FROM {prefix}_a),
-{prefix}_c AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem,
-                      draws - sum(floor(cont)) OVER () AS need,
-                      row_number() OVER (ORDER BY cont - floor(cont) DESC, {label}) AS rr
+{prefix}_b AS (SELECT *, CAST(cnt AS HUGEINT) * draws AS prod FROM {prefix}_a),
+{prefix}_c AS (SELECT *, prod // n AS fl, draws - sum(prod // n) OVER () AS need,
+                      row_number() OVER (ORDER BY prod % n DESC, {label}) AS rr
                FROM {prefix}_b),
 {prefix}_take AS (SELECT {label}, cnt, CAST(fl AS BIGINT) + CASE WHEN rr <= need THEN 1 ELSE 0 END AS take
                   FROM {prefix}_c)"""
@@ -65,7 +63,7 @@ def hash_sql(id_col: str, seed: str = "42") -> str:
 CORPUS = f"""
 c_comments AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
                FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-c_en AS (SELECT * FROM c_comments WHERE lang = 'en'),
+c_en AS (SELECT * FROM c_comments WHERE lang = 'en' AND toxic IS NOT NULL),
 {quota_ctes('c_en', 'q', "n - CAST(ceil(CAST(0.2 AS DOUBLE) * n) AS BIGINT)")},
 c_ranked AS (SELECT e.*, row_number() OVER (PARTITION BY e.toxic ORDER BY {hash_sql('e.doc_id')}, e.doc_id) AS rn
              FROM c_en e),
@@ -74,8 +72,8 @@ c_splits AS (
          CASE WHEN r.rn <= q.cnt - q.take THEN 'English Test (20%)' ELSE 'train' END AS split
   FROM c_ranked r JOIN q_take q ON r.toxic = q.toxic
   UNION ALL
-  SELECT doc_id, text, lang, source, n_chars, quality, toxic, 'Multilingual Val' AS split
-  FROM c_comments WHERE lang <> 'en'),
+  SELECT doc_id, text, coalesce(lang, 'und') AS lang, source, n_chars, quality, toxic, 'Multilingual Val' AS split
+  FROM c_comments WHERE lang IS DISTINCT FROM 'en' AND toxic IS NOT NULL),
 c_clean AS (SELECT doc_id, split, lang, toxic, {aggressive_sql('text')} AS clean FROM c_splits)"""
 
 FEATURES = """
@@ -176,6 +174,3 @@ def metrics_select(src: str, groups: list[str], thr: str = "CAST(0.5 AS DOUBLE)"
     cols = ", ".join(f"c.{x}" for x in groups)
     return f"""SELECT {cols}, c.n, {thr} AS threshold, a.auc_roc, {rates_sql()}
 FROM ({conf_select(src, g, thr)}) c JOIN ({auc_select(src, g)}) a ON {on}"""
-
-
-GRID_SQL = "[" + ", ".join(f"CAST({i} AS DOUBLE) / 20" for i in range(1, len(GRID) + 1)) + "]"

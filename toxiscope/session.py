@@ -27,6 +27,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("toxiscope.scan.partitions", "" if cores == "*" else str(cores))
         .config("spark.driver.memory", os.environ.get("TOXISCOPE_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
@@ -38,8 +39,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for ``checkpoint()`` / written intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session (set by the cluster); only
-    when it is unset -- local runs and tests -- a scratch folder is created.
+    Reads ``spark.checkpoint.dir`` from the session (set by the cluster).
+    Where it is unset a scratch folder is made for a local master; on a
+    cluster a driver-local folder would lose data, so that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -51,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir and sc is not None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="toxiscope-ckpt-")
     if sc is None:
         return conf_dir

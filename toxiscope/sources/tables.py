@@ -24,21 +24,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan by ``key`` when it comes from fewer files than
-    there are cores.
+    """The scan as it is, or hash-partitioned by ``key`` where the session
+    sets ``toxiscope.scan.partitions``.
 
-    A small file with one row group is read by one task, which would then run
-    every regex and explode alone.  Inputs of many files (the large-scale
-    case) are already spread by the scan and are left untouched.
+    For inputs in a few files of one row group each, which would be read by as
+    many tasks; a shuffle of the table, so the choice is the user's.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        files = len(df.inputFiles())
-    except Exception:  # noqa: BLE001 - not a file relation / no context handle
-        return df
-    if files >= cores:
-        return df
-    return df.repartition(cores, key)
+    parts = df.sparkSession.conf.get("toxiscope.scan.partitions", "")
+    return df.repartition(int(parts), key) if parts else df
 
 
 def label_join(documents: DataFrame, labels: DataFrame) -> DataFrame:

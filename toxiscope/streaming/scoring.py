@@ -5,7 +5,7 @@
 * ``score_with_udf`` -- any ``texts -> probabilities`` model through
   ``predict_batch_udf``: Arrow batches, the model is built once per Python
   worker.  ``nb_batch_scorer`` packages the fitted Naive Bayes weights that
-  way (the shape a neural scorer plugs into).
+  way (the shape a neural scorer plugs into); texts are cleaned in the JVM.
 * ``score_stream`` -- new comment files in a directory are scored with
   ``score_texts`` inside ``foreachBatch`` (per-document sums are
   aggregations, which a pure streaming plan would have to keep as state) and
@@ -15,23 +15,21 @@
 
 from __future__ import annotations
 
-import math
-import re
-
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from toxiscope.functions.text import aggressive_clean, verdict, verdict_prob
+from toxiscope.functions.text import CLEANERS, verdict, verdict_prob
 from toxiscope.operators import features as fe
 from toxiscope.operators import naive_bayes as nb
 
 
 def score_texts(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFrame,
-                model: DataFrame, partitions: int | None = None) -> DataFrame:
-    """df keys + (score, y_prob) for any text table.
+                model: DataFrame, partitions: int | None = None, cleaner: str = "aggressive") -> DataFrame:
+    """df keys + (score, y_prob) for any text table; ``cleaner`` names one of ``CLEANERS``.
 
     The texts are hash-partitioned by key once; the postings aggregation,
     the per-document norm window, the per-document score sum and the final
@@ -40,16 +38,16 @@ def score_texts(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFram
     """
     docs = df.select(*key_cols, text_col)
     docs = docs.repartition(partitions, *key_cols) if partitions else docs.repartition(*key_cols)
-    clean = docs.select(*key_cols, aggressive_clean(text_col).alias("clean"))
+    clean = docs.select(*key_cols, CLEANERS[cleaner](text_col).alias("clean"))
     post = fe.term_postings(clean, id_col=key_cols)
     w = fe.tfidf_transform(post, idf, id_col=key_cols)
     return nb.nb_scores(w, model, docs, id_col=key_cols)
 
 
 def score_comments(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFrame,
-                   model: DataFrame, threshold: float = 0.5) -> DataFrame:
+                   model: DataFrame, threshold: float = 0.5, cleaner: str = "aggressive") -> DataFrame:
     """keys + (y_prob, verdict): blank text short-circuits to the dash / 0.0."""
-    s = score_texts(df, key_cols, text_col, idf, model)
+    s = score_texts(df, key_cols, text_col, idf, model, cleaner=cleaner)
     return s.select(*key_cols, F.round(verdict_prob(text_col, "y_prob"), 6).alias("y_prob"),
                     verdict(text_col, "y_prob", threshold).alias("verdict"))
 
@@ -58,57 +56,41 @@ def score_comments(df: DataFrame, key_cols: list[str], text_col: str, idf: DataF
 # Pluggable batch scorer
 # ---------------------------------------------------------------------------
 
-# Python re patterns of the aggressive cleaner (same rules as
-# toxiscope.functions.text, in Python's own Unicode syntax).
-_URL = re.compile(r"http\S+|www\.\S+")
-_TAG = re.compile(r"<[^>]+>")
-_NON_ALNUM = re.compile(r"[^a-z0-9]+")
-
-
-def _clean_py(text) -> str:
-    if not isinstance(text, str):
-        return ""
-    t = _TAG.sub("", _URL.sub("", text.lower()))
-    return _NON_ALNUM.sub(" ", t).strip()
-
-
-def nb_batch_scorer(idf: DataFrame, model: DataFrame):
+def nb_batch_scorer(idf: DataFrame, model: DataFrame, most: int = fe.BROADCAST_ROWS):
     """``make_predict_fn`` for ``predict_batch_udf`` from a fitted Naive Bayes.
 
-    The model table has one row per vocabulary term (at most
-    ``max_features``), so it is small enough to ship to workers as a
-    broadcast variable; each worker builds its lookup once.
+    It takes cleaned texts.  The model's terms go to the workers whole, so a
+    model of more than ``most`` terms is refused (``score_texts`` joins
+    instead).  A batch is one sparse product: all its n-grams are looked up
+    together and summed by (text, term), then by text.
     """
-    spark = model.sparkSession
     terms = (idf.select("term", "idf").join(model.select("term", "log_ratio", "prior"), "term")
-                .toPandas())
+                .limit(most + 1).toPandas())
+    if len(terms) > most:
+        raise ValueError(f"a model of more than {most} terms doesn't go to workers whole; use score_texts")
     prior = float(terms["prior"].iloc[0]) if len(terms) else 0.0
-    payload = spark.sparkContext.broadcast(
+    payload = model.sparkSession.sparkContext.broadcast(
         (terms["term"].tolist(), terms["idf"].to_numpy(), terms["log_ratio"].to_numpy(), prior))
 
     def make_predict_fn():
-        names, idf_v, lr_v, prior_v = payload.value
-        index = {t: i for i, t in enumerate(names)}
-
-        def score_one(text) -> float:
-            tok = [t for t in _clean_py(text).split(" ") if len(t) >= 2]
-            grams = tok + [f"{a} {b}" for a, b in zip(tok, tok[1:])]
-            counts: dict[int, int] = {}
-            for g in grams:
-                j = index.get(g)
-                if j is not None:
-                    counts[j] = counts.get(j, 0) + 1
-            if not counts:
-                return round(prior_v, 8)
-            idx = np.fromiter(counts.keys(), dtype=np.int64)
-            tf = np.fromiter(counts.values(), dtype=np.float64)
-            raw = (1.0 + np.log(tf)) * idf_v[idx]
-            w = raw / math.sqrt(float(np.dot(raw, raw)))
-            return round(prior_v + float(np.dot(w, lr_v[idx])), 8)
+        names, idf_v, ratio_v, prior_v = payload.value
+        index = pd.Index(names)
 
         def predict(texts: np.ndarray) -> np.ndarray:
-            scores = np.array([score_one(t) for t in texts], dtype=np.float64)
-            return 1.0 / (1.0 + np.exp(-scores))
+            tokens = pd.Series(texts).str.split(" ").explode()
+            tokens = tokens[tokens.str.len() >= 2]
+            text, token = tokens.index.to_numpy(), tokens.to_numpy(dtype=object)
+            pair = text[1:] == text[:-1]
+            grams = np.concatenate((token, token[:-1][pair] + " " + token[1:][pair]))
+            owner = np.concatenate((text, text[:-1][pair]))
+            term = index.get_indexer(grams)
+            width = max(1, len(names))
+            cells, tf = np.unique(owner[term >= 0] * width + term[term >= 0], return_counts=True)
+            owner, term = cells // width, cells % width
+            raw = (1.0 + np.log(tf)) * idf_v[term]
+            norm = np.sqrt(np.bincount(owner, raw * raw, len(texts)))
+            dot = np.bincount(owner, raw * ratio_v[term], len(texts)) / np.where(norm > 0, norm, 1.0)
+            return 1.0 / (1.0 + np.exp(-np.round(prior_v + dot, nb.SCORE_DIGITS)))
 
         return predict
 
@@ -116,10 +98,10 @@ def nb_batch_scorer(idf: DataFrame, model: DataFrame):
 
 
 def score_with_udf(df: DataFrame, text_col: str, make_predict_fn, batch_size: int = 256,
-                   out: str = "y_prob") -> DataFrame:
-    """df + ``out`` from a ``texts -> probabilities`` model (Arrow batches)."""
+                   out: str = "y_prob", cleaner: str = "aggressive") -> DataFrame:
+    """df + ``out`` from a ``cleaned texts -> probabilities`` model (Arrow batches)."""
     udf = predict_batch_udf(make_predict_fn, return_type=DoubleType(), batch_size=batch_size)
-    return df.withColumn(out, udf(F.coalesce(F.col(text_col), F.lit(""))))
+    return df.withColumn(out, udf(CLEANERS[cleaner](text_col)))
 
 
 def scoring_throughput(texts: DataFrame, order_col: str, text_col: str, idf: DataFrame,
@@ -143,9 +125,14 @@ def scoring_throughput(texts: DataFrame, order_col: str, text_col: str, idf: Dat
 
 def score_stream(spark: SparkSession, source_dir: str, schema, key_cols: list[str], text_col: str,
                  idf: DataFrame, model: DataFrame, sink_dir: str, checkpoint: str,
-                 threshold: float = 0.5, fmt: str = "parquet", max_files: int | None = None):
+                 threshold: float = 0.5, fmt: str = "parquet", max_files: int | None = None,
+                 cleaner: str = "aggressive"):
     """Start the stream; returns the StreamingQuery (AvailableNow trigger).
 
+    A key is scored once, however many files bring it: the checkpointed state
+    keeps the keys seen (on a cluster with the RocksDB state store, so that
+    its size isn't bound by memory).
+
     Each micro-batch is written to ``sink_dir/batch_id=<n>`` with overwrite,
     so a batch replayed after a failure replaces its own output: the sink is
     idempotent and the checkpoint makes the source exactly-once.
@@ -153,10 +140,10 @@ def score_stream(spark: SparkSession, source_dir: str, schema, key_cols: list[st
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.load(source_dir)
+    stream = reader.load(source_dir).dropDuplicates(key_cols)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = score_comments(batch, key_cols, text_col, idf, model, threshold)
+        scored = score_comments(batch, key_cols, text_col, idf, model, threshold, cleaner)
         scored.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(write_batch)
