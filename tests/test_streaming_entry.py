@@ -19,6 +19,8 @@ def test_stream_equals_batch(spark, small_chain):
     src = tempfile.mkdtemp(prefix="toxiscope-src-")
     for i, part in enumerate(conv.randomSplit([0.5, 0.5], seed=1)):
         part.write.mode("overwrite").parquet(os.path.join(src, f"chunk{i}"))
+    # a turn that comes again in a later file is scored once
+    conv.limit(5).write.mode("overwrite").parquet(os.path.join(src, "chunk2"))
     files_dir = os.path.join(src, "*")
     sink = tempfile.mkdtemp(prefix="toxiscope-sink-")
     ckpt = tempfile.mkdtemp(prefix="toxiscope-ckpt-")
@@ -32,6 +34,17 @@ def test_stream_equals_batch(spark, small_chain):
     assert a == b and len(a) == conv.count()
 
 
+def test_scorers_take_a_cleaner(spark, small_chain):
+    c = small_chain
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rel = score_texts(docs, ["doc_id"], "text", c.idf, c.nb_model(), cleaner="none")
+    udf = score_with_udf(docs, "text", nb_batch_scorer(c.idf, c.nb_model()), cleaner="none")
+    a = {r.doc_id: r.y_prob for r in rel.collect()}
+    b = {r.doc_id: r.y_prob for r in udf.collect()}
+    other = {r.doc_id: r.y_prob for r in score_texts(docs, ["doc_id"], "text", c.idf, c.nb_model()).collect()}
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-7 and a != other
+
+
 def test_batch_udf_equals_relational(spark, small_chain):
     c = small_chain
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")

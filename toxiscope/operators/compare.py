@@ -115,8 +115,9 @@ def explain_documents(weights: DataFrame, term_weights: DataFrame, k: int = 10,
     """
     c = (weights.join(F.broadcast(term_weights.select("term", "coef")), "term")
                 .withColumn("contribution", F.round(F.col("weight") * F.col("coef"), 8)))
-    total = F.sum("contribution").over(Window.partitionBy(id_col))
-    c = c.withColumn("total", F.round(total, digits))
+    # the 8-digit contributions add up exactly, in whatever order
+    total = F.sum(F.col("contribution").cast("decimal(18,8)")).over(Window.partitionBy(id_col))
+    c = c.withColumn("total", F.round(total, digits).cast("double"))
     top = top_k(c, [id_col], [F.desc("contribution"), F.asc("term")], k)
     return top.select(id_col, "rank", "term", F.round("contribution", digits).alias("contribution"), "total")
 

@@ -93,7 +93,7 @@ def q_top_features(spark, sf):
 @query("explain_document", o.with_(*BASE, o.NB, """
 ct AS (SELECT w.doc_id, w.term, round(w.weight * n.log_ratio, 8) AS contribution
        FROM c_w w JOIN c_nb n ON w.term = n.term WHERE w.split <> 'train'),
-tot AS (SELECT doc_id, round(sum(contribution), 6) AS total FROM ct GROUP BY doc_id)""") + """
+tot AS (SELECT doc_id, CAST(round(sum(CAST(contribution AS DECIMAL(18,8))), 6) AS DOUBLE) AS total FROM ct GROUP BY doc_id)""") + """
 SELECT r.doc_id, CAST(r.rank AS INTEGER) AS rank, r.term, round(r.contribution, 6) AS contribution, t.total
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY contribution DESC, term) AS rank FROM ct) r
 JOIN tot t ON r.doc_id = t.doc_id WHERE r.rank <= 10""")
