@@ -17,6 +17,7 @@ combined and bounded by the vocabulary size before anything is broadcast.
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -185,6 +186,16 @@ class Chain:
             return nb.nb_fit(train_w, train_y, self.idf, alpha)
         return self._get(("nb", alpha), build, keep="checkpoint")
 
+    def nb_fit_seconds(self) -> float:
+        """Wall seconds of a Naive Bayes fit on the kept weights."""
+        def build():
+            train = self.weights.filter(F.col("split") == TRAIN)
+            labels = self.cleaned.filter(F.col("split") == TRAIN).select("toxic")
+            began = time.perf_counter()
+            nb.nb_fit(train, labels, self.idf).write.format("noop").mode("overwrite").save()
+            return time.perf_counter() - began
+        return self._get("nb_fit_seconds", build)
+
     def nb_predictions(self, alpha: float = nb.ALPHA, splits=(TEST, VAL)) -> DataFrame:
         """(model, split, lang, doc_id, y_true, score, y_prob)."""
         def build():

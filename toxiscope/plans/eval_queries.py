@@ -159,19 +159,6 @@ def q_confusion_counts(spark, sf):
     return ev.confusion_counts(_eval(spark, sf), G)
 
 
-@query("confusion_by_language", o.with_(*BASE, """
-cells AS (SELECT a.actual, p.predicted FROM (VALUES (0), (1)) a(actual), (VALUES (0), (1)) p(predicted)),
-keys AS (SELECT DISTINCT model, lang FROM c_preds WHERE split = 'Multilingual Val'),
-obs AS (SELECT model, lang, y_true AS actual, CASE WHEN y_prob >= 0.5 THEN 1 ELSE 0 END AS predicted,
-               count(*) AS n
-        FROM c_preds WHERE split = 'Multilingual Val' GROUP BY ALL)""") + """
-SELECT k.model, k.lang, c.actual, c.predicted, CAST(coalesce(o.n, 0) AS BIGINT) AS n
-FROM keys k CROSS JOIN cells c
-LEFT JOIN obs o ON o.model = k.model AND o.lang = k.lang AND o.actual = c.actual AND o.predicted = c.predicted""")
-def q_confusion_by_language(spark, sf):
-    return cmp.confusion_long(_preds(spark, sf).filter(F.col("split") == VAL), ["model", "lang"])
-
-
 @query("classification_metrics", o.with_(*BASE) + """
 SELECT model, auc_roc, f1, accuracy, precision, recall FROM (""" +
        o.metrics_select("(SELECT * FROM c_preds WHERE split = 'English Test (20%)')", ["model"]) + ")")
@@ -234,6 +221,22 @@ def _tuned(spark, sf, alpha=0.1):
 TUNED_SQL = """
 tuned AS (SELECT model, threshold, f1 AS tuned_f1 FROM best WHERE split = 'Multilingual Val')"""
 
+@query("confusion_by_language", o.with_(*BASE, o.EVAL, TC_SQL, BEST_SQL, TUNED_SQL, """
+cells AS (SELECT a.actual, p.predicted FROM (VALUES (0), (1)) a(actual), (VALUES (0), (1)) p(predicted)),
+keys AS (SELECT DISTINCT model, lang FROM c_preds WHERE split = 'Multilingual Val'),
+obs AS (SELECT p.model, p.lang, p.y_true AS actual, CASE WHEN p.y_prob >= t.threshold THEN 1 ELSE 0 END AS predicted,
+               count(*) AS n
+        FROM c_preds p JOIN tuned t ON p.model = t.model WHERE p.split = 'Multilingual Val' GROUP BY ALL)""") + """
+SELECT k.model, k.lang, c.actual, c.predicted, CAST(coalesce(o.n, 0) AS BIGINT) AS n
+FROM keys k CROSS JOIN cells c
+LEFT JOIN obs o ON o.model = k.model AND o.lang = k.lang AND o.actual = c.actual AND o.predicted = c.predicted""")
+def q_confusion_by_language(spark, sf):
+    """At each model's own threshold, tuned on the whole validation split."""
+    rows = _preds(spark, sf).filter(F.col("split") == VAL)
+    rows = rows.join(F.broadcast(_tuned(spark, sf)).select("model", "threshold"), "model")  # a row per model
+    return cmp.confusion_long(rows, ["model", "lang"], threshold=F.col("threshold"))
+
+
 def _tuned_metrics(spark, sf):
     rows = _eval(spark, sf).join(F.broadcast(_tuned(spark, sf)).select("model", "threshold"), "model")
     return ev.classification_metrics(rows, G, threshold=None)

@@ -7,6 +7,8 @@ names on the driver, contents are read by Spark.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,13 +63,13 @@ def read_comments_csv(spark: SparkSession, path: str, schema: T.StructType = COM
                       text_col: str = "comment_text") -> DataFrame:
     """Comment CSV with quoted multi-line cells; missing-value literals -> NULL.
 
-    ``doc_id`` is a stable key: xxhash64 of the file's own ``id`` column.
+    ``doc_id`` is the file's own ``id``.
     """
     df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
                .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path))
     df = df.withColumn(text_col, F.when(F.col(text_col).isin(*MISSING_TEXT), F.lit(None))
                        .otherwise(F.col(text_col)))
-    return df.withColumn("doc_id", F.xxhash64("id"))
+    return df.withColumn("doc_id", F.col("id"))
 
 
 def read_metric_tables(spark: SparkSession, directory: str,
@@ -96,11 +98,12 @@ def read_predictions(spark: SparkSession, directory: str, split_tag: str) -> Dat
     """``preds_<model>_<split_tag>.csv`` files -> (model, y_true, y_prob, lang);
     the model name comes from the file name with ``_`` -> space."""
     schema = "y_true int, y_prob double, lang string"
-    paths = _fs_list(spark, directory, f"preds_*_{split_tag}.csv")
+    paths = _fs_list(spark, directory, f"preds_*_{re.sub(r'([][{}*?\\])', r'\\\1', split_tag)}.csv")
     if not paths:
         return spark.createDataFrame([], "model string, " + schema)
     df = spark.read.option("header", True).schema(schema).csv(paths)
-    name = F.regexp_extract(F.col("_metadata.file_name"), f"^preds_(.*)_{split_tag}\\.csv$", 1)
+    # the last part of the path that is such a name: a file, or a folder that Spark wrote
+    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/preds_([^/]*)_{re.escape(split_tag)}\.csv(?:/[^/]*)?$", 1)
     return df.select(F.translate(name, "_", " ").alias("model"), "y_true", "y_prob", "lang")
 
 
