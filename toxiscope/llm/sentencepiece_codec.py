@@ -36,7 +36,9 @@ from toxiscope.llm.common import text_steps
 from toxiscope.llm.words import mix
 
 MARK = 0x2581
-CACHED_STRETCHES, CACHED_PAIRS = 300_000, 2_000_000
+CACHED_STRETCHES, CACHED_PAIRS = 300_000, 1_000_000
+#: Bytes of text encoded, and ids decoded, at once (a longer text alone).
+STEP_BYTES, STEP_IDS = 1 << 20, 250_000
 _ODD, _ODD_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 
 _loaded: dict[str, "Vocabulary"] = {}
@@ -128,11 +130,14 @@ class Vocabulary:
         suffixes = np.lib.stride_tricks.sliding_window_view(padded, self.depth)[:len(codes)]
         suffixes = np.where(np.arange(self.depth) < left[:, None], suffixes, 0)
         # the array: suffixes sorted by their first ``depth`` characters, four to a number
-        wide = -(-self.depth // 4) * 4
-        numbers = np.zeros((len(codes), wide), np.uint64)
-        numbers[:, :self.depth] = suffixes
-        packed = [(numbers[:, j] << np.uint64(48)) | (numbers[:, j + 1] << np.uint64(32))
-                  | (numbers[:, j + 2] << np.uint64(16)) | numbers[:, j + 3] for j in range(0, wide, 4)]
+        packed = []
+        for j in range(0, self.depth, 4):
+            number = np.zeros(len(codes), np.uint64)
+            for k in range(j, j + 4):
+                number <<= np.uint64(16)
+                if k < self.depth:
+                    number |= suffixes[:, k].astype(np.uint64)
+            packed.append(number)
         order = np.lexsort(packed[::-1])
         keys = self._keys(suffixes[order])
         low = np.searchsorted(keys, self.low, "left")
@@ -285,14 +290,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", columns: tuple[str, .
     def work(batches):
         v = vocabulary(path)
         for batch in batches:
-            ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-            for _, _, data, offsets in text_steps(batch):
-                found, n = encode_step(v, data, offsets)
-                ids.append(found)
-                counts.append(n)
-            offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), lists], [*own, "ids"])
+            for at, end, data, offsets in text_steps(batch, limit=STEP_BYTES):
+                ids, counts = encode_step(v, data, offsets)
+                bounds = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, end - at) for c in own), lists], [*own, "ids"])
 
     named = docs.select(*[F.col(c).alias(o) for c, o in zip(columns, own, strict=True)], F.col(text).alias("text"))
     kinds = [f"{o} {named.schema[o].dataType.simpleString()}" for o in own]
@@ -309,10 +311,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "text") ->
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("ids"))
             lists = pa.array([x or [] for x in lists.to_pylist()], pa.list_(pa.int32())) if lists.null_count else lists
-            flat = lists.flatten().to_numpy()
-            offsets = lists.offsets.to_numpy()
-            texts = decode_rows(v, flat, offsets.astype(np.int64) - offsets[0])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), texts], [*own, "text"])
+            flat, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+            bounds = bounds - bounds[0]
+            at = 0
+            while at < len(lists):
+                end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + STEP_IDS, "right")) - 1)
+                texts = decode_rows(v, flat[bounds[at]:bounds[end]], bounds[at:end + 1] - bounds[at])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, end - at) for c in own), texts], [*own, "text"])
+                at = end
 
     named = encoded.select(*[F.col(c).alias(o) for c, o in zip(encoded.columns, own, strict=True)], F.col(ids).alias("ids"))
     kinds = [f"{o} {named.schema[o].dataType.simpleString()}" for o in own]
