@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toxiscope.llm.common import crc_bucket, text_steps
+from toxiscope.llm.common import Scratch, crc_bucket, text_steps
 from toxiscope.llm.words import ALNUM, LOWER, byte_sums, mix, span_hashes, spans
 
 FIT_DOCS, FEATURES, VOTERS = 20_000, 2048, 256
@@ -221,7 +221,9 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = (labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic"))
              .filter(F.col("toxic").isin(0, 1) & ~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    scorer = fit(named.filter(F.col("doc_id").isNotNull() & ~held_out).join(known, "doc_id"))
+    # the labelled texts, shuffled once whatever the sizes, and kept for the passes over them
+    labelled = named.filter(F.col("doc_id").isNotNull() & ~held_out).join(known.hint("merge"), "doc_id")
+    scorer = fit(Scratch(docs.sparkSession, "toxicity").keep(labelled, "labelled"))
 
     def apply(batches):
         for batch in batches:
