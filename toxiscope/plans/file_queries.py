@@ -171,7 +171,7 @@ def q_fit_time_report(spark, sf):
     """The English-test metric rows of all three models with their fit times (times aren't comparable: if known)."""
     from toxiscope.plans import mllib_baselines as mb
     c = chain(spark, sf)
-    rows = mb.comparison(c).filter(F.col("split") == TEST).join(F.broadcast(mb.fit_times(c)), "model", "left")
+    rows = mb.comparison(c).filter(F.col("split") == TEST).join(F.broadcast(mb.all_fit_times(c)), "model", "left")
     return rows.select("model", "split", "n", F.col("train_time_s").isNotNull().alias("timed"))
 
 
