@@ -11,8 +11,9 @@ region is that of its first shingle.  The triangle inequality bounds how many
 of its shingles a linked document can miss, floor((1 - THRESHOLD) n): it is
 replicated to the regions of that many more shingles, and any two linked
 documents meet in a region.  The order puts shingles that fill large regions
-(more than ``HOT`` of the first round's replicas) last, which recursively
-splits the regions of common passages by what else their documents hold.
+(more than ``HOT`` replicas, found in two rounds) last, which recursively
+splits the regions of common passages and of large groups by what else their
+documents hold.
 
 *Balls.*  In every region one document is the pivot.  Each document is
 compared exactly with the pivot it shares most regions with; those within
@@ -20,9 +21,9 @@ the threshold hang on it, so a group of any number of near copies costs one
 comparison a document and round, never all pairs.  Documents of a region that
 has more than one component left go to the next round with other pivots.
 After ``ROUNDS`` rounds the regions that still hold several components
-pair members across components only, and compare a pair exactly if its sizes
-and the number of regions it shares leave it a chance, again by the triangle
-inequality.  Every pair that can be linked is thus compared or already
+pair members across components only, and compare a pair exactly if its sizes,
+the places of the common shingle and the number of regions it shares leave it
+a chance, again by the triangle inequality.  Every pair that can be linked is thus compared or already
 connected: components are exact.
 
 Equal sets are one node throughout.  A shingle is known by 63 bits of a
@@ -52,7 +53,7 @@ from toxiscope.llm.words import LOWER, SOLID, mix, shingles, span_hashes, spans
 SHINGLE = 5
 #: A link: PER * |intersection| >= LEAST * |union|.
 LEAST, PER = 80, 100
-HOT, ROUNDS = 8, 2
+HOT, DENSE, ROUNDS = 8, 8, 2
 ORDER_BITS, NODE_BITS = 1 << 26, 1 << 24
 FIRST = np.int64(-2**63)  # marks the shingles that come first in the order
 
@@ -82,7 +83,24 @@ def signature(shingles_: np.ndarray, salt: int) -> int:
 
 
 def _common(docs: DataFrame) -> np.ndarray:
-    """Table of the shingles that more than HOT documents have among their first, in plain hash order."""
+    """Table of common shingles: first those that more than HOT documents have
+    among their first in hash order; then, of all shingles of the documents
+    that have a good share of these, again those of more than HOT documents.
+    """
+    first = _counted(docs, None)
+    return first | _counted(docs, docs.sparkSession.sparkContext.broadcast(first))
+
+
+def _counted(docs: DataFrame, table) -> np.ndarray:
+    """Without a table: counts the shingles in the documents' first regions; with one: all
+    shingles of the documents of whose first regions one in DENSE or more is in the table."""
+    def chosen(own: np.ndarray) -> np.ndarray:
+        start = own[:prefix_length(len(own))] & 0x7FFFFFFF
+        if table is None:
+            return start
+        dense = DENSE * np.count_nonzero(in_table(table.value, start)) >= max(1, len(start))
+        return own & 0x7FFFFFFF if dense else start[:0]
+
     def count(batches):
         kept, size = [], 0
 
@@ -96,7 +114,7 @@ def _common(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             for _, _, data, offsets in text_steps(batch):
                 for own in shingle_sets(data, offsets):
-                    kept.append((own[:prefix_length(len(own))] & 0x7FFFFFFF).astype(np.int32))
+                    kept.append(chosen(own).astype(np.int32))
                     size += len(kept[-1])
                 if size > 8_000_000:
                     yield from rows()
@@ -157,25 +175,79 @@ def _enough(shared: Column, n: Column, m: Column) -> Column:
     return shared >= _overlap(n, m) - F.ceil(LEAST * F.greatest(n, m) / F.lit(PER)).cast("int") + 1
 
 
-def _links(docs: DataFrame, pairs: DataFrame, table, scratch: Scratch, name: str) -> DataFrame | None:
-    """(u, v): the pairs of nodes that an exact comparison of their sets links; None if there is no pair.
-
-    Only the sets of nodes in a pair leave the tasks that make them.
+class _Known:
+    """Whole sets of nodes, fetched from the texts."""
+
+    def __init__(self, docs: DataFrame, table, scratch: Scratch):
+        self.docs, self.table, self.scratch, self.sets, self.n = docs, table, scratch, None, 0
+
+    def fetch(self, nodes: DataFrame) -> None:
+        """Only the sets of ``nodes`` leave the tasks that make them."""
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
+        nodes = self.scratch.keep(nodes.distinct(), f"wanted-{self.n}")
+        if nodes.isEmpty():
+            return
+        wanted = self.docs.sparkSession.sparkContext.broadcast(bit_table(nodes, "node", NODE_BITS))
+        found = (_sets(self.docs, self.table, wanted).select("node", "n", "shingles").dropDuplicates(["node"])
+                 .join(nodes, "node", "left_semi"))
+        found = self.scratch.keep(found, f"sets-{self.n}")
+        self.sets = found if self.sets is None else self.sets.unionByName(found)
+        self.n += 1
+        _release(self.scratch)
+
+    def links(self, pairs: DataFrame, name: str) -> DataFrame | None:
+        """(u, v): the pairs of nodes that an exact comparison of their sets links; None if there is no pair.
+
+        Pairs of nodes whose sets aren't known are left out.
+        """
+        if self.sets is None or pairs.isEmpty():
+            return None
+        sets = self.sets
+        left = pairs.join(sets.select(F.col("node").alias("u"), "n", F.col("shingles").alias("left")), "u")
+        both = left.join(sets.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("shingles").alias("right")), "v")
+        found = (both.select("u", "v", "n", "m", F.size(F.array_intersect("left", "right")).alias("both"))
+                 .filter(PER * F.col("both") >= LEAST * (F.col("n") + F.col("m") - F.col("both"))).select("u", "v"))
+        found = self.scratch.keep(found, f"{name}-links")
+        _release(self.scratch)
+        return found
+
+
+def _left_over(open_: DataFrame, labels: DataFrame) -> DataFrame:
+    """(u, v): pairs across components of a region that sizes and places leave.
+
+    A pair's first common shingle is followed by all the others, so the
+    smaller set has it among its first n - 8n/9; and one of the two is
+    outside the region's largest component.  Joining only such rows keeps
+    regions of one large component, and those of many far members, linear.
     """
-    if pairs.isEmpty():
-        return None
-    used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(used, "node", NODE_BITS))
-    sets = scratch.keep(_sets(docs, table, wanted).select("node", "n", "shingles").dropDuplicates(["node"])
-                        .join(used, "node", "left_semi"), f"{name}-sets")
-    left = pairs.join(sets.select(F.col("node").alias("u"), "n", F.col("shingles").alias("left")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("shingles").alias("right")), "v")
-    found = (both.select("u", "v", "n", "m", F.size(F.array_intersect("left", "right")).alias("both"))
-             .filter(PER * F.col("both") >= LEAST * (F.col("n") + F.col("m") - F.col("both"))).select("u", "v"))
-    found = scratch.keep(found, f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    _release(scratch)
-    return found
+    placed = open_.join(labels, "node").select("region", "node", "n", "place", "component")
+    main = (placed.groupBy("region", "component").agg(F.count("*").alias("k"))
+            .groupBy("region").agg(F.max(F.struct("k", "component")).alias("m")).select("region", F.col("m.component").alias("main")))
+    placed = placed.join(main, "region").withColumn("main", F.col("component") == F.col("main"))
+    early = placed.filter(F.col("n") - F.col("place") >= _overlap(F.col("n"), F.col("n")))
+
+    def side(rows: DataFrame, names: str) -> DataFrame:
+        node, size, place, component = names.split()
+        return rows.select("region", F.col("node").alias(node), F.col("n").alias(size), F.col("place").alias(place),
+                           F.col("component").alias(component))
+
+    need = _overlap(F.col("n"), F.col("m"))
+    fits = ((F.col("cu") != F.col("cv")) & (F.col("n") <= F.col("m")) & _sizes_fit(F.col("n"), F.col("m"))
+            & (F.col("n") - F.col("i") >= need) & (F.col("m") - F.col("j") >= need))
+    small, large = "u n i cu", "v m j cv"
+    found = [side(early.filter("NOT main"), small).join(side(placed, large), "region").filter(fits),
+             side(early.filter("main"), small).join(side(placed.filter("NOT main"), large), "region").filter(fits)]
+    return found[0].unionByName(found[1]).select(
+        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _sharing(pairs: DataFrame, open_: DataFrame) -> DataFrame:
+    """The pairs that share enough regions; those of a pair across components are all open."""
+    held = open_.groupBy("node", "n").agg(F.collect_list("region").alias("regions"))
+    left = pairs.join(held.select(F.col("node").alias("u"), "n", F.col("regions").alias("left")), "u")
+    both = left.join(held.select(F.col("node").alias("v"), F.col("n").alias("m"), F.col("regions").alias("right")), "v")
+    return both.filter(_enough(F.size(F.array_intersect("left", "right")), F.col("n"), F.col("m"))).select("u", "v")
 
 
 def _release(scratch: Scratch) -> None:
@@ -203,19 +275,22 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
               .filter("a <> b").select("region"))
     members = scratch.keep(replicas.join(shared.hint("merge"), "region").distinct(), "members")
     _release(scratch)
+    known = _Known(named, table, scratch)
+    # for the rounds: nodes that share a fair part of their regions; the others' pairs wait for the last step
+    known.fetch(members.groupBy("node", "n").agg(F.count("*").alias("k")).filter(30 * F.col("k") >= F.col("n")).select("node"))
     links, labels, open_ = None, members.select("node", F.col("node").alias("component")).distinct(), members
     for turn in range(ROUNDS):
         placed = open_.join(labels, "node")
-        # the pivot of a region: the first in the round's order
-        first = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node").alias("v"), F.col("n").alias("m"),
-                         F.col("component").alias("c"))
+        # a region's pivot: first the node that has its shingle earliest, having the fewest rarer ones; then any
+        order = F.col("place").cast("long") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        first = F.struct(order.alias("o"), F.col("node").alias("v"), F.col("n").alias("m"), F.col("component").alias("c"))
         pivots = placed.groupBy("region").agg(F.min(first).alias("pivot"))
         best = (placed.join(pivots, "region")
                 .filter((F.col("component") != F.col("pivot.c")) & _sizes_fit(F.col("n"), F.col("pivot.m")))
                 .groupBy(F.col("node").alias("u"), "n", F.col("pivot.v").alias("v"), F.col("pivot.m").alias("m"))
                 .agg(F.count("*").alias("shared")).filter(_enough(F.col("shared"), F.col("n"), F.col("m")))
                 .groupBy("u").agg(F.max(F.struct("shared", "v")).alias("best")).select("u", F.col("best.v").alias("v")))
-        new = _links(named, scratch.keep(best, f"pairs-{turn}"), table, scratch, f"round-{turn}")
+        new = known.links(scratch.keep(best, f"pairs-{turn}"), f"round-{turn}")
         if new is None:
             continue
         links = new if links is None else links.unionByName(new)
@@ -225,15 +300,10 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         open_ = scratch.keep(_unresolved(open_, labels), f"open-{turn}")
         _release(scratch)
 
-    # what is left: across components, within the window of sizes and common regions
-    placed = open_.join(labels, "node")
-    mine = placed.select("region", F.col("node").alias("u"), "n", F.col("component").alias("cu"))
-    other = placed.select("region", F.col("node").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"))
-    pairs = (mine.join(other, "region")
-             .filter((F.col("cu") < F.col("cv")) & _sizes_fit(F.col("n"), F.col("m")))
-             .groupBy("u", "v", "n", "m").agg(F.count("*").alias("shared"))
-             .filter(_enough(F.col("shared"), F.col("n"), F.col("m"))).select("u", "v"))
-    new = _links(named, scratch.keep(pairs, "pairs-last"), table, scratch, "last")
+    pairs = scratch.keep(_left_over(open_, labels), "left-over")
+    pairs = scratch.keep(_sharing(pairs, open_), "pairs-last")
+    known.fetch(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))))
+    new = known.links(pairs, "last")
     if new is not None:
         links = new if links is None else links.unionByName(new)
     if links is None:
@@ -242,8 +312,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     _release(scratch)
     named_nodes = nodes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named_nodes.groupBy("component").agg(F.min("label").alias("component_id"))
-    known = named_nodes.join(ids, "component").select("node", "component_id")
-    return rows.select("doc_id", "n", "node").join(known, "node", "left").select(
+    ids_of = named_nodes.join(ids, "component").select("node", "component_id")
+    return rows.select("doc_id", "n", "node").join(ids_of, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
