@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from toxiscope.session import checkpoint_dir
 
 #: Bytes of text that one numpy step handles; a longer document is one step of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 class Scratch:

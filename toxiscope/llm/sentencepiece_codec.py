@@ -82,7 +82,7 @@ class Vocabulary:
                    else names[i].replace(chr(MARK), " ").encode() for i in range(n)]
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.surface_at = np.concatenate(([0], np.cumsum([len(s) for s in surface]))).astype(np.int64)
-        self.follows: dict[int, bool] = {}
+        self.pairs, self.follow = np.zeros(0, np.int64), np.zeros(0, bool)  # sorted pairs of pieces and answers
         self.empty_cache()
 
     def empty_cache(self) -> None:
@@ -111,17 +111,20 @@ class Vocabulary:
     def can_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """If each piece may stand behind the piece ``before`` (-1: at the start)."""
         pairs, which = np.unique((before + 1) * (len(self.pieces) + 1) + piece, return_inverse=True)
-        if len(self.follows) > CACHED_PAIRS:
-            self.follows.clear()
-        out = np.empty(len(pairs), bool)
-        for i, pair in enumerate(pairs.tolist()):
-            ok = self.follows.get(pair)
-            if ok is None:
+        at = np.minimum(np.searchsorted(self.pairs, pairs), max(0, len(self.pairs) - 1))
+        new = pairs[self.pairs[at] != pairs] if len(self.pairs) else pairs
+        if len(new):
+            if len(self.pairs) + len(new) > CACHED_PAIRS:
+                self.pairs, self.follow, new = self.pairs[:0], self.follow[:0], pairs
+            told = np.empty(len(new), bool)
+            for i, pair in enumerate(new.tolist()):
                 a, b = divmod(pair, len(self.pieces) + 1)
                 want = ([self.pieces[a - 1]] if a else []) + [self.pieces[b]]
-                ok = self.follows[pair] = self.merged("".join(want)) == want
-            out[i] = ok
-        return out[which]
+                told[i] = self.merged("".join(want)) == want
+            place = np.searchsorted(self.pairs, new)
+            self.pairs, self.follow = np.insert(self.pairs, place, new), np.insert(self.follow, place, told)
+            at = np.searchsorted(self.pairs, pairs)
+        return self.follow[at][which]
 
     def edges(self, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, piece) of all occurrences of all pieces within the stretches."""
