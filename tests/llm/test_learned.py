@@ -140,12 +140,12 @@ def test_pii_edges(edge, empty, small):
 def test_pii_terms(spark):
     """A word that stands only beside one entity gives it away, in other documents too; a common word doesn't."""
     rows = [(i, f"filler{i} the zarquon wrote to joe@host.example.com about the plan{i}") for i in range(6)]
-    rows += [(100 + i, f"the plan of day {i}") for i in range(60)] + [(200, "only zarquon knows")]
+    rows += [(100 + i, f"the plan of day {i}") for i in range(300)] + [(1000, "only zarquon knows")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
-    assert spans[200] == "term:5:12" and spans[100] == ""
+    assert spans[1000] == "term:5:12" and spans[100] == ""
     assert "term:12:19" in spans[0].split(",")
-    found = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in spans[200].split(","))]
+    found = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in spans[1000].split(","))]
     assert pii.redact("only zarquon knows", found) == "only [term] knows"
 
 

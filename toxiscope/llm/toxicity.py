@@ -137,14 +137,17 @@ def posterior(votes: np.ndarray, anchor: np.ndarray) -> np.ndarray:
 
     Each voter fires with a rate of its own in either class; within a class
     voters may be correlated, and a voter's evidence is divided by one plus
-    its positive correlations with the others.
+    its positive correlations with the others.  The given label's rates are
+    estimated too, its accuracy between 1/2 and ANCHOR.
     """
     prior = np.clip(anchor.mean(), 1e-3, 1 - 1e-3)
-    given = np.where(anchor == 1, 1, -1) * np.log(ANCHOR / (1 - ANCHOR))
     q = np.where(anchor == 1, ANCHOR, 1 - ANCHOR)
     for _ in range(EM_ROUNDS):
         on = (q @ votes + 0.5) / (q.sum() + 1)
         off = ((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1)
+        hit = np.clip((q @ anchor + 1) / (q.sum() + 2), 0.5, ANCHOR)
+        false = np.clip(((1 - q) @ anchor + 1) / ((1 - q).sum() + 2), 1 - ANCHOR, 0.5)
+        given = np.where(anchor == 1, np.log(hit / false), np.log((1 - hit) / (1 - false)))
         residual = votes - (q[:, None] * on + (1 - q)[:, None] * off)
         spread = np.sqrt(np.maximum((residual ** 2).mean(0), 1e-9))
         together = (residual.T @ residual) / len(votes) / spread[:, None] / spread
