@@ -97,6 +97,8 @@ def brute_leaks(docs, items):
                 continue
             grams = lambda x: [tuple(x[k:k + 5]) for k in range(max(1, len(x) - 4))]
             b, best = grams(v), 0
+            if set(b).isdisjoint(grams(w)) and len(w) >= 5:
+                continue
             for k in range(len(w) - len(v) + 1):
                 a = grams(w[k:k + len(v)])
                 low = sum(min(a.count(x), b.count(x)) for x in set(a))
