@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from toxiscope.llm import decontamination, jaccard_join, language_id, line_dedup, sentencepiece_codec
+from toxiscope.llm import decontamination, jaccard_join, language_id, line_dedup, passage_dedup, sentencepiece_codec
 from toxiscope.llm.common import Scratch
 from toxiscope.llm.queries import tokenizer_file
 from toxiscope.sources.tables import read_table
@@ -24,8 +24,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows go; a document of which nothing is left goes."""
-    return line_dedup.keep_cleaned(docs)
+    """Later occurrences of repeated three-line windows go, then passages of 50 words that an earlier document holds; a
+    document of which nothing is left goes."""
+    return passage_dedup.keep_cleaned(line_dedup.keep_cleaned(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

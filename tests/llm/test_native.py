@@ -1,10 +1,11 @@
 """Line dedup, exact dedup and licence scan against brute force, and on edge rows."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
-from toxiscope.llm import exact_dedup, license_scan, line_dedup
+from toxiscope.llm import exact_dedup, license_scan, line_dedup, passage_dedup
 from toxiscope.llm.license_rules import rules
 
 
@@ -72,6 +73,53 @@ def test_line_dedup_edges(edge, empty):
     assert line_dedup.keep_cleaned(empty).count() == 0
 
 
+def without_passages(rows):
+    """Brute force over (doc_id, text), ids unique: the words that are left."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        w = (t or "").encode().split()
+        own = [tuple(w[k:k + 50]) for k in range(len(w) - 49)]
+        gone = {p for k, x in enumerate(own) if x in seen for p in range(k, k + 50)}
+        seen |= set(own)
+        out[i] = [x.decode() for k, x in enumerate(w) if k not in gone]
+    return out
+
+
+def test_passages_anywhere(spark, edge):
+    """Passages of 45 to 130 words placed mid-line, at both ends, and in documents of one line."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklé") for _ in range(5))
+    passages = [[word() for _ in range(n)] for n in (45, 49, 50, 51, 60, 90, 130)]
+    rows = [(r.doc_id, r.text) for r in edge.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
+    for d in range(100, 220):
+        w = [word() for _ in range(rng.choice([0, 7, 30, 200]))]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            p, at = rng.choice(passages), rng.randint(0, len(w))
+            w[at:at] = p[rng.choice([0, 0, 3]):]
+        rows.append((d, "".join(x + rng.choice([" ", " ", " ", "\n", " \t"] if d % 3 else [" "]) for x in w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in passage_dedup.dedupe_passages(docs).collect()}
+    want = without_passages(rows)
+    assert {d: (r.text or "").split() for d, r in got.items()} == {d: " ".join(w).split() for d, w in want.items()}
+    for d, t in rows:
+        assert got[d].words_removed == len((t or "").encode().split()) - len(want[d])
+        assert got[d].words_removed or got[d].text == t
+    one_line = {d for d, t in rows if "\n" not in (t or "") and got[d].words_removed}
+    assert len(one_line) > 10 and any(0 < len(want[d]) for d in one_line)
+    both = {r.doc_id: (r.text or "").split() for r in passage_dedup.keep_cleaned(line_dedup.keep_cleaned(docs)).collect()}
+    after_lines = cleaned(rows)
+    left = without_passages([(d, t) for d, t in after_lines.items() if t is None or normal(t).strip(" ") or t == dict(rows)[d]])
+    assert both == {d: " ".join(w).split() for d, w in left.items() if w or not (after_lines[d] or "").split()}
+
+
+def test_passages_edges(edge, empty):
+    got = passage_dedup.dedupe_passages(edge)
+    assert got.columns[:-1] == edge.columns and got.count() == edge.count()
+    kept = passage_dedup.keep_cleaned(edge)
+    assert kept.schema.simpleString() == edge.schema.simpleString() and kept.filter("text IS NULL").count() == 3
+    assert passage_dedup.keep_cleaned(empty).count() == 0
+
+
 def test_empty_tables(empty):
     assert exact_dedup.dedupe(empty).count() == 0
     assert license_scan.scan(empty).count() == 0

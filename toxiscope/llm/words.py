@@ -80,6 +80,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np
     return mix((sums[ends] - sums[starts]) * _power(len(data))[1][starts])
 
 
+def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of every ``k`` consecutive word hashes, the same wherever they stand."""
+    n = len(hashes)
+    up, down = _power(n)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)))
+    return mix((sums[k:] - sums[:-k]) * down[:max(0, n - k + 1)])
+
+
 def shingles(hashes: np.ndarray, owner: np.ndarray, n_texts: int, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash, word position in the batch) of every run of ``k`` words of one text.
 
