@@ -133,6 +133,32 @@ def test_decontamination(spark):
     assert all(found[k] == want[k] for k in found) and len(found) >= 0.9 * len(want)
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    """Documents that are an item without its first or last words, by comparing whole lists of shingles."""
+    from collections import Counter
+    rng = random.Random(31)
+    items = [(i, " ".join("".join(rng.choice("abcdefghijklm") for _ in range(5)) for _ in range(n)))
+             for i, n in enumerate((3, 5, 6, 12, 30, 60, 200))]
+    docs = []
+    for _, text in items:
+        v = text.split()
+        for a, b in ((1, 0), (0, 1), (2, 0), (1, 1), (0, 8), (15, 20)):
+            docs.append((len(docs), " ".join(v[a:len(v) - b])))
+    want = {}
+    for d, t in docs:
+        for i, it in items:
+            w, v = words(t), words(it)
+            if 5 <= len(w) < len(v):
+                a, b = (Counter(tuple(x[k:k + 5]) for k in range(len(x) - 4)) for x in (w, v))
+                s = (a & b).total() / (a | b).total()
+                if s >= 0.8:
+                    want[d, i] = (0, len(w), round(s, 9))
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                       spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.first_word, r.n_words, round(r.similarity, 9)) for r in got} == want
+    assert len(want) > 10 and any(s < 0.85 for _, _, s in want.values())
+
+
 def test_decontamination_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (None, "one")], "item_id long, text string")
     ids = {r.doc_id for r in decontamination.contaminated(edge, bench).collect()}

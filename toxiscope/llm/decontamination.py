@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash windows of an item's size.
 
 For every item size in the benchmark, the windows of that many words of a
-document get a 64-bit SimHash over their word shingles.  Multi-index Hamming
+document get a 64-bit SimHash over their word shingles; a document with fewer
+words is one window as a whole.  Multi-index Hamming
 tables (``RADIUS`` + 1 blocks of bits, so that fingerprints within ``RADIUS``
 agree in one block at least) give all items of that size within the radius,
 and the exact weighted shingle similarity, the sum of the smaller over the
@@ -117,8 +118,8 @@ def _candidates(prints: np.ndarray, sizes: np.ndarray, items: Items) -> tuple[np
     return pairs // len(items.sizes), pairs % len(items.sizes)
 
 
-def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[int, int, int, float]]:
-    """(text, item number, first word, similarity): the best window of every text and item that match."""
+def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[int, int, int, int, float]]:
+    """(text, item number, first word, words, similarity): the best window of every text and item that match."""
     if not len(items.sizes):
         return []
     hashes, bounds, words = text_shingles(data, offsets)
@@ -135,23 +136,24 @@ def matches(data: np.ndarray, offsets: np.ndarray, items: Items) -> list[tuple[i
         starts, sizes = [], []
         for n in np.unique(items.sizes):
             p = positions(n)
-            if n > words[text] or (n < SHINGLE and n != words[text]):
+            if n < SHINGLE and n != words[text]:
                 continue
-            got = hits[a + p:b + 1] - hits[a:b + 1 - p]
+            size = min(p, b - a)
+            got = hits[a + size:b + 1] - hits[a:b + 1 - size]
             start = np.flatnonzero(got >= THRESHOLD * p - 1e-9)
             starts.append(start)
             sizes.append(np.full(len(start), n))
         starts, sizes = np.concatenate(starts or [np.zeros(0, int)]), np.concatenate(sizes or [np.zeros(0, int)])
         if not len(starts):
             continue
-        counts = np.maximum(1, sizes - SHINGLE + 1)
+        counts = np.minimum(np.maximum(1, sizes - SHINGLE + 1), b - a)
         own = hashes[a:b]
         best: dict[int, tuple[float, int]] = {}
         for w, i in zip(*_candidates(fingerprints(own, starts, counts), sizes, items), strict=True):
             s = similarity(own[starts[w]:starts[w] + counts[w]], items.hashes[i])
             if s >= THRESHOLD and (-s, starts[w]) < best.get(i, (0, 0)):
                 best[int(i)] = (-s, int(starts[w]))
-        out += [(int(text), int(items.ids[i]), start, -s) for i, (s, start) in best.items()]
+        out += [(int(text), int(items.ids[i]), start, min(int(items.sizes[i]), int(words[text])), -s) for i, (s, start) in best.items()]
     return out
 
 
@@ -168,19 +170,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for k in range(blocks):
         part = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect() if count else []
         items = block_of([(r.item_id, r.text) for r in part])
-        sizes = dict(zip(items.ids.tolist(), items.sizes.tolist(), strict=True))
-        shared = docs.sparkSession.sparkContext.broadcast((items, [r.item_id for r in part], sizes))
+        shared = docs.sparkSession.sparkContext.broadcast((items, [r.item_id for r in part]))
 
         def find(batches, shared=shared):
-            items, names, sizes = shared.value
+            items, names = shared.value
             for batch in batches:
-                found = [(at + t, i, first, s) for at, _, data, offsets in text_steps(batch)
-                         for t, i, first, s in matches(data, offsets, items)]
+                found = [(at + t, i, first, n, s) for at, _, data, offsets in text_steps(batch)
+                         for t, i, first, n, s in matches(data, offsets, items)]
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array([f[0] for f in found])), pa.array([names[f[1]] for f in found]),
-                         pa.array([f[2] for f in found], pa.int32()), pa.array([sizes[f[1]] for f in found], pa.int32()),
-                         pa.array([f[3] for f in found], pa.float64())],
+                         pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()),
+                         pa.array([f[4] for f in found], pa.float64())],
                         ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
         out = out.unionByName(named.mapInArrow(find, schema)) if k else named.mapInArrow(find, schema)
