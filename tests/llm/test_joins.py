@@ -159,6 +159,26 @@ def test_decontamination_of_documents_shorter_than_the_item(spark):
     assert len(want) > 10 and any(s < 0.85 for _, _, s in want.values())
 
 
+def test_decontamination_of_long_items_at_the_threshold(spark):
+    """Every item with one stretch of new words, similarity 0.80 to 0.81, is found."""
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    items, docs, want = [], [], {}
+    for i in range(1200):
+        n = (60, 104, 204)[i % 3]
+        v = [word() for _ in range(n)]
+        gone = (n - 4) - -(-8 * (n - 4) // 9)
+        at = rng.randint(4, n - gone)
+        items.append((i, " ".join(v)))
+        v[at:at + gone - 4] = [word() for _ in range(gone - 4)]
+        docs.append((i, " ".join(v)))
+        want[i, i] = round((n - 4 - gone) / (n - 4 + gone), 9)
+    assert all(0.8 <= s < 0.81 for s in want.values())
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                       spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want
+
+
 def test_decontamination_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j"), (None, "one")], "item_id long, text string")
     ids = {r.doc_id for r in decontamination.contaminated(edge, bench).collect()}

@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 from toxiscope.llm.common import text_steps
 from toxiscope.llm.words import LOWER, SOLID, shingles, span_hashes, spans
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 15
+SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 FILTER_BITS = 1 << 22
+#: Pairs of a window and an item that may be looked up at once.
+PAIRS = 1 << 23
 
 
 @dataclass
@@ -109,11 +111,14 @@ def _candidates(prints: np.ndarray, sizes: np.ndarray, items: Items) -> tuple[np
         wanted = key(prints, sizes)
         first = np.searchsorted(own[order], wanted, "left")
         count = np.searchsorted(own[order], wanted, "right") - first
-        window = np.repeat(np.arange(len(prints)), count)
-        place = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count) + first[window]
-        item = order[place]
-        near = np.bitwise_count(prints[window] ^ items.prints[item]) <= RADIUS
-        pairs.append(window[near] * len(items.sizes) + item[near])
+        step = max(1, PAIRS // max(1, len(own)))
+        for at in range(0, len(prints), step):
+            some = count[at:at + step]
+            window = np.repeat(np.arange(at, at + len(some)), some)
+            place = np.arange(len(window)) - np.repeat(np.cumsum(some) - some, some) + first[window]
+            item = order[place]
+            near = np.bitwise_count(prints[window] ^ items.prints[item]) <= RADIUS
+            pairs.append(window[near] * len(items.sizes) + item[near])
     pairs = np.unique(np.concatenate(pairs))
     return pairs // len(items.sizes), pairs % len(items.sizes)
 
