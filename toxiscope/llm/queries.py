@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from toxiscope.llm import decontamination, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, passage_dedup, pii, sentencepiece_codec, token_count, toxicity
+from toxiscope.llm import conversation_trie, decontamination, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, passage_dedup, pii, sentencepiece_codec, token_count, toxicity
 from toxiscope.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_passage_dedup")
 def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.dedupe_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_conversation_trie", conversation_trie.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.branched_trie(read_table(spark, sf_dir, "conversations"))
