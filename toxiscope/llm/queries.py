@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from toxiscope.llm import conversation_trie, decontamination, embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, passage_dedup, pii, sentencepiece_codec, token_count, toxicity
+from toxiscope.llm import collocations, conversation_trie, decontamination, embedding_dedup, exact_dedup, jaccard_join, language_id, license_scan, line_dedup, passage_dedup, pii, sentencepiece_codec, token_count, toxicity
 from toxiscope.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_embedding_dedup")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_copies(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_collocations", collocations.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.best(collocations.mine(read_table(spark, sf_dir, "documents")))
