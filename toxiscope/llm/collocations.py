@@ -33,7 +33,9 @@ from toxiscope.llm.words import LOWER, mix, span_hashes, spans
 
 #: Least count of a candidate; share (of 100) of its count at which a longer candidate replaces it; rows of a language.
 LEAST, INSIDE, TOP = 10, 50, 2000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+#: Counted phrases that go to the JVM at once.
+STEP = 1 << 15
 #: Bits of the tables of words and pairs that may be frequent (4 MB each).
 BITS = 1 << 25
 
@@ -56,12 +58,14 @@ class Shard:
         letters = data[_INSIDE[data]]
         coded = pa.LargeStringArray.from_buffers(self.total, pa.py_buffer(sizes), pa.py_buffer(letters)).dictionary_encode()
         self.words, ids = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
-        first = np.zeros(len(self.words), np.int64)
-        first[ids[::-1]] = np.arange(self.total)[::-1]
         name = lang.encode()
         salt = span_hashes(np.frombuffer(name + b"\0", np.uint8), np.array([0]), np.array([len(name) + 1]))
-        self.keys = mix(span_hashes(letters, sizes[first], sizes[first + 1]) + salt)
-        breaks = np.concatenate(([0], np.cumsum(_BREAK[data], dtype=np.int64)))
+        _, places, letters = self.words.buffers()
+        places = np.frombuffer(places, np.int64)[:len(self.words) + 1]
+        letters = np.frombuffer(letters, np.uint8)[:places[-1]] if len(self.words) else np.zeros(0, np.uint8)
+        self.keys = mix(span_hashes(letters, places[:-1], places[1:]) + salt)
+        breaks = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_BREAK[data], out=breaks[1:])
         self.ids, self.counts = ids, np.bincount(ids, minlength=len(self.words))
         cut = np.ones(self.total, bool)
         if self.total:
@@ -163,11 +167,13 @@ def ngram_counts(docs: DataFrame, length: int, tables: list) -> DataFrame:
         known = [np.asarray(t.value) for t in sent]
         for shard in _shards(batches):
             phrase, count, key = _counts(shard, length, known)
-            for at in range(0, len(phrase), 1 << 16):
-                part = phrase[at:at + (1 << 16)]
+            for at in range(0, len(phrase), STEP):
+                part = phrase[at:at + STEP]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(shard.lang), len(part)), part, pa.array(count[at:at + (1 << 16)].astype(np.int64)),
-                     pa.array(key[at:at + (1 << 16)].view(np.int64))], ["lang", "phrase", "n", "key"])
+                    [pa.repeat(pa.scalar(shard.lang), len(part)), part, pa.array(count[at:at + STEP].astype(np.int64)),
+                     pa.array(key[at:at + STEP].view(np.int64))], ["lang", "phrase", "n", "key"])
+            del shard, phrase, count, key
+            pa.default_memory_pool().release_unused()
     sent = [docs.sparkSession.sparkContext.broadcast(t) for t in tables]
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(run, "lang string, phrase string, n long, key long")
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.first("key").alias("key"))
