@@ -1,150 +1,21 @@
-"""Linear models: coefficient listings, and MLlib baselines (logistic
-regression, linear SVM with sigmoid calibration) over TF-IDF postings."""
+"""Coefficient listings of fitted models."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def top_features(coefs: DataFrame, k: int = 30, digits: int = 4) -> DataFrame:
     """(direction, rank, term, weight): the k largest and k smallest weights.
 
-    ``coefs`` is (term, coef), one row per vocabulary term (bounded), so two
-    global orderings are fine; ties by term, on weights rounded to 8 digits.
+    ``coefs`` is (term, coef); two top-k selections, and only their k rows are
+    ranked.  Ties by term, on weights rounded to 8 digits.
     """
     r = F.round("coef", 8)
-    up = coefs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(r), "term")))
-    down = coefs.withColumn("rank", F.row_number().over(Window.orderBy(r, "term")))
-    sel = ["rank", "term", F.round("coef", digits).alias("weight")]
-    return (up.filter(F.col("rank") <= k).select(F.lit("toxic").alias("direction"), *sel)
-              .unionByName(down.filter(F.col("rank") <= k)
-                           .select(F.lit("non_toxic").alias("direction"), *sel)))
 
-
-# ---------------------------------------------------------------------------
-# MLlib baselines
-# ---------------------------------------------------------------------------
-import time  # noqa: E402
-
-from pyspark.ml.classification import LinearSVC, LogisticRegression  # noqa: E402
-from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
-from pyspark.ml.linalg import VectorUDT  # noqa: E402
-
-C = 1.0
-LR_MAX_ITER = 1000
-SVM_MAX_ITER = 5000
-SVM_TOL = 1e-4   # the reference's default tolerance for its linear SVM
-
-
-def vector_schema(df: DataFrame, out: str = "features"):
-    """Schema that reads the written structs of ``sparse_structs`` back as vectors."""
-    from pyspark.sql.types import StructField, StructType
-    return StructType([StructField(f.name, VectorUDT() if f.name == out else f.dataType, True) for f in df.schema])
-
-
-def sparse_structs(weights: DataFrame, docs: DataFrame, size: int, id_col: str = "doc_id",
-                   out: str = "features") -> DataFrame:
-    """docs + ``out``, the stored form of a sparse vector of width ``size``.
-
-    Postings are grouped per document in index order by built-in functions;
-    written and read back under ``vector_schema`` the column is a vector, so
-    no Python runs per row.  Documents without postings get an empty vector.
-    """
-    per = weights.groupBy(id_col).agg(
-        F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_p"))
-    none = F.array().cast("array<struct<idx:int,weight:double>>")
-    j = docs.join(per, id_col, "left").withColumn("_p", F.coalesce("_p", none))
-    return j.withColumn(out, F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
-        F.col("_p.idx").alias("indices"), F.col("_p.weight").alias("values"))).drop("_p")
-
-
-def reg_param(c: float, n: int) -> float:
-    """0.5 |w|^2 + C sum(loss)  ==  n C [ (1/n) sum(loss) + (1/(2 C n)) |w|^2 ]."""
-    return 1.0 / (c * max(n, 1))
-
-
-def lr_fit(train: DataFrame, n: int, c: float = C, label: str = "label"):
-    est = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg_param(c, n),
-                             elasticNetParam=0.0, standardization=False, fitIntercept=True,
-                             maxIter=LR_MAX_ITER, tol=1e-6)
-    t0 = time.perf_counter()
-    model = est.fit(train)
-    return model, time.perf_counter() - t0
-
-
-def positive_prob(model, df: DataFrame, out: str = "y_prob") -> DataFrame:
-    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop(
-        "rawPrediction", "probability", "prediction")
-
-
-def svm_fit(train: DataFrame, n: int, c: float = C, label: str = "label"):
-    est = LinearSVC(featuresCol="features", labelCol=label, regParam=reg_param(c, n),
-                    standardization=False, fitIntercept=True, maxIter=SVM_MAX_ITER, tol=SVM_TOL)
-    return est.fit(train)
-
-
-def svm_margin(model, df: DataFrame, out: str = "margin") -> DataFrame:
-    return model.transform(df).withColumn(out, vector_to_array("rawPrediction")[1]).drop(
-        "rawPrediction", "prediction")
-
-
-def platt_fit(margins: DataFrame, label: str = "label", margin: str = "margin") -> tuple[float, float]:
-    """Sigmoid calibration p = 1 / (1 + exp(-(a m + b))) with Platt's
-    smoothed targets t+ = (N+ + 1)/(N+ + 2), t- = 1/(N- + 2).
-
-    A soft target is the same log-loss as two weighted rows (label 1 with
-    weight t, label 0 with weight 1 - t), so an unregularised weighted
-    MLlib logistic regression on the 1-D margin fits it exactly.
-    """
-    counts = margins.agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"),
-                         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q")).first()
-    n_pos, n_neg = float(counts["p"] or 0), float(counts["q"] or 0)
-    hi, lo = (n_pos + 1.0) / (n_pos + 2.0), 1.0 / (n_neg + 2.0)
-    t = F.when(F.col(label) == 1, F.lit(hi)).otherwise(F.lit(lo))
-    rows = margins.select(array_to_vector(F.array(F.col(margin))).alias("m"), t.alias("t"))
-    two = (rows.select("m", F.lit(1.0).alias("y"), F.col("t").alias("w"))
-               .unionByName(rows.select("m", F.lit(0.0).alias("y"), (F.lit(1.0) - F.col("t")).alias("w"))))
-    fit = LogisticRegression(featuresCol="m", labelCol="y", weightCol="w", regParam=0.0,
-                             standardization=False, fitIntercept=True, maxIter=100, tol=1e-10).fit(two)
-    return float(fit.coefficients[0]), float(fit.intercept)
-
-
-def calibrated_svm(train: DataFrame, score: DataFrame, n_folds: int = 3, c: float = C,
-                   label: str = "label", fold: str = "fold"):
-    """Average over folds of Platt-calibrated SVMs fitted on the other folds.
-
-    ``train`` carries a ``fold`` column (stratified folds); returns
-    (score + y_prob, fit seconds, list of (a, b) per fold).
-    """
-    t0 = time.perf_counter()
-
-    def fit_fold(i: int):
-        fit_rows = train.filter(F.col(fold) != i)
-        held = train.filter(F.col(fold) == i)
-        model = svm_fit(fit_rows, fit_rows.count(), c, label)
-        a, b = platt_fit(svm_margin(model, held), label)
-        return i, model, a, b
-
-    # Fold models are independent: fit them concurrently (Spark schedules
-    # jobs from several driver threads, as cross-validation does).
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=n_folds) as pool:
-        fitted = sorted(pool.map(fit_fold, range(n_folds)), key=lambda t: t[0])
-    platt = [(a, b) for _, _, a, b in fitted]
-    out = score
-    for i, model, _, _ in fitted:  # the margins are added to the one table in turn
-        out = svm_margin(model, out, out=f"_m{i}")
-    elapsed = time.perf_counter() - t0
-    p = sum((F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col(f"_m{i}") + F.lit(b))))
-             for i, _, a, b in fitted), F.lit(0.0)) / F.lit(float(n_folds))
-    return out.withColumn("y_prob", p).drop(*[f"_m{i}" for i in range(n_folds)]), elapsed, platt
-
-
-def coefficient_table(spark, vocab: DataFrame, coefs) -> DataFrame:
-    """(term, idx, coef) from a model's dense coefficient vector (its width
-    is the vocabulary size, bounded by max_features)."""
-    values = [(int(i), float(v)) for i, v in enumerate(coefs.toArray())]
-    cdf = spark.createDataFrame(values, "idx int, coef double")
-    return vocab.select("term", "idx").join(cdf, "idx")
+    def listed(direction: str, order: Column) -> DataFrame:
+        top = coefs.orderBy(order, "term").limit(int(k))
+        return top.select(F.lit(direction).alias("direction"), F.row_number().over(Window.orderBy(order, "term")).alias("rank"),
+                          "term", F.round("coef", digits).alias("weight"))
+    return listed("toxic", F.desc(r)).unionByName(listed("non_toxic", r.asc()))

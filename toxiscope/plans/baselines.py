@@ -173,6 +173,9 @@ class Chain:
             return fe.tfidf_fit(fe.term_stats(train), self.n_train)
         return self._get("idf", build, keep="checkpoint")
 
+    def n_terms(self) -> int:
+        return self._get("n_terms", lambda: self.idf.count())
+
     @property
     def weights(self) -> DataFrame:
         return self._get("weights", lambda: fe.tfidf_transform(self.postings, self.idf),

@@ -169,14 +169,7 @@ SELECT model, split, CAST(n AS BIGINT) AS n, TRUE AS timed FROM (SELECT split, c
 CROSS JOIN (VALUES ('{NB_NAME}'), ('{LR_NAME}'), ('{SVM_NAME}')) m(model)""")
 def q_fit_time_report(spark, sf):
     """The English-test metric rows of all three models with their fit times (times aren't comparable: if known)."""
-    from toxiscope.plans import mllib_baselines as mb
+    from toxiscope.plans import linear_baselines as lb
     c = chain(spark, sf)
-    rows = mb.comparison(c).filter(F.col("split") == TEST).join(F.broadcast(mb.all_fit_times(c)), "model", "left")
+    rows = lb.comparison(c).filter(F.col("split") == TEST).join(F.broadcast(lb.fit_times(c)), "model", "left")
     return rows.select("model", "split", "n", F.col("train_time_s").isNotNull().alias("timed"))
-
-
-@query("top_features_lr")
-def q_top_features_lr(spark, sf):
-    """The 30 largest and smallest coefficients of the logistic regression."""
-    from toxiscope.plans import mllib_baselines as mb
-    return top_features(mb.lr_coefficients(chain(spark, sf)).select("term", "coef"), 30)

@@ -9,7 +9,7 @@ from toxiscope.functions import text as tx
 from toxiscope.operators import features as fe
 from toxiscope.operators import sampling as sm
 from toxiscope.plans import oracle as o
-from toxiscope.plans.baselines import TRAIN, chain
+from toxiscope.plans.baselines import LR_NAME, SVM_NAME, TRAIN, VAL, chain
 from toxiscope.plans.catalog import query
 
 BASE = (o.CORPUS, o.FEATURES)
@@ -259,35 +259,145 @@ def q_embedding_map_2d(spark, sf):
     return embedding_map_2d(chain(spark, sf).table("embeddings"), "vec_id", "embedding", ["label"])
 
 
-# ------------------------------------------------------------ MLlib models --
-# Rows-only checks: the optimum of an iterative solver has no SQL form; the
-# pytest suite checks the optimality conditions instead.
+# ----------------------------------------------------------- linear models --
 
-@query("lr_fit")
+LINEAR = (o.CORPUS, o.FEATURES, o.KERNEL)
+LR_M, WEIGHTED_M, SVM_M = 0, 1, 9    # the SVM's folds are models 0 to 2 of their own statement
+LR_SQL = o.linear_ctes([(LR_M, "logistic", "1.0", "0.25")], 300)
+WEIGHTED_SQL = o.linear_ctes([(WEIGHTED_M, "logistic",
+                               "CASE WHEN r.toxic = 1 THEN (1.0 - p) / greatest(p, CAST(1e-6 AS DOUBLE)) ELSE 1.0 END", "0.25")], 1500)
+SVM_SQL = o.linear_ctes([(SVM_M, "squared_hinge", "1.0", "2.0")], 1500)
+FOLDS_SQL = o.linear_ctes([(i, "squared_hinge", f"CASE WHEN r.fold = {i} THEN 0.0 ELSE 1.0 END", "2.0") for i in range(3)], 1500)
+
+
+def _six(x: str) -> str:
+    return f"CASE WHEN abs({x}) < 5e-7 THEN 0.0 ELSE round({x}, 6) END"
+
+
+def _coef6():
+    return F.when(F.abs("coef") < 5e-7, 0.0).otherwise(F.round("coef", 6)).alias("coef")
+
+
+COEF_SQL = f"""
+SELECT v.term, v.idx, {_six('coalesce(c.coef, 0.0)')} AS coef FROM c_idf v LEFT JOIN l_coef c ON c.idx = v.idx
+UNION ALL SELECT NULL, -1, {_six('b')} FROM l_b"""
+
+
+def margin_sql(score: str, name: str, suffix: str = "") -> str:
+    """CTE of held-out predictions of single models: score and its sigmoid."""
+    return f"""
+l_dot{suffix} AS (SELECT w.doc_id, c.m, sum(w.weight * c.coef) AS dot FROM c_w w JOIN l_coef c ON c.idx = w.idx
+          WHERE w.split <> 'train' GROUP BY w.doc_id, c.m),
+l_margin{suffix} AS (SELECT d.doc_id, d.split, d.lang, d.toxic AS y_true, b.m, coalesce(x.dot, 0.0) + b.b AS margin
+             FROM c_clean d CROSS JOIN l_b b LEFT JOIN l_dot{suffix} x ON x.doc_id = d.doc_id AND x.m = b.m WHERE d.split <> 'train'),
+l_preds{suffix} AS (SELECT {name} AS model, split, lang, doc_id, y_true, round(margin, 8) AS score,
+                   1.0 / (1.0 + exp(-round(margin, 8))) AS y_prob FROM l_margin{suffix} WHERE {score})"""
+
+
+@query("lr_fit", o.with_recursive(*LINEAR, LR_SQL) + COEF_SQL)
 def q_lr_fit(spark, sf):
-    from toxiscope.plans import mllib_baselines as mb
-    return mb.lr_coefficients(chain(spark, sf))
+    from toxiscope.plans import linear_baselines as lb
+    c = chain(spark, sf)
+    return lb.coefficient_table(c, "lr", lb.lr_fit(c)).select("term", "idx", _coef6())
 
 
-@query("lr_predict")
+@query("lr_predict", o.with_recursive(*LINEAR, LR_SQL, margin_sql("TRUE", "'lr'")) + """
+SELECT doc_id, split, round(y_prob, 6) AS y_prob FROM l_preds""")
 def q_lr_predict(spark, sf):
-    from toxiscope.plans import mllib_baselines as mb
-    return mb.lr_predictions(chain(spark, sf)).select("doc_id", "split", F.round("y_prob", 6).alias("y_prob"))
+    from toxiscope.plans import linear_baselines as lb
+    return lb.lr_predictions(chain(spark, sf)).select("doc_id", "split", F.round("y_prob", 6).alias("y_prob"))
+
+
+@query("top_features_lr", o.with_recursive(*LINEAR, LR_SQL) + """
+SELECT direction, CAST(rank AS INTEGER) AS rank, term, round(coef, 4) AS weight FROM (
+  SELECT 'toxic' AS direction, term, coef, row_number() OVER (ORDER BY round(coef, 8) DESC, term) AS rank FROM l_coef
+  UNION ALL
+  SELECT 'non_toxic' AS direction, term, coef, row_number() OVER (ORDER BY round(coef, 8), term) AS rank FROM l_coef)
+WHERE rank <= 30""")
+def q_top_features_lr(spark, sf):
+    """The 30 largest and smallest coefficients of the logistic regression."""
+    from toxiscope.operators.models import top_features
+    from toxiscope.plans import linear_baselines as lb
+    c = chain(spark, sf)
+    return top_features(lb.coefficient_table(c, "lr", lb.lr_fit(c)).filter("idx >= 0").select("term", "coef"), 30)
+
+
+@query("weighted_lr_fit", o.with_recursive(*LINEAR, WEIGHTED_SQL) + COEF_SQL)
+def q_weighted_lr_fit(spark, sf):
+    """Positive rows count (1 - p) / p times in the likelihood."""
+    from toxiscope.plans import linear_baselines as lb
+    c = chain(spark, sf)
+    return lb.coefficient_table(c, "weighted", lb.weighted_fit(c)).select("term", "idx", _coef6())
 
 
-@query("svm_fit")
+@query("svm_fit", o.with_recursive(*LINEAR, SVM_SQL) + COEF_SQL)
 def q_svm_fit(spark, sf):
-    from toxiscope.plans import mllib_baselines as mb
-    return mb.svm_coefficients(chain(spark, sf))
+    from toxiscope.plans import linear_baselines as lb
+    c = chain(spark, sf)
+    return lb.coefficient_table(c, "svm", lb.svm_fit(c)).select("term", "idx", _coef6())
+
+
+# Platt's two parameters per fold: undamped Newton steps on the held-out margins.
+PLATT_SQL = margin_sql("TRUE", "'svm'") + """,
+p_row AS MATERIALIZED (SELECT r.fold, list_dot_product(r.k, v.a) AS x,
+           CASE WHEN r.toxic = 1 THEN (n.pos + 1.0) / (n.pos + 2.0) ELSE 1.0 / (n.neg + 2.0) END AS t
+         FROM k_row r JOIN (SELECT m, list(a ORDER BY i) AS a FROM l_a GROUP BY m) v ON v.m = r.fold
+         JOIN (SELECT fold, sum(toxic) AS pos, sum(1 - toxic) AS neg FROM k_row GROUP BY fold) n ON n.fold = r.fold),
+p_step(step, fold, a, b) AS (
+  SELECT 0, fold, 0.0::DOUBLE, ln((sum(toxic) + 1.0) / (sum(1 - toxic) + 1.0)) FROM k_row GROUP BY fold
+  UNION ALL
+  SELECT step + 1, fold, a - (h1 * gm - hm * g1) / (hmm * h1 - hm * hm), b - (hmm * g1 - hm * gm) / (hmm * h1 - hm * hm)
+  FROM (SELECT step, fold, a, b, sum((p - t) * x) AS gm, sum(p - t) AS g1, sum(p * (1 - p) * x * x) AS hmm, sum(p * (1 - p) * x) AS hm,
+               sum(p * (1 - p)) AS h1
+        FROM (SELECT s.*, r.x, r.t, 1.0 / (1.0 + exp(-(s.a * r.x + s.b))) AS p FROM p_step s JOIN p_row r ON r.fold = s.fold WHERE s.step < 40)
+        GROUP BY step, fold, a, b)),
+svm_preds AS (SELECT m.split, m.lang, m.doc_id, m.y_true, avg(1.0 / (1.0 + exp(-(s.a * m.margin + s.b)))) AS y_prob
+              FROM l_margin m JOIN p_step s ON s.fold = m.m AND s.step = 40 GROUP BY m.split, m.lang, m.doc_id, m.y_true)"""
 
 
-@query("svm_calibrate")
+@query("svm_calibrate", o.with_recursive(*LINEAR, FOLDS_SQL, PLATT_SQL) + """
+SELECT doc_id, split, round(y_prob, 6) AS y_prob FROM svm_preds""")
 def q_svm_calibrate(spark, sf):
-    from toxiscope.plans import mllib_baselines as mb
-    return mb.svm_predictions(chain(spark, sf)).select("doc_id", "split", F.round("y_prob", 6).alias("y_prob"))
+    from toxiscope.plans import linear_baselines as lb
+    return lb.svm_predictions(chain(spark, sf)).select("doc_id", "split", F.round("y_prob", 6).alias("y_prob"))
+
+
+# The logistic regression is model 3 beside the SVM's folds.
+COMPARISON_SQL = o.with_recursive(
+    *LINEAR, o.NB, o.linear_ctes([(i, "squared_hinge", f"CASE WHEN r.fold = {i} THEN 0.0 ELSE 1.0 END", "2.0") for i in range(3)]
+                                 + [(3, "logistic", "1.0", "0.25")], 1500), PLATT_SQL, f"""
+a_preds AS (SELECT model, split, lang, doc_id, y_true, score, y_prob FROM c_preds
+            UNION ALL SELECT '{LR_NAME}', split, lang, doc_id, y_true, round(margin, 8), 1.0 / (1.0 + exp(-round(margin, 8)))
+                      FROM l_margin WHERE m = 3
+            UNION ALL SELECT '{SVM_NAME}', split, lang, doc_id, y_true, round(y_prob, 8), y_prob FROM svm_preds),
+a_eval AS (SELECT * FROM a_preds UNION ALL SELECT model, 'Val-' || lang, lang, doc_id, y_true, score, y_prob FROM a_preds
+           WHERE split = 'Multilingual Val')""") + o.metrics_select("a_eval", ["model", "split"])
 
 
-@query("model_comparison")
+@query("model_comparison", COMPARISON_SQL)
 def q_model_comparison(spark, sf):
-    from toxiscope.plans import mllib_baselines as mb
-    return mb.comparison(chain(spark, sf))
+    from toxiscope.plans import linear_baselines as lb
+    return lb.comparison(chain(spark, sf))
+
+
+PATH_SQL = o.with_recursive(
+    *LINEAR, o.linear_ctes([(i, "logistic", repr(cost), "0.25") for i, cost in enumerate((0.1, 1.0, 10.0))], 1500),
+    margin_sql("TRUE", "(CASE m WHEN 0 THEN 0.1 WHEN 1 THEN 1.0 ELSE 10.0 END)::DOUBLE"),
+    "cand AS (SELECT model AS cost, auc_roc AS val_auc FROM (" +
+    o.auc_select("(SELECT * FROM l_preds WHERE split = 'Multilingual Val')", "model") + "))") + """
+SELECT CAST(row_number() OVER (ORDER BY cost) AS INTEGER) AS candidate, cost, val_auc,
+       row_number() OVER (ORDER BY val_auc DESC NULLS LAST, cost) = 1 AS is_best FROM cand"""
+
+
+@query("regularisation_path", PATH_SQL)
+def q_regularisation_path(spark, sf):
+    """Logistic regressions along a path of costs, each started from the one before it; the candidate with the best
+    validation AUC, the earliest of equals."""
+    from toxiscope.operators import evaluation as ev
+    from toxiscope.operators.compare import best_candidate
+    from toxiscope.plans import linear_baselines as lb
+    val = lb.path_predictions(chain(spark, sf)).filter(F.col("split") == VAL)
+    auc = ev.auc_table(val, ["model"]).select(
+        (F.array_position(F.array(*[F.lit(x) for x in lb.COSTS]), F.col("model"))).cast("int").alias("candidate"),
+        F.col("model").alias("cost"), F.col("auc_roc").alias("val_auc"))
+    return best_candidate(auc, "val_auc", "candidate")

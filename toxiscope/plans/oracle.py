@@ -174,3 +174,55 @@ def metrics_select(src: str, groups: list[str], thr: str = "CAST(0.5 AS DOUBLE)"
     cols = ", ".join(f"c.{x}" for x in groups)
     return f"""SELECT {cols}, c.n, {thr} AS threshold, a.auc_roc, {rates_sql()}
 FROM ({conf_select(src, g, thr)}) c JOIN ({auc_select(src, g)}) a ON {on}"""
+
+
+# ---------------------------------------------------------------------------
+# Linear models: the minimum from its dual form
+# ---------------------------------------------------------------------------
+
+# At the minimum w is a combination of the training rows, so the whole search
+# runs on one number per row: margins are K a with K = X X^T + 1 (the
+# intercept is the weight of a constant 1).  Accelerated gradient steps with
+# the step size of the largest row sum of K.
+
+KERNEL = """
+k_doc AS MATERIALIZED (SELECT r.doc_id, r.toxic,
+         CAST((CASE WHEN r.rn - 1 >= a.a0 THEN 1 ELSE 0 END) + (CASE WHEN r.rn - 1 >= a.a0 + a.a1 THEN 1 ELSE 0 END) AS INTEGER) AS fold,
+         row_number() OVER (ORDER BY r.doc_id) AS i
+  FROM (SELECT t.*, row_number() OVER (PARTITION BY t.toxic ORDER BY md5('42:' || CAST(t.doc_id AS VARCHAR)), t.doc_id) AS rn
+        FROM c_clean t WHERE split = 'train') r
+  JOIN (SELECT toxic, floor((s + cnt + 2) / 3) - floor((s + 2) / 3) AS a0, floor((s + cnt + 1) / 3) - floor((s + 1) / 3) AS a1
+        FROM (SELECT toxic, cnt, coalesce(sum(cnt) OVER (ORDER BY toxic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+              FROM (SELECT toxic, count(*) AS cnt FROM c_clean WHERE split = 'train' GROUP BY toxic))) a ON a.toxic = r.toxic),
+k_x AS MATERIALIZED (SELECT d.i, w.idx, w.term, w.weight FROM k_doc d JOIN c_w w ON w.doc_id = d.doc_id),
+k_dot AS (SELECT x.i, y.i AS j, sum(x.weight * y.weight) AS dot FROM k_x x JOIN k_x y ON x.idx = y.idx GROUP BY x.i, y.i),
+k_row AS MATERIALIZED (SELECT d.i, d.toxic, d.fold, CASE WHEN d.toxic = 1 THEN 1.0 ELSE -1.0 END AS s,
+                list(1.0 + coalesce(o.dot, 0.0) ORDER BY e.i) AS k, sum(1.0 + coalesce(o.dot, 0.0)) AS rowsum
+         FROM k_doc d CROSS JOIN k_doc e LEFT JOIN k_dot o ON o.i = d.i AND o.j = e.i GROUP BY d.i, d.toxic, d.fold),
+k_pos AS (SELECT avg(CAST(toxic AS DOUBLE)) AS p FROM k_doc)"""
+
+
+def linear_ctes(models: list[tuple], steps: int) -> str:
+    """CTEs ``l_a`` (m, i, a), ``l_coef`` (m, term, idx, coef) and ``l_b`` (m, b) of the models
+    (m, loss, cost SQL over a row of k_row, bound of the loss's curvature as SQL)."""
+    rows = " UNION ALL ".join(
+        f"SELECT {m} AS m, '{loss}' AS loss, r.i, r.s, r.k, {cost} AS c, {bend} * max({cost}) OVER () * max(r.rowsum) OVER () AS bend "
+        f"FROM k_row r CROSS JOIN k_pos" for m, loss, cost, bend in models)
+    return f"""
+l_row AS MATERIALIZED (SELECT *, 1.0 / (1.0 + bend) AS eta, (sqrt(1.0 + bend) - 1.0) / (sqrt(1.0 + bend) + 1.0) AS beta FROM ({rows})),
+l_step(step, m, a, v) AS (
+  SELECT 0, m, list(0.0::DOUBLE ORDER BY i), list(0.0::DOUBLE ORDER BY i) FROM l_row GROUP BY m
+  UNION ALL
+  SELECT step + 1, m, list(na ORDER BY i), list(na + beta * (na - oa) ORDER BY i)
+  FROM (SELECT step, m, i, beta, oa, vi - eta * (vi + c * s * (CASE WHEN loss = 'logistic' THEN -1.0 / (1.0 + exp(z))
+                                                                    ELSE -2.0 * greatest(0.0, 1.0 - z) END)) AS na
+        FROM (SELECT l.step, l.m, r.i, r.c, r.s, r.eta, r.beta, r.loss, l.a[r.i] AS oa, l.v[r.i] AS vi,
+                     r.s * list_dot_product(r.k, l.v) AS z FROM l_step l JOIN l_row r ON r.m = l.m WHERE l.step < {steps}))
+  GROUP BY step, m),
+l_a AS MATERIALIZED (SELECT m, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS a FROM l_step WHERE step = {steps}),
+l_coef AS MATERIALIZED (SELECT a.m, x.term, x.idx, sum(a.a * x.weight) AS coef FROM l_a a JOIN k_x x ON x.i = a.i GROUP BY a.m, x.term, x.idx),
+l_b AS MATERIALIZED (SELECT m, sum(a) AS b FROM l_a GROUP BY m)"""
+
+
+def with_recursive(*parts: str) -> str:
+    return with_(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
