@@ -2,16 +2,19 @@
 
 Vectors are ``ARRAY<FLOAT>`` columns.  Per-dimension statistics come from a
 ``posexplode`` + ``groupBy(dim)`` (map-side combined, one row per dimension
--- bounded by the vector width, hence safe to broadcast back).  PCA uses
-MLlib's distributed covariance (``RowMatrix`` via ``ml.feature.PCA``).
+-- bounded by the vector width, hence safe to broadcast back).  The PCA sums
+products of vectors per Arrow batch and solves the width-sized eigenproblem.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from toxiscope.functions.numeric import finite_or_zero
 
@@ -47,17 +50,71 @@ def standardize_long(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return standardize(df, id_col, vec_col, "_z").select(id_col, F.posexplode("_z").alias("dim", "z"))
 
 
+def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of z z^T over a partition's vectors, as one flat array per width."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for _, z in rows_by_width(batch.column(0)):
+            sums[z.shape[1]] = sums.get(z.shape[1], 0) + z.T @ z
+    for total in sums.values():
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["g"])
+
+
+def rows_by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of each width among the lists of an Arrow column without nulls."""
+    starts = np.asarray(column.offsets, np.int64)
+    values = np.asarray(column.values, np.float64)
+    widths = np.diff(starts)
+    for width in np.unique(widths[widths > 0]):
+        rows = np.flatnonzero(widths == width)
+        yield rows, values[starts[rows][:, None] + np.arange(width)]
+
+
+def principal_axes(z: DataFrame, column: str, width: int, k: int) -> np.ndarray:
+    """width x k loadings of centred vectors, the largest variance first.
+
+    One pass sums the products within tasks and then by place (width squared
+    sums reach the driver).  The sign of a loading is fixed: its entry of
+    largest size is positive.
+    """
+    flat = z.filter(F.size(column) == width).select(column).mapInArrow(_gram, "g array<double>")
+    sums = flat.select(F.posexplode("g").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+    gram = np.zeros(width * width)
+    for r in sums:
+        gram[r["at"]] = r["x"]
+    gram = gram.reshape(width, width)
+    _, axes = np.linalg.eigh((gram + gram.T) / 2)
+    axes = axes[:, ::-1][:, :k]
+    signs = np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+    return axes * np.where(signs == 0, 1.0, signs)
+
+
 def pca_vectors(df: DataFrame, id_col: str, vec_col: str, k: int | None = None,
                 keep: list[str] | None = None) -> DataFrame:
     """(id, keep..., _a): PCA scores of standardised vectors as an array,
-    k = min(50, width, rows - 1) unless given, at most the width."""
-    z = standardize(df, id_col, vec_col, out="_z")
+    k = min(50, width, rows - 1) unless given, at most the width.
+
+    The loadings travel in the task (width x k numbers); the vectors aren't
+    shuffled.  A vector that is shorter than the widest has no scores.
+    """
+    keep = list(keep or [])
+    z = standardize(df, id_col, vec_col, out="_z").select(id_col, *keep, "_z").filter(F.col("_z").isNotNull())
     width, n = df.agg(F.max(F.size(vec_col)), F.count(F.lit(1))).first()
-    width = width or 1
+    width = max(width or 1, 1)
     k = max(1, min(PCA_MAX, width, n - 1)) if k is None else min(k, width)
-    vec = z.select(id_col, *(keep or []), array_to_vector("_z").alias("_v"))
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(vec)
-    return model.transform(vec).select(id_col, *(keep or []), vector_to_array("_pc").alias("_a"))
+    axes = principal_axes(z, "_z", width, k)
+    z = z.filter(F.size("_z") == width)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, rows = next(rows_by_width(batch.column(batch.num_columns - 1)))
+            scores = pa.FixedSizeListArray.from_arrays(pa.array((rows @ axes).ravel()), axes.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names)
+    schema = StructType([*z.drop("_z").schema.fields, StructField("_a", ArrayType(DoubleType()))])
+    names = [f.name for f in schema.fields]
+    return z.mapInArrow(project, schema)
 
 
 def pca_project(df: DataFrame, id_col: str, vec_col: str, k: int | None = None) -> DataFrame:

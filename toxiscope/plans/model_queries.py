@@ -245,18 +245,64 @@ def q_embedding_standardize(spark, sf):
     return z.select("vec_id", "dim", F.round("z", 6).alias("z"))
 
 
-@query("embedding_pca")
+# Cyclic Jacobi rotations in tournament order: in every step each row of the
+# matrix is paired with another one (the width is even), and all pairs turn at once.
+PCA_SQL = """
+st AS (SELECT dim, avg(value) AS mean,
+              CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END AS scale FROM ef GROUP BY dim),
+ez AS MATERIALIZED (SELECT e.vec_id, e.dim, (e.value - s.mean) / s.scale AS z FROM ef e JOIN st s ON e.dim = s.dim),
+en AS (SELECT count(DISTINCT dim) AS n, count(DISTINCT vec_id) AS vecs FROM ez),
+cov AS (SELECT list(c ORDER BY i, j) AS a, list(CAST(i = j AS DOUBLE) ORDER BY i, j) AS v
+        FROM (SELECT x.dim AS i, y.dim AS j, avg(x.z * y.z) AS c FROM ez x JOIN ez y ON x.vec_id = y.vec_id GROUP BY x.dim, y.dim)),
+jac(step, n, a, v) AS (
+  SELECT 0, n, a, v FROM cov, en
+  UNION ALL
+  SELECT step + 1, n, list_transform(range(n * n), lambda x: c[(x // n) + 1] * b[x + 1] + s[(x // n) + 1] * b[pt[(x // n) + 1] * n + x % n + 1]),
+         list_transform(range(n * n), lambda x: c[x % n + 1] * v[x + 1] + s[x % n + 1] * v[(x // n) * n + pt[x % n + 1] + 1])
+  FROM (SELECT step, n, v, pt, c, s,
+               list_transform(range(n * n), lambda x: c[x % n + 1] * a[x + 1] + s[x % n + 1] * a[(x // n) * n + pt[x % n + 1] + 1]) AS b
+        FROM (SELECT step, n, a, v, pt, list_transform(t, lambda y: 1.0 / sqrt(1.0 + y * y)) AS c,
+                     list_transform(range(n), lambda i: (CASE WHEN i < pt[i + 1] THEN -1.0 ELSE 1.0 END) * t[i + 1] / sqrt(1.0 + t[i + 1] * t[i + 1])) AS s
+              FROM (SELECT step, n, a, v, pt, list_transform(tau, lambda y: CASE WHEN y IS NULL THEN 0.0
+                             WHEN y >= 0 THEN 1.0 / (y + sqrt(1.0 + y * y)) ELSE 1.0 / (y - sqrt(1.0 + y * y)) END) AS t
+                    FROM (SELECT step, n, a, v, pt, list_transform(range(n), lambda i:
+                                   (a[greatest(i, pt[i + 1]) * (n + 1) + 1] - a[least(i, pt[i + 1]) * (n + 1) + 1])
+                                   / nullif(2.0 * a[i * n + pt[i + 1] + 1], 0.0)) AS tau
+                          FROM (SELECT *, list_transform(range(n), lambda i: CASE WHEN i = n - 1 THEN step % (n - 1)
+                                          WHEN i = step % (n - 1) THEN n - 1 ELSE (2 * (step % (n - 1)) - i + n - 1) % (n - 1) END) AS pt
+                                FROM jac WHERE step < 12 * (n - 1))))))),
+axes AS (SELECT n, j, a[j * (n + 1) + 1] AS size, list_transform(range(n), lambda i: v[i * n + j + 1]) AS l
+         FROM (SELECT n, a, v, unnest(range(n)) AS j FROM jac WHERE step = 12 * (n - 1))),
+sorted AS (SELECT row_number() OVER (ORDER BY size DESC) - 1 AS comp, n, l FROM axes),
+ranked AS (SELECT comp, unnest(range(n)) AS dim, unnest(l) AS w,
+                  CASE WHEN l[list_position(list_transform(l, lambda x: abs(x)), list_max(list_transform(l, lambda x: abs(x))))] < 0
+                       THEN -1.0 ELSE 1.0 END AS turn FROM sorted),
+pcs AS (SELECT z.vec_id, CAST(r.comp AS INTEGER) AS comp, sum(z.z * r.w * r.turn) AS value FROM ez z JOIN ranked r ON r.dim = z.dim
+        WHERE r.comp < (SELECT least(50, n, vecs - 1) FROM en) GROUP BY z.vec_id, r.comp)"""
+
+
+def _four(x):
+    return F.when(F.abs(x) < 5e-5, 0.0).otherwise(F.round(x, 4)).alias(x)
+
+
+def _four_sql(x: str) -> str:
+    return f"CASE WHEN abs({x}) < 5e-5 THEN 0.0 ELSE round({x}, 4) END"
+
+
+@query("embedding_pca", o.with_recursive(EMB_LONG_SQL, PCA_SQL) + f"SELECT vec_id, comp, {_four_sql('value')} AS value FROM pcs")
 def q_embedding_pca(spark, sf):
-    """PCA scores (up to 50 components) of standardised embeddings; sign of
-    a component is arbitrary, so this is a rows-only check."""
+    """PCA scores (up to 50 components) of standardised embeddings."""
     from toxiscope.operators.embeddings import pca_project
-    return pca_project(chain(spark, sf).table("embeddings"), "vec_id", "embedding")
+    return pca_project(chain(spark, sf).table("embeddings"), "vec_id", "embedding").select("vec_id", "comp", _four("value"))
 
 
-@query("embedding_map_2d")
+@query("embedding_map_2d", o.with_recursive(EMB_LONG_SQL, PCA_SQL) + f"""
+SELECT e.vec_id, {_four_sql('x.value')} AS x, {_four_sql('y.value')} AS y, e.label
+FROM embeddings e JOIN pcs x ON x.vec_id = e.vec_id AND x.comp = 0 JOIN pcs y ON y.vec_id = e.vec_id AND y.comp = 1""")
 def q_embedding_map_2d(spark, sf):
     from toxiscope.operators.embeddings import embedding_map_2d
-    return embedding_map_2d(chain(spark, sf).table("embeddings"), "vec_id", "embedding", ["label"])
+    found = embedding_map_2d(chain(spark, sf).table("embeddings"), "vec_id", "embedding", ["label"])
+    return found.select("vec_id", _four("x"), _four("y"), "label")
 
 
 # ----------------------------------------------------------- linear models --
