@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from toxiscope.operators import evaluation as ev
+from toxiscope.operators import ranges
 
 
 def brute_auc(rows):
@@ -29,13 +30,31 @@ def test_auc_matches_brute_force_with_ties(spark):
         assert abs(got - brute_auc(rows)) < 1e-4
 
 
-def test_auc_many_buckets_equals_few(spark):
+def test_running_sums_do_not_depend_on_the_number_of_ranges(spark):
     rnd = random.Random(3)
     rows = [(rnd.random(), int(rnd.random() < 0.2)) for _ in range(2000)]
-    df = ev.score_counts(_df(spark, rows), ["grp"])
-    a = ev.prefix_sums(df, ["grp"], "score", ["neg"], buckets=256).orderBy("score").collect()
-    b = ev.prefix_sums(df, ["grp"], "score", ["neg"], buckets=8).orderBy("score").collect()
-    assert [r.cum_neg for r in a] == [r.cum_neg for r in b]
+    df = ev.score_counts(_df(spark, rows), ["grp"]).unionByName(ev.score_counts(_df(spark, rows[:9], "b"), ["grp"]))
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "300"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append(ranges.prefix_sums(df, ["grp"], "score", ["neg"]).orderBy("grp", "score").collect())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    below = 0
+    for s, y in sorted(rows):
+        below += 1 - y
+        assert next(r for r in found[0] if r.grp == "a" and r.score == s).cum_neg == below
+        if below > 20:
+            break
+
+
+def test_row_numbers_follow_the_order(spark):
+    rnd = random.Random(5)
+    words = sorted({str(rnd.random()) for _ in range(500)})
+    df = spark.createDataFrame([(w,) for w in rnd.sample(words, len(words))], "term string").repartition(9)
+    got = {r.term: r.at for r in ranges.row_numbers(df, ["term"], "at").collect()}
+    assert got == {w: i for i, w in enumerate(words)}
 
 
 def test_auc_symmetry_and_single_class(spark):

@@ -4,12 +4,10 @@ Prediction rows: (group..., y_true INT 0/1, score DOUBLE, y_prob DOUBLE).
 ``score`` is any strictly monotone transform of ``y_prob`` that both engines
 compute identically (NB: log-odds rounded to 8 digits); ranks use it.
 
-Global cumulative sums (AUC, ROC, PR) are the scale hazard: a window with
-only a coarse ``partitionBy`` runs in one task.  ``prefix_sums`` first
-aggregates to distinct scores, splits each group's score range into
-``buckets`` ranges (bounds from ``percentile_approx``, so they follow the
-data, which piles up near 0 and 1), prefix-sums the tiny per-bucket totals,
-and runs the ordered window inside (group, bucket) only.
+AUC, ROC, PR, average precision and the counts at a threshold all come from
+one table, ``cumulative``: a row per distinct score with its running counts.
+It takes one aggregate of the predictions; its global running sums are
+range-partitioned (``operators.ranges``).
 """
 
 from __future__ import annotations
@@ -18,99 +16,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toxiscope.functions.numeric import ratio_round
+from toxiscope.operators.ranges import Keep, prefix_sums, written
 
-ROWS_PER_BUCKET = 50_000
-MIN_BUCKETS = 8
-MAX_BUCKETS = 4096
 DIGITS = 4
-# The decision-threshold grid 0.05, 0.10, ..., 0.95 (i / 20).
+# The decision-threshold grid 0.05, 0.10, ..., 0.95 (i / 20), and the names of the evaluation splits.
 GRID = tuple(i / 20 for i in range(1, 20))
+TEST_SPLIT = "English Test (20%)"
+VAL_SPLIT = "Multilingual Val"
 
 
-def _with_bucket(df: DataFrame, bounds: str, x: str, out: str, buckets: int) -> DataFrame:
-    """``out`` = #bounds < x for an ascending array of at most buckets-1 values.
+def score_counts(preds: DataFrame, group_cols: list[str], score: str = "score", label: str = "y_true",
+                 threshold: Column | None = None, prob: str = "y_prob") -> DataFrame:
+    """(group..., score, pos, neg): one row per distinct score; with a threshold also ``hit_pos``, ``hit_neg``
+    (rows with prob >= threshold) and ``threshold`` (one value per group)."""
+    pos = F.coalesce(F.col(label) == 1, F.lit(False))
 
-    A fixed-depth binary search (log2(buckets) comparisons per row), one
-    projection per level so the expression does not grow with the depth.
-    """
-    step = 1
-    while step * 2 < buckets:
-        step *= 2
-    df = df.withColumn(out, F.lit(0))
-    while step >= 1:
-        cand = F.col(out) + F.lit(step)
-        df = df.withColumn(out, F.when((cand <= F.size(bounds)) & (F.element_at(bounds, cand) < F.col(x)),
-                                       cand).otherwise(F.col(out)))
-        step //= 2
-    return df
-
-
-def bucket_count(rows: int) -> int:
-    """Power of two giving about ROWS_PER_BUCKET rows per ordered window."""
-    b = MIN_BUCKETS
-    while b < MAX_BUCKETS and b * ROWS_PER_BUCKET < rows:
-        b *= 2
-    return b
-
-
-def prefix_sums(df: DataFrame, group_cols: list[str], order_col: str,
-                value_cols: list[str], buckets: int | None = None) -> DataFrame:
-    """df + ``cum_<v>``: running sum of v in ascending ``order_col`` per group.
-
-    ``order_col`` must be distinct within a group (aggregate first); the sum
-    includes the row itself.  ``buckets`` defaults to a size-driven count
-    (one small count job), so each ordered window holds ~50k rows whatever
-    the input size.
-    """
-    g = list(group_cols)
-    if buckets is None:
-        buckets = bucket_count(df.count())
-    fracs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*g).agg(
-        F.percentile_approx(order_col, fracs, 10000).alias("_bounds"))
-    # One row per group (groups are model x split x language keys): tiny.
-    x = df.join(F.broadcast(bounds), g)
-    x = _with_bucket(x, "_bounds", order_col, "_bk", buckets).drop("_bounds")
-    totals = x.groupBy(*g, "_bk").agg(*[F.sum(v).alias(f"_bt_{v}") for v in value_cols])
-    before = Window.partitionBy(*g).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*g, "_bk", *[
-        F.coalesce(F.sum(f"_bt_{v}").over(before), F.lit(0)).alias(f"_off_{v}")
-        for v in value_cols])
-    # At most #groups x buckets rows.
-    x = x.join(F.broadcast(offsets), g + ["_bk"])
-    running = (Window.partitionBy(*g, "_bk").orderBy(order_col)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    for v in value_cols:
-        x = x.withColumn(f"cum_{v}", F.col(f"_off_{v}") + F.sum(v).over(running))
-    return x.drop("_bk", *[f"_off_{v}" for v in value_cols])
-
-
-def score_counts(preds: DataFrame, group_cols: list[str], score: str = "score",
-                 label: str = "y_true") -> DataFrame:
-    """(group..., score, pos, neg): one row per distinct score."""
-    return preds.groupBy(*group_cols, score).agg(
-        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("bigint").alias("neg"))
+    def cnt(c: Column) -> Column:
+        return F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
+    sums = [cnt(pos).alias("pos"), cnt(~pos).alias("neg")]
+    if threshold is not None:
+        hit = F.col(prob) >= threshold
+        sums += [cnt(hit & pos).alias("hit_pos"), cnt(hit & ~pos).alias("hit_neg"), F.max(threshold).alias("threshold")]
+    return preds.groupBy(*group_cols, score).agg(*sums)
 
 
-def auc_table(preds: DataFrame, group_cols: list[str], score: str = "score",
-              label: str = "y_true", digits: int = DIGITS) -> DataFrame:
-    """(group..., n_pos, n_neg, auc_roc): rank AUC, ties count one half.
+def cumulative(preds: DataFrame, group_cols: list[str], score: str = "score", label: str = "y_true",
+               threshold: Column | None = None, keep: Keep = written) -> DataFrame:
+    """``score_counts`` + cum_pos, cum_neg, cum_one (running sums and place in ascending score, the row included)
+    and n_pos, n_neg, n_one (the group's)."""
+    counts = score_counts(preds, group_cols, score, label, threshold).withColumnRenamed(score, "score")
+    return prefix_sums(counts.withColumn("one", F.lit(1)), group_cols, "score", ["pos", "neg", "one"], keep)
+
+
+def _descending(cum: DataFrame) -> DataFrame:
+    """+ tps, fps and place: counts at or above the score."""
+    return (cum.withColumn("tps", F.col("n_pos") - F.col("cum_pos") + F.col("pos"))
+               .withColumn("fps", F.col("n_neg") - F.col("cum_neg") + F.col("neg"))
+               .withColumn("place", F.col("n_one") - F.col("cum_one") + 1))
+
+
+def _auc(digits: int) -> list[Column]:
+    """n_pos, n_neg and the AUC as aggregates of a cumulative table.
 
     AUC = sum over positives of (#negatives below + #negatives tied / 2) / (P N),
     evaluated exactly in integers and rounded half-up; NULL with one class.
     """
-    g = list(group_cols)
-    counts = score_counts(preds, g, score, label)
-    cum = prefix_sums(counts, g, score, ["neg"])
     dec = "decimal(38,0)"
-    res = cum.groupBy(*g).agg(
-        F.sum(F.col("pos").cast(dec) * (F.lit(2) * (F.col("cum_neg") - F.col("neg")) + F.col("neg"))
-              .cast(dec)).alias("_u2"),
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    den = F.lit(2).cast(dec) * F.col("n_pos").cast(dec) * F.col("n_neg").cast(dec)
-    return res.select(*g, "n_pos", "n_neg",
-                      ratio_round(F.col("_u2"), den, digits, zero=None).alias("auc_roc"))
+    twice = F.sum(F.col("pos").cast(dec) * (F.lit(2) * (F.col("cum_neg") - F.col("neg")) + F.col("neg")).cast(dec))
+    n_pos, n_neg = F.sum("pos"), F.sum("neg")
+    den = F.lit(2).cast(dec) * n_pos.cast(dec) * n_neg.cast(dec)
+    return [n_pos.alias("n_pos"), n_neg.alias("n_neg"), ratio_round(twice, den, digits, zero=None).alias("auc_roc")]
+
+
+def auc_of(cum: DataFrame, group_cols: list[str], digits: int = DIGITS) -> DataFrame:
+    return cum.groupBy(*group_cols).agg(*_auc(digits))
+
+
+def auc_table(preds: DataFrame, group_cols: list[str], score: str = "score",
+              label: str = "y_true", digits: int = DIGITS) -> DataFrame:
+    """(group..., n_pos, n_neg, auc_roc): rank AUC, ties count one half."""
+    return auc_of(cumulative(preds, group_cols, score, label), group_cols, digits)
 
 
 def confusion_counts(preds: DataFrame, group_cols: list[str], threshold: Column | float = 0.5,
@@ -139,106 +104,104 @@ def rate_columns(digits: int = DIGITS) -> list[Column]:
     ]
 
 
+def metrics_of(cum: DataFrame, group_cols: list[str], digits: int = DIGITS) -> DataFrame:
+    """(group..., n, threshold, auc_roc, f1, accuracy, precision, recall) of a cumulative table with a threshold."""
+    tp, fp = F.sum("hit_pos"), F.sum("hit_neg")
+    found = cum.groupBy(*group_cols).agg(
+        *_auc(digits), F.max("threshold").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
+        (F.sum("pos") - tp).alias("fn"), (F.sum("neg") - fp).alias("tn"))
+    return found.select(*group_cols, (F.col("n_pos") + F.col("n_neg")).alias("n"), "threshold", "auc_roc", *rate_columns(digits))
+
+
 def classification_metrics(preds: DataFrame, group_cols: list[str],
                             threshold: Column | float | None = 0.5,
-                            digits: int = DIGITS) -> DataFrame:
+                            digits: int = DIGITS, keep: Keep = written) -> DataFrame:
     """(group..., n, threshold, auc_roc, f1, accuracy, precision, recall).
 
     With ``threshold=None`` a ``threshold`` column on the predictions is used
     (one value per group, e.g. a looked-up tuned threshold).
     """
-    g = list(group_cols)
     thr = F.col("threshold") if threshold is None else (
         threshold if isinstance(threshold, Column) else F.lit(float(threshold)))
-    p = preds.withColumn("threshold", thr)
-    conf = confusion_counts(p, g + ["threshold"], F.col("threshold"))
-    auc = auc_table(p, g, digits=digits)
-    return (conf.join(auc, g)
-                .select(*g, (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"),
-                        "threshold", "auc_roc", *rate_columns(digits)))
+    return metrics_of(cumulative(preds, group_cols, threshold=thr, keep=keep), group_cols, digits)
 
 
 # ---------------------------------------------------------------------------
 # Curves
 # ---------------------------------------------------------------------------
 
-def _desc_cumulative(preds: DataFrame, group_cols: list[str], score: str,
-                     with_totals: bool = False):
-    g = list(group_cols)
-    counts = score_counts(preds, g, score).withColumn("_desc", -F.col(score))
-    cum = prefix_sums(counts, g, "_desc", ["pos", "neg"]).drop("_desc")
-    totals = counts.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    out = cum.join(totals, g) if g else cum.crossJoin(totals)
-    return (out, totals) if with_totals else out
-
-
-def roc_curve(preds: DataFrame, group_cols: list[str], score: str = "score",
-              digits: int = DIGITS, drop_intermediate: bool = False) -> DataFrame:
+def roc_of(cum: DataFrame, group_cols: list[str], digits: int = DIGITS, drop_intermediate: bool = False) -> DataFrame:
     """(group..., threshold, tps, fps, tpr, fpr) per distinct score plus the
     (0, 0) start with threshold +inf; groups with one class are skipped.
 
     ``drop_intermediate`` drops points collinear with both neighbours (second
     difference of fps and tps zero), keeping the first and last distinct
-    score.  Neighbours are found by position (a running count), through two
-    equi-joins on (group, position) -- no single-task window.
+    score.  Neighbours are found by place, through two equi-joins on
+    (group, place) -- no single-task window.
     """
     g = list(group_cols)
-    counts = score_counts(preds, g, score).withColumn("_one", F.lit(1)).withColumn("_desc", -F.col(score))
-    cum = prefix_sums(counts, g, "_desc", ["pos", "neg", "_one"]).drop("_desc")
-    totals = counts.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
-                                    F.sum("_one").alias("_npts"))
-    cum = (cum.join(totals, g) if g else cum.crossJoin(totals)).filter(
-        (F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-    pts = cum.select(*g, F.col(score).alias("threshold"), F.col("cum_pos").alias("tps"),
-                     F.col("cum_neg").alias("fps"), F.col("cum__one").alias("_i"), "_npts",
-                     "n_pos", "n_neg")
+    pts = _descending(cum).filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0)).select(
+        *g, F.col("score").alias("threshold"), "tps", "fps", "place", "n_one", "n_pos", "n_neg")
     if drop_intermediate:
-        nxt = pts.select(*g, (F.col("_i") - 1).alias("_i"), F.col("tps").alias("_tn"), F.col("fps").alias("_fn"))
-        prv = pts.select(*g, (F.col("_i") + 1).alias("_i"), F.col("tps").alias("_tp"), F.col("fps").alias("_fp"))
-        j = pts.join(nxt, g + ["_i"], "left").join(prv, g + ["_i"], "left")
+        nxt = pts.select(*g, (F.col("place") - 1).alias("place"), F.col("tps").alias("_tn"), F.col("fps").alias("_fn"))
+        prv = pts.select(*g, (F.col("place") + 1).alias("place"), F.col("tps").alias("_tp"), F.col("fps").alias("_fp"))
+        j = pts.join(nxt, g + ["place"], "left").join(prv, g + ["place"], "left")
         bend = ((F.col("_fp") - F.lit(2) * F.col("fps") + F.col("_fn")) != 0) | \
                ((F.col("_tp") - F.lit(2) * F.col("tps") + F.col("_tn")) != 0)
-        keep = (F.col("_i") == 1) | (F.col("_i") == F.col("_npts")) | bend
-        pts = j.filter(keep).select(*pts.columns)
-    # One start point per group, from the per-group totals (not from the curve).
-    start = (totals.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-                   .select(*g, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("tps"),
-                           F.lit(0).cast("bigint").alias("fps"), "n_pos", "n_neg"))
-    allp = pts.drop("_i", "_npts").unionByName(start)
-    return allp.select(*g, "threshold", "tps", "fps",
-                       ratio_round("tps", "n_pos", digits).alias("tpr"),
-                       ratio_round("fps", "n_neg", digits).alias("fpr"))
+        pts = j.filter((F.col("place") == 1) | (F.col("place") == F.col("n_one")) | bend).select(*pts.columns)
+    # the row at place 1 brings the start along
+    start = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("tps"), F.lit(0).cast("bigint").alias("fps"))
+    own = F.struct("threshold", "tps", "fps")
+    both = pts.withColumn("_p", F.explode(F.when(F.col("place") == 1, F.array(start, own)).otherwise(F.array(own))))
+    return both.select(*g, "_p.threshold", "_p.tps", "_p.fps", ratio_round(F.col("_p.tps"), F.col("n_pos"), digits).alias("tpr"),
+                       ratio_round(F.col("_p.fps"), F.col("n_neg"), digits).alias("fpr"))
 
 
-def pr_curve(preds: DataFrame, group_cols: list[str], score: str = "score",
-             digits: int = DIGITS) -> DataFrame:
+def roc_curve(preds: DataFrame, group_cols: list[str], score: str = "score",
+              digits: int = DIGITS, drop_intermediate: bool = False) -> DataFrame:
+    return roc_of(cumulative(preds, group_cols, score), group_cols, digits, drop_intermediate)
+
+
+def pr_of(cum: DataFrame, group_cols: list[str], digits: int = DIGITS) -> DataFrame:
     """(group..., threshold, tps, fps, precision, recall) per distinct score,
     plus the end point precision 1, recall 0 (threshold NULL)."""
     g = list(group_cols)
-    cum, totals = _desc_cumulative(preds, g, score, with_totals=True)
-    cum = cum.filter(F.col("n_pos") > 0)
-    pts = cum.select(*g, F.col(score).alias("threshold"), F.col("cum_pos").alias("tps"),
-                     F.col("cum_neg").alias("fps"),
-                     ratio_round(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"), digits)
-                     .alias("precision"),
-                     ratio_round(F.col("cum_pos"), F.col("n_pos"), digits).alias("recall"))
-    # One end point per group, from the per-group totals (not from the curve).
-    end = (totals.filter(F.col("n_pos") > 0)
-              .select(*g, F.lit(None).cast("double").alias("threshold"),
-                      F.lit(None).cast("bigint").alias("tps"), F.lit(None).cast("bigint").alias("fps"),
-                      F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")))
-    return pts.unionByName(end)
+    pts = _descending(cum).filter(F.col("n_pos") > 0)
+    own = F.struct(F.col("score").alias("threshold"), "tps", "fps", ratio_round(F.col("tps"), F.col("tps") + F.col("fps"), digits).alias("precision"),
+                   ratio_round(F.col("tps"), F.col("n_pos"), digits).alias("recall"))
+    end = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("bigint").alias("tps"),
+                   F.lit(None).cast("bigint").alias("fps"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    # the row at place 1 brings the end along
+    both = pts.withColumn("_p", F.explode(F.when(F.col("place") == 1, F.array(end, own)).otherwise(F.array(own))))
+    return both.select(*g, "_p.*")
 
 
-def average_precision(preds: DataFrame, group_cols: list[str], score: str = "score",
-                      digits: int = DIGITS) -> DataFrame:
+def pr_curve(preds: DataFrame, group_cols: list[str], score: str = "score",
+             digits: int = DIGITS) -> DataFrame:
+    return pr_of(cumulative(preds, group_cols, score), group_cols, digits)
+
+
+def average_precision_of(cum: DataFrame, group_cols: list[str], digits: int = DIGITS) -> DataFrame:
     """(group..., average_precision): sum over distinct scores (descending) of
     (recall step) x precision = (1/P) sum pos_k * tps_k / (tps_k + fps_k)."""
-    g = list(group_cols)
-    cum = _desc_cumulative(preds, g, score).filter(F.col("n_pos") > 0)
-    step = F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    return cum.groupBy(*g).agg(F.round(F.sum(step) / F.first("n_pos"), digits)
-                               .alias("average_precision"))
+    pts = _descending(cum).filter(F.col("n_pos") > 0)
+    step = F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))
+    return pts.groupBy(*group_cols).agg(F.round(F.sum(step) / F.first("n_pos"), digits).alias("average_precision"))
+
+
+def average_precision(preds: DataFrame, group_cols: list[str], score: str = "score",
+                      digits: int = DIGITS) -> DataFrame:
+    return average_precision_of(cumulative(preds, group_cols, score), group_cols, digits)
+
+
+def curve_summary(cum: DataFrame, group_cols: list[str], digits: int = DIGITS) -> DataFrame:
+    """(group..., auc_roc, average_precision, roc_points, pr_points) in one aggregate; groups with one class are skipped."""
+    pts = _descending(cum).filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0)).withColumn("_all", F.col("n_pos"))
+    step = F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))
+    points = F.count(F.lit(1)) + 1
+    return pts.groupBy(*group_cols).agg(
+        _auc(digits)[2], F.round(F.sum(step) / F.first("_all"), digits).alias("average_precision"),
+        points.alias("roc_points"), points.alias("pr_points"))
 
 
 # ---------------------------------------------------------------------------
@@ -296,10 +259,6 @@ def best_threshold(preds: DataFrame, group_cols: list[str], prob: str = "y_prob"
 # Evaluation over splits
 # ---------------------------------------------------------------------------
 
-TEST_SPLIT = "English Test (20%)"
-VAL_SPLIT = "Multilingual Val"
-
-
 def eval_rows(preds: DataFrame, split_col: str = "split", lang_col: str = "lang") -> DataFrame:
     """Each prediction row once per evaluation group it belongs to: the
     English test rows to the test split, validation rows both to the whole
@@ -310,9 +269,13 @@ def eval_rows(preds: DataFrame, split_col: str = "split", lang_col: str = "lang"
     return preds.withColumn("eval_split", F.explode(groups))
 
 
+def split_rows(preds: DataFrame) -> DataFrame:
+    """The rows of all evaluation groups, named in ``split``."""
+    return eval_rows(preds).drop("split").withColumnRenamed("eval_split", "split")
+
+
 def evaluate_splits(preds: DataFrame, threshold: Column | float | None = 0.5,
                     digits: int = DIGITS) -> DataFrame:
     """Metric rows per (model, split): English test, whole validation and
     each validation language."""
-    rows = eval_rows(preds).drop("split").withColumnRenamed("eval_split", "split")
-    return classification_metrics(rows, ["model", "split"], threshold, digits)
+    return classification_metrics(split_rows(preds), ["model", "split"], threshold, digits)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toxiscope.functions.text import clean_tokens, word_ngrams, word_tokens
+from toxiscope.operators.ranges import row_numbers
 
 MAX_FEATURES = 50_000
 WORD_VOCAB_SIZE = 50_000
@@ -74,14 +75,21 @@ def top_terms(term_stats: DataFrame, k: int | None, count_col: str, min_count: i
     return kept.orderBy(F.desc(count_col), F.asc("term")).limit(int(k))
 
 
+def numbered(table: DataFrame, order: list[Column | str], out: str, rows: int | None, start: int = 0) -> DataFrame:
+    """table + ``out``, its number in ``order`` from ``start``: in one task where ``rows`` bounds the table, else by ranges."""
+    if rows is not None and rows <= BROADCAST_ROWS:
+        number = F.row_number().over(Window.orderBy(*order)) - 1
+        return table.withColumn(out, (number + start).cast("int"))
+    found = row_numbers(table, order, out)
+    return found.withColumn(out, (F.col(out) + start).cast("int"))
+
+
 def feature_vocabulary(stats: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
     """(term, tot, df, idx): top terms by total corpus count; idx in term order.
 
     ``stats`` is (term, tot, df) over the training documents (``term_stats``).
     """
-    vocab = top_terms(stats, max_features, "tot")
-    # Bounded by max_features rows: a single-partition ordering is fine.
-    return vocab.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
+    return numbered(top_terms(stats, max_features, "tot"), ["term"], "idx", max_features)
 
 
 def idf_table(vocab: DataFrame, n_docs: Column) -> DataFrame:
@@ -127,8 +135,7 @@ def word_vocabulary(train_docs: DataFrame, text_col: str = "clean",
     words = train_docs.select(F.explode(word_tokens(text_col)).alias("term"))
     stats = words.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
     top = top_terms(stats, size, "freq", min_count=min_freq)
-    order = Window.orderBy(F.desc("freq"), F.asc("term"))
-    return top.withColumn("id", (F.row_number().over(order) + 1).cast("int"))
+    return numbered(top, [F.desc("freq"), F.asc("term")], "id", size, start=UNK_ID + 1)
 
 
 def encode_sequences(docs: DataFrame, vocab: DataFrame, text_col: str = "clean",

@@ -14,7 +14,7 @@ postings by term.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toxiscope.functions.numeric import sigmoid
@@ -36,11 +36,12 @@ def nb_fit(train_weights: DataFrame, train_labels: DataFrame, vocab: DataFrame,
         F.sum(F.when(F.col(label) == 0, F.col("weight")).otherwise(0.0)).alias("w0"),
         F.sum(F.when(F.col(label) == 1, F.col("weight")).otherwise(0.0)).alias("w1"))
     terms = vocab.select("term", "idx").join(per_class, "term", "left").fillna(0.0, ["w0", "w1"])
-    whole = Window.partitionBy()   # bounded by the vocabulary size
-    v = F.count(F.lit(1)).over(whole)
+    # the classes' sums are one row
+    sums = terms.agg(F.count(F.lit(1)).alias("_v"), F.sum("w0").alias("_s0"), F.sum("w1").alias("_s1"))
     a = F.lit(float(alpha))
-    terms = (terms.withColumn("logp0", F.log(F.col("w0") + a) - F.log(F.sum("w0").over(whole) + a * v))
-                  .withColumn("logp1", F.log(F.col("w1") + a) - F.log(F.sum("w1").over(whole) + a * v))
+    terms = (terms.crossJoin(F.broadcast(sums))
+                  .withColumn("logp0", F.log(F.col("w0") + a) - F.log(F.col("_s0") + a * F.col("_v")))
+                  .withColumn("logp1", F.log(F.col("w1") + a) - F.log(F.col("_s1") + a * F.col("_v")))
                   .withColumn("log_ratio", F.col("logp1") - F.col("logp0")))
     prior = train_labels.agg(
         (F.log(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("double"))

@@ -210,11 +210,17 @@ class Chain:
                                  "y_true", "score", "y_prob")
         return self._get(("nb_pred", alpha, tuple(splits)), build, keep="checkpoint")
 
-    def nb_metrics(self, alpha: float = nb.ALPHA, threshold: float = 0.5) -> DataFrame:
+    def nb_curve(self, alpha: float = nb.ALPHA) -> DataFrame:
+        """The running counts of every evaluation group (``evaluation.cumulative`` at 0.5); AUC, curves and metrics read it."""
+        def build():
+            ranges = lambda df: self._get(("nb_ranges", alpha), lambda: df, keep="checkpoint")
+            return ev.cumulative(ev.split_rows(self.nb_predictions(alpha)), ["model", "split"], threshold=F.lit(0.5), keep=ranges)
+        return self._get(("nb_curve", alpha), build, keep="checkpoint")
+
+    def nb_metrics(self, alpha: float = nb.ALPHA) -> DataFrame:
         """Metric rows (models x splits: a handful) -- kept for the many
         queries that read them."""
-        return self._get(("nb_metrics", alpha, threshold),
-                         lambda: ev.evaluate_splits(self.nb_predictions(alpha), threshold),
+        return self._get(("nb_metrics", alpha), lambda: ev.metrics_of(self.nb_curve(alpha), ["model", "split"]),
                          keep="checkpoint")
 
 

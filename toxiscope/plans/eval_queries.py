@@ -34,8 +34,17 @@ def _preds(spark, sf, alpha=0.1):
 
 
 def _eval(spark, sf, alpha=0.1):
-    rows = ev.eval_rows(_preds(spark, sf, alpha))
-    return rows.drop("split").withColumnRenamed("eval_split", "split")
+    return ev.split_rows(_preds(spark, sf, alpha))
+
+
+def _curve(spark, sf, alpha=0.1):
+    """Running counts of all evaluation groups, one kept table."""
+    return chain(spark, sf).nb_curve(alpha)
+
+
+def _whole(spark, sf):
+    """Of the English test and the whole validation split."""
+    return _curve(spark, sf).filter(F.col("split").isin(TEST, VAL))
 
 
 def _metrics(spark, sf, alpha=0.1):
@@ -52,7 +61,7 @@ def _bigint(x):
 SELECT model, split, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, auc_roc
 FROM ({o.auc_select('c_eval', 'model, split')})""")
 def q_auc_roc(spark, sf):
-    return ev.auc_table(_eval(spark, sf), G)
+    return ev.auc_of(_curve(spark, sf), G)
 
 
 CUM_SQL = """
@@ -75,7 +84,7 @@ pts AS (SELECT model, split, score AS threshold, tps, fps, n_pos, n_neg FROM cum
 SELECT model, split, threshold, tps, fps, {o.ratio('tps', 'n_pos')} AS tpr, {o.ratio('fps', 'n_neg')} AS fpr
 FROM pts""")
 def q_roc_curve(spark, sf):
-    return ev.roc_curve(_preds(spark, sf), G)
+    return ev.roc_of(_whole(spark, sf), G)
 
 
 @query("pr_curve", o.with_(*BASE, CUM_SQL) + f"""
@@ -86,7 +95,7 @@ UNION ALL
 SELECT DISTINCT model, split, CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 1.0, 0.0
 FROM cum WHERE n_pos > 0""")
 def q_pr_curve(spark, sf):
-    return ev.pr_curve(_preds(spark, sf), G)
+    return ev.pr_of(_whole(spark, sf), G)
 
 
 AP_SQL = """SELECT model, split, round(sum(pos * CAST(tps AS DOUBLE) / (tps + fps)) / max(n_pos), 4) AS average_precision
@@ -95,7 +104,7 @@ FROM cum WHERE n_pos > 0 GROUP BY model, split"""
 
 @query("average_precision", o.with_(*BASE, CUM_SQL) + AP_SQL)
 def q_average_precision(spark, sf):
-    return ev.average_precision(_preds(spark, sf), G)
+    return ev.average_precision_of(_whole(spark, sf), G)
 
 
 @query("curves_both_splits", o.with_(*BASE, CUM_SQL, f"""
@@ -110,13 +119,7 @@ GROUP BY a.model, a.split, a.auc_roc, p.average_precision""")
 def q_curves_both_splits(spark, sf):
     """ROC and PR summaries for the English test and whole validation split,
     skipping groups with a single class."""
-    p = _preds(spark, sf)
-    auc = ev.auc_table(p, G).filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-    ap = ev.average_precision(p, G)
-    roc = ev.roc_curve(p, G).groupBy(*G).agg(F.count(F.lit(1)).alias("roc_points"))
-    prc = ev.pr_curve(p, G).groupBy(*G).agg(F.count(F.lit(1)).alias("pr_points"))
-    return (auc.join(ap, G).join(roc, G).join(prc, G)
-               .select(*G, "auc_roc", "average_precision", "roc_points", "pr_points"))
+    return ev.curve_summary(_whole(spark, sf), G)
 
 
 # ------------------------------------------------------- threshold metrics --
@@ -163,8 +166,7 @@ def q_confusion_counts(spark, sf):
 SELECT model, auc_roc, f1, accuracy, precision, recall FROM (""" +
        o.metrics_select("(SELECT * FROM c_preds WHERE split = 'English Test (20%)')", ["model"]) + ")")
 def q_classification_metrics(spark, sf):
-    p = _preds(spark, sf).filter(F.col("split") == TEST)
-    return ev.classification_metrics(p, ["model"], 0.5).select(
+    return ev.metrics_of(_curve(spark, sf).filter(F.col("split") == TEST), ["model"]).select(
         "model", "auc_roc", "f1", "accuracy", "precision", "recall")
 
 
@@ -376,8 +378,7 @@ def q_best_checkpoint(spark, sf):
     best wins, the earliest candidate on ties."""
     rows = []
     for i, a in CANDIDATES:
-        val = _preds(spark, sf, a).filter(F.col("split") == VAL)
-        auc = ev.auc_table(val, ["model"]).select(F.lit(i).alias("candidate"), F.lit(a).alias("alpha"),
+        auc = ev.auc_of(_curve(spark, sf, a).filter(F.col("split") == VAL), ["model"]).select(F.lit(i).alias("candidate"), F.lit(a).alias("alpha"),
                                                   F.col("auc_roc").alias("val_auc"))
         rows.append(auc)
     return cmp.best_candidate(cmp.union_metrics(rows), "val_auc", "candidate")
@@ -395,8 +396,8 @@ SELECT CASE WHEN a1.split = 'English Test (20%)' THEN 'en' ELSE substr(a1.split,
 FROM a1 JOIN a0 ON a1.split = a0.split
 WHERE a1.split = 'English Test (20%)' OR a1.split LIKE 'Val-%'""")
 def q_auc_gain_by_language(spark, sf):
-    to = ev.auc_table(_eval(spark, sf), G)
-    frm = ev.auc_table(_eval(spark, sf, ALT_ALPHA), G)
+    to = ev.auc_of(_curve(spark, sf), G)
+    frm = ev.auc_of(_curve(spark, sf, ALT_ALPHA), G)
     return cmp.gain_by_language(to, frm)
 
 
@@ -405,8 +406,8 @@ SELECT a1.split, a1.model, a0.model AS reference_model,
        CASE WHEN a0.auc_roc = 0 THEN NULL ELSE round(a1.auc_roc / a0.auc_roc, 4) END AS ratio
 FROM a1 JOIN a0 ON a1.split = a0.split""")
 def q_relative_metric(spark, sf):
-    to = ev.auc_table(_eval(spark, sf), G)
-    ref = ev.auc_table(_eval(spark, sf, ALT_ALPHA), G)
+    to = ev.auc_of(_curve(spark, sf), G)
+    ref = ev.auc_of(_curve(spark, sf, ALT_ALPHA), G)
     return cmp.relative_metric(to, ref, "auc_roc")
 
 
