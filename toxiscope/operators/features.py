@@ -9,6 +9,8 @@ size (``max_features``), which is what makes them safe to broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,23 +31,24 @@ def _ids(id_col) -> list[str]:
 
 
 def term_postings(docs: DataFrame, clean_col: str = "clean", id_col: str | list[str] = "doc_id",
-                  keep: list[str] | None = None) -> DataFrame:
-    """(id..., term, tf) of uni+bigrams of aggressively cleaned text.
+                  keep: list[str] | None = None, tokens=clean_tokens) -> DataFrame:
+    """(id..., term, tf) of uni+bigrams of cleaned text; ``tokens`` fits aggressively cleaned text
+    (``vector_tokens`` fits any).
 
     Each document is one input row, so the partial aggregation before the
     shuffle already yields the final (doc, term) counts.
     """
     keep = list(keep or [])
     ids = _ids(id_col)
-    tokens = docs.select(*ids, *keep, clean_tokens(clean_col).alias("_t"))
-    terms = tokens.select(*ids, *keep, F.explode(word_ngrams("_t")).alias("term"))
+    listed = docs.select(*ids, *keep, tokens(clean_col).alias("_t"))
+    terms = listed.select(*ids, *keep, F.explode(word_ngrams("_t")).alias("term"))
     return terms.groupBy(*ids, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_stats(postings: DataFrame) -> DataFrame:
-    """(term, tot, df) of (doc, term, tf) postings: term-keyed partial aggregates."""
-    return postings.groupBy("term").agg(F.sum("tf").cast("bigint").alias("tot"),
-                                        F.count(F.lit(1)).cast("bigint").alias("df"))
+def term_stats(postings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., term, tot, df) of (doc, term, tf) postings: term-keyed partial aggregates."""
+    return postings.groupBy(*by, "term").agg(F.sum("tf").cast("bigint").alias("tot"),
+                                             F.count(F.lit(1)).cast("bigint").alias("df"))
 
 
 def small(table: DataFrame, rows: int | None) -> DataFrame:
@@ -53,26 +56,31 @@ def small(table: DataFrame, rows: int | None) -> DataFrame:
     return F.broadcast(table) if rows is not None and rows <= BROADCAST_ROWS else table
 
 
-def top_terms(term_stats: DataFrame, k: int | None, count_col: str, min_count: int = 1) -> DataFrame:
-    """The ``k`` terms with the largest ``count_col`` (ties: term ascending); None: all.
+def top_terms(term_stats: DataFrame, k: int | None, count_col: str, min_count: int = 1, by: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` terms with the largest ``count_col`` (ties: term ascending), of every ``by``; None: all.
 
     A histogram of the counts (at most sqrt(2 * total) distinct values) gives
     the count of the k-th term; terms below it are dropped before the
     top-k sort, so the sort only sees about k rows instead of the whole
     (Zipf-tailed) term table.
     """
+    by = list(by)
     stats = term_stats.filter(F.col(count_col) >= min_count)
     if k is None:
         return stats
-    hist = stats.groupBy(count_col).agg(F.count(F.lit(1)).alias("_terms"))
-    w = Window.orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = stats.groupBy(*by, count_col).agg(F.count(F.lit(1)).alias("_terms"))
+    w = Window.partitionBy(*by).orderBy(F.desc(count_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cutoff = (hist.withColumn("_cum", F.sum("_terms").over(w))
                   .filter(F.col("_cum") >= k)
-                  .agg(F.max(count_col).alias("_cut")))
-    # No row reaches k -> every term is kept (cutoff NULL -> min_count).
-    cutoff = cutoff.select(F.coalesce("_cut", F.lit(min_count)).alias("_cut"))
-    kept = stats.join(F.broadcast(cutoff), F.col(count_col) >= F.col("_cut")).drop("_cut")
-    return kept.orderBy(F.desc(count_col), F.asc("term")).limit(int(k))
+                  .groupBy(*by).agg(F.max(count_col).alias("_cut")))
+    # No row reaches k -> every term is kept (no cutoff -> min_count).
+    if not by:
+        cutoff = cutoff.select(F.coalesce("_cut", F.lit(min_count)).alias("_cut"))
+        kept = stats.join(F.broadcast(cutoff), F.col(count_col) >= F.col("_cut")).drop("_cut")
+        return kept.orderBy(F.desc(count_col), F.asc("term")).limit(int(k))
+    kept = stats.join(F.broadcast(cutoff), by, "left").filter(F.col(count_col) >= F.coalesce("_cut", F.lit(min_count))).drop("_cut")
+    order = Window.partitionBy(*by).orderBy(F.desc(count_col), F.asc("term"))
+    return kept.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= int(k)).drop("_r")
 
 
 def numbered(table: DataFrame, order: list[Column | str], out: str, rows: int | None, start: int = 0) -> DataFrame:
@@ -84,11 +92,14 @@ def numbered(table: DataFrame, order: list[Column | str], out: str, rows: int |
     return found.withColumn(out, (F.col(out) + start).cast("int"))
 
 
-def feature_vocabulary(stats: DataFrame, max_features: int | None = MAX_FEATURES) -> DataFrame:
-    """(term, tot, df, idx): top terms by total corpus count; idx in term order.
+def feature_vocabulary(stats: DataFrame, max_features: int | None = MAX_FEATURES, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., term, tot, df, idx): top terms by total corpus count; idx in term order.
 
-    ``stats`` is (term, tot, df) over the training documents (``term_stats``).
+    ``stats`` is (by..., term, tot, df) over the training documents (``term_stats``).
     """
+    if by:
+        number = F.row_number().over(Window.partitionBy(*by).orderBy("term")) - 1
+        return top_terms(stats, max_features, "tot", by=by).withColumn("idx", number.cast("int"))
     return numbered(top_terms(stats, max_features, "tot"), ["term"], "idx", max_features)
 
 
@@ -99,24 +110,26 @@ def idf_table(vocab: DataFrame, n_docs: Column) -> DataFrame:
 
 
 def tfidf_fit(train_stats: DataFrame, n_train_docs: DataFrame,
-              max_features: int | None = MAX_FEATURES) -> DataFrame:
-    """(term, tot, df, idx, idf) fitted on the training documents only.
+              max_features: int | None = MAX_FEATURES, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., term, tot, df, idx, idf) fitted on the training documents only.
 
     ``train_stats`` is (term, tot, df); ``n_train_docs`` is a one-row
     DataFrame ``(n_docs)``: documents without any term still count.
     """
-    vocab = feature_vocabulary(train_stats, max_features)
+    vocab = feature_vocabulary(train_stats, max_features, by)
     return idf_table(vocab.crossJoin(F.broadcast(n_train_docs)), F.col("n_docs")).drop("n_docs")
 
 
 def tfidf_transform(postings: DataFrame, idf: DataFrame, id_col: str | list[str] = "doc_id",
-                    max_features: int | None = MAX_FEATURES) -> DataFrame:
+                    max_features: int | None = MAX_FEATURES, by: Sequence[str] = ()) -> DataFrame:
     """(id, term, idx, weight): sublinear tf x idf, L2-normalised per document.
 
+    With ``by`` (part of the id) every value has its own vocabulary.
+
     The vocabulary is broadcast where ``max_features`` bounds it; the
     per-document norm is a window on ``id_col``.
     """
-    raw = (postings.join(small(idf.select("term", "idx", "idf"), max_features), "term")
+    raw = (postings.join(small(idf.select(*by, "term", "idx", "idf"), max_features), [*by, "term"])
                    .withColumn("_raw", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*_ids(id_col))))
     return raw.withColumn("weight", F.col("_raw") / norm).drop("_raw", "idf")

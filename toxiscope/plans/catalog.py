@@ -25,4 +25,4 @@ def query(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from toxiscope.plans import (  # noqa: F401
-        corpus_queries, model_queries, eval_queries, scoring_queries, file_queries)
+        corpus_queries, model_queries, eval_queries, scoring_queries, file_queries, ablation_queries)
