@@ -34,6 +34,41 @@ def test_stream_equals_batch(spark, small_chain):
     assert a == b and len(a) == conv.count()
 
 
+def test_a_key_is_written_once_over_runs(spark, small_chain):
+    """A second run without the first one's checkpoint, and a replayed batch."""
+    c = small_chain
+    rows = [(1, 0, "one"), (2, 0, "two words"), (None, 1, "no key"), (None, 1, "no key"), (3, None, "")]
+    src, sink = tempfile.mkdtemp(prefix="toxiscope-src-"), tempfile.mkdtemp(prefix="toxiscope-sink-")
+    schema = "conv_id long, turn long, text string"
+
+    def run(name):
+        score_stream(spark, src, schema, ["conv_id", "turn"], "text", c.idf, c.nb_model(), f"{sink}/out", f"{sink}/{name}",
+                     terms=c.n_terms()).awaitTermination(300)
+        return sorted([tuple(r) for r in spark.read.parquet(f"{sink}/out").select("conv_id", "turn").collect()], key=str)
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    first = run("a")
+    assert first == sorted([(1, 0), (2, 0), (None, 1), (3, None)], key=str)
+    spark.createDataFrame(rows[:3] + [(4, 0, "new")], schema).coalesce(1).write.mode("append").parquet(src)
+    assert run("b") == sorted([*first, (4, 0)], key=str)
+    assert run("a") == sorted([*first, (4, 0)], key=str) == run("c")
+
+
+def test_broadcast_follows_the_measured_size(spark, small_chain):
+    from toxiscope.operators.compare import explain_documents
+    from toxiscope.operators.features import BROADCAST_ROWS
+    c = small_chain
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    coef = c.nb_model().select("term", F.col("log_ratio").alias("coef"))
+
+    def hints(df):
+        return df._jdf.queryExecution().analyzed().toString().count("strategy=broadcast")
+    for terms, hinted in ((c.n_terms(), True), (None, False), (BROADCAST_ROWS + 1, False)):
+        scored = hints(score_texts(docs, ["doc_id"], "text", c.idf, c.nb_model(), terms=terms))
+        # one hint is the prior's single row
+        assert scored == (3 if hinted else 1)
+        assert hints(explain_documents(c.weights, coef, terms=terms)) == (1 if hinted else 0)
+
+
 def test_scorers_take_a_cleaner(spark, small_chain):
     c = small_chain
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from toxiscope.functions.text import split_to_lang
+from toxiscope.operators.features import small
 
 # Fixed value: column order of the per-language AUC matrix (training
 # language first, then the validation languages of the test data).
@@ -105,15 +106,15 @@ def missed_toxic(preds: DataFrame, k: int = 10, threshold: float = 0.5) -> DataF
 
 
 def explain_documents(weights: DataFrame, term_weights: DataFrame, k: int = 10,
-                      id_col: str = "doc_id", digits: int = 6) -> DataFrame:
+                      id_col: str = "doc_id", digits: int = 6, terms: int | None = None) -> DataFrame:
     """Per document its k terms with the largest contribution (tf-idf weight x
     model weight) and the document's total contribution.
 
-    ``term_weights`` (term, coef) is one row per vocabulary term -- bounded,
-    broadcast.  Ranking uses contributions rounded to 8 digits so equal
+    ``term_weights`` (term, coef) is one row per vocabulary term, ``terms``
+    their measured number: it decides on the broadcast.  Ranking uses contributions rounded to 8 digits so equal
     contributions tie exactly; ties go to the smaller term.
     """
-    c = (weights.join(F.broadcast(term_weights.select("term", "coef")), "term")
+    c = (weights.join(small(term_weights.select("term", "coef"), terms), "term")
                 .withColumn("contribution", F.round(F.col("weight") * F.col("coef"), 8)))
     # the 8-digit contributions add up exactly, in whatever order
     total = F.sum(F.col("contribution").cast("decimal(18,8)")).over(Window.partitionBy(id_col))

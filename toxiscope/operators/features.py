@@ -129,7 +129,7 @@ def tfidf_transform(postings: DataFrame, idf: DataFrame, id_col: str | list[str]
     The vocabulary is broadcast where ``max_features`` bounds it; the
     per-document norm is a window on ``id_col``.
     """
-    raw = (postings.join(small(idf.select(*by, "term", "idx", "idf"), max_features), [*by, "term"])
+    raw = (postings.join(small(idf.select(*by, "term", "idx", "idf"), None if by else max_features), [*by, "term"])
                    .withColumn("_raw", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*_ids(id_col))))
     return raw.withColumn("weight", F.col("_raw") / norm).drop("_raw", "idf")

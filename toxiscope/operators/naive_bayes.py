@@ -65,7 +65,7 @@ def nb_scores(weights: DataFrame, model: DataFrame, docs: DataFrame,
     whatever order the sums ran in.  ``by`` (part of the id) names the model.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    contrib = (weights.join(small(model.select(*by, "term", "log_ratio"), max_features), [*by, "term"])
+    contrib = (weights.join(small(model.select(*by, "term", "log_ratio"), None if by else max_features), [*by, "term"])
                       .groupBy(*ids)
                       .agg(F.sum(F.col("weight") * F.col("log_ratio")).alias("_dot")))
     prior = model.select("prior").limit(1)

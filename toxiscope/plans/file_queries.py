@@ -160,7 +160,7 @@ def q_score_stream(spark, sf):
     # a pattern, so that a single file serves as well as a folder of them
     given = c.table("conversations").select("conv_id", "turn", "text")
     score_stream(spark, f"{sf.rstrip('/')}/conversations.parque[t]", given.schema, ["conv_id", "turn"], "text",
-                 c.idf, c.nb_model(), f"{path}/sink", f"{path}/checkpoint").awaitTermination()
+                 c.idf, c.nb_model(), f"{path}/sink", f"{path}/checkpoint", terms=c.n_terms()).awaitTermination()
     return spark.read.parquet(f"{path}/sink").select("conv_id", "turn", "y_prob", "verdict")
 
 

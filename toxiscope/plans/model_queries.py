@@ -102,7 +102,7 @@ def q_explain_document(spark, sf):
     c = chain(spark, sf)
     w = c.weights.filter(F.col("split") != TRAIN)
     coef = c.nb_model().select("term", F.col("log_ratio").alias("coef"))
-    return explain_documents(w, coef, k=10)
+    return explain_documents(w, coef, k=10, terms=c.n_terms())
 
 
 # ------------------------------------------------ word vocabulary / encoding --

@@ -62,7 +62,7 @@ FROM s_prob""")
 def q_score_comments(spark, sf):
     """Unlabelled documents and conversation turns: clean -> probability -> verdict."""
     c = chain(spark, sf)
-    return score_comments(_unlabelled(spark, sf), KEYS, "text", c.idf, c.nb_model())
+    return score_comments(_unlabelled(spark, sf), KEYS, "text", c.idf, c.nb_model(), terms=c.n_terms())
 
 
 DOCS_SQL = "s_in AS (SELECT 'documents' AS tbl, doc_id AS id, CAST(-1 AS BIGINT) AS turn, text FROM documents)"

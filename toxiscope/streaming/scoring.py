@@ -1,7 +1,7 @@
 """Scoring unlabelled comments.
 
 * ``score_texts`` -- relational: clean, postings, TF-IDF with the fitted
-  vocabulary (broadcast, bounded by ``max_features``), Naive Bayes join-sum.
+  vocabulary (broadcast if its measured size allows it), Naive Bayes join-sum.
 * ``score_with_udf`` -- any ``texts -> probabilities`` model through
   ``predict_batch_udf``: Arrow batches, the model is built once per Python
   worker.  ``nb_batch_scorer`` packages the fitted Naive Bayes weights that
@@ -9,7 +9,7 @@
 * ``score_stream`` -- new comment files in a directory are scored with
   ``score_texts`` inside ``foreachBatch`` (per-document sums are
   aggregations, which a pure streaming plan would have to keep as state) and
-  written idempotently per batch id; ``Trigger.AvailableNow`` drains what is
+  written idempotently per run and batch id, each key once; ``Trigger.AvailableNow`` drains what is
   there and stops.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,26 +29,31 @@ from toxiscope.operators import naive_bayes as nb
 
 
 def score_texts(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFrame,
-                model: DataFrame, partitions: int | None = None, cleaner: str = "aggressive") -> DataFrame:
+                model: DataFrame, partitions: int | None = None, cleaner: str = "aggressive",
+                terms: int | None = None) -> DataFrame:
     """df keys + (score, y_prob) for any text table; ``cleaner`` names one of ``CLEANERS``.
 
     The texts are hash-partitioned by key once; the postings aggregation,
     the per-document norm window, the per-document score sum and the final
     left join all require clustering by (a superset of) the key, so none of
     them shuffles the postings, which are several times larger than the text.
+
+    ``terms`` is the model's measured number of terms: up to
+    ``BROADCAST_ROWS`` it is broadcast.  A larger model, or one that wasn't
+    measured, is joined as Catalyst sees fit (with its runtime bloom filter).
     """
     docs = df.select(*key_cols, text_col)
     docs = docs.repartition(partitions, *key_cols) if partitions else docs.repartition(*key_cols)
     clean = docs.select(*key_cols, CLEANERS[cleaner](text_col).alias("clean"))
     post = fe.term_postings(clean, id_col=key_cols)
-    w = fe.tfidf_transform(post, idf, id_col=key_cols)
-    return nb.nb_scores(w, model, docs, id_col=key_cols)
+    w = fe.tfidf_transform(post, idf, id_col=key_cols, max_features=terms)
+    return nb.nb_scores(w, model, docs, id_col=key_cols, max_features=terms)
 
 
-def score_comments(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFrame,
-                   model: DataFrame, threshold: float = 0.5, cleaner: str = "aggressive") -> DataFrame:
+def score_comments(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFrame, model: DataFrame,
+                   threshold: float = 0.5, cleaner: str = "aggressive", terms: int | None = None) -> DataFrame:
     """keys + (y_prob, verdict): blank text short-circuits to the dash / 0.0."""
-    s = score_texts(df, key_cols, text_col, idf, model, cleaner=cleaner)
+    s = score_texts(df, key_cols, text_col, idf, model, cleaner=cleaner, terms=terms)
     return s.select(*key_cols, F.round(verdict_prob(text_col, "y_prob"), 6).alias("y_prob"),
                     verdict(text_col, "y_prob", threshold).alias("verdict"))
 
@@ -123,28 +129,57 @@ def scoring_throughput(texts: DataFrame, order_col: str, text_col: str, idf: Dat
 # Stream
 # ---------------------------------------------------------------------------
 
+#: Key buckets of the sink: a micro-batch of few keys reads the keys of few buckets.
+SINK_BUCKETS = 16
+
+
+def _written_keys(spark: SparkSession, sink_dir: str, key_cols: list[str], run: str, batch_id: int) -> DataFrame | None:
+    """(bucket, keys) of all batches in the sink but this one; None where there is no sink yet."""
+    try:
+        rows = spark.read.parquet(sink_dir)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return rows.filter(~((F.col("run") == run) & (F.col("batch_id") == batch_id))).select("bucket", *key_cols)
+
+
 def score_stream(spark: SparkSession, source_dir: str, schema, key_cols: list[str], text_col: str,
                  idf: DataFrame, model: DataFrame, sink_dir: str, checkpoint: str,
                  threshold: float = 0.5, fmt: str = "parquet", max_files: int | None = None,
-                 cleaner: str = "aggressive"):
+                 cleaner: str = "aggressive", terms: int | None = None):
     """Start the stream; returns the StreamingQuery (AvailableNow trigger).
 
-    A key is scored once, however many files bring it: the checkpointed state
-    keeps the keys seen (on a cluster with the RocksDB state store, so that
-    its size isn't bound by memory).
+    A key is scored once, however many files or runs bring it: the sink is
+    the memory.  A micro-batch's keys are anti-joined with the keys that the
+    sink holds (of the batch's key buckets), so there is no state that grows
+    with the stream, and none to lose: a run with a new checkpoint goes on
+    where the sink ends.
 
-    Each micro-batch is written to ``sink_dir/batch_id=<n>`` with overwrite,
-    so a batch replayed after a failure replaces its own output: the sink is
-    idempotent and the checkpoint makes the source exactly-once.
+    Each micro-batch is written to ``run=<id>/batch_id=<n>/bucket=<b>`` with
+    overwrite, and its own rows don't count as written, so a batch replayed
+    after a failure replaces its own output: the sink is idempotent and the
+    checkpoint makes the source exactly-once.
     """
+    sink_dir = sink_dir.rstrip("/")
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.load(source_dir).dropDuplicates(key_cols)
+    stream = reader.load(source_dir)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = score_comments(batch, key_cols, text_col, idf, model, threshold, cleaner)
-        scored.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
+        session = batch.sparkSession
+        # the checkpoint's own id tells runs apart that number their batches alike
+        run = session.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+        new = batch.dropDuplicates(key_cols).withColumn("bucket", F.pmod(F.xxhash64(*key_cols), F.lit(SINK_BUCKETS)).cast("int"))
+        seen = _written_keys(session, sink_dir, key_cols, run, batch_id)
+        if seen is not None:
+            same = F.col("n.bucket") == F.col("s.bucket")
+            for c in key_cols:
+                same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}"))
+            new = new.alias("n").join(seen.alias("s"), same, "left_anti")
+        scored = score_comments(new, [*key_cols, "bucket"], text_col, idf, model, threshold, cleaner, terms)
+        scored.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink_dir}/run={run}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(write_batch)
                   .option("checkpointLocation", checkpoint)
