@@ -8,9 +8,9 @@ corpus (split 80/20 into ``train`` and the English test split); labelled
 documents in every other language form the multilingual validation split.
 
 Partitioning: cleaned documents are hash-partitioned by ``doc_id`` once, and
-their postings (with split and label) are written; the per-document norm of
-the weights is the one later exchange by ``doc_id``, of postings already cut
-to the vocabulary.  Term-keyed work (vocabulary, idf, class sums) is map-side
+their postings (with split and label) are written in buckets of that key; the
+per-document norm of the weights and the sparse vectors of the linear models
+use the buckets without an exchange.  Term-keyed work (vocabulary, idf, class sums) is map-side
 combined and bounded by the vocabulary size before anything is broadcast.
 """
 
@@ -41,6 +41,8 @@ NO_LANG = "und"
 NB_NAME = "TF-IDF + Naive Bayes"
 LR_NAME = "TF-IDF + Logistic Regression"
 SVM_NAME = "TF-IDF + SVM"
+#: Characters of cleaned text in a bucket (some 100 MB of postings).
+BUCKET_CHARS = 16 << 20
 
 
 def nb_name(alpha: float = nb.ALPHA) -> str:
@@ -68,6 +70,7 @@ class Chain:
     partitions: int | None = None
     _memo: dict = field(default_factory=dict)
     _cached: list = field(default_factory=list)
+    _tables: list = field(default_factory=list)
     _run_dir: str | None = None
 
     def _get(self, key, build, keep: str | None = None, schema=None):
@@ -80,6 +83,7 @@ class Chain:
         cut, plans of later queries stay small, an executor loss re-reads
         files instead of re-running the chain, and later scans prune columns.
         One write job per table.
+        ``keep="bucketed"`` -- the same, as a table bucketed by ``doc_id``: later work per document needs no exchange.
         """
         if key not in self._memo:
             df = build()
@@ -90,6 +94,13 @@ class Chain:
                 path = self._table_path(key)
                 df.write.mode("overwrite").parquet(path)
                 df = self.spark.read.schema(schema or df.schema).parquet(path)
+            elif keep == "bucketed":
+                path = self._table_path(key)
+                name = path.rstrip("/").rsplit("/", 2)[-2].replace("-", "_") + f"_{len(self._tables)}"
+                (df.write.format("parquet").option("path", path).bucketBy(self.buckets, "doc_id").sortBy("doc_id")
+                 .saveAsTable(name))
+                self._tables.append(name)
+                df = self.spark.table(name)
             self._memo[key] = df
         return self._memo[key]
 
@@ -112,6 +123,9 @@ class Chain:
             df.unpersist()
         self._cached.clear()
         self._memo.clear()
+        for name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._tables.clear()
         if self._run_dir is not None:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self._run_dir)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -146,20 +160,25 @@ class Chain:
             "doc_id", "split", light_clean("text").alias("clean")), keep="persist")
 
     # -- features ------------------------------------------------------------
+    @property
+    def buckets(self) -> int:
+        """Buckets of the tables per document: of ``BUCKET_CHARS`` of measured text each, one per core at least."""
+        def build():
+            chars = self.cleaned.agg(F.sum(F.length("clean"))).first()[0] or 0
+            return max(self.spark.sparkContext.defaultParallelism, -(-chars // BUCKET_CHARS))
+        return self.partitions or self._get("buckets", build)
+
     @property
     def postings(self) -> DataFrame:
         """(doc_id, split, toxic, term, tf), tokenised once and written.  The
         texts are hash-partitioned by ``doc_id`` first (one shuffle of text,
-        several times smaller than the postings), so the aggregation needs no
-        exchange; vocabulary, idf, weights and Naive Bayes read the table."""
+        several times smaller than the postings), as many partitions as
+        buckets: the aggregation needs no exchange and every task writes one
+        bucket.  Vocabulary, idf, weights and Naive Bayes read the table."""
         def build():
-            docs = self.cleaned.select("doc_id", "split", "toxic", "clean")
-            # Without an explicit count AQE sizes (coalesces) the partitions
-            # from the data; the hash clustering on doc_id is kept.
-            docs = (docs.repartition(self.partitions, "doc_id") if self.partitions
-                    else docs.repartition("doc_id"))
+            docs = self.cleaned.select("doc_id", "split", "toxic", "clean").repartition(self.buckets, "doc_id")
             return fe.term_postings(docs, keep=["split", "toxic"])
-        return self._get("postings", build, keep="checkpoint")
+        return self._get("postings", build, keep="bucketed")
 
     @property
     def n_train(self) -> DataFrame:
@@ -178,8 +197,9 @@ class Chain:
 
     @property
     def weights(self) -> DataFrame:
-        return self._get("weights", lambda: fe.tfidf_transform(self.postings, self.idf),
-                         keep="checkpoint")
+        """TF-IDF weights; bucketed like the postings, so neither their norm nor vectors built from them shuffle."""
+        return self._get("weights", lambda: fe.tfidf_transform(self.postings, self.idf, max_features=self.n_terms()),
+                         keep="bucketed")
 
     # -- Naive Bayes -----------------------------------------------------------
     def nb_model(self, alpha: float = nb.ALPHA) -> DataFrame:
