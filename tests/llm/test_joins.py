@@ -189,6 +189,14 @@ def test_decontamination_edges(spark, edge, empty):
     assert decontamination.clean(edge, none).count() == edge.count() and decontamination.clean(empty, bench).count() == 0
 
 
+def test_clean_decides_by_text(spark):
+    """Rows without an id, and with the same one, of which some leak."""
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    docs = [(None, "x a b c d e f g h i j y"), (None, "nothing of it in here"), (None, None), (7, "a b c d e f g h i j"), (7, "clean")]
+    kept = decontamination.clean(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted([tuple(r) for r in kept], key=str) == sorted([docs[1], docs[2], docs[4]], key=str)
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 2**63, 300, dtype=np.uint64)

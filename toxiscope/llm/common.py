@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,18 @@ class Scratch:
         return f"{self.root}/{re.sub('[^A-Za-z0-9_.-]+', '_', name)}"
 
 
+def tidy(run):
+    """``run`` for ``mapInArrow``; at a task's end the worker, which waits for other work, gives memory that it no longer
+    uses back to the system."""
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    return wrapped
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` of ``docs`` and ``row``, a number of its own for every row.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toxiscope.llm.common import text_steps
+from toxiscope.llm.common import text_steps, tidy
 from toxiscope.llm.words import LOWER, SOLID, shingles, span_hashes, spans
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
@@ -189,14 +189,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                          pa.array([f[4] for f in found], pa.float64())],
                         ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-        out = out.unionByName(named.mapInArrow(find, schema)) if k else named.mapInArrow(find, schema)
+        out = out.unionByName(named.mapInArrow(tidy(find), schema)) if k else named.mapInArrow(tidy(find), schema)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id has no match; all columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has no match; all columns.
+
+    What a row holds depends on its text alone, so texts are named by their
+    SHA-256: rows without an id or with a repeated one stay or go each by
+    their own text.
+    """
     leaked = "__leaked"
     while leaked in docs.columns:
         leaked += "_"
-    found = contaminated(docs, benchmark, doc_id, text).select(F.col("doc_id").alias(leaked)).distinct()
-    return docs.join(found, docs[doc_id].eqNullSafe(found[leaked]), "left_anti")
+    name = F.sha2(F.col(text), 256)
+    texts = docs.select(name.alias("doc_id"), F.col(text).alias("text"))
+    found = contaminated(texts, benchmark).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(found, F.sha2(docs[text], 256) == found[leaked], "left_anti")

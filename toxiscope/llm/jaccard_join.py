@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toxiscope.llm.common import Scratch, bit_table, in_table, text_steps
+from toxiscope.llm.common import Scratch, bit_table, in_table, text_steps, tidy
 from toxiscope.llm.components import components
 from toxiscope.llm.words import LOWER, SOLID, mix, shingles, span_hashes, spans
 
@@ -122,7 +122,7 @@ def _counted(docs: DataFrame, table) -> np.ndarray:
         if kept:
             yield from rows()
 
-    slots = docs.select("text").mapInArrow(count, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
+    slots = docs.select("text").mapInArrow(tidy(count), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
     return bit_table(slots.filter(F.col("n") > HOT), "slot", ORDER_BITS)
 
 
@@ -154,7 +154,7 @@ def _sets(docs: DataFrame, table, wanted=None) -> DataFrame:
                      pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "n", "node", "check", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        work, f"doc_id {kind}, n int, node long, check long, shingles array<long>")
+        tidy(work), f"doc_id {kind}, n int, node long, check long, shingles array<long>")
 
 
 def _overlap(n: Column, m: Column) -> Column:

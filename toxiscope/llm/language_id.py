@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toxiscope.llm.common import crc_bucket, text_steps
+from toxiscope.llm.common import crc_bucket, text_steps, tidy
 from toxiscope.llm.words import LOWER, span_hashes, spans
 
 UNKNOWN = "und"
@@ -221,7 +221,7 @@ def training_words(docs: DataFrame, usable: Column, max_docs: int = TRAIN_DOCS)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(words, pa.binary())], ["lang", "word"])
 
     chosen = docs.filter(usable & (order <= F.lit(last))).select("text", "lang", order.alias("o"))
-    return chosen.mapInArrow(sample, "lang string, word binary")
+    return chosen.mapInArrow(tidy(sample), "lang string, word binary")
 
 
 def fit(docs: DataFrame, usable: Column) -> Model | None:
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     kind = named.schema["doc_id"].dataType.simpleString()
     out = named.select("doc_id", letter.alias("letter"), "text").mapInArrow(
-        predict, f"doc_id {kind}, lang_pred string, score double")
+        tidy(predict), f"doc_id {kind}, lang_pred string, score double")
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -290,4 +290,4 @@ def keep_identified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             part = batch.filter(pa.array(keep & letter))
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n)], names=names)
 
-    return docs.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(work, docs.schema)
+    return docs.withColumn(flag, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(tidy(work), docs.schema)

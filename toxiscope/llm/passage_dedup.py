@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toxiscope.llm.common import Scratch, bit_table, in_table, text_steps
+from toxiscope.llm.common import Scratch, bit_table, in_table, text_steps, tidy
 from toxiscope.llm.words import SOLID, mix, run_hashes, span_hashes, spans
 
 PASSAGE, GRAM = 50, 16
@@ -151,7 +151,7 @@ def dedupe_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own, new_row, new_text, removed = fresh("__row"), fresh("__new_row"), fresh("__new_text"), fresh("__removed")
     kept = scratch.keep(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
     rows = kept.select(F.col(own).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = scratch.keep(rows.select("row", "text").mapInArrow(_anchor_rows, "h long, row long, at int"), "anchors")
+    found = scratch.keep(rows.select("row", "text").mapInArrow(tidy(_anchor_rows), "h long, row long, at int"), "anchors")
     several = found.groupBy("h").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a <> b").select("h")
     places = found.join(several, "h").groupBy("row").agg(F.collect_list("at").alias("places"))
     # numbers that rise in the order in which documents keep their passages
@@ -164,16 +164,16 @@ def dedupe_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for batch in batches:
             yield batch.filter(pa.array(in_table(table.value, batch.column(2).to_numpy(zero_copy_only=False)))).select(["row", "text"])
 
-    held = rows.select("row", "text", F.xxhash64("row").alias("k")).mapInArrow(marked, "row long, text string")
+    held = rows.select("row", "text", F.xxhash64("row").alias("k")).mapInArrow(tidy(marked), "row long, text string")
     seen = scratch.keep(held.join(places, "row").select("ord", "text", "places").mapInArrow(
-        _window_rows, "h1 long, h2 int, ord long, at int"), "windows")
+        tidy(_window_rows), "h1 long, h2 int, ord long, at int"), "windows")
     repeated = (seen.groupBy("h1", "h2").agg(F.min("ord").alias("ord0"), F.max("ord").alias("last"))
                 .filter("ord0 <> last").select("h1", "h2", "ord0"))
     gone = (seen.join(repeated, ["h1", "h2"]).filter("ord <> ord0")
             .groupBy("ord").agg(F.collect_list("at").alias("gone"))
             .join(places.select("ord", "row"), "ord").select("row", "gone"))
     cleaned = scratch.keep(held.join(gone, "row").mapInArrow(
-        _without, "row long, text string, removed int"), "cleaned").toDF(new_row, new_text, removed)
+        tidy(_without), "row long, text string, removed int"), "cleaned").toDF(new_row, new_text, removed)
     scratch.drop("windows", "places")
     out = kept.join(cleaned, kept[own] == cleaned[new_row], "left")
     return out.select(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toxiscope.llm.common import text_steps
+from toxiscope.llm.common import text_steps, tidy
 from toxiscope.llm.words import mix
 
 MARK = 0x2581
@@ -301,7 +301,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", columns: tuple[str, .
 
     named = docs.select(*[F.col(c).alias(o) for c, o in zip(columns, own, strict=True)], F.col(text).alias("text"))
     kinds = [f"{o} {named.schema[o].dataType.simpleString()}" for o in own]
-    out = named.mapInArrow(work, ", ".join([*kinds, "ids array<int>"]))
+    out = named.mapInArrow(tidy(work), ", ".join([*kinds, "ids array<int>"]))
     return out.select(*[F.col(o).alias(c) for c, o in zip(columns, own, strict=True)], F.col("ids").alias(to))
 
 
@@ -325,7 +325,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "text") ->
 
     named = encoded.select(*[F.col(c).alias(o) for c, o in zip(encoded.columns, own, strict=True)], F.col(ids).alias("ids"))
     kinds = [f"{o} {named.schema[o].dataType.simpleString()}" for o in own]
-    out = named.mapInArrow(work, ", ".join([*kinds, "text string"]))
+    out = named.mapInArrow(tidy(work), ", ".join([*kinds, "text string"]))
     return out.select(*[F.col(o).alias(c) for c, o in zip(encoded.columns, own, strict=True)], F.col("text").alias(to))
 
 
