@@ -213,7 +213,7 @@ def q_slug(spark, sf):
 
 # ------------------------------------------------------ tuned thresholds --
 
-def _tuned(spark, sf, alpha=0.1):
+def tuned(spark, sf, alpha=0.1):
     """Threshold tuned on the whole validation split (F1 over the grid)."""
     val = _preds(spark, sf, alpha).filter(F.col("split") == VAL)
     return ev.best_threshold(val, ["model"]).select(
@@ -235,12 +235,12 @@ LEFT JOIN obs o ON o.model = k.model AND o.lang = k.lang AND o.actual = c.actual
 def q_confusion_by_language(spark, sf):
     """At each model's own threshold, tuned on the whole validation split."""
     rows = _preds(spark, sf).filter(F.col("split") == VAL)
-    rows = rows.join(F.broadcast(_tuned(spark, sf)).select("model", "threshold"), "model")  # a row per model
+    rows = rows.join(F.broadcast(tuned(spark, sf)).select("model", "threshold"), "model")  # a row per model
     return cmp.confusion_long(rows, ["model", "lang"], threshold=F.col("threshold"))
 
 
 def _tuned_metrics(spark, sf):
-    rows = _eval(spark, sf).join(F.broadcast(_tuned(spark, sf)).select("model", "threshold"), "model")
+    rows = _eval(spark, sf).join(F.broadcast(tuned(spark, sf)).select("model", "threshold"), "model")
     return ev.classification_metrics(rows, G, threshold=None)
 
 
@@ -261,9 +261,9 @@ FROM (SELECT e.model, e.split, count(*) AS n, max(t.threshold) AS threshold,
 def q_union_metrics(spark, sf):
     """Ragged metric tables (the tuned one carries ``tuned_f1``) concatenated by name."""
     base = _metrics(spark, sf)
-    tuned = (_tuned_metrics(spark, sf).join(F.broadcast(_tuned(spark, sf)).drop("threshold"), "model")
-             .withColumn("model", F.concat("model", F.lit(" (tuned)"))))
-    return cmp.union_metrics([base, tuned])
+    second = (_tuned_metrics(spark, sf).join(F.broadcast(tuned(spark, sf)).drop("threshold"), "model")
+              .withColumn("model", F.concat("model", F.lit(" (tuned)"))))
+    return cmp.union_metrics([base, second])
 
 
 TM_SQL = f"""
@@ -352,7 +352,7 @@ def q_threshold_lookup(spark, sf):
     tuning summary here), else 0.5."""
     models = (_preds(spark, sf).select("model").distinct()
               .unionByName(_preds(spark, sf, ALT_ALPHA).select("model").distinct()))
-    return cmp.threshold_lookup(models, _tuned(spark, sf))
+    return cmp.threshold_lookup(models, tuned(spark, sf))
 
 
 CANDIDATES = ((1, 1.0), (2, 0.1), (3, 0.01))

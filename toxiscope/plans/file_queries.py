@@ -3,6 +3,8 @@ written, read back by the matching reader and compared with the same SQL."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from toxiscope.functions import text as tx
@@ -12,6 +14,8 @@ from toxiscope.operators.models import top_features
 from toxiscope.plans import oracle as o
 from toxiscope.plans.baselines import LR_NAME, NB_NAME, SVM_NAME, TEST, VAL, chain
 from toxiscope.plans.catalog import query
+from toxiscope.plans.eval_queries import ALT, ALT_ALPHA, BEST_SQL, TC_SQL, TUNED_SQL, tuned
+from toxiscope.plans.model_queries import WV_SQL, word_vocab
 from toxiscope.plans.scoring_queries import BLANK, score_sql
 from toxiscope.sources import files as fl
 from toxiscope.sources import sinks as sk
@@ -111,26 +115,36 @@ def q_read_word_vectors(spark, sf):
     return rows.withColumn("value", F.col("value").cast("double"))
 
 
-@query("vector_lookup", """
-SELECT (SELECT count(*) FROM documents) AS vocabulary,
-       (SELECT count(*) FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id) AS matched""")
+@query("vector_lookup", o.with_(o.CORPUS, WV_SQL) + """
+SELECT (SELECT count(*) FROM wv) AS vocabulary, (SELECT count(*) FROM wv JOIN embeddings e ON wv.id = e.vec_id + 2) AS matched""")
 def q_vector_lookup(spark, sf):
-    """Document keys as the vocabulary, vectors by the same key."""
-    vocab = chain(spark, sf).table("documents").select(F.concat(F.lit("v"), "doc_id").alias("term"))
-    return fl.vector_lookup(vocab, _vectors(spark, sf))[1].select("vocabulary", "matched")
+    """The word vocabulary, and a file of vectors for its most frequent words."""
+    c = chain(spark, sf)
+    path = _folder(c, "word_vectors")
+    vocab = word_vocab(spark, sf).select("term", "id")
+    rows = c.table("embeddings").select((F.col("vec_id") + 2).alias("id"), finite_or_zero("embedding").alias("v")).join(vocab, "id")
+    rows.select(F.concat_ws(" ", "term", F.col("v").cast("array<string>")).alias("value")).write.text(path)
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    return fl.vector_lookup(vocab, fl.read_word_vectors(spark, path, width))[1].select("vocabulary", "matched")
+
+
+def _other(sql: str) -> str:
+    """The same CTEs over the other model's evaluation rows."""
+    return re.sub(r"\b(grid|tc0|tc|best|tuned|c_eval)\b", r"\1_alt", sql)
 
 
-SUMMARY_SQL = o.with_(*BASE, f"""
-s AS (SELECT '{NB_NAME}' AS model, CAST(2 * count(*) AS BIGINT) AS trainable_params, max(idf) AS threshold FROM c_idf
-      UNION ALL SELECT 'vocabulary', count(*), max(idf) FROM c_idf)""")
+SUMMARY_SQL = o.with_(*BASE, ALT, o.EVAL, o.eval_cte("_alt"), TC_SQL, BEST_SQL, TUNED_SQL, _other(TC_SQL), _other(BEST_SQL), _other(TUNED_SQL), """
+s AS (SELECT model, CAST(2 * n + 2 AS BIGINT) AS trainable_params, threshold
+      FROM (SELECT model, threshold FROM tuned UNION ALL SELECT model, threshold FROM tuned_alt) CROSS JOIN (SELECT count(*) AS n FROM c_idf))""")
 
 
 def _summaries(spark, sf):
+    """A run summary per Naive Bayes model: a probability per term and class and the class shares; its tuned threshold."""
     c = chain(spark, sf)
     path = _folder(c, "summaries")
-    for name, times in ((NB_NAME, 2), ("vocabulary", 1)):
-        (c.idf.agg(F.lit(name).alias("model"), (F.count("*") * times).alias("trainable_params"), F.max("idf").alias("threshold"))
-         .coalesce(1).write.json(f"{path}/{times}_results.json"))
+    for alpha in (0.1, ALT_ALPHA):
+        (tuned(spark, sf, alpha).select("model", F.lit(2 * c.n_terms() + 2).cast("long").alias("trainable_params"), "threshold")
+         .coalesce(1).write.json(f"{path}/{alpha}_results.json"))
     return fl.read_run_summaries(spark, path)
 
 

@@ -123,14 +123,14 @@ def _light_docs(spark, sf):
     return chain(spark, sf).light
 
 
-def _word_vocab(spark, sf):
+def word_vocab(spark, sf):
     train = _light_docs(spark, sf).filter(F.col("split") == TRAIN)
     return fe.word_vocabulary(train)
 
 
 @query("word_vocabulary", o.with_(o.CORPUS, WV_SQL) + "SELECT term, freq, id FROM wv")
 def q_word_vocabulary(spark, sf):
-    return _word_vocab(spark, sf).select("term", "freq", "id")
+    return word_vocab(spark, sf).select("term", "freq", "id")
 
 
 @query("encode_sequence", o.with_(o.CORPUS, WV_SQL, """
@@ -140,7 +140,7 @@ SELECT t.doc_id, CAST(coalesce(i.part, 0) AS INTEGER) AS part, array_to_string(l
          list_transform(range(128 - len(coalesce(i.ids, []))), lambda x: 0)), ' ') AS ids
 FROM toks t LEFT JOIN ids i ON t.doc_id = i.doc_id""")
 def q_encode_sequence(spark, sf):
-    enc = fe.encode_sequences(_light_docs(spark, sf), _word_vocab(spark, sf), max_len=128)
+    enc = fe.encode_sequences(_light_docs(spark, sf), word_vocab(spark, sf), max_len=128)
     return enc.select("doc_id", "part", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
@@ -153,7 +153,7 @@ def q_token_id_lookup(spark, sf):
     """Tokens looked up in the word vocabulary; misses map to the unknown id."""
     docs = _light_docs(spark, sf)
     toks = docs.select("doc_id", F.explode(tx.word_tokens("clean")).alias("term"))
-    vocab = _word_vocab(spark, sf).select("term", "id")
+    vocab = word_vocab(spark, sf).select("term", "id")
     looked = toks.join(fe.small(vocab, fe.WORD_VOCAB_SIZE), "term", "left").withColumn(
         "tid", F.coalesce("id", F.lit(fe.UNK_ID)))
     per = looked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"),
