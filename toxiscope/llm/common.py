@@ -6,6 +6,7 @@ import ctypes
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,15 @@ class Scratch:
     folder.
     """
 
+    #: Where the scratches made now are noted, see :func:`noted`.
+    _noted: list[Scratch] | None = None
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.folder = f"{name}-{uuid.uuid4().hex}"
+        self.root = f"{checkpoint_dir(spark).rstrip('/')}/{self.folder}"
+        if Scratch._noted is not None:
+            Scratch._noted.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self._path(name)
@@ -37,15 +44,31 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self._path(name))
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(self._path(name))
+
+    def drop_all(self) -> None:
+        """Deletes the folder with all its tables; nothing may read them any more."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{re.sub('[^A-Za-z0-9_.-]+', '_', name)}"
 
 
+@contextmanager
+def noted() -> Iterator[list[Scratch]]:
+    """The scratches that operators make inside the block, for a caller that knows when their results have been written."""
+    before, Scratch._noted = Scratch._noted, []
+    try:
+        yield Scratch._noted
+    finally:
+        Scratch._noted = before
+
+
 def tidy(run):
     """``run`` for ``mapInArrow``; at a task's end the worker, which waits for other work, gives memory that it no longer
     uses back to the system."""
