@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,16 +138,94 @@ def test_pii_edges(edge, empty, small):
     assert pii.report(empty).count() == 0
 
 
+def brute_terms(texts):
+    """{term: fate} by counting every pair of an entity and a word of a document."""
+    df, entities, both, contexts = Counter(), Counter(), Counter(), {}
+    for text in texts:
+        base = brute(text)
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        found = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+        plain, apart = [None, *[w for _, _, w in found], None], {}
+        for i, (a, b, w) in enumerate(found):
+            if all(b < s or a > e for s, _, e in base):
+                apart.setdefault(w, (plain[i], plain[i + 2]))
+        has = {(k, text[s:e].lower() if k == 0 else text[s:e] if k == 1 else re.sub("[^0-9]", "", text[s:e])) for s, k, e in base}
+        df.update({w for _, _, w in found})
+        entities.update(has)
+        both.update((e, w) for e in has for w in apart)
+        for e in has:
+            for w, sides in apart.items():
+                contexts.setdefault((e, w), set()).add(sides)
+    fate = {}
+    for (e, w), n in both.items():
+        given = n / df[w]
+        if len(contexts[e, w]) >= 3 and given >= 0.5 and n * len(texts) >= 16 * entities[e] * df[w]:
+            fate[w] = "removed" if given >= 0.9 or fate.get(w) == "removed" else "generalised"
+    return fate
+
+
+def brute_term_spans(text, fate):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    return sorted((m.start(), m.end(), fate[m.group()]) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+                  if m.group() in fate and all(m.end() <= s or m.start() >= e for s, _, e in brute(text)))
+
+
+def assert_terms(docs):
+    rows = docs.select("doc_id", "text").collect()
+    fate = brute_terms([r.text or "" for r in rows])
+    got = {}
+    for r in pii.report(docs).collect():
+        found = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k in ("removed", "generalised"))
+        got.setdefault(r.doc_id, []).append(found)
+    want = {}
+    for r in rows:
+        want.setdefault(r.doc_id, []).append(brute_term_spans(r.text or "", fate))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    return fate
+
+
+def test_pii_terms_brute(spark, small):
+    """Terms and their fates by counting all pairs, on the given table and where entities, rows and hot terms repeat."""
+    assert_terms(small)
+    rng = np.random.default_rng(8)
+    people = [f"p{i}@host{i % 3}.example.com" for i in range(8)]
+    rows = []
+    for i in range(700):
+        words = [f"w{rng.integers(0, 60)}" for _ in range(rng.integers(1, 30))]
+        for p in set(rng.integers(0, 200, 2)) & set(range(8)):
+            words += [f"Friend{p}", f"Maybe{p}"][:int(rng.integers(0, 3))]
+            rng.shuffle(words)
+            words.insert(int(rng.integers(0, len(words) + 1)), people[p])
+        if rng.random() < 0.01:
+            words.append(f"maybe{rng.integers(0, 8)}")
+        if i % 3 == 0:
+            words.append("hot@everywhere.example.com hotword")
+        rows.append((i, " ".join(words)))
+    rows += rows[:30] + [(None, "friend1 p1@host1.example.com"), (None, None), (9_000, "\u65e5\u672c friend1, friend2.")]
+    fate = assert_terms(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {"removed", "generalised"} == set(fate.values()) and "hotword" not in fate
+
+
 def test_pii_terms(spark):
-    """A word that stands only beside one entity gives it away, in other documents too; a common word doesn't."""
-    rows = [(i, f"filler{i} the zarquon wrote to joe@host.example.com about the plan{i}") for i in range(6)]
-    rows += [(100 + i, f"the plan of day {i}") for i in range(300)] + [(1000, "only zarquon knows")]
+    """A word that stands only in documents of one entity, however far from it, gives it away in other documents too; a
+    common word doesn't."""
+    gap = " ".join(["the", "plan", "of", "day"] * 13)
+    rows = [(i, f"filler{i} Zarquon {gap} joe@host.example.com about the plan{i}") for i in range(6)]
+    rows += [(100 + i, f"the plan of day {i} about") for i in range(300)]
+    rows += [(1000, "only Zarquon knows")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
-    assert spans[1000] == "term:5:12" and spans[100] == ""
-    assert "term:12:19" in spans[0].split(",")
-    found = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in spans[1000].split(","))]
-    assert pii.redact("only zarquon knows", found) == "only [term] knows"
+    assert spans[1000] == "generalised:5:12" and spans[100] == ""
+    assert "generalised:8:15" in spans[0].split(",")
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert len(clean) == len(rows) and clean[1000] == "only [name] knows" and clean[100] == rows[6][1]
+    assert clean[0] == f"filler0 [name] {gap} [email] about the plan0"
+    # without the document that holds the word alone, nothing is left to be uncertain about
+    again = {r.doc_id: r.text for r in pii.sanitised(docs.filter("doc_id < 1000")).collect()}
+    assert again[0] == f"filler0 {gap} [email] about the plan0"
+    # copies of one document are one piece of evidence
+    copies = spark.createDataFrame([(i, rows[0][1]) for i in range(6)] + rows[6:], "doc_id long, text string")
+    assert {r.spans for r in pii.report(copies).filter("doc_id >= 100").collect()} == {""}
 
 
 def test_token_counts(edge, empty, small):
