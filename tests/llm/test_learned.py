@@ -88,6 +88,20 @@ def test_toxicity_edges(spark, edge, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_long_lexicon(spark):
+    """10,000 toxic words, two a document: words beyond the strongest ones count too."""
+    word = lambda x: F.translate(F.substring(F.md5(x.cast("string")), 1, 9), "0123456789", "ghijklmnop")
+    plain = F.concat_ws(" ", *[F.concat(F.lit("talk"), (F.crc32(F.concat_ws("-", "id", F.lit(j)).cast("binary")) % 300).cast("string"))
+                               for j in range(6)])
+    rows = spark.range(80_000).select(
+        F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"),
+        F.concat_ws(" ", plain, *[F.when(F.col("id") % 2 == 1, word((F.floor(F.col("id") / 2) * m) % 10_007)) for m in (1, 7)])
+        .alias("text"))
+    got = toxicity.score(rows.select("doc_id", "text"), rows.select("doc_id", "toxic")).join(rows, "doc_id").filter("held_out")
+    rate = {r.toxic: r.p for r in got.groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()}
+    assert rate[1] > 0.8 and rate[0] < 0.02
+
+
 def test_label_model():
     rng = np.random.default_rng(5)
     y = rng.random(4000) < 0.3

@@ -10,9 +10,14 @@ A linear classifier is then trained on the posterior labels and scores every
 document.
 
 Frequencies cover all labelled rows outside the held-out fold (map-side sums,
-then one shuffle keyed by feature).  Label model and classifier are fitted on
-a bounded sample: at most ``FIT_DOCS`` of these rows in the order of a hash
-of their id, as lists of at most ``FEATURES`` feature numbers.
+then one shuffle keyed by feature).  Every feature over the thresholds takes
+part: the ``FEATURES`` strongest have a weight each, the ``VOTERS`` strongest a
+vote each; of the others, those that share a slot (of ``SLOTS``) share a
+weight, and those that share a lexicon (of ``LEXICONS``) a vote.  Tasks know
+the others by a bit table of fixed size, so what is broadcast doesn't grow.
+Label model and classifier are fitted on a bounded sample: ``FIT_DOCS`` of
+the training rows at most, in the order of a hash of their id (of rows of one
+id, those of the smallest feature lists first).
 
 Defined results: a null text counts as empty and gets the classifier's bias;
 without any toxic training row every score is 0; repeated rows each get
@@ -29,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toxiscope.llm.common import Scratch, crc_bucket, text_steps
+from toxiscope.llm.common import Scratch, bit_table, crc_bucket, in_table, text_steps
 from toxiscope.llm.words import ALNUM, LOWER, byte_sums, mix, span_hashes, spans
 
 FIT_DOCS, FEATURES, VOTERS = 20_000, 2048, 256
+#: Shared weights and votes of the features beyond these; LEXICONS divides SLOTS.
+SLOTS, LEXICONS, TABLE_BITS = 4096, 64, 1 << 24
 MIN_TOXIC, MIN_LIFT, THRESHOLD = 3, 3.0, 0.3
 #: Lengths in bytes of the word beginnings that count as patterns.
 BEGINNINGS = (4, 5, 6)
@@ -44,6 +51,7 @@ EM_ROUNDS, ANCHOR = 20, 0.97
 @dataclass
 class Scorer:
     features: np.ndarray
+    others: np.ndarray | None
     weights: np.ndarray
     bias: float
 
@@ -116,18 +124,21 @@ def frequencies(labelled: DataFrame) -> DataFrame:
             .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
-def active(features: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature number) pairs that occur, each once; ``features`` sorted, the SIGNS follow them."""
+def active(features: np.ndarray, others: np.ndarray | None, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature number) pairs that occur, each once; ``features`` sorted, the SIGNS follow them, then the slots of
+    the features in the bit table ``others``."""
     kinds, owner, which = _word_features(data, offsets)
-    signs, n = _signs(data, offsets), len(features) + len(SIGNS)
+    signs, n = _signs(data, offsets), len(features) + len(SIGNS) + SLOTS
     text, sign = np.nonzero(signs)
     pairs = [text * n + len(features) + sign]
-    if len(features):
-        for kind in kinds:
-            at = np.minimum(np.searchsorted(features, kind), len(features) - 1)
-            hit = features[at] == kind
-            found = hit[which]
-            pairs.append(owner[found] * n + at[which[found]])
+    for kind in kinds if len(features) else ():
+        at = np.minimum(np.searchsorted(features, kind), len(features) - 1)
+        hit = features[at] == kind
+        if others is not None:
+            slot = len(features) + len(SIGNS) + (mix(kind.view(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
+            at, hit = np.where(hit, at, slot), hit | (in_table(others, kind) & (kind != 0))
+        found = hit[which]
+        pairs.append(owner[found] * n + at[which[found]])
     pairs = np.unique(np.concatenate(pairs))
     return pairs // n, pairs % n
 
@@ -177,44 +188,50 @@ def fit_linear(rows: np.ndarray, columns: np.ndarray, n_rows: int, n_columns: in
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame) -> Scorer | None:
+def fit(labelled: DataFrame, scratch: Scratch) -> Scorer | None:
     """The scorer learned from rows (doc_id, text, toxic), or None without a toxic row."""
     totals = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not totals.get(1):
         return None
     lift = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * (totals.get(0, 0) + 1) / (totals[1] + 1)
-    chosen = (frequencies(labelled).filter((F.col("toxic") >= MIN_TOXIC) & (lift >= MIN_LIFT))
-              .orderBy(F.desc(F.col("toxic") * F.log(lift)), "feature").limit(FEATURES).collect())
-    ranked = np.array([r.feature for r in chosen], np.int64)
+    chosen = scratch.keep(frequencies(labelled).filter((F.col("toxic") >= MIN_TOXIC) & (lift >= MIN_LIFT))
+                          .select("feature", (F.col("toxic") * F.log(lift)).alias("strength")), "chosen")
+    best = chosen.orderBy(F.desc("strength"), "feature").limit(FEATURES).collect()
+    ranked = np.array([r.feature for r in best], np.int64)
+    others = None
+    if len(best) == FEATURES:
+        least = best[-1]
+        others = bit_table(chosen.filter((F.col("strength") < least.strength) | (F.col("strength") == least.strength) &
+                                         (F.col("feature") > least.feature)), "feature", TABLE_BITS)
     features = np.sort(ranked)
     order = F.xxhash64("doc_id", F.lit("fit"))
     last = labelled.select(order.alias("o")).orderBy("o").limit(FIT_DOCS).agg(F.max("o")).first()[0]
 
     def lists(batches):
         for batch in batches:
-            out, toxic = [], batch.column(batch.schema.get_field_index("toxic"))
+            out = []
             for at, end, data, offsets in text_steps(batch):
-                text, number = active(features, data, offsets)
+                text, number = active(features, others, data, offsets)
                 bounds = np.searchsorted(text, np.arange(end - at + 1))
                 out += [number[bounds[i]:bounds[i + 1]].astype(np.int32) for i in range(end - at)]
-            yield pa.RecordBatch.from_arrays([toxic.cast(pa.int32()), pa.array(out, pa.list_(pa.int32()))], ["toxic", "on"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["o", "toxic", "on"])
 
-    sample = (labelled.filter(order <= F.lit(last)).select("toxic", "text")
-              .mapInArrow(lists, "toxic int, on array<int>").toPandas())
-    sample = sample.iloc[:FIT_DOCS]
+    sample = (labelled.filter(order <= F.lit(last)).select(order.alias("o"), "toxic", "text")
+              .mapInArrow(lists, "o long, toxic int, on array<int>").orderBy("o", "on", "toxic").limit(FIT_DOCS).toPandas())
     counts = sample["on"].map(len).to_numpy()
     rows = np.repeat(np.arange(len(sample)), counts)
     columns = np.concatenate(sample["on"].to_list()).astype(np.int64) if counts.sum() else np.zeros(0, np.int64)
-    n = len(features) + len(SIGNS)
-    voters = np.concatenate((np.searchsorted(features, ranked[:VOTERS]), np.arange(len(features), n)))
-    seat = np.full(n, -1)
-    seat[voters] = np.arange(len(voters))
+    n = len(features) + len(SIGNS) + SLOTS
+    own = np.concatenate((np.searchsorted(features, ranked[:VOTERS]), np.arange(len(features), len(features) + len(SIGNS))))
+    # the other features' seats are those of their lexicons
+    seat = len(own) + np.arange(n) % LEXICONS
+    seat[own] = np.arange(len(own))
+    voters, seated = np.unique(seat[columns], return_inverse=True)
     votes = np.zeros((len(sample), len(voters)), np.float32)
-    voting = seat[columns] >= 0
-    votes[rows[voting], seat[columns[voting]]] = 1
+    votes[rows, seated] = 1
     soft = posterior(votes, sample["toxic"].to_numpy())
     weights, bias = fit_linear(rows, columns, len(sample), n, soft)
-    return Scorer(features, weights, bias)
+    return Scorer(features, others, weights, bias)
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
@@ -226,7 +243,8 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
              .filter(F.col("toxic").isin(0, 1) & ~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     # the labelled texts, shuffled once whatever the sizes, and kept for the passes over them
     labelled = named.filter(F.col("doc_id").isNotNull() & ~held_out).join(known.hint("merge"), "doc_id")
-    scorer = fit(Scratch(docs.sparkSession, "toxicity").keep(labelled, "labelled"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    scorer = fit(scratch.keep(labelled, "labelled"), scratch)
 
     def apply(batches):
         for batch in batches:
@@ -235,7 +253,7 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 if scorer is None:
                     out.append(np.zeros(end - at))
                     continue
-                rows, columns = active(scorer.features, data, offsets)
+                rows, columns = active(scorer.features, scorer.others, data, offsets)
                 z = np.bincount(rows, scorer.weights[columns], end - at) + scorer.bias
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             yield pa.RecordBatch.from_arrays(
