@@ -256,6 +256,15 @@ def test_token_counts(edge, empty, small):
     assert token_count.count_tokens(empty, path).count() == 0
 
 
+def test_long_pre_tokens_stay_out_of_the_table(spark):
+    path = tokenizer_file("byte_bpe_50k.json")
+    texts = [f"short {'x' * 5000} short"] * 5 + ["short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert max(len(r.piece) for r in token_count.frequent(docs, path).collect()) <= token_count.PIECE_CHARS
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(docs, path).collect()}
+    assert got == dict(enumerate(token_count.lengths(path, texts)))
+
+
 def test_pre_tokens_as_the_library():
     from tokenizers import Tokenizer
     path = tokenizer_file("byte_bpe_50k.json")

@@ -33,6 +33,8 @@ TASK_TOP = 16_384
 CACHE_SIZE = 500_000
 RUN_CHARS = 1 << 20
 LIMIT = 1024
+#: Longer pre-tokens are encoded anew where they stand, neither broadcast nor cached.
+PIECE_CHARS = 64
 
 # Fixed value: the pre-token pattern of the public byte-level vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -91,7 +93,7 @@ def _runs(texts: Iterator[str]) -> Iterator[list[str]]:
 
 
 def frequent(docs: DataFrame, path: str) -> DataFrame:
-    """(piece, n): the most frequent pre-tokens of the corpus, at most TABLE_SIZE."""
+    """(piece, n): the most frequent pre-tokens of at most PIECE_CHARS characters of the corpus, at most TABLE_SIZE."""
     def count(batches):
         pieces, seen = split_pieces(path), Counter()
         for batch in batches:
@@ -101,7 +103,7 @@ def frequent(docs: DataFrame, path: str) -> DataFrame:
                     seen.update(found)
                 if len(seen) > CACHE_SIZE:
                     seen = Counter(dict(seen.most_common(CACHE_SIZE // 2)))
-        top = seen.most_common(TASK_TOP)
+        top = [(p, n) for p, n in seen.most_common(TASK_TOP) if len(p) <= PIECE_CHARS]
         yield pa.RecordBatch.from_arrays(
             [pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
@@ -112,7 +114,7 @@ def frequent(docs: DataFrame, path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of ``docs``; ``path``: the tokenizer's file."""
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = [r.piece for r in frequent(named, path).select("piece").collect()]  # at most TABLE_SIZE short strings
+    known = [r.piece for r in frequent(named, path).select("piece").collect()]  # at most TABLE_SIZE, of PIECE_CHARS at most
     table = docs.sparkSession.sparkContext.broadcast(dict(zip(known, lengths(path, known), strict=True)))
 
     def measure(batches):
@@ -126,7 +128,7 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                     _cache.clear()
                     missing = list({p for ps in found for p in ps if p not in first})
                 own = dict(zip(missing, lengths(path, missing), strict=True))
-                _cache.update((p, n) for p, n in own.items() if len(p) <= 64)
+                _cache.update((p, n) for p, n in own.items() if len(p) <= PIECE_CHARS)
                 for ps in found:
                     n = 0
                     for p in ps:
