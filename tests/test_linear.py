@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import RDD
 
 from toxiscope.operators import linear as li
 
@@ -97,3 +98,23 @@ def test_margins_of_documents_without_terms(spark):
     weights = spark.createDataFrame([(1, 0, 0.5), (1, 1, 2.0)], "doc_id long, idx int, weight double")
     got = {r.doc_id: r.margins for r in li.margins(weights, coefs, [0.5, 3.0], docs).collect()}
     assert got == {1: [5.0, 2.5], 2: [0.5, 3.0]}
+
+
+def test_driver_gets_one_total_a_pass(spark, monkeypatch):
+    """However many partitions a pass has; products in single precision."""
+    monkeypatch.setattr(li, "DIRECT_BYTES", 0, raising=False)
+    monkeypatch.setattr(li, "PARTITION_BYTES", 60)
+    rows = corpus(200, 4)
+    data = training(spark, rows, 8)
+    collect, sent = RDD.collect, []
+    monkeypatch.setattr(RDD, "collect", lambda rdd: sent.append(collect(rdd)) or sent[-1])
+    w = np.linspace(-1, 1, WIDTH + 1)[None]
+    full = data.total(li._gradient_step, ([li.LinearModel()], w), (1, WIDTH + 2))
+    half = data.total(li._product_step, ([li.LinearModel()], w, w), w.shape, np.float32)
+    assert data._rdd.getNumPartitions() == 8
+    assert [sum(piece.nbytes for _, piece in got) for got in sent] == [8 * (WIDTH + 2), 4 * (WIDTH + 1)]
+    x, y, fold = dense(rows)
+    assert np.allclose(full[0, 1:] + w[0], gradient(li.LinearModel(), w[0], x, y, fold), atol=1e-12)
+    p = 1 / (1 + np.exp(-(x @ w[0])))
+    assert np.allclose(half[0], x.T @ (p * (1 - p) * (x @ w[0])), rtol=1e-5, atol=1e-5)
+    data.unpersist()

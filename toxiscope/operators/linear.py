@@ -6,9 +6,10 @@ The intercept is the weight of a constant feature and penalised like the
 others; v_i is ``pos_weight`` for positive rows, else 1.  The minimum is found
 by Newton steps whose linear systems are solved by conjugate gradients.
 Every gradient and every Hessian product is one job over the training blocks:
-a task sums over its partition, partial sums meet in a tree, and only vectors
-as wide as the vocabulary reach the driver.  Several models (folds, costs,
-weights) share each job.
+a task sums over its partition, the partial sums are added up slice by slice
+on the executors, and only their total, a vector as wide as the vocabulary,
+reaches the driver, however many partitions there are.  Several models
+(folds, costs, weights) share each job.
 
 Training rows are packed into blocks of compressed sparse rows, a few
 megabytes each, written once; the numpy code per block is a handful of
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 4 << 20
 #: Bytes of indices and weights in a partition.
 PARTITION_BYTES = 2 << 20
-#: Partial sums that are added up on the driver without a tree before it.
+#: Partial sums, and bytes of them together, that are added up on the driver itself.
 DIRECT = 32
+DIRECT_BYTES = 64 << 10
+#: Bytes of a total that one task adds up.
+SLICE_BYTES = 128 << 10
 TOL = 1e-10
 MAX_STEPS, MAX_CG = 100, 200
 LOGISTIC, SQUARED_HINGE = "logistic", "squared_hinge"
@@ -175,10 +179,12 @@ class Training:
     def unpersist(self) -> None:
         self._rdd.unpersist()
 
-    def total(self, step: Callable, state: tuple, shape: tuple) -> np.ndarray:
-        """Sum of ``step(block, state)`` over all blocks: within tasks, then in a tree."""
+    def total(self, step: Callable, state: tuple, shape: tuple, kind=np.float64) -> np.ndarray:
+        """Sum of ``step(block, state)`` over all blocks: within tasks, then slice by slice between them; ``kind`` is what
+        the driver is sent (sums are always of doubles)."""
         self.passes += 1
         sent = self._context.broadcast(state)
+        size = int(np.prod(shape))
 
         def partial(blocks):
             out = None
@@ -187,10 +193,19 @@ class Training:
                 out = one if out is None else out + one
             return [] if out is None else [out]
         parts = self._rdd.mapPartitions(partial)
+        n = parts.getNumPartitions()
         try:
-            if parts.getNumPartitions() > DIRECT:
-                return parts.treeAggregate(np.zeros(shape), np.add, np.add, 2)
-            return sum(parts.collect(), np.zeros(shape))
+            if n <= DIRECT and n * size * 8 <= DIRECT_BYTES:
+                return sum(parts.collect(), np.zeros(shape))
+            slices = max(1, min(n, -(-size * 8 // SLICE_BYTES)))
+            ends = [size * i // slices for i in range(slices + 1)]
+            cut = parts.flatMap(lambda one: [(i, one.reshape(-1)[ends[i]:ends[i + 1]]) for i in range(slices)])
+            found = cut.reduceByKey(np.add, slices).mapValues(lambda piece: piece.astype(kind))
+            out = np.zeros(size)
+            for i, piece in found.collect():
+                out[ends[i]:ends[i + 1]] = piece
+            found._jrdd.rdd().cleanShuffleDependencies(False)   # else a pass's partial sums stay on disk until the driver collects its garbage
+            return out.reshape(shape)
         finally:
             sent.destroy()
 
@@ -202,7 +217,10 @@ def _value_gradient(training: Training, models: list[LinearModel], w: np.ndarray
 
 def _newton_direction(training: Training, models: list[LinearModel], w: np.ndarray, g: np.ndarray,
                       forcing: np.ndarray) -> np.ndarray:
-    """Conjugate gradients on H d = -g, all models together, each to its relative residual."""
+    """Conjugate gradients on H d = -g, all models together, each to its relative residual.
+
+    Products come in single precision: they choose the direction, and where it ends is for the gradients to say.
+    """
     d, r = np.zeros_like(g), -g
     p, rr = r.copy(), (r * r).sum(1)
     goal = forcing ** 2 * rr
@@ -210,7 +228,7 @@ def _newton_direction(training: Training, models: list[LinearModel], w: np.ndarr
         on = np.flatnonzero(rr > goal)
         if not len(on):
             break
-        hp = p[on] + training.total(_product_step, ([models[j] for j in on], w[on], p[on]), (len(on), w.shape[1]))
+        hp = p[on] + training.total(_product_step, ([models[j] for j in on], w[on], p[on]), (len(on), w.shape[1]), np.float32)
         step = rr[on] / (p[on] * hp).sum(1)
         d[on] += step[:, None] * p[on]
         r[on] -= step[:, None] * hp
