@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from toxiscope.operators import features as fe
 from toxiscope.operators import linear as li
 from toxiscope.plans.baselines import TRAIN, Chain
+from toxiscope.streaming.scoring import score_texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +35,14 @@ def test_release_drops_tables_and_files(spark):
     assert len(names) == 2 and all(spark.catalog.tableExists(n) for n in names)
     c.release()
     assert not any(spark.catalog.tableExists(n) for n in names) and not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_tasks_hold_bounded_text(spark):
+    """Of 42 million characters, a bucket or a scored partition holds two."""
+    texts = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 350_000).alias("clean"))
+    c = Chain(spark, SF, _memo={"cleaned": texts})
+    assert c.buckets == 21
+    idf = spark.createDataFrame([("ab", 0, 1.0)], "term string, idx int, idf double")
+    model = spark.createDataFrame([("ab", 1.0, 0.0)], "term string, log_ratio double, prior double")
+    plan = score_texts(texts, ["doc_id"], "clean", idf, model, terms=1)._jdf.queryExecution().executedPlan().toString()
+    assert any("Exchange hashpartitioning(doc_id" in line and ", 21)" in line for line in plan.split("\n"))

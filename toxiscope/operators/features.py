@@ -22,6 +22,8 @@ WORD_VOCAB_SIZE = 50_000
 WORD_MIN_FREQ = 2
 #: A vocabulary may be broadcast up to this bound.
 BROADCAST_ROWS = 200_000
+#: Characters of text whose postings a task holds.
+PARTITION_CHARS = 2 << 20
 PAD_ID = 0
 UNK_ID = 1
 
@@ -30,6 +32,12 @@ def _ids(id_col) -> list[str]:
     return [id_col] if isinstance(id_col, str) else list(id_col)
 
 
+def text_partitions(texts: DataFrame, chars: Column, most: int | None = None) -> int:
+    """Partitions of ``most`` (else ``PARTITION_CHARS``) measured characters each, one per core at least: what a task holds of postings doesn't grow with the table."""
+    total = texts.agg(F.sum(chars)).first()[0] or 0
+    return max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // (most or PARTITION_CHARS)))
+
+
 def term_postings(docs: DataFrame, clean_col: str = "clean", id_col: str | list[str] = "doc_id",
                   keep: list[str] | None = None, tokens=clean_tokens) -> DataFrame:
     """(id..., term, tf) of uni+bigrams of cleaned text; ``tokens`` fits aggressively cleaned text
@@ -124,12 +132,13 @@ def tfidf_transform(postings: DataFrame, idf: DataFrame, id_col: str | list[str]
                     max_features: int | None = MAX_FEATURES, by: Sequence[str] = ()) -> DataFrame:
     """(id, term, idx, weight): sublinear tf x idf, L2-normalised per document.
 
-    With ``by`` (part of the id) every value has its own vocabulary.
+    With ``by`` (part of the id) every value has its own vocabulary, and
+    ``max_features`` is for the rows of all of them.
 
     The vocabulary is broadcast where ``max_features`` bounds it; the
     per-document norm is a window on ``id_col``.
     """
-    raw = (postings.join(small(idf.select(*by, "term", "idx", "idf"), None if by else max_features), [*by, "term"])
+    raw = (postings.join(small(idf.select(*by, "term", "idx", "idf"), max_features), [*by, "term"])
                    .withColumn("_raw", (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*_ids(id_col))))
     return raw.withColumn("weight", F.col("_raw") / norm).drop("_raw", "idf")

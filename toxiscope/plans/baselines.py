@@ -22,7 +22,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toxiscope.functions.text import aggressive_clean
@@ -41,8 +41,8 @@ NO_LANG = "und"
 NB_NAME = "TF-IDF + Naive Bayes"
 LR_NAME = "TF-IDF + Logistic Regression"
 SVM_NAME = "TF-IDF + SVM"
-#: Characters of cleaned text in a bucket (some 100 MB of postings).
-BUCKET_CHARS = 16 << 20
+#: Characters of cleaned text in a bucket (some 150 MB of memory for each aggregate or sort of its postings).
+BUCKET_CHARS = 2 << 20
 
 
 def nb_name(alpha: float = nb.ALPHA) -> str:
@@ -73,7 +73,7 @@ class Chain:
     _tables: list = field(default_factory=list)
     _run_dir: str | None = None
 
-    def _get(self, key, build, keep: str | None = None, schema=None):
+    def _get(self, key, build, keep: str | None = None, schema=None, buckets: int | None = None):
         """Memoised DataFrame, optionally materialised once.
 
         ``keep="persist"`` -- cached (memory, spilling to disk); lost blocks
@@ -83,7 +83,8 @@ class Chain:
         cut, plans of later queries stay small, an executor loss re-reads
         files instead of re-running the chain, and later scans prune columns.
         One write job per table.
-        ``keep="bucketed"`` -- the same, as a table bucketed by ``doc_id``: later work per document needs no exchange.
+        ``keep="bucketed"`` -- the same, as a table bucketed by ``doc_id``: later work per document needs no exchange
+        (``buckets`` of them, else the chain's).
         """
         if key not in self._memo:
             df = build()
@@ -97,7 +98,7 @@ class Chain:
             elif keep == "bucketed":
                 path = self._table_path(key)
                 name = path.rstrip("/").rsplit("/", 2)[-2].replace("-", "_") + f"_{len(self._tables)}"
-                (df.write.format("parquet").option("path", path).bucketBy(self.buckets, "doc_id").sortBy("doc_id")
+                (df.write.format("parquet").option("path", path).bucketBy(buckets or self.buckets, "doc_id").sortBy("doc_id")
                  .saveAsTable(name))
                 self._tables.append(name)
                 df = self.spark.table(name)
@@ -163,10 +164,10 @@ class Chain:
     @property
     def buckets(self) -> int:
         """Buckets of the tables per document: of ``BUCKET_CHARS`` of measured text each, one per core at least."""
-        def build():
-            chars = self.cleaned.agg(F.sum(F.length("clean"))).first()[0] or 0
-            return max(self.spark.sparkContext.defaultParallelism, -(-chars // BUCKET_CHARS))
-        return self.partitions or self._get("buckets", build)
+        return self.partitions or self._get("buckets", lambda: self.buckets_for(self.cleaned, F.length("clean")))
+
+    def buckets_for(self, texts: DataFrame, chars: Column) -> int:
+        return min(fe.text_partitions(texts, chars, BUCKET_CHARS), int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
 
     @property
     def postings(self) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from toxiscope.functions import text as tx
+from toxiscope.operators import features as fe
 from toxiscope.plans import oracle as o
 from toxiscope.plans.baselines import chain
 from toxiscope.plans.catalog import query
@@ -62,7 +63,10 @@ FROM s_prob""")
 def q_score_comments(spark, sf):
     """Unlabelled documents and conversation turns: clean -> probability -> verdict."""
     c = chain(spark, sf)
-    return score_comments(_unlabelled(spark, sf), KEYS, "text", c.idf, c.nb_model(), terms=c.n_terms())
+    # of all texts, so that measuring takes no join
+    texts = c.table("documents").select("text").unionByName(c.table("conversations").select("text"))
+    return score_comments(_unlabelled(spark, sf), KEYS, "text", c.idf, c.nb_model(), terms=c.n_terms(),
+                          partitions=fe.text_partitions(texts, F.length("text")))
 
 
 DOCS_SQL = "s_in AS (SELECT 'documents' AS tbl, doc_id AS id, CAST(-1 AS BIGINT) AS turn, text FROM documents)"

@@ -38,12 +38,13 @@ def score_texts(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFram
     left join all require clustering by (a superset of) the key, so none of
     them shuffles the postings, which are several times larger than the text.
 
+    ``partitions`` of the texts are measured unless given.
     ``terms`` is the model's measured number of terms: up to
     ``BROADCAST_ROWS`` it is broadcast.  A larger model, or one that wasn't
     measured, is joined as Catalyst sees fit (with its runtime bloom filter).
     """
     docs = df.select(*key_cols, text_col)
-    docs = docs.repartition(partitions, *key_cols) if partitions else docs.repartition(*key_cols)
+    docs = docs.repartition(partitions or fe.text_partitions(docs, F.length(text_col)), *key_cols)
     clean = docs.select(*key_cols, CLEANERS[cleaner](text_col).alias("clean"))
     post = fe.term_postings(clean, id_col=key_cols)
     w = fe.tfidf_transform(post, idf, id_col=key_cols, max_features=terms)
@@ -51,9 +52,10 @@ def score_texts(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFram
 
 
 def score_comments(df: DataFrame, key_cols: list[str], text_col: str, idf: DataFrame, model: DataFrame,
-                   threshold: float = 0.5, cleaner: str = "aggressive", terms: int | None = None) -> DataFrame:
+                   threshold: float = 0.5, cleaner: str = "aggressive", terms: int | None = None,
+                   partitions: int | None = None) -> DataFrame:
     """keys + (y_prob, verdict): blank text short-circuits to the dash / 0.0."""
-    s = score_texts(df, key_cols, text_col, idf, model, cleaner=cleaner, terms=terms)
+    s = score_texts(df, key_cols, text_col, idf, model, partitions, cleaner, terms)
     return s.select(*key_cols, F.round(verdict_prob(text_col, "y_prob"), 6).alias("y_prob"),
                     verdict(text_col, "y_prob", threshold).alias("verdict"))
 
@@ -117,9 +119,9 @@ def scoring_throughput(texts: DataFrame, order_col: str, text_col: str, idf: Dat
     scoring is timed."""
     import time
     sample = texts.orderBy(order_col).limit(int(n)).select(order_col, text_col).cache()
-    rows = sample.count()
+    rows, parts = sample.count(), fe.text_partitions(sample, F.length(text_col))
     t0 = time.perf_counter()
-    score_texts(sample, [order_col], text_col, idf, model).write.format("noop").mode("overwrite").save()
+    score_texts(sample, [order_col], text_col, idf, model, parts).write.format("noop").mode("overwrite").save()
     elapsed = time.perf_counter() - t0
     sample.unpersist()
     return 1000.0 * elapsed / max(rows, 1)
@@ -178,7 +180,8 @@ def score_stream(spark: SparkSession, source_dir: str, schema, key_cols: list[st
             for c in key_cols:
                 same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"s.{c}"))
             new = new.alias("n").join(seen.alias("s"), same, "left_anti")
-        scored = score_comments(new, [*key_cols, "bucket"], text_col, idf, model, threshold, cleaner, terms)
+        scored = score_comments(new, [*key_cols, "bucket"], text_col, idf, model, threshold, cleaner, terms,
+                                fe.text_partitions(batch, F.length(text_col)))
         scored.write.mode("overwrite").partitionBy("bucket").parquet(f"{sink_dir}/run={run}/batch_id={batch_id}")
 
     return (stream.writeStream.foreachBatch(write_batch)
