@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from toxiscope.operators import features as fe
 from toxiscope.operators import linear as li
+from toxiscope.plans import baselines
+from toxiscope.plans.ablation_queries import ablation_predictions
 from toxiscope.plans.baselines import TRAIN, Chain
 from toxiscope.streaming.scoring import score_texts
 
@@ -46,3 +48,25 @@ def test_tasks_hold_bounded_text(spark):
     model = spark.createDataFrame([("ab", 1.0, 0.0)], "term string, log_ratio double, prior double")
     plan = score_texts(texts, ["doc_id"], "clean", idf, model, terms=1)._jdf.queryExecution().executedPlan().toString()
     assert any("Exchange hashpartitioning(doc_id" in line and ", 21)" in line for line in plan.split("\n"))
+
+
+def test_ablation_tables_are_bucketed(spark, monkeypatch, tmp_path):
+    """By the document, as many as the cleaned texts are long; the norm takes no exchange."""
+    monkeypatch.setattr(baselines, "BUCKET_CHARS", 100)
+    lang = F.when(F.col("doc_id") % 4 == 0, "de").otherwise("en")
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("Some <b>words</b> no. "), F.col("id").cast("string")).alias("text"))
+    docs.select("*", lang.alias("lang"), F.lit("web").alias("source"), F.length("text").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 3 == 0).cast("int").alias("toxic")).write.parquet(
+        f"{tmp_path}/labels.parquet")
+    c = Chain(spark, str(tmp_path))
+    preds = ablation_predictions(c)
+    held = c.cleaned.filter(F.col("split") != TRAIN).count()
+    assert preds.count() == 3 * held == preds.select("model", "doc_id").distinct().count()
+    post, n = c._memo["ablation_postings"], c._memo["ablation_buckets"]
+    assert n == -(-3 * docs.agg(F.sum(F.length("text"))).first()[0] // 100) > 4
+    weights = fe.tfidf_transform(post, c._memo["ablation_idf"], ["cleaner", "doc_id"], c._memo["ablation_terms"], ["cleaner"])
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {c._tables[-1]}").collect()}
+    assert described["Num Buckets"] == str(n)
+    c.release()

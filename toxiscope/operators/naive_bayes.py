@@ -62,10 +62,11 @@ def nb_scores(weights: DataFrame, model: DataFrame, docs: DataFrame,
 
     ``docs`` decides which documents get a score; those without postings get
     the prior.  The score is rounded so that equal documents tie exactly
-    whatever order the sums ran in.  ``by`` (part of the id) names the model.
+    whatever order the sums ran in.  ``by`` (part of the id) names the model;
+    ``max_features`` is for the rows of all of them.
     """
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
-    contrib = (weights.join(small(model.select(*by, "term", "log_ratio"), None if by else max_features), [*by, "term"])
+    contrib = (weights.join(small(model.select(*by, "term", "log_ratio"), max_features), [*by, "term"])
                       .groupBy(*ids)
                       .agg(F.sum(F.col("weight") * F.col("log_ratio")).alias("_dot")))
     prior = model.select("prior").limit(1)

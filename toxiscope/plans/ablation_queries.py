@@ -22,8 +22,13 @@ def ablation_predictions(c: Chain) -> DataFrame:
     """(model, split, lang, doc_id, y_true, score, y_prob): a Naive Bayes per cleaner, all in one chain keyed by ``cleaner``.
 
     A text is read once and cleaned in all ways; vocabulary, idf, weights and
-    model carry the cleaner as one more key.
+    model carry the cleaner as one more key.  Postings and weights are written
+    in buckets of the document, like the chain's, so a task holds as little
+    and the norm takes no exchange.
     """
+    def buckets():
+        # no cleaner makes a text longer
+        return c.buckets_for(c.splits, F.length("text") * len(tx.CLEANERS))
     def cleaned():
         variants = F.explode(F.array(*[F.struct(F.lit(name).alias("cleaner"), fn("text").alias("clean"))
                                        for name, fn in tx.CLEANERS.items()])).alias("v")
@@ -31,21 +36,23 @@ def ablation_predictions(c: Chain) -> DataFrame:
         return rows.select("v.cleaner", "doc_id", "split", "lang", "toxic", "v.clean")
 
     def postings():
-        docs = cleaned().select("cleaner", "doc_id", "split", "toxic", "clean").repartition("cleaner", "doc_id")
+        docs = cleaned().select("cleaner", "doc_id", "split", "toxic", "clean").repartition(n, "doc_id")
         return fe.term_postings(docs, id_col=["cleaner", "doc_id"], keep=["split", "toxic"], tokens=tx.vector_tokens)
 
     def build():
-        post = c._get("ablation_postings", postings, keep="checkpoint")
+        post = c._get("ablation_postings", postings, keep="bucketed", buckets=n)
         idf = c._get("ablation_idf", lambda: fe.tfidf_fit(
             fe.term_stats(post.filter(F.col("split") == TRAIN), BY), c.n_train, by=BY), keep="checkpoint")
-        weights = c._get("ablation_weights", lambda: fe.tfidf_transform(post, idf, ["cleaner", "doc_id"], by=BY), keep="checkpoint")
+        terms = c._get("ablation_terms", idf.count)
+        weights = c._get("ablation_weights", lambda: fe.tfidf_transform(post, idf, ["cleaner", "doc_id"], terms, BY), keep="bucketed", buckets=n)
         labels = c.cleaned.filter(F.col("split") == TRAIN).select("toxic")
         model = c._get("ablation_nb", lambda: nb.nb_fit(weights.filter(F.col("split") == TRAIN), labels, idf, by=BY), keep="checkpoint")
         docs = c.cleaned.filter(F.col("split").isin(TEST, VAL)).select(
             F.explode(F.array(*[F.lit(name) for name in tx.CLEANERS])).alias("cleaner"), "doc_id", "split", "lang", F.col("toxic").alias("y_true"))
         held = weights.filter(F.col("split").isin(TEST, VAL)).select("cleaner", "doc_id", "term", "weight")
-        scored = nb.nb_scores(held, model, docs, ["cleaner", "doc_id"], by=BY)
+        scored = nb.nb_scores(held, model, docs, ["cleaner", "doc_id"], terms, BY)
         return scored.select(F.col("cleaner").alias("model"), "split", "lang", "doc_id", "y_true", "score", "y_prob")
+    n = c._get("ablation_buckets", buckets)
     return c._get("ablation_pred", build, keep="checkpoint")
 
 
