@@ -70,3 +70,31 @@ def test_ablation_tables_are_bucketed(spark, monkeypatch, tmp_path):
     described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {c._tables[-1]}").collect()}
     assert described["Num Buckets"] == str(n)
     c.release()
+
+
+def test_sums_by_term_read_bounded_parts(spark, monkeypatch, tmp_path):
+    """A task has ``SUM_BYTES`` of files or of other tasks' sums, in a partition for every ``SUM_BUCKETS`` buckets; the sums are made once."""
+    monkeypatch.setattr(baselines, "BUCKET_CHARS", 50)
+    monkeypatch.setattr(baselines, "SUM_BYTES", 1 << 20)
+    text = F.concat(F.lit("some words of "), F.col("id").cast("string"), F.lit(" and some words"))
+    spark.range(60).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"),
+                           F.length(text).alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(60).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 3 == 0).cast("int").alias("toxic")).write.parquet(
+        f"{tmp_path}/labels.parquet")
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+    own, seen, real = [spark.conf.get(k) for k in keys], [], fe.term_stats
+
+    def stats(postings, by=()):
+        seen.append([*(spark.conf.get(k) for k in keys), postings.select("term").rdd.getNumPartitions(), len(postings.inputFiles())])
+        return real(postings, by)
+    monkeypatch.setattr(fe, "term_stats", stats)
+    c = Chain(spark, str(tmp_path))
+    found = {r.term: (r.tot, r.df) for r in c.idf.collect()}
+    assert c.buckets > 4 * int(own[0])
+    bound = str(1 << 20)
+    (*held, scans, files), = seen
+    assert held == [str(-(-c.buckets // 4)), bound, bound] and scans == files > 4
+    assert [spark.conf.get(k) for k in keys] == own
+    train = c.postings.filter(F.col("split") == TRAIN)
+    assert found == {r.term: (r.tot, r.df) for r in real(train).collect()} == {r.term: (r.tot, r.df) for r in c.term_stats.collect()}
+    c.release()

@@ -41,8 +41,8 @@ def ablation_predictions(c: Chain) -> DataFrame:
 
     def build():
         post = c._get("ablation_postings", postings, keep="bucketed", buckets=n)
-        idf = c._get("ablation_idf", lambda: fe.tfidf_fit(
-            fe.term_stats(post.filter(F.col("split") == TRAIN), BY), c.n_train, by=BY), keep="checkpoint")
+        stats = c.sums("ablation_term_stats", post, n, BY)
+        idf = c._get("ablation_idf", lambda: fe.tfidf_fit(stats, c.n_train, by=BY), keep="checkpoint")
         terms = c._get("ablation_terms", idf.count)
         weights = c._get("ablation_weights", lambda: fe.tfidf_transform(post, idf, ["cleaner", "doc_id"], terms, BY), keep="bucketed", buckets=n)
         labels = c.cleaned.filter(F.col("split") == TRAIN).select("toxic")

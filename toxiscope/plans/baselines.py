@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -30,7 +31,7 @@ from toxiscope.operators import evaluation as ev
 from toxiscope.operators import features as fe
 from toxiscope.operators import naive_bayes as nb
 from toxiscope.operators.sampling import stratified_split
-from toxiscope.session import checkpoint_dir
+from toxiscope.session import checkpoint_dir, settings
 from toxiscope.sources.tables import labelled_comments, read_table
 
 TRAIN = "train"
@@ -43,6 +44,10 @@ LR_NAME = "TF-IDF + Logistic Regression"
 SVM_NAME = "TF-IDF + SVM"
 #: Characters of cleaned text in a bucket (some 150 MB of memory for each aggregate or sort of its postings).
 BUCKET_CHARS = 2 << 20
+#: What a task that sums postings by term reads of files, or of other tasks' sums (some 100 MB of memory).
+SUM_BYTES = 16 << 20
+#: Buckets whose sums by term make up a partition.
+SUM_BUCKETS = 4
 
 
 def nb_name(alpha: float = nb.ALPHA) -> str:
@@ -181,6 +186,25 @@ class Chain:
             return fe.term_postings(docs, keep=["split", "toxic"])
         return self._get("postings", build, keep="bucketed")
 
+    def sums(self, key, postings: DataFrame, buckets: int, by: Sequence[str] = ()) -> DataFrame:
+        """``fe.term_stats`` of the training documents in ``postings`` (of so many buckets), made once and written.
+
+        Sums before and after the shuffle hold the distinct terms of what a
+        task reads, so that is bounded here, whatever the session's settings:
+        ``SUM_BYTES`` at most, in a partition for ``SUM_BUCKETS`` buckets at least.
+        """
+        conf = self.spark.conf
+        partitions = max(int(conf.get("spark.sql.shuffle.partitions")), -(-buckets // SUM_BUCKETS))
+        held = {"spark.sql.files.maxPartitionBytes": str(SUM_BYTES), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SUM_BYTES),
+                "spark.sql.shuffle.partitions": str(partitions)}
+        with settings(self.spark, held):
+            return self._get(key, lambda: fe.term_stats(postings.filter(F.col("split") == TRAIN), by), keep="checkpoint")
+
+    @property
+    def term_stats(self) -> DataFrame:
+        """(term, tot, df) over the training documents."""
+        return self.sums("term_stats", self.postings, self.buckets)
+
     @property
     def n_train(self) -> DataFrame:
         return self._get("n_train", lambda: self.cleaned.filter(F.col("split") == TRAIN)
@@ -189,8 +213,7 @@ class Chain:
     @property
     def idf(self) -> DataFrame:
         def build():
-            train = self.postings.filter(F.col("split") == TRAIN)
-            return fe.tfidf_fit(fe.term_stats(train), self.n_train)
+            return fe.tfidf_fit(self.term_stats, self.n_train)
         return self._get("idf", build, keep="checkpoint")
 
     def n_terms(self) -> int:

@@ -34,8 +34,7 @@ def q_feature_vocabulary(spark, sf):
 @query("document_frequency", o.with_(*BASE) + """
 SELECT term, count(*) AS df FROM c_post WHERE split = 'train' GROUP BY term""")
 def q_document_frequency(spark, sf):
-    train = chain(spark, sf).postings.filter(F.col("split") == TRAIN)
-    return fe.term_stats(train).select("term", "df")
+    return chain(spark, sf).term_stats.select("term", "df")
 
 
 @query("tfidf_transform", o.with_(*BASE) + """
