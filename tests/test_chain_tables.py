@@ -98,3 +98,28 @@ def test_sums_by_term_read_bounded_parts(spark, monkeypatch, tmp_path):
     train = c.postings.filter(F.col("split") == TRAIN)
     assert found == {r.term: (r.tot, r.df) for r in real(train).collect()} == {r.term: (r.tot, r.df) for r in c.term_stats.collect()}
     c.release()
+
+
+def documents_and_labels(spark, folder, labels):
+    text = F.concat(F.lit("some words of "), F.col("id").cast("string"), F.lit(" and some words"))
+    spark.range(60).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"),
+                           F.length(text).alias("n_chars")).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_texts_meet_labels_in_partitions_of_bounded_text(spark, monkeypatch, tmp_path):
+    """However few partitions the session shuffles into; its own number comes back."""
+    monkeypatch.setattr(baselines, "JOIN_CHARS", 100)
+    documents_and_labels(spark, tmp_path, [(i, 1, int(i % 3 == 0)) for i in range(0, 60, 2)])
+    own, seen, real = spark.conf.get("spark.sql.shuffle.partitions"), [], baselines.split_corpus
+
+    def split(comments):
+        seen.append(spark.conf.get("spark.sql.shuffle.partitions"))
+        return real(comments)
+    monkeypatch.setattr(baselines, "split_corpus", split)
+    c = Chain(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in c.splits.select("doc_id").collect()) == list(range(0, 60, 2))
+    chars = c.table("documents").agg(F.sum(F.length("text"))).first()[0]
+    assert seen == [str(-(-chars // 100))] and int(seen[0]) > int(own)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == own
+    c.release()

@@ -44,6 +44,8 @@ LR_NAME = "TF-IDF + Logistic Regression"
 SVM_NAME = "TF-IDF + SVM"
 #: Characters of cleaned text in a bucket (some 150 MB of memory for each aggregate or sort of its postings).
 BUCKET_CHARS = 2 << 20
+#: Characters of text that a task joins with keys or labels (some 130 MB of memory for the sort).
+JOIN_CHARS = 64 << 20
 #: What a task that sums postings by term reads of files, or of other tasks' sums (some 100 MB of memory).
 SUM_BYTES = 16 << 20
 #: Buckets whose sums by term make up a partition.
@@ -145,9 +147,17 @@ class Chain:
     def comments(self) -> DataFrame:
         return self._get("comments", lambda: labelled_comments(self.spark, self.sf_dir))
 
+    @property
+    def join_partitions(self) -> int:
+        """Partitions that documents' texts are joined in: of ``JOIN_CHARS`` of measured text each, one per core at least."""
+        return self._get("join_partitions", lambda: fe.text_partitions(self.table("documents").select("text"), F.length("text"), JOIN_CHARS))
+
     @property
     def splits(self) -> DataFrame:
-        return self._get("splits", lambda: split_corpus(self.comments), keep="checkpoint")
+        """Texts with their labels and split, joined in ``join_partitions`` at least, however few the session shuffles into."""
+        partitions = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.join_partitions)
+        with settings(self.spark, {"spark.sql.shuffle.partitions": str(partitions)}):
+            return self._get("splits", lambda: split_corpus(self.comments), keep="checkpoint")
 
     @property
     def cleaned(self) -> DataFrame:
