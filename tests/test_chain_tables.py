@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from toxiscope.operators import features as fe
 from toxiscope.operators import linear as li
-from toxiscope.plans import baselines
+from toxiscope.plans import baselines, scoring_queries
 from toxiscope.plans.ablation_queries import ablation_predictions
 from toxiscope.plans.baselines import TRAIN, Chain
 from toxiscope.streaming.scoring import score_texts
@@ -123,3 +123,29 @@ def test_texts_meet_labels_in_partitions_of_bounded_text(spark, monkeypatch, tmp
     assert seen == [str(-(-chars // 100))] and int(seen[0]) > int(own)
     assert spark.conf.get("spark.sql.shuffle.partitions") == own
     c.release()
+
+
+def test_labels_that_are_not_broadcast_meet_bounded_text(spark, monkeypatch, tmp_path):
+    """In the measured partitions, the same rows as with broadcast labels; keys may repeat or be null."""
+    monkeypatch.setattr(baselines, "JOIN_CHARS", 100)
+    documents_and_labels(spark, tmp_path, [(None, 1, 0), (2, 1, 1), (2, 1, 0), (7, 1, None), (90, 1, 1)])
+    spark.sql("SELECT cast(null as long) AS doc_id, 'no key' AS text, 'en' AS lang, 'web' AS source, 6 AS n_chars").write.mode("append").parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.sql("SELECT 2L AS conv_id, -1L AS turn, 'a turn' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    expected = sorted([("documents", i, -1) for i in [*range(60), None] if i not in (2, 7)] + [("conversations", 2, -1)], key=str)
+
+    def found():
+        df = scoring_queries._unlabelled(spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        rows = sorted([tuple(r) for r in df.select("tbl", "id", "turn").collect()], key=str)
+        return rows, "BroadcastHashJoin" in plan, [line.count(f", {n})") for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    n = baselines.chain(spark, str(tmp_path)).join_partitions
+    assert n > 10
+    assert found() == (expected, True, [])
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(fe, "BROADCAST_ROWS", 4)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert found() == (expected, False, [1, 1])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)

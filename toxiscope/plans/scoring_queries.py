@@ -16,9 +16,18 @@ KEYS = ["tbl", "id", "turn"]
 
 
 def _unlabelled(spark, sf):
-    """Unlabelled documents (turn -1) and every conversation turn."""
+    """Unlabelled documents (turn -1) and every conversation turn.
+
+    Labels within ``BROADCAST_ROWS`` are broadcast.  Others are dealt into
+    partitions of bounded text; where they aren't broadcast either, the texts
+    follow them, however few the session shuffles into.  (An anti join goes
+    below a ``repartition`` of its left side.)
+    """
     c = chain(spark, sf)
-    docs = (c.table("documents").join(c.table("labels").select("doc_id"), "doc_id", "left_anti")
+    labels = c.table("labels").select("doc_id")
+    rows = labels.count()
+    labels = F.broadcast(labels) if rows <= fe.BROADCAST_ROWS else labels.repartition(c.join_partitions, "doc_id")
+    docs = (c.table("documents").join(labels, "doc_id", "left_anti")
              .select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"),
                      F.lit(-1).cast("bigint").alias("turn"), "text"))
     conv = c.table("conversations").select(F.lit("conversations").alias("tbl"),
