@@ -1,5 +1,7 @@
 """The linear solver against its optimality conditions and a dense numpy solution."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark import RDD
@@ -118,3 +120,58 @@ def test_driver_gets_one_total_a_pass(spark, monkeypatch):
     p = 1 / (1 + np.exp(-(x @ w[0])))
     assert np.allclose(half[0], x.T @ (p * (1 - p) * (x @ w[0])), rtol=1e-5, atol=1e-5)
     data.unpersist()
+
+
+def test_partitions_follow_the_cores_not_the_rows(spark, monkeypatch):
+    """Every partition of a pass sends a vector per model to the other executors."""
+    monkeypatch.setattr(li, "PARTITION_BYTES", 12)
+    rows = corpus(300, 5)
+    data = training(spark, rows, 40)
+    cores = spark.sparkContext.defaultParallelism
+    assert data._rdd.getNumPartitions() == li.CORE_PARTITIONS * cores < 40
+    monkeypatch.setattr(li, "PARTITION_MOST", 12 * sum(len(r[2]) for r in rows) // 20, raising=False)
+    assert 20 <= training(spark, rows, 40)._rdd.getNumPartitions() <= 21
+    kept = data._rdd.collect()
+    folds = [fold for _, fold, *_ in kept]
+    assert set(folds) == {0, 1, 2} and len(kept) <= 3 * li.CORE_PARTITIONS * cores and len({name for name, *_ in kept}) == len(kept)
+    assert all(idx.dtype == np.uint16 for _, _, _, idx, *_ in kept)
+    have = sorted((int(sign > 0), fold, tuple(idx[end - n:end].tolist()), tuple(val[end - n:end].tolist()))
+                  for _, fold, sizes, idx, val, y in kept for n, end, sign in zip(sizes, np.cumsum(sizes), y))
+    assert have == sorted((y, fold, tuple(idx), tuple(val)) for y, fold, idx, val in rows)
+    data.unpersist()
+
+
+def test_blocks_are_bounded_by_entries_and_by_rows(monkeypatch):
+    monkeypatch.setattr(li, "BLOCK_ENTRIES", 50)
+    pack = lambda n, k: SimpleNamespace(ptr=(np.arange(n + 1, dtype=np.int64) * k).tobytes(), idx=np.zeros(n * k, np.int32).tobytes(),
+                                        val=np.ones(n * k).tobytes(), y=np.ones(n).tobytes(), fold=np.full(n, -1, np.int32).tobytes())
+    full, bare = list(li.joined([pack(10, 3)] * 20, 1 << 17)), list(li.joined([pack(10, 0)] * 20, 1 << 17))
+    assert [len(x[3]) for x in full] == [60] * 10 and [len(x[2]) for x in bare] == [50] * 4
+    assert full[0][3].dtype == np.int32
+
+
+def test_products_of_a_newton_step_find_curvatures_once(monkeypatch):
+    x, y, fold = dense(corpus(60, 6, empty=False))
+    packed = SimpleNamespace(ptr=(np.arange(61, dtype=np.int64) * WIDTH).tobytes(), idx=np.tile(np.arange(WIDTH, dtype=np.int32), 60).tobytes(),
+                             val=x[:, :-1].tobytes(), y=y.tobytes(), fold=fold.astype(np.int32).tobytes())
+    blocks = [li.opened(b) for b in li.joined([packed], WIDTH)]
+    models = [li.LinearModel(), li.LinearModel(li.SQUARED_HINGE, skip_fold=1)]
+    w, v = np.linspace(-1, 1, 2 * WIDTH + 2).reshape(2, -1), np.linspace(2, -1, 2 * WIDTH + 2).reshape(2, -1)
+    found, curvature = [], li._curvature
+    monkeypatch.setattr(li, "_curvature", lambda *a: found.append(1) or curvature(*a))
+
+    def product(w, v, some, step):
+        return sum(li._product_step(b, ([models[j] for j in some], w[some], v[some], step, some)) for b in blocks)
+
+    def expected(w, v, some):
+        out = []
+        for j in some:
+            z = y * (x @ w[j])
+            p = 1 / (1 + np.exp(-z))
+            curve = p * (1 - p) if models[j].loss == li.LOGISTIC else 2.0 * (z < 1)
+            out.append(x.T @ (models[j].costs(y, fold) * curve * (x @ v[j])))
+        return np.array(out)
+    assert np.allclose(product(w, v, [0, 1], "a"), expected(w, v, [0, 1])) and len(found) == 3 + 2
+    # the second model alone, then both at other weights
+    assert np.allclose(product(w, 3 * v, [1], "a"), expected(w, 3 * v, [1])) and len(found) == 5
+    assert np.allclose(product(-w, v, [0, 1], "b"), expected(-w, v, [0, 1])) and len(found) == 10

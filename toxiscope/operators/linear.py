@@ -13,14 +13,18 @@ reaches the driver, however many partitions there are.  Several models
 
 Training rows are packed into blocks of compressed sparse rows, a few
 megabytes each, written once; the numpy code per block is a handful of
-vector operations.
+vector operations.  The executors keep them joined into blocks of one fold
+each, so that a model passes over those of its skipped fold, and the workers
+keep the curvatures of a Newton step's rows from one product to the next.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,12 @@ from pyspark.sql import functions as F
 
 #: Bytes of indices and weights in a block.
 BLOCK_BYTES = 4 << 20
-#: Bytes of indices and weights in a partition.
+#: Entries and rows of the blocks that the executors keep (temporary vectors of one are some 4 MB each).
+BLOCK_ENTRIES = 1 << 19
+#: Bytes of indices and weights in a partition: at least, and at most where there are ``CORE_PARTITIONS`` per core.
 PARTITION_BYTES = 2 << 20
+PARTITION_MOST = 64 << 20
+CORE_PARTITIONS = 2
 #: Partial sums, and bytes of them together, that are added up on the driver itself.
 DIRECT = 32
 DIRECT_BYTES = 64 << 10
@@ -98,26 +106,62 @@ def pack_blocks(rows: DataFrame, label: str = "label", fold: str | None = None)
     return picked.mapInArrow(pack, BLOCKS)
 
 
-def _unpack(row) -> tuple:
-    """(sizes, places of the rows with entries, idx, val, y, fold)."""
-    ptr = np.frombuffer(row.ptr, np.int64)
-    sizes = np.diff(ptr)
-    return (sizes, ptr[:-1][sizes > 0], np.frombuffer(row.idx, np.int32).astype(np.int64), np.frombuffer(row.val),
-            np.frombuffer(row.y), np.frombuffer(row.fold, np.int32))
-
-
-def _dot(block: tuple, w: np.ndarray) -> np.ndarray:
-    sizes, places, idx, val = block[:4]
-    out = np.full(len(sizes), w[-1])
-    if len(places):
-        out[sizes > 0] += np.add.reduceat(val * w[idx], places)
+class Block(NamedTuple):
+    """Rows of one fold, opened for work."""
+    name: str               # of these rows in this order: a block that is made again gets another one
+    fold: int
+    sizes: np.ndarray       # entries per row
+    some: np.ndarray        # rows with entries
+    places: np.ndarray      # of their first entries
+    idx: np.ndarray
+    val: np.ndarray
+    y: np.ndarray
+
+
+def joined(rows: Iterable, width: int) -> Iterator[tuple]:
+    """Packed rows as (name, fold, sizes, idx, val, y) of one fold and ``BLOCK_ENTRIES`` entries and rows each, if there are as many."""
+    kind = np.uint16 if width <= 1 << 16 else np.int32
+    waiting: dict[int, list] = {}
+    held: dict[int, int] = {}
+
+    def block(fold: int) -> tuple:
+        held[fold] = 0
+        return (uuid.uuid4().hex, fold, *(np.concatenate(x) for x in zip(*waiting.pop(fold))))
+    for row in rows:
+        sizes, folds = np.diff(np.frombuffer(row.ptr, np.int64)).astype(np.int32), np.frombuffer(row.fold, np.int32)
+        idx, val, y = np.frombuffer(row.idx, np.int32).astype(kind), np.frombuffer(row.val), np.frombuffer(row.y)
+        for fold in np.unique(folds).tolist():
+            at = folds == fold
+            entries = np.repeat(at, sizes)
+            waiting.setdefault(fold, []).append((sizes[at], idx[entries], val[entries], y[at]))
+            held[fold] = held.get(fold, 0) + int(entries.sum()) + int(at.sum())
+            if held[fold] >= BLOCK_ENTRIES:
+                yield block(fold)
+    for fold in list(waiting):
+        yield block(fold)
+
+
+def opened(kept: tuple) -> Block:
+    name, fold, sizes, idx, val, y = kept
+    some = sizes > 0
+    return Block(name, fold, sizes, some, (np.cumsum(sizes, dtype=np.int64) - sizes)[some], idx.astype(np.intp), val, y)
+
+
+def _dot(block: Block, w: np.ndarray) -> np.ndarray:
+    out = np.full(len(block.sizes), w[-1])
+    if len(block.places):
+        terms = w.take(block.idx)
+        terms *= block.val
+        out[block.some] += np.add.reduceat(terms, block.places)
     return out
 
 
-def _back(block: tuple, factor: np.ndarray, width: int) -> np.ndarray:
-    """X^T factor, the intercept's entry last."""
-    sizes, _, idx, val = block[:4]
-    return np.append(np.bincount(idx, val * np.repeat(factor, sizes), width), factor.sum())
+def _back(block: Block, factor: np.ndarray, out: np.ndarray) -> None:
+    """Writes X^T factor into ``out``, the intercept's entry last."""
+    terms = np.repeat(factor, block.sizes)
+    terms *= block.val
+    out[:-1] = np.bincount(block.idx, terms, len(out) - 1)
+    out[-1] = factor.sum()
 
 
 def _loss(kind: str, z: np.ndarray) -> np.ndarray:
@@ -135,34 +179,50 @@ def _curvature(kind: str, z: np.ndarray) -> np.ndarray:
     return 2.0 * (z < 1.0)
 
 
-def _gradient_step(block: tuple, state) -> np.ndarray:
+def _gradient_step(block: Block, state) -> np.ndarray:
     models, w = state
-    y, fold = block[4], block[5]
-    out = np.empty((len(models), w.shape[1] + 1))
+    out = np.zeros((len(models), w.shape[1] + 1))
     for j, model in enumerate(models):
-        cost, z = model.costs(y, fold), y * _dot(block, w[j])
-        out[j, 0] = (cost * _loss(model.loss, z)).sum()
-        out[j, 1:] = _back(block, cost * y * _slope(model.loss, z), w.shape[1] - 1)
+        if model.skip_fold != block.fold:
+            cost, z = model.costs(block.y, block.fold), block.y * _dot(block, w[j])
+            out[j, 0] = (cost * _loss(model.loss, z)).sum()
+            _back(block, cost * block.y * _slope(model.loss, z), out[j, 1:])
     return out
 
 
-def _product_step(block: tuple, state) -> np.ndarray:
-    models, w, v = state
-    y, fold = block[4], block[5]
-    out = np.empty(w.shape)
+#: Curvatures by (block, model) that a worker has found at the weights of the Newton step under "step".
+_CURVES: dict = {}
+
+
+def _curve(block: Block, model: LinearModel, w: np.ndarray, step: str, number: int) -> np.ndarray:
+    """Cost times curvature of the block's rows at ``w``, the weights of model ``number`` in that Newton step."""
+    if _CURVES.get("step") != step:
+        _CURVES.clear()
+        _CURVES["step"] = step
+    key = (block.name, number)
+    if key not in _CURVES:
+        _CURVES[key] = model.costs(block.y, block.fold) * _curvature(model.loss, block.y * _dot(block, w))
+    return _CURVES[key]
+
+
+def _product_step(block: Block, state) -> np.ndarray:
+    """Hessian products; ``state`` may name the Newton step and its models, whose curvatures the worker then keeps."""
+    models, w, v, *named = state
+    step, numbers = named or (uuid.uuid4().hex, range(len(models)))
+    out = np.zeros(w.shape)
     for j, model in enumerate(models):
-        curve = model.costs(y, fold) * _curvature(model.loss, y * _dot(block, w[j]))
-        out[j] = _back(block, curve * _dot(block, v[j]), w.shape[1] - 1)
+        if model.skip_fold != block.fold:
+            _back(block, _curve(block, model, w[j], step, numbers[j]) * _dot(block, v[j]), out[j])
     return out
 
 
-def _search_step(block: tuple, state) -> np.ndarray:
+def _search_step(block: Block, state) -> np.ndarray:
     models, w, d, steps = state
-    y, fold = block[4], block[5]
-    out = np.empty((len(models), len(steps)))
+    out = np.zeros((len(models), len(steps)))
     for j, model in enumerate(models):
-        cost, at, by = model.costs(y, fold), _dot(block, w[j]), _dot(block, d[j])
-        out[j] = [(cost * _loss(model.loss, y * (at + t * by))).sum() for t in steps]
+        if model.skip_fold != block.fold:
+            cost, at, by = model.costs(block.y, block.fold), _dot(block, w[j]), _dot(block, d[j])
+            out[j] = [(cost * _loss(model.loss, block.y * (at + t * by))).sum() for t in steps]
     return out
 
 
@@ -173,8 +233,10 @@ class Training:
         self.width, self.passes = width, 0
         self._context = blocks.sparkSession.sparkContext
         size = blocks.agg(F.sum(F.length("idx") + F.length("val"))).first()[0] or 0
-        # a partition sends a vector per model back, so it should hold more than that
-        self._rdd = blocks.rdd.coalesce(int(size // PARTITION_BYTES) + 1).map(_unpack).persist(StorageLevel.MEMORY_AND_DISK)
+        # a partition sends a vector per model back in every pass, so it should hold more than that, and they should be few
+        most = max(CORE_PARTITIONS * self._context.defaultParallelism, size // PARTITION_MOST + 1)
+        rows = blocks.rdd.coalesce(int(min(size // PARTITION_BYTES + 1, most)))
+        self._rdd = rows.mapPartitions(lambda packed: joined(packed, width)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def unpersist(self) -> None:
         self._rdd.unpersist()
@@ -189,8 +251,8 @@ class Training:
         def partial(blocks):
             out = None
             for block in blocks:
-                one = step(block, sent.value)
-                out = one if out is None else out + one
+                one = step(opened(block), sent.value)
+                out = one if out is None else np.add(out, one, out)
             return [] if out is None else [out]
         parts = self._rdd.mapPartitions(partial)
         n = parts.getNumPartitions()
@@ -223,15 +285,15 @@ def _newton_direction(training: Training, models: list[LinearModel], w: np.ndarr
     """
     d, r = np.zeros_like(g), -g
     p, rr = r.copy(), (r * r).sum(1)
-    goal = forcing ** 2 * rr
+    goal, step = forcing ** 2 * rr, uuid.uuid4().hex
     for _ in range(MAX_CG):
         on = np.flatnonzero(rr > goal)
         if not len(on):
             break
-        hp = p[on] + training.total(_product_step, ([models[j] for j in on], w[on], p[on]), (len(on), w.shape[1]), np.float32)
-        step = rr[on] / (p[on] * hp).sum(1)
-        d[on] += step[:, None] * p[on]
-        r[on] -= step[:, None] * hp
+        hp = p[on] + training.total(_product_step, ([models[j] for j in on], w[on], p[on], step, on.tolist()), (len(on), w.shape[1]), np.float32)
+        by = rr[on] / (p[on] * hp).sum(1)
+        d[on] += by[:, None] * p[on]
+        r[on] -= by[:, None] * hp
         new = (r[on] * r[on]).sum(1)
         p[on] = r[on] + (new / rr[on])[:, None] * p[on]
         rr[on] = new
@@ -278,15 +340,13 @@ def fit(training: Training, models: list[LinearModel], start: np.ndarray | None
 # Sigmoid calibration
 # ---------------------------------------------------------------------------
 
-def _platt_step(block: tuple, state) -> np.ndarray:
+def _platt_step(block: Block, state) -> np.ndarray:
     w, folds, targets, ab = state
-    y, fold = block[4], block[5]
     out = np.zeros((len(folds), 6))
     for j, held in enumerate(folds):
-        at = fold == held
-        if not at.any():
+        if block.fold != held:
             continue
-        m, t = _dot(block, w[j])[at], np.where(y[at] > 0, targets[j][0], targets[j][1])
+        m, t = _dot(block, w[j]), np.where(block.y > 0, targets[j][0], targets[j][1])
         z = ab[j, 0] * m + ab[j, 1]
         p = 1.0 / (1.0 + np.exp(-z))
         e, h = p - t, p * (1.0 - p)
@@ -294,9 +354,8 @@ def _platt_step(block: tuple, state) -> np.ndarray:
     return out
 
 
-def _count_step(block: tuple, state) -> np.ndarray:
-    y, fold = block[4], block[5]
-    return np.array([[(y[fold == f] > 0).sum(), (y[fold == f] < 0).sum()] for f in state[0]], float)
+def _count_step(block: Block, state) -> np.ndarray:
+    return np.array([[(block.y > 0).sum(), (block.y < 0).sum()] if block.fold == f else [0, 0] for f in state[0]], float)
 
 
 def platt(training: Training, weights: np.ndarray, folds: list[int], tol: float = 1e-12) -> np.ndarray:
