@@ -175,3 +175,21 @@ def test_products_of_a_newton_step_find_curvatures_once(monkeypatch):
     # the second model alone, then both at other weights
     assert np.allclose(product(w, 3 * v, [1], "a"), expected(w, 3 * v, [1])) and len(found) == 5
     assert np.allclose(product(-w, v, [0, 1], "b"), expected(-w, v, [0, 1])) and len(found) == 10
+
+
+def test_newton_systems_are_solved_as_far_as_it_helps(spark, monkeypatch):
+    near = np.array([1e-2, 1e-2, 1e-8, 5.0])
+    found = li._forcing(near, np.array([1.0, 1.1e-2, 1e-4, 1.0]), np.ones(4), np.full(4, 1e-12))
+    # by the distance; by the little that the last step did; by the goal; never loosely
+    assert np.allclose(found, [0.1, 0.3 / 1.1, 1e-4, 0.3]) and li._forcing(np.array([1e-11]), np.ones(1), np.ones(1), np.array([1e-12]))[0] >= 1e-2
+    rows, models = corpus(400, 7), [li.LinearModel(li.SQUARED_HINGE, c=20.0, skip_fold=i) for i in range(3)]
+    data = training(spark, rows)
+    few = li.fit(data, models, tol=1e-12)
+    monkeypatch.setattr(li, "_forcing", lambda norm, last, first, goal: np.minimum(0.3, np.sqrt(norm / first)))
+    many = li.fit(data, models, tol=1e-12)
+    x, y, fold = dense(rows)
+    for model, w, norm in zip(models, few.weights, few.gradient):
+        at_zero = np.linalg.norm(gradient(model, 0 * w, x, y, fold))
+        assert norm <= 1e-12 * at_zero and np.linalg.norm(gradient(model, w, x, y, fold)) < 2e-12 * at_zero
+    assert few.passes < many.passes and np.abs(few.weights - many.weights).max() < 1e-10
+    data.unpersist()

@@ -300,6 +300,13 @@ def _newton_direction(training: Training, models: list[LinearModel], w: np.ndarr
     return d
 
 
+def _forcing(norm: np.ndarray, last: np.ndarray, first: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Relative residual to solve each model's Newton system to: the smaller the nearer the minimum, but no smaller than the step
+    before did good (norms now, before it and at zero), nor than a tenth of what the gradient needs to reach ``goal``."""
+    wanted = np.maximum(np.sqrt(norm / np.maximum(first, 1e-300)), 0.3 * norm / np.maximum(last, 1e-300))
+    return np.maximum(np.minimum(0.3, wanted), 0.1 * goal / np.maximum(norm, 1e-300))
+
+
 def fit(training: Training, models: list[LinearModel], start: np.ndarray | None = None, tol: float = TOL) -> Fit:
     """Weights at which every model's gradient norm is at most ``tol`` times its norm at zero (or can't be lowered)."""
     began, before = time.perf_counter(), training.passes
@@ -311,13 +318,14 @@ def fit(training: Training, models: list[LinearModel], start: np.ndarray | None
     if start is not None:
         value, g = _value_gradient(training, models, w)
     stuck = np.zeros(k, bool)
+    norm = np.sqrt((g * g).sum(1))
     for _ in range(MAX_STEPS):
-        norm = np.sqrt((g * g).sum(1))
+        last, norm = norm, np.sqrt((g * g).sum(1))
         on = np.flatnonzero((norm > goal) & ~stuck)
         if not len(on):
             break
         some = [models[j] for j in on]
-        d = _newton_direction(training, some, w[on], g[on], np.minimum(0.3, np.sqrt(norm[on] / np.maximum(first[on], 1e-300))))
+        d = _newton_direction(training, some, w[on], g[on], _forcing(norm[on], last[on], first[on], goal[on]))
         slope = (g[on] * d).sum(1)
         value1, g1 = _value_gradient(training, some, w[on] + d)
         # a full step, unless it fails to lower the value by more than rounding explains
